@@ -1,0 +1,26 @@
+"""Registry that ties each query to its Spark job and its SQL check."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Job = Callable[[SparkSession, str], DataFrame]
+
+JOBS: dict[str, Job] = {}
+CHECKS: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Job], Job]:
+    """Register ``job`` under ``name``; ``sql`` is the equivalent ANSI SQL, if there is one."""
+
+    def add(job: Job) -> Job:
+        if name in JOBS:
+            raise ValueError(f"query {name} registered twice")
+        JOBS[name] = job
+        if sql is not None:
+            CHECKS[name] = sql
+        return job
+
+    return add
