@@ -104,7 +104,8 @@ def exposure_limits(heat: Column, exposure: Column, regime: Column) -> dict[str,
 
 
 def percent(x: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
+    """Percent text, ties to even."""
+    return F.format_string(f"%.{digits}f%%", F.bround(x * 100, digits))
 
 
 def position_advice(heat, share, corr, factor, risk, weight, thresholds: dict[str, float] | None = None):

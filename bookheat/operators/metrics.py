@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from bookheat import constants as C
 from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
+from bookheat.session import broadcast_if_bounded
 
 
-def members(books: DataFrame, windowed: DataFrame) -> DataFrame:
-    """Positions with the return window of their symbol: (book_id, t, date, symbol, weight, x).
+MAX_BROADCAST_SYMBOLS = 50_000
 
-    Rows are placed by (book, day) once, so every later grouping by that key needs no shuffle.
+
+def members(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> DataFrame:
+    """Positions with the window columns of their symbol, placed by book (and day).
+
+    With ``rolling`` a book meets many days, so rows are placed by (book, day) after the join.
+    For one day, books are placed first and the vectors, one row per symbol, come to them:
+    broadcast when counted small, joined by key otherwise. Later grouping by book is shuffle-free.
     """
-    return (
-        books.select("book_id", "symbol", "weight")
-        .join(windowed, "symbol")
-        .repartition("book_id", "t")
-    )
+    own = books.select("book_id", "symbol", "weight")
+    if rolling:
+        return own.join(windowed, "symbol").repartition("book_id", "t")
+    return own.repartition("book_id").join(broadcast_if_bounded(windowed, MAX_BROADCAST_SYMBOLS), "symbol")
 
 
 def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
@@ -63,15 +68,18 @@ def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     )
 
 
-def diversification_ratio(positions: DataFrame) -> DataFrame:
+def diversification_ratio(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> DataFrame:
     """Σ|w|σ over portfolio volatility, from the portfolio return series (no pairs)."""
     keys = ["book_id", "t"]
-    c = A.with_centered(positions, "x", "c")
+    vectors = A.with_centered(windowed, "x", "c").select(
+        "t", "symbol", "c", F.size("x").alias("rows"), F.sqrt(A.dot(F.col("c"), F.col("c"))).alias("sd")
+    )
+    c = members(books, vectors, rolling)
     own = c.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.max(F.size("x")).alias("rows"),
+        F.max("rows").alias("rows"),
         F.sum(F.abs("weight")).alias("gross"),
-        F.sum(F.abs("weight") * F.sqrt(A.dot(F.col("c"), F.col("c")))).alias("vols"),
+        F.sum(F.abs("weight") * F.col("sd")).alias("vols"),
     )
     series = A.vector_sum(c, keys, F.transform("c", lambda v: v * F.col("weight")), "p")
     var = series.groupBy(*keys).agg(F.sum(F.col("p") * F.col("p")).alias("var"))
@@ -83,12 +91,14 @@ def diversification_ratio(positions: DataFrame) -> DataFrame:
     )
 
 
-def average_correlation(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
+def average_correlation(
+    books: DataFrame, windowed: DataFrame, span: int = C.EWMA_SPAN, rolling: bool = True
+) -> DataFrame:
     """EWMA mean pairwise correlation per (book, day), linear in positions."""
     from bookheat.operators.moments import avg_pairwise
 
-    z = A.with_unit(A.with_ewma_centered(positions, "x", "c", span), "c", "z")
-    return avg_pairwise(z, ["book_id", "t"])
+    z = A.with_unit(A.with_ewma_centered(windowed, "x", "c", span), "c", "z").select("t", "symbol", "z")
+    return avg_pairwise(members(books, z, rolling), ["book_id", "t"])
 
 
 def inverse_dr(dr: Column) -> Column:

@@ -1,4 +1,4 @@
 """Imports every query module and exposes the registered jobs and checks."""
 
-from bookheat.plans import heat_queries, panel_queries  # noqa: F401
+from bookheat.plans import action_queries, graph_queries, heat_queries, panel_queries  # noqa: F401
 from bookheat.plans.registry import CHECKS, JOBS  # noqa: F401

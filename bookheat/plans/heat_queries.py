@@ -25,7 +25,13 @@ def big(col: str):
 
 
 def replay_windows(spark, sf):
-    return P.windows(T.returns(spark, sf), "simple", C.WINDOW_ROWS, include_current=False)
+    """Windows of 60 simple returns ending the day before their label, staged."""
+    return staged(
+        spark,
+        sf,
+        "replay-windows",
+        lambda: P.windows(T.returns(spark, sf), "simple", C.WINDOW_ROWS, include_current=False),
+    )
 
 
 def exposures(spark, sf):
@@ -47,10 +53,14 @@ def heat(spark, sf):
 
 
 def latest_windows(spark, sf, rows: int):
-    """Newest ``rows`` log returns per symbol as one labelled window (t, date, symbol, x)."""
-    returns = T.returns(spark, sf)
-    newest = returns.agg(F.max("t")).scalar()
-    return P.windows(returns.filter(F.col("t") > newest - rows), "ret", rows, include_current=True)
+    """Newest ``rows`` log returns per symbol as one labelled window (t, date, symbol, x), staged."""
+
+    def build():
+        returns = T.returns(spark, sf)
+        newest = returns.agg(F.max("t")).scalar()
+        return P.windows(returns.filter(F.col("t") > newest - rows), "ret", rows, include_current=True)
+
+    return staged(spark, sf, f"latest-{rows}", build)
 
 
 def latest_exposures(spark, sf):
@@ -218,7 +228,7 @@ def cross_sectional_std(spark, sf):
     with_ctes("avgcorr", "SELECT CAST(t AS BIGINT) AS t, round(avg_corr, 6) + 0.0 AS avg_corr FROM avgcorr"),
 )
 def avg_corr_rolling(spark, sf):
-    return M.average_correlation(M.members(T.reference_book(spark), replay_windows(spark, sf))).select(
+    return M.average_correlation(T.reference_book(spark), replay_windows(spark, sf)).select(
         big("t"), r("avg_corr").alias("avg_corr")
     )
 
@@ -228,7 +238,7 @@ def avg_corr_rolling(spark, sf):
     with_ctes("divratio", "SELECT CAST(t AS BIGINT) AS t, round(div_ratio, 6) + 0.0 AS div_ratio FROM divratio"),
 )
 def diversification_ratio_rolling(spark, sf):
-    return M.diversification_ratio(M.members(T.reference_book(spark), replay_windows(spark, sf))).select(
+    return M.diversification_ratio(T.reference_book(spark), replay_windows(spark, sf)).select(
         big("t"), r("div_ratio").alias("div_ratio")
     )
 
@@ -246,8 +256,7 @@ JOIN (SELECT x.book_id, sum(x.weight * y.weight * cov) AS var FROM books x JOIN
     ),
 )
 def diversification_ratio_books(spark, sf):
-    m = M.members(T.books(spark, sf), latest_windows(spark, sf, 60))
-    return M.diversification_ratio(m).select("book_id", r("div_ratio").alias("div_ratio"))
+    return M.diversification_ratio(T.books(spark, sf), latest_windows(spark, sf, 60), rolling=False).select("book_id", r("div_ratio").alias("div_ratio"))
 
 
 @query(
@@ -266,8 +275,8 @@ LEFT JOIN (SELECT x.book_id, avg(corr) AS c FROM books x JOIN books y ON x.book_
     ),
 )
 def avg_corr_books(spark, sf):
-    m = M.members(T.books(spark, sf), latest_windows(spark, sf, 60))
-    return M.average_correlation(m).select("book_id", "n", r("avg_corr").alias("avg_corr"))
+    a = M.average_correlation(T.books(spark, sf), latest_windows(spark, sf, 60), rolling=False)
+    return a.select("book_id", "n", r("avg_corr").alias("avg_corr"))
 
 
 def _window_metrics(spark, sf):
@@ -406,7 +415,7 @@ def factor_hhi_books(spark, sf):
     "heat_components_books",
 )
 def heat_components_books(spark, sf):
-    raw = M.window_metrics(M.members(T.books(spark, sf), latest_windows(spark, sf, C.WINDOW_ROWS)))
+    raw = M.window_metrics(M.members(T.books(spark, sf), latest_windows(spark, sf, C.WINDOW_ROWS), rolling=False))
     hhi = X.factor_hhi(X.aggregate_exposures(latest_exposures(spark, sf), T.books(spark, sf)))
     return H.join_components(raw, hhi).select(
         "book_id", text("date"), *[r(c).alias(c) for c in ("absorption_ratio", "turbulence", "div_ratio", "factor_hhi", "avg_corr")],
