@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from bookheat.session import spread
+
 
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)  # type: ignore[return-value]
@@ -72,9 +74,13 @@ def map_packed(
     return packed.select(*keys, items).mapInArrow(run, out_schema)
 
 
-def map_groups(df: DataFrame, keys: list[str], cols: list[str], fn, out: str) -> DataFrame:
-    """Pack ``cols`` per key in the order of the first column, then ``map_packed``."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))
+def map_groups(df: DataFrame, keys: list[str], cols: list[str], fn, out: str, placed: bool = False) -> DataFrame:
+    """Pack ``cols`` per key in the order of the first column, then ``map_packed``.
+
+    ``placed`` says the rows already lie together by (a part of) the keys.
+    """
+    rows = df if placed else spread(df, *keys)
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("items"))
     return map_packed(packed, keys, fn, out)
 
 

@@ -10,7 +10,7 @@ from bookheat import constants as C
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import metrics as M
-from bookheat.session import broadcast_if_bounded
+from bookheat.session import broadcast_if_bounded, spread
 
 CANDIDATES_PER_SLOT = 64
 
@@ -158,8 +158,7 @@ def pretrade_impact(
     asked = cand.join(slots, "book_id").withColumn("slot", F.pmod(F.xxhash64("symbol"), F.col("slots")).cast("int"))
     per_symbol = vectors.join(windowed.select("t", "symbol", "x"), ["t", "symbol"]).select("symbol", "x", "betas")
     placed = (
-        held.unionByName(asked)
-        .repartition("book_id", "slot")
+        spread(held.unionByName(asked), "book_id", "slot")
         .join(broadcast_if_bounded(per_symbol, M.MAX_BROADCAST_SYMBOLS), "symbol")
     )
 
@@ -211,6 +210,7 @@ def pretrade_impact(
         one,
         "candidate string, candidate_weight double, before array<double>, after array<double>, nearest string, "
         "correlation double",
+        placed=True,
     ).drop("slot")
     weights = [C.HEAT_WEIGHTS[k] for k in ("ar", "turb", "dr", "hhi", "corr")]
     if history is None:

@@ -70,6 +70,7 @@ def contributions(positions: DataFrame) -> DataFrame:
         one,
         "symbol string, weight double, corr_contribution double, factor_contribution double, "
         "risk_contribution double, dominant_factor string, dominant_beta double",
+        placed=True,
     )
 
 

@@ -10,6 +10,7 @@ from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import moments as MM
+from bookheat.session import spread
 
 
 def _louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
@@ -141,7 +142,7 @@ def minimum_spanning_tree(vectors: DataFrame, keys: list[str], block: int = MM.B
     block row, then per key. Pairs are never rows.
     """
     packed = (
-        MM._blocked(vectors, keys, block)
+        spread(MM._blocked(vectors, keys, block), *keys, "bi", "bj")
         .groupBy(*keys, "bi", "bj")
         .agg(F.array_sort(F.collect_list(F.struct("symbol", "own", "bi", "bj", "z"))).alias("items"))
     )
@@ -274,7 +275,12 @@ def hrp_weights(books: DataFrame, windowed: DataFrame) -> DataFrame:
         return list(zip(rec["symbol"], risk_parity(rec["c"] @ rec["c"].T).tolist()))
 
     return L.map_groups(
-        members(books, vectors, rolling=False), ["book_id"], ["symbol", "c"], one, "symbol string, weight double"
+        members(books, vectors, rolling=False),
+        ["book_id"],
+        ["symbol", "c"],
+        one,
+        "symbol string, weight double",
+        placed=True,
     )
 
 

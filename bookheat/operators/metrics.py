@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bookheat import constants as C
 from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
-from bookheat.session import broadcast_if_bounded
+from bookheat.session import broadcast_if_bounded, spread
 
 
 MAX_BROADCAST_SYMBOLS = 50_000
@@ -24,8 +24,8 @@ def members(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> Data
     """
     own = books.select("book_id", "symbol", "weight")
     if rolling:
-        return own.join(windowed, "symbol").repartition("book_id", "t")
-    return own.repartition("book_id").join(broadcast_if_bounded(windowed, MAX_BROADCAST_SYMBOLS), "symbol")
+        return spread(own.join(windowed, "symbol"), "book_id", "t")
+    return spread(own, "book_id").join(broadcast_if_bounded(windowed, MAX_BROADCAST_SYMBOLS), "symbol")
 
 
 def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
@@ -65,6 +65,7 @@ def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
         one,
         "absorption_ratio double, turbulence double, div_ratio double, avg_corr double, "
         "pair_a string, pair_b string, top_corr double, n int",
+        placed=True,
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bookheat import constants as C
 from bookheat.functions import arrays as A
 from bookheat.functions.linalg import map_packed
+from bookheat.session import spread
 
 BLOCK = 512
 
@@ -67,7 +68,7 @@ def pair_values(
     ``keep``: all pairs, only ``edges`` with |first column| >= threshold, or the ``top`` pair.
     """
     packed = (
-        _blocked(vectors, keys, block)
+        spread(_blocked(vectors, keys, block), *keys, "bi", "bj")
         .groupBy(*keys, "bi", "bj")
         .agg(F.array_sort(F.collect_list(F.struct("symbol", "own", "bi", "bj", *cols))).alias("items"))
     )

@@ -71,6 +71,17 @@ def staged(spark: SparkSession, source: str, tag: str, build) -> DataFrame:
     return _staged[key]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by key over all shuffle partitions.
+
+    The fixed count keeps adaptive execution from folding compute-heavy groups, which are small
+    in bytes, into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
