@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookheat.session import ship_package
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Job] = {}
@@ -18,7 +21,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Job], Job]:
     def add(job: Job) -> Job:
         if name in JOBS:
             raise ValueError(f"query {name} registered twice")
-        JOBS[name] = job
+
+        @wraps(job)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return job(spark, sf)
+
+        JOBS[name] = run
         if sql is not None:
             CHECKS[name] = sql
         return job

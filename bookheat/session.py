@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -46,6 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let local Python workers import this package whatever the working directory.
+
+    A cluster gets the package with ``--py-files`` or an installed wheel.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or not sc.master.startswith("local"):
+        return
+    root = Path(__file__).resolve().parent
+    target = f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/bookheat.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"bookheat/{f.relative_to(root)}")
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
