@@ -58,12 +58,12 @@ def with_ewma_centered(df: DataFrame, x: str, out: str, span: int, debias: bool
 
 
 def vector_sum(df: DataFrame, keys: list[str], vec: Column, name: str) -> DataFrame:
-    """Element-wise sum of equally long vectors per key: (keys, k, name).
+    """Element-wise sum of equally long vectors per key: (keys, _k, name).
 
     The outer form keeps the optimizer from copying the vector expression into a size filter.
     """
     return (
-        df.select(*keys, F.posexplode_outer(vec).alias("k", "_v"))
-        .groupBy(*keys, "k")
+        df.select(*keys, F.posexplode_outer(vec).alias("_k", "_v"))
+        .groupBy(*keys, "_k")
         .agg(F.sum("_v").alias(name))
     )

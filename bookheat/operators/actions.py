@@ -126,6 +126,100 @@ def component_history(parts: DataFrame, rows: int = C.HISTORY_ROWS) -> DataFrame
     )
 
 
+def _hhi(exposure: np.ndarray) -> np.ndarray:
+    """Concentration of the absolute exposures along the last axis; zero without any."""
+    e = np.abs(exposure)
+    total = e.sum(axis=-1)
+    return np.where(total > 0, (e**2).sum(axis=-1) / np.where(total > 0, total, 1.0) ** 2, 0.0)
+
+
+def what_if(names, x, betas, held, wanted, span: int) -> list[tuple]:
+    """Components of one book before and after each candidate, all candidates at once.
+
+    Rows with ``held`` are the book, rows with ``wanted`` the candidates. A candidate already held
+    changes weights only; a new one extends the matrices by one row, so means, volatilities and
+    the Mahalanobis distance are updated instead of computed again.
+    """
+    names = np.array(names, dtype=object)
+    own, ask = np.nonzero(~np.isnan(held))[0], np.nonzero(~np.isnan(wanted))[0]
+    n, m, t = len(own), len(ask), x.shape[1]
+    if n == 0 or m == 0:
+        return []
+    w, bring = held[own], wanted[ask]
+    same = names[ask][:, None] == names[own][None, :]
+    known = same.any(axis=1)
+    d = x - x.mean(axis=1, keepdims=True)
+    decay = (1 - 2.0 / (span + 1)) ** np.arange(t - 1, -1, -1)
+    z = (x - (x @ decay / decay.sum())[:, None]) * np.sqrt(decay)
+    size = np.linalg.norm(z, axis=1, keepdims=True)
+    z = np.divide(z, size, out=np.zeros_like(z), where=size > 0)
+    x0, d0, xa, da = x[own], d[own], x[ask], d[ask]
+
+    total = z[own].sum(axis=0)
+    off = float(total @ total - (z[own] ** 2).sum())
+    corr0 = off / (n * (n - 1)) if n > 1 else 0.0
+    corr = np.where(known, corr0, (off + 2 * z[ask] @ total) / (n * (n + 1)))
+
+    gram = d0 @ d0.T / (t - 1)
+    cross = d0 @ da.T / (t - 1)
+    own_var = (da**2).sum(axis=1) / (t - 1)
+    ar0 = L.absorption_ratio(x0)
+    ar = np.full(m, ar0)
+    new = np.nonzero(~known)[0]
+    if len(new) and n + 1 >= 3 and t >= 10:
+        big = np.empty((len(new), n + 1, n + 1))
+        big[:, :n, :n] = gram
+        big[:, :n, n] = big[:, n, :n] = cross[:, new].T
+        big[:, n, n] = own_var[new]
+        var = (np.trace(gram) + own_var[new]) * (t - 1) / t
+        top = np.linalg.eigvalsh(big)[:, -max(1, (n + 1) // 5) :].sum(axis=1)
+        ar[new] = np.where(var > 0, np.clip(top / np.where(var > 0, var, 1.0), 0, 1), 0.5)
+    elif len(new):
+        ar[new] = 0.5
+
+    turb0 = L.turbulence(x0)
+    turb = np.full(m, turb0)
+    if len(new) and t - 1 >= 30 and n + 1 >= 2:
+        h = x[:, :-1] - x[:, :-1].mean(axis=1, keepdims=True)
+        today = x[:, -1] - x[:, :-1].mean(axis=1)
+        base = h[own] @ h[own].T / (t - 2) + 1e-8 * np.eye(n)
+        c = h[own] @ h[ask[new]].T / (t - 2)
+        u = np.linalg.lstsq(base, np.column_stack([today[own], c]), rcond=None)[0]
+        rest = (h[ask[new]] ** 2).sum(axis=1) / (t - 2) + 1e-8 - (c * u[:, 1:]).sum(axis=0)
+        gap = today[ask[new]] - today[own] @ u[:, 1:]
+        start = float(today[own] @ u[:, 0])
+        turb[new] = np.maximum(start + gap**2 / np.maximum(rest, 1e-12), 0)
+
+    sd0, sda = np.sqrt(np.diag(gram)), np.sqrt(own_var)
+    old = np.where(known, same @ w, 0.0)
+    series = (w @ d0)[None, :] + (bring - old)[:, None] * da
+    gross = np.abs(w).sum() - np.abs(old) + np.abs(bring)
+    vols = np.abs(w) @ sd0 + (np.abs(bring) - np.abs(old)) * sda
+    safe = np.where(gross > 0, gross, 1.0)
+    vol = np.sqrt(np.maximum((series**2).sum(axis=1) / (t - 1) / safe**2, 1e-12))
+    neutral = (np.where(known, n, n + 1) < 2) | (t < 20) | (gross == 0)
+    dr = np.where(neutral, 1.0, np.maximum(vols / safe / vol, 1.0))
+    exposure = w @ betas[own]
+    hhi0, hhi = float(_hhi(exposure)), _hhi(exposure[None, :] + (bring - old)[:, None] * betas[ask])
+
+    norm0, norma = np.linalg.norm(d0, axis=1), np.linalg.norm(da, axis=1)
+    pair = (d0 @ da.T) / np.maximum(np.outer(norm0, norma), 1e-300)
+    pair = np.where(same.T, 0.0, pair)
+    near = np.argmax(np.where(same.T, -1.0, np.abs(pair)), axis=0)
+    before = [ar0, turb0, 1 / max(L.diversification_ratio(x0, w), 0.01), hhi0, corr0]
+    rows = []
+    for k in range(m):
+        after = [float(ar[k]), float(turb[k]), float(1 / max(dr[k], 0.01)), float(hhi[k]), float(corr[k])]
+        lone = n == 1 and known[k]
+        rows.append(
+            (
+                names[ask[k]], float(bring[k]), before, after,
+                None if lone else names[own[near[k]]], None if lone else float(pair[near[k], k]),
+            )
+        )
+    return rows
+
+
 def _at_most(values, limit):
     return F.filter(values, lambda v: v <= limit)
 
@@ -162,46 +256,8 @@ def pretrade_impact(
         .join(broadcast_if_bounded(per_symbol, M.MAX_BROADCAST_SYMBOLS), "symbol")
     )
 
-    def five(x, w, b):
-        n = len(w)
-        avg = 0.0
-        if n >= 2:
-            c = L.ewma_correlation(x, span)
-            avg = float((c.sum() - n) / (n * (n - 1)))
-        e = np.abs(w @ b)
-        hhi = float(((e / e.sum()) ** 2).sum()) if n and e.sum() > 0 else 0.0
-        dr = L.diversification_ratio(x, w) if n else 1.0
-        return [
-            L.absorption_ratio(x) if n else 0.5,
-            L.turbulence(x) if n else 0.0,
-            1.0 / max(dr, 0.01),
-            hhi,
-            avg,
-        ]
-
     def one(rec: dict) -> list[tuple]:
-        names, x, b = np.array(rec["symbol"], dtype=object), rec["x"], rec["betas"]
-        own = np.nonzero(~np.isnan(rec["held"]))[0]
-        if len(own) == 0:
-            return []
-        w = rec["held"][own]
-        before = five(x[own], w, b[own])
-        d = x - x.mean(axis=1, keepdims=True)
-        norm = np.linalg.norm(d, axis=1, keepdims=True)
-        unit = d / np.where(norm > 0, norm, 1.0)
-        rows = []
-        for k in np.nonzero(~np.isnan(rec["wanted"]))[0]:
-            others = own[names[own] != names[k]]
-            grown = np.append(others, k)
-            weights = np.append(rec["held"][others], rec["wanted"][k])
-            near, corr = None, None
-            if len(others):
-                c = unit[others] @ unit[k]
-                j = int(np.argmax(np.abs(c)))
-                near, corr = names[others[j]], float(c[j])
-            after = five(x[grown], weights, b[grown])
-            rows.append((names[k], float(rec["wanted"][k]), before, after, near, corr))
-        return rows
+        return what_if(rec["symbol"], rec["x"], rec["betas"], rec["held"], rec["wanted"], span)
 
     made = L.map_groups(
         placed,

@@ -449,12 +449,13 @@ def universe_communities(spark, sf):
 
 @query("pretrade_impact")
 def pretrade_impact(spark, sf):
-    """Pending orders as candidate trades of five percent."""
+    """Pending orders as candidate trades of five percent for the books without them."""
     pending = T.holdings(spark, sf).filter("status = 'P'").select("book_id", "symbol").distinct()
+    settled = T.settled_books(spark, sf)
     windowed = HQ.latest_windows(spark, sf, 60)
     vectors = ATT.symbol_vectors(windowed, HQ.latest_exposures(spark, sf))
     out = ACT.pretrade_impact(
-        T.books(spark, sf),
+        settled,
         pending.withColumn("weight", F.lit(0.05)),
         vectors,
         windowed,

@@ -146,6 +146,11 @@ def books_by_status(spark: SparkSession, sf: str, status: str) -> DataFrame:
     return _weights(holdings(spark, sf).filter(F.col("status") == status))
 
 
+def settled_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Books from all orders that are not pending."""
+    return _weights(holdings(spark, sf).filter(F.col("status") != "P"))
+
+
 def vix(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly volatility proxy of order values: (date, vix)."""
     return (

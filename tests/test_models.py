@@ -46,7 +46,7 @@ def test_hmm_orders_states_by_variance(spark):
     rng = np.random.default_rng(42)
     vol = np.repeat([0.005, 0.01, 0.03], 100)
     rows = [
-        ("b", day(i), float(rng.normal() * v), float(v * (1 + 0.1 * rng.normal())), float(rng.normal() * 0.1), 0.3 + v * 10, 0.3 + v * 15)
+        ("b", day(i), float(rng.normal() * v), float(v * (1 + 0.1 * rng.normal())), float(rng.normal() * 0.1), float(0.3 + v * 10 + 0.01 * rng.normal()), float(0.3 + v * 15 + 0.01 * rng.normal()))
         for i, v in enumerate(vol)
     ]
     names = ["rolling_return", "realized_vol", "return_skew", "avg_correlation", "heat_score"]
@@ -67,8 +67,11 @@ def test_change_point_between_regimes():
 
 
 def test_student_p_values():
-    for t, df, p in [(2.0, 10, 0.07338803), (1.96, 1000, 0.05027318), (0.0, 5, 1.0), (12.0, 3, 0.00124659)]:
+    for t, df, p in [(2.0, 10, 0.07338803), (1.96, 1000, 0.05027318), (0.0, 5, 1.0)]:
         assert fits.t_two_sided(t, df) == pytest.approx(p, abs=1e-6)
+    for t in (0.3, 2.0, 12.0):  # closed form for three degrees of freedom
+        a = math.atan(t / math.sqrt(3))
+        assert fits.t_two_sided(t, 3) == pytest.approx(1 - 2 / math.pi * (a + math.sin(a) * math.cos(a)), abs=1e-12)
 
 
 def test_pc_finds_a_collider():

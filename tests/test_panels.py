@@ -31,7 +31,7 @@ def x():
 
 
 def test_null_price_voids_two_days(spark):
-    rows = [(day(i), s, p) for s, ps in {"A": [1.0, 2, 4, 8, 16], "B": [1.0, 1, None, 1, 1]}.items() for i, p in enumerate(ps)]
+    rows = [(day(i), s, p) for s, ps in {"A": [1.0, 2.0, 4.0, 8.0, 16.0], "B": [1.0, 1.0, None, 1.0, 1.0]}.items() for i, p in enumerate(ps)]
     out = P.log_returns(spark.createDataFrame(rows, "date date, symbol string, close double")).collect()
     assert sorted({r.date for r in out}) == [day(1), day(4)]
     filled = P.log_returns(spark.createDataFrame(rows, "date date, symbol string, close double"), fill="ffill").collect()
@@ -100,3 +100,36 @@ def test_book_rules(spark):
     cand = spark.createDataFrame(rows, "book_id int, symbol string, weight double")
     out = {(r.book_id, r.symbol) for r in B.apply_book_updates(cur, cand).collect()}
     assert out == {(1, "a"), (1, "b"), (3, "z"), (9, "z")}
+
+
+def test_what_if_equals_scoring_the_grown_book(x):
+    from bookheat.functions import linalg as L
+    from bookheat.operators.actions import what_if
+
+    rng = np.random.default_rng(1)
+    x = x[:, :60]
+    betas = rng.normal(size=(23, 9))
+    names = [f"S{i:03d}" for i in range(23)] + ["S002"]
+    xs, bs = np.vstack([x, x[2]]), np.vstack([betas, betas[2]])
+    held = np.r_[np.full(12, 0.08), np.full(12, np.nan)]
+    wanted = np.r_[np.full(12, np.nan), np.full(12, 0.05)]
+
+    def five(rows, w):
+        c = L.ewma_correlation(x[rows], 60)
+        n = len(rows)
+        e = np.abs(w @ betas[rows])
+        return [
+            L.absorption_ratio(x[rows]), L.turbulence(x[rows]), 1 / L.diversification_ratio(x[rows], w),
+            ((e / e.sum()) ** 2).sum(), (c.sum() - n) / (n * (n - 1)),
+        ]
+
+    got = what_if(names, xs, bs, held, wanted, 60)
+    assert len(got) == 12
+    for name, _, before, after, near, corr in got:
+        assert before == pytest.approx(five(list(range(12)), np.full(12, 0.08)))
+        k = int(name[1:])
+        rows = [i for i in range(12) if i != k] + [k]
+        assert after == pytest.approx(five(rows, np.r_[np.full(len(rows) - 1, 0.08), 0.05]))
+        others = [i for i in range(12) if i != k]
+        cs = {f"S{i:03d}": np.corrcoef(x[i], x[k])[0, 1] for i in others}
+        assert near == max(cs, key=lambda s: abs(cs[s])) and corr == pytest.approx(cs[near])
