@@ -291,7 +291,7 @@ def pretrade_impact(
     verdict, reason = R.pretrade_verdict(F.col("heat_after"), F.col("heat_after") - F.col("heat_before"))
     near = communities.select(F.col("symbol").alias("nearest"), F.col("cluster_id").alias("joins_cluster"))
     return (
-        made.join(F.broadcast(near), "nearest", "left")
+        made.join(near, "nearest", "left")
         .withColumn("heat_delta", F.col("heat_after") - F.col("heat_before"))
         .withColumn("increases_concentration", F.coalesce(F.col("correlation") > 0.5, F.lit(False)))
         .withColumn("verdict", verdict)

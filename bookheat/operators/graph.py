@@ -181,33 +181,40 @@ def minimum_spanning_tree(vectors: DataFrame, keys: list[str], block: int = MM.B
 def migrations(snapshots: DataFrame, lookback: int = 20) -> DataFrame:
     """Symbols whose cluster peers in the newest snapshot overlap less than half with an earlier one.
 
-    ``snapshots``: (book_id, snapshot, symbol, cluster_id), ``snapshot`` an increasing ordinal.
-    The most recent such comparison is kept per symbol.
+    ``snapshots``: (book_id, snapshot, symbol, cluster_id), ``snapshot`` an increasing ordinal. The
+    most recent such comparison is kept per symbol. Peer sets are never built: their overlap follows
+    from cluster sizes and the number of symbols two clusters share.
     """
-    newest = F.max("snapshot").over(Window.partitionBy("book_id"))
-    recent = snapshots.withColumn("newest", newest).filter(F.col("snapshot") >= F.col("newest") - lookback)
-    group = Window.partitionBy("book_id", "snapshot", "cluster_id")
-    peers = recent.withColumn("peers", F.array_sort(F.collect_set("symbol").over(group))).withColumn(
-        "peers", F.array_remove("peers", F.col("symbol"))
+    newest = snapshots.groupBy("book_id").agg(F.max("snapshot").alias("newest"))
+    recent = snapshots.join(newest, "book_id").filter(F.col("snapshot") >= F.col("newest") - lookback)
+    now = recent.filter("snapshot = newest").select("book_id", "symbol", F.col("cluster_id").alias("to_cluster"))
+    then = recent.filter("snapshot < newest").select(
+        "book_id", "symbol", F.col("snapshot").alias("compared_to"), F.col("cluster_id").alias("from_cluster")
     )
-    now = peers.filter("snapshot = newest").select("book_id", "symbol", F.col("peers").alias("to_peers"))
-    then = peers.filter("snapshot < newest").select(
-        "book_id", "symbol", F.col("snapshot").alias("compared_to"), F.col("peers").alias("from_peers")
+    to_size = now.groupBy("book_id", "to_cluster").agg(F.count("*").alias("na"))
+    from_size = then.groupBy("book_id", "compared_to", "from_cluster").agg(F.count("*").alias("nb"))
+    both = now.join(then, ["book_id", "symbol"])
+    cell = ["book_id", "compared_to", "to_cluster", "from_cluster"]
+    a, b, ab = F.col("na"), F.col("nb"), F.col("ab")
+    moved = (
+        both.groupBy(*cell)
+        .agg(F.count("*").alias("ab"))
+        .join(to_size, ["book_id", "to_cluster"])
+        .join(from_size, ["book_id", "compared_to", "from_cluster"])
+        .filter((a > 1) & (b > 1))
+        .withColumn("overlap", (ab - 1) / (a + b - ab - 1))
+        .filter("overlap < 0.5")
+        .select(*cell, "overlap")
     )
-    overlap = F.size(F.array_intersect("to_peers", "from_peers")) / F.size(F.array_union("to_peers", "from_peers"))
-    both = now.join(then, ["book_id", "symbol"]).filter(
-        (F.size("to_peers") > 0) & (F.size("from_peers") > 0) & (F.col("to_peers") != F.col("from_peers"))
-    )
-    moved = both.withColumn("overlap", overlap).filter("overlap < 0.5")
     w = Window.partitionBy("book_id", "symbol").orderBy(F.col("compared_to").desc())
-    return moved.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return both.join(moved, cell).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def migration_risk(snapshots: DataFrame, moved: DataFrame) -> DataFrame:
     """Share of the newest snapshot's symbols that migrated; zero with fewer than two snapshots."""
-    newest = F.max("snapshot").over(Window.partitionBy("book_id"))
+    newest = snapshots.groupBy("book_id").agg(F.max("snapshot").alias("newest"))
     size = (
-        snapshots.withColumn("newest", newest)
+        snapshots.join(newest, "book_id")
         .groupBy("book_id")
         .agg(F.count_if(F.col("snapshot") == F.col("newest")).alias("n"))
     )

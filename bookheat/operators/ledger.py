@@ -67,19 +67,21 @@ def corroborate(ledger: DataFrame) -> DataFrame:
         F.count_if(match).alias("corroborated"),
         F.count_if(seen & ~F.coalesce(match, F.lit(False))).alias("mismatched"),
         F.count_if(~seen).alias("missing"),
-        F.array_sort(
-            F.collect_list(F.when(seen & ~F.coalesce(match, F.lit(False)), F.struct("message_id", "et_date")))
-        ).alias("mismatches"),
     )
 
 
+def clock_mismatches(ledger: DataFrame) -> DataFrame:
+    """The records whose day disagrees with the server clock."""
+    return ledger.withColumn("server_date", R.market_day(F.col("server_ts"))).filter("server_date <> et_date")
+
+
 def _reasons(*pairs: tuple[Column, Column]) -> Column:
     return F.concat_ws("; ", *[F.when(cond, msg) for cond, msg in pairs])
 
 
 def streak_verdict(ledger: DataFrame, today: Column, required: int = C.REQUIRED_STREAK_DAYS) -> DataFrame:
     """Is the streak long enough, live and free of clock mismatches? With reasons and evidence."""
-    checks = corroborate(ledger.filter(F.col("tier") == C.SUMMARY_TIER)).drop("tier", "mismatches")
+    checks = corroborate(ledger.filter(F.col("tier") == C.SUMMARY_TIER)).drop("tier")
     channels = ledger.select("channel").distinct()
     s = channels.join(daily_streak(ledger, today), "channel", "left").join(checks, "channel", "left")
     s = s.withColumn("streak", F.coalesce("streak", F.lit(0))).withColumn("live", F.coalesce("live", F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookheat.functions import rules as R
@@ -68,12 +68,13 @@ def reply_report(classified: DataFrame, verified: DataFrame, feedback: DataFrame
         F.count_if(F.col("kind") == "near_miss").alias("near_misses"),
         F.count_if(F.col("kind") == "sender_mismatch").alias("sender_mismatches"),
     )
-    w = Window.partitionBy("topic").orderBy(F.col("ts").desc(), F.col("session_id").desc(), F.col("idx").desc())
     newest = (
-        verified.withColumn("_rn", F.row_number().over(w))
-        .withColumn("verified", F.count("*").over(Window.partitionBy("topic")))
-        .filter("_rn = 1")
-        .select("topic", "verified", "vote", F.col("day").alias("vote_day"))
+        verified.groupBy("topic")
+        .agg(
+            F.count("*").alias("verified"),
+            F.max_by(F.struct("vote", "day"), F.struct("ts", "session_id", "idx")).alias("m"),
+        )
+        .select("topic", "verified", "m.vote", F.col("m.day").alias("vote_day"))
     )
     last = feedback.groupBy("topic").agg(F.max("day").alias("last_day"))
     return (

@@ -20,6 +20,13 @@ def moving_average(value: str, keys: list[str], order: str, rows: int) -> Column
     return F.when(F.count(value).over(w) == rows, F.avg(value).over(w))
 
 
+def rolling_skewness(value: str, keys: list[str], order: str, rows: int) -> Column:
+    """Bias-corrected skewness of the last ``rows`` values, null until they exist."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)
+    fix = (rows * (rows - 1)) ** 0.5 / (rows - 2)
+    return F.when(F.count(value).over(w) == rows, F.skewness(value).over(w) * fix)
+
+
 def forward_sum(value: str, keys: list[str], order: str, horizon: int) -> Column:
     """Sum of the next ``horizon`` values, null when fewer remain."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, horizon)
@@ -362,19 +369,22 @@ def regime_features(returns: DataFrame, heat: DataFrame, window: int = 20) -> Da
     Days before the heat history starts take its first values; null rows drop out.
     """
     w = Window.orderBy("date").rowsBetween(-(window - 1), 0)
-    n = float(window)
-    fix = (n * (n - 1)) ** 0.5 / (n - 2)
     full = F.count("ret").over(w) == window
     roll = returns.select(
         "date",
         F.when(full, F.avg("ret").over(w)).alias("rolling_return"),
         F.when(full, F.stddev_samp("ret").over(w)).alias("realized_vol"),
-        F.when(full, F.skewness("ret").over(w) * fix).alias("return_skew"),
+        rolling_skewness("ret", [], "date", window).alias("return_skew"),
     ).filter("rolling_return is not null")
     firsts = heat.groupBy("book_id").agg(
         F.min_by(F.struct("avg_corr", "score"), "date").alias("f"), F.min("date").alias("since")
     )
-    early = roll.join(F.broadcast(firsts), F.col("date") < F.col("since")).select(
+    # the days before a book's history are made per book and met by an equi-join
+    begin = roll.agg(F.min("date")).scalar()
+    gap = firsts.filter(F.col("since") > begin).select(
+        "book_id", "f", F.explode(F.sequence(begin, F.date_sub("since", 1))).alias("date")
+    )
+    early = gap.join(roll, "date").select(
         "book_id", "date", "rolling_return", "realized_vol", "return_skew",
         F.col("f.avg_corr").alias("avg_correlation"), F.col("f.score").alias("heat_score"),
     )

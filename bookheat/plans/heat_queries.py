@@ -16,7 +16,7 @@ from bookheat.plans.oracle import define, with_ctes
 from bookheat.plans.panel_queries import text
 from bookheat.plans.registry import query
 from bookheat.session import rounded as r
-from bookheat.session import staged
+from bookheat.session import spread, staged
 from bookheat.sources import tables as T
 
 
@@ -30,7 +30,7 @@ def replay_windows(spark, sf):
         spark,
         sf,
         "replay-windows",
-        lambda: P.windows(T.returns(spark, sf), "simple", C.WINDOW_ROWS, include_current=False),
+        lambda: spread(P.windows(T.returns(spark, sf), "simple", C.WINDOW_ROWS, include_current=False), "t", "symbol"),
     )
 
 

@@ -93,6 +93,14 @@ def corroboration(spark, sf):
     return L.corroborate(E.ledger(spark, sf)).select("channel", "tier", "checked", "corroborated", "mismatched", "missing")
 
 
+@query(
+    "clock_mismatches",
+    with_ctes("ledger", "SELECT channel, tier, message_id, CAST(server_day AS VARCHAR) AS server_date FROM ledger WHERE server_day <> et_date"),
+)
+def clock_mismatches(spark, sf):
+    return L.clock_mismatches(E.ledger(spark, sf)).select("channel", "tier", "message_id", text("server_date"))
+
+
 _STREAK_SQL = """, v AS (SELECT c.channel, coalesce(s.streak, 0) AS streak, coalesce(s.live, false) AS live, s.first_date, s.last_date, s.message_ids,
      coalesce(o.corroborated, 0) AS co, coalesce(o.missing, 0) AS mi, coalesce(o.mismatched, 0) AS mm
      FROM channels c LEFT JOIN streak s ON s.channel = c.channel LEFT JOIN (SELECT * FROM corro WHERE tier = 'daily_summary') o ON o.channel = c.channel),

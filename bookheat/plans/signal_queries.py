@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
@@ -346,6 +347,31 @@ def regime_features(spark, sf):
     )
 
 
+@query(
+    "window_functions",
+    with_ctes(
+        "rets",
+        """SELECT CAST(t AS BIGINT) AS t, symbol, round(ma, 6) + 0.0 AS ma_50, round(sk, 4) + 0.0 AS skew_20, round(f5, 6) + 0.0 AS fwd_5,
+       round(lv, 6) + 0.0 AS growth, round(lv / max(lv) OVER (PARTITION BY symbol ORDER BY t) - 1, 6) + 0.0 AS drawdown, m1 AS month_start
+FROM (SELECT *, CASE WHEN count(*) OVER a = 50 THEN avg(close) OVER a END AS ma, CASE WHEN count(*) OVER b = 20 THEN skewness(simple) OVER b END AS sk,
+             CASE WHEN count(*) OVER c = 5 THEN sum(simple) OVER c END AS f5, exp(sum(ln(1 + simple)) OVER d) AS lv,
+             row_number() OVER (PARTITION BY symbol, year(date), month(date) ORDER BY date) = 1 AS m1
+      FROM rets WINDOW a AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+           c AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), d AS (PARTITION BY symbol ORDER BY t))""",
+    ),
+)
+def window_functions(spark, sf):
+    k = ["symbol"]
+    month = Window.partitionBy("symbol", F.year("date"), F.month("date")).orderBy("date")
+    df = T.returns(spark, sf).withColumn("growth", S.growth("simple", k, "t"))
+    return df.select(
+        F.col("t").cast("bigint").alias("t"), "symbol", r(S.moving_average("close", k, "t", 50)).alias("ma_50"),
+        r(S.rolling_skewness("simple", k, "t", 20), 4).alias("skew_20"), r(S.forward_sum("simple", k, "t", 5)).alias("fwd_5"),
+        r("growth").alias("growth"), r(S.drawdown("growth", k, "t")).alias("drawdown"),
+        (F.row_number().over(month) == 1).alias("month_start"),
+    )
+
+
 # -- scorecard -----------------------------------------------------------------
 def _cards(spark, sf):
     closes = T.closes(spark, sf)

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from bookheat import constants as C
 from bookheat.functions import rules as R
+from bookheat.functions.windows import bucketed_count_if, bucketed_lag
 from bookheat.operators import books as B
 from bookheat.operators import heat as H
 from bookheat.operators import panel as P
@@ -163,24 +164,23 @@ def alert_batch(readings: DataFrame, cooldowns: dict[str, int] | None = None) ->
     and no group is collected.
     """
     limits = cooldowns or C.COOLDOWN_MINUTES
-    w = Window.partitionBy("book_id").orderBy("ts", "seq")
-    df = readings.withColumn("pl", F.lag("level").over(w)).withColumn("pr", F.lag("regime").over(w))
+    order, day = ["ts", "seq"], F.to_date("ts")
+    df = bucketed_lag(readings, ["book_id"], order, day, {"pl": "level", "pr": "regime"})
     fires = {
         "emergency": F.col("level") == "emergency",
         "level_change": F.col("level") != F.col("pl"),
         "regime_shift": (F.col("regime") != F.col("pr")) & (F.col("regime") != "unknown"),
     }
     wanted = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fires.items()]))
-    cand = df.select("book_id", "ts", "seq", F.explode(wanted).alias("tier"))
-    minutes = R.lookup(F.col("tier"), {k: float(v) for k, v in limits.items()}, 60.0)
-    t = Window.partitionBy("book_id", "tier").orderBy("ts", "seq")
-    now = F.unix_micros("ts") / 6e7
     cand = (
-        cand.withColumn("now", now)
-        .withColumn("limit", minutes)
-        .withColumn("pause", F.col("now") - F.lag("now").over(t) >= F.col("limit"))
-        .withColumn("run", F.count_if(F.coalesce("pause", F.lit(False))).over(t))
+        df.select("book_id", "ts", "seq", F.explode(wanted).alias("tier"))
+        .withColumn("now", F.unix_micros("ts") / 6e7)
+        .withColumn("limit", R.lookup(F.col("tier"), {k: float(v) for k, v in limits.items()}, 60.0))
     )
+    group = ["book_id", "tier"]
+    cand = bucketed_lag(cand, group, order, day, {"before": "now"})
+    pause = F.coalesce(F.col("now") - F.col("before") >= F.col("limit"), F.lit(False))
+    cand = bucketed_count_if(cand, group, order, day, pause, "run")
     keys = ["book_id", "tier", "run"]
     placed = spread(cand, *keys).sortWithinPartitions(*keys, "ts", "seq")
 
@@ -200,21 +200,18 @@ def alert_batch(readings: DataFrame, cooldowns: dict[str, int] | None = None) ->
 
 def should_alert(readings: DataFrame) -> DataFrame:
     """The plain rule: a first reading that is not cool, or any change of level."""
-    w = Window.partitionBy("book_id").orderBy("ts", "seq")
-    prev = F.lag("level").over(w)
-    return readings.withColumn(
-        "alert", F.when(prev.isNull(), F.col("level") != "cool").otherwise(F.col("level") != prev)
-    )
+    df = bucketed_lag(readings, ["book_id"], ["ts", "seq"], F.to_date("ts"), {"prev": "level"})
+    changed = F.when(F.col("prev").isNull(), F.col("level") != "cool").otherwise(F.col("level") != F.col("prev"))
+    return df.withColumn("alert", changed)
 
 
 # -- stateful tables ------------------------------------------------------------
-def _versions(spark: SparkSession, path: str, before: int) -> int | None:
-    """The newest committed version below ``before``."""
-    if before <= 0:
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Rows of the batches before this one (they are complete: batches run one after the other)."""
+    if batch_id == 0:
         return None
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={before - 1}/_SUCCESS")
-    fs = jvm.getFileSystem(spark._jsc.hadoopConfiguration())
-    return before - 1 if fs.exists(jvm) else _versions(spark, path, before - 1)
+    df = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return df.filter(F.col("batch") < batch_id)
 
 
 def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.05) -> str:
@@ -225,8 +222,11 @@ def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.0
 
     def apply(batch: DataFrame, batch_id: int, path: str) -> None:
         spark = batch.sparkSession
-        v = _versions(spark, path, batch_id)
-        current = start if v is None else spark.read.parquet(f"{path}/batch={v}")
+        old = _earlier(spark, path, batch_id)
+        current = start
+        if old is not None:
+            newest = old.agg(F.max("batch")).scalar()
+            current = old.filter(F.col("batch") == newest).drop("batch")
         fresh = B.apply_book_updates(current, batch, tolerance)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -244,10 +244,9 @@ def heat_refresh(closes: DataFrame, books: DataFrame, factors: DataFrame, window
         spark = batch.sparkSession
         store = f"{path}-closes"
         batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        known = [f"{store}/batch={i}" for i in range(batch_id + 1)]
-        returns = P.log_returns(spark.read.parquet(*known))
-        done = [f"{path}/batch={i}" for i in range(batch_id) if _versions(spark, path, i + 1) == i]
-        history = spark.read.parquet(*done) if done else None
+        known = spark.read.option("basePath", store).parquet(f"{store}/batch=*").filter(F.col("batch") <= batch_id)
+        returns = P.log_returns(known.drop("batch"))
+        history = _earlier(spark, path, batch_id)
         windowed = P.windows(returns, "simple", window, include_current=False)
         if history is not None:
             windowed = windowed.filter(F.col("date") > history.agg(F.max("date")).scalar())
