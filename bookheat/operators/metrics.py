@@ -75,19 +75,30 @@ def diversification_ratio(books: DataFrame, windowed: DataFrame, rolling: bool =
     vectors = A.with_centered(windowed, "x", "c").select(
         "t", "symbol", "c", F.size("x").alias("rows"), F.sqrt(A.dot(F.col("c"), F.col("c"))).alias("sd")
     )
-    c = members(books, vectors, rolling)
-    own = c.groupBy(*keys).agg(
-        F.count("*").alias("n"),
+    held = members(books, vectors, rolling)
+    once, size = F.col("_k") == 0, F.abs("weight")
+    per_step = (
+        held.select(*keys, "weight", "rows", "sd", F.posexplode_outer("c").alias("_k", "_v"))
+        .groupBy(*keys, "_k")
+        .agg(
+            F.sum(F.col("weight") * F.col("_v")).alias("p"),
+            F.count("*").alias("n"),
+            F.max("rows").alias("rows"),
+            F.sum(F.when(once, size)).alias("gross"),
+            F.sum(F.when(once, size * F.col("sd"))).alias("vols"),
+        )
+    )
+    own = per_step.groupBy(*keys).agg(
+        F.sum(F.col("p") * F.col("p")).alias("var"),
+        F.max("n").alias("n"),
         F.max("rows").alias("rows"),
-        F.sum(F.abs("weight")).alias("gross"),
-        F.sum(F.abs("weight") * F.col("sd")).alias("vols"),
+        F.max("gross").alias("gross"),
+        F.max("vols").alias("vols"),
     )
-    series = A.vector_sum(c, keys, F.transform("c", lambda v: v * F.col("weight")), "p")
-    var = series.groupBy(*keys).agg(F.sum(F.col("p") * F.col("p")).alias("var"))
     gross = F.col("gross")
     ratio = (F.col("vols") / gross) / F.sqrt(F.greatest(F.col("var") / (gross * gross), F.lit(1e-12)))
     neutral = (F.col("n") < 2) | (F.col("rows") < 20) | (gross == 0)
-    return own.join(var, keys).select(
+    return own.select(
         *keys, F.when(neutral, 1.0).otherwise(F.greatest(ratio, F.lit(1.0))).alias("div_ratio")
     )
 

@@ -106,16 +106,20 @@ def pair_values(
 def avg_pairwise(members: DataFrame, keys: list[str]) -> DataFrame:
     """Mean off-diagonal correlation from unit vectors ``z``: (|Σz|² - Σ|z|²)/(n(n-1)).
 
-    Linear in the number of symbols: no pair is formed. Zero for fewer than two symbols.
+    One pass, linear in the number of symbols: no pair is formed. Zero for fewer than two symbols.
+    The outer explode keeps the optimizer from copying the vector expression into a size filter.
     """
-    size = members.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(A.dot(F.col("z"), F.col("z"))).alias("diag")
+    v = F.col("_v")
+    per_step = (
+        members.select(*keys, F.posexplode_outer("z").alias("_k", "_v"))
+        .groupBy(*keys, "_k")
+        .agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_q"), F.count("*").alias("_n"))
     )
-    sums = A.vector_sum(members, keys, F.col("z"), "s").groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("sq"))
-    value = (F.col("sq") - F.col("diag")) / (F.col("n") * (F.col("n") - 1))
-    return size.join(sums, keys).select(
-        *keys, F.col("n"), F.when(F.col("n") < 2, 0.0).otherwise(value).alias("avg_corr")
+    tot = per_step.groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_sq"), F.sum("_q").alias("_diag")
     )
+    value = (F.col("_sq") - F.col("_diag")) / (F.col("n") * (F.col("n") - 1))
+    return tot.select(*keys, "n", F.when(F.col("n") < 2, 0.0).otherwise(value).alias("avg_corr"))
 
 
 def market_beta(windowed: DataFrame, market: str, keys: list[str]) -> DataFrame:

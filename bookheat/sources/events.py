@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookheat.functions import rules as R
+from bookheat.session import staged
 from bookheat.sources.tables import table
 
 TIERS = {
@@ -17,7 +18,11 @@ TIERS = {
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Delivery records: one per event that is not a click, channel = user."""
+    """Delivery records: one per event that is not a click, channel = user. Staged."""
+    return staged(spark, sf, "ledger", lambda: _ledger(spark, sf))
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     eid = F.col("event_id")
     utc = F.col("ts").cast("timestamp")
     symbol = lambda k: F.concat(F.lit("Brand#"), ((eid + k) % 9 + 1).cast("string"))

@@ -22,7 +22,7 @@ from bookheat.operators import books as B
 from bookheat.operators import heat as H
 from bookheat.operators import panel as P
 from bookheat.operators.heat import blend
-from bookheat.session import scratch_path, spread
+from bookheat.session import scratch_path, spread, stage
 
 # the runner that prepares a stateful processor does not see files shipped to the workers, so the
 # processor travels by value
@@ -177,6 +177,8 @@ def alert_batch(readings: DataFrame, cooldowns: dict[str, int] | None = None) ->
         .withColumn("now", F.unix_micros("ts") / 6e7)
         .withColumn("limit", R.lookup(F.col("tier"), {k: float(v) for k, v in limits.items()}, 60.0))
     )
+    # written once: the steps below read the candidates several times, the raw readings never again
+    cand = stage(cand, "alert-candidates")
     group = ["book_id", "tier"]
     cand = bucketed_lag(cand, group, order, day, {"before": "now"})
     pause = F.coalesce(F.col("now") - F.col("before") >= F.col("limit"), F.lit(False))
