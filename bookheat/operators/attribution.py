@@ -11,7 +11,6 @@ from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import metrics as M
-from bookheat.operators import moments as MM
 
 
 def symbol_vectors(windowed: DataFrame, exposures: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:

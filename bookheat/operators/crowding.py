@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
-from bookheat.functions import arrays as A
 from bookheat.functions import rules as R
 from bookheat.operators import metrics as M
 from bookheat.operators import moments as MM

@@ -12,11 +12,8 @@ from bookheat.operators import attribution as ATT
 from bookheat.operators import crowding as CR
 from bookheat.operators import factors as X
 from bookheat.operators import graph as G
-from bookheat.operators import moments as MM
 from bookheat.plans import heat_queries as HQ
-from bookheat.plans import heat_sql
 from bookheat.plans.oracle import define, with_ctes
-from bookheat.plans.panel_queries import text
 from bookheat.plans.registry import query
 from bookheat.session import rounded as r
 from bookheat.session import staged

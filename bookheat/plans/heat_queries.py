@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
-from bookheat.functions import rules as R
 from bookheat.operators import factors as X
 from bookheat.operators import heat as H
 from bookheat.operators import metrics as M

@@ -88,13 +88,13 @@ def explode_sessions(spark, sf):
         .agg(turns.alias("messages"))
         .select(
             F.col("conv_id").cast("string").alias("session_id"),
-            F.when(F.col("conv_id") % 3 != 0, "telegram").otherwise("mail").alias("platform"),
+            F.when(F.col("conv_id") % 3 != 0, "chat").otherwise("mail").alias("platform"),
             day.cast("timestamp").alias("session_start"),
             "messages",
         )
         .write.json(path)
     )
-    m = IO.explode_sessions(spark, path, "telegram", F.to_date(F.lit("2024-01-10")))
+    m = IO.explode_sessions(spark, path, "chat", F.to_date(F.lit("2024-01-10")))
     return m.select("session_id", F.col("idx").cast("bigint").alias("idx"), "role", F.md5("content").alias("digest"))
 
 
