@@ -327,14 +327,14 @@ def recommendations_books(spark, sf):
     "recommendation_summary",
     with_ctes(
         ["recs", "bookheat"],
-        """SELECT h.book_id, round(score, 6) + 0.0 AS current_heat, coalesce(n, 0) AS n_actions, round(coalesce(x, 0), 1) + 0.0 AS total_impact,
+        """SELECT h.book_id, round(score, 10) + 0.0 AS current_heat, coalesce(n, 0) AS n_actions, round(coalesce(x, 0), 1) + 0.0 AS total_impact,
        round(greatest(score - coalesce(x, 0) / 10000, score * 0.6), 4) + 0.0 AS heat_after
 FROM bookheat h LEFT JOIN (SELECT book_id, count(*) AS n, sum(impact) AS x FROM recs GROUP BY 1) q ON q.book_id = h.book_id""",
     ),
 )
 def recommendation_summary(spark, sf):
     return ACT.recommendation_summary(recs(spark, sf), heat_of_books(spark, sf)).select(
-        "book_id", r("current_heat").alias("current_heat"), "n_actions", r("total_impact", 1).alias("total_impact"),
+        "book_id", r("current_heat", 10).alias("current_heat"), "n_actions", r("total_impact", 1).alias("total_impact"),
         r("heat_after", 4).alias("heat_after"),
     )
 

@@ -426,7 +426,7 @@ def heat_components_books(spark, sf):
     "rolling_heat",
     with_ctes(
         "heat",
-        f"""SELECT book_id, CAST(date AS VARCHAR) AS date, round(score, 6) + 0.0 AS score, level,
+        f"""SELECT book_id, CAST(date AS VARCHAR) AS date, round(score, 10) + 0.0 AS score, level,
        round(absorption_ratio, 5) + 0.0 AS absorption_ratio, round(turbulence, 4) + 0.0 AS turbulence,
        round(turbulence_pct, 6) + 0.0 AS turbulence_pct, round(div_ratio, 6) + 0.0 AS div_ratio,
        round(div_ratio_pct, 6) + 0.0 AS div_ratio_pct, round(factor_hhi, 6) + 0.0 AS factor_hhi,
@@ -437,7 +437,7 @@ def heat_components_books(spark, sf):
 )
 def rolling_heat(spark, sf):
     h = heat(spark, sf)
-    digits = {"absorption_ratio": 5, "turbulence": 4}
+    digits = {"absorption_ratio": 5, "turbulence": 4, "score": 10}
     nums = (
         "score absorption_ratio turbulence turbulence_pct div_ratio div_ratio_pct factor_hhi factor_hhi_pct "
         "avg_corr avg_corr_pct ar_pct"

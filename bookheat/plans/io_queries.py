@@ -27,7 +27,7 @@ from bookheat.sources import tables as T
     "heat_history",
     with_ctes(
         "heat",
-        """SELECT CAST(date AS VARCHAR) AS date, round(score, 6) + 0.0 AS score, level FROM heat
+        """SELECT CAST(date AS VARCHAR) AS date, round(score, 10) + 0.0 AS score, level FROM heat
 WHERE date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' ORDER BY date DESC LIMIT 50""",
     ),
 )
@@ -36,7 +36,7 @@ def heat_history(spark, sf):
     path = scratch_path(spark, "heat-table")
     IO.append_heat(HQ.heat(spark, sf).select("book_id", "date", "score", "level"), path)
     h = IO.heat_history(spark, path, F.to_date(F.lit("1998-01-01")), F.to_date(F.lit("2000-12-31")), 50)
-    return h.select(text("date"), r("score").alias("score"), "level")
+    return h.select(text("date"), r("score", 10).alias("score"), "level")
 
 
 @query(
@@ -242,7 +242,7 @@ def emergency_text(spark, sf):
     "portfolio_snapshot",
     with_ctes(
         ["heat", "crowd", "exposures"],
-        """SELECT 'reference' AS book_id, CAST(h.date AS VARCHAR) AS date, round(h.score, 6) + 0.0 AS score, h.level, h.dominant_factor, h.top_pair, round(c.crowding_score, 6) + 0.0 AS crowding_score, c.crowding_level, e.factors
+        """SELECT 'reference' AS book_id, CAST(h.date AS VARCHAR) AS date, round(h.score, 10) + 0.0 AS score, h.level, h.dominant_factor, h.top_pair, round(c.crowding_score, 6) + 0.0 AS crowding_score, c.crowding_level, e.factors
 FROM (SELECT * FROM heat ORDER BY date DESC LIMIT 1) h JOIN crowd c ON c.t = h.t JOIN (SELECT t, string_agg(factor, ',' ORDER BY exposure_share DESC) AS factors FROM exposures GROUP BY 1) e ON e.t = h.t""",
     ),
 )
@@ -263,6 +263,6 @@ def portfolio_snapshot(spark, sf):
         ).alias("factors")
     )
     return heat.join(crowd, "book_id").join(newest(exp, "e"), "book_id").select(
-        "book_id", F.col("h.date").cast("string").alias("date"), r(F.col("h.score")).alias("score"), "h.level",
+        "book_id", F.col("h.date").cast("string").alias("date"), r(F.col("h.score"), 10).alias("score"), "h.level",
         "h.dominant_factor", "h.top_pair", r(F.col("c.crowding_score")).alias("crowding_score"), "c.crowding_level", "e.factors",
     )

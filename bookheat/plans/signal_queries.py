@@ -335,7 +335,7 @@ def features(spark, sf):
         ["port", "heat"],
         """SELECT CAST(p.date AS VARCHAR) AS date, round(m, 6) + 0.0 AS rolling_return, round(sd, 6) + 0.0 AS realized_vol, round(sk, 5) + 0.0 AS return_skew,
        round(coalesce(h.avg_corr, (SELECT arg_min(avg_corr, date) FROM heat)), 6) + 0.0 AS avg_correlation,
-       round(coalesce(h.score, (SELECT arg_min(score, date) FROM heat)), 6) + 0.0 AS heat_score
+       round(coalesce(h.score, (SELECT arg_min(score, date) FROM heat)), 10) + 0.0 AS heat_score
 FROM (SELECT date, count(*) OVER w AS n, avg(ret) OVER w AS m, stddev_samp(ret) OVER w AS sd, skewness(ret) OVER w AS sk FROM port
       WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) p LEFT JOIN heat h ON h.date = p.date WHERE n = 20""",
     ),
@@ -343,7 +343,7 @@ FROM (SELECT date, count(*) OVER w AS n, avg(ret) OVER w AS m, stddev_samp(ret)
 def regime_features(spark, sf):
     return features(spark, sf).select(
         text("date"), r("rolling_return").alias("rolling_return"), r("realized_vol").alias("realized_vol"),
-        r("return_skew", 5).alias("return_skew"), r("avg_correlation").alias("avg_correlation"), r("heat_score").alias("heat_score"),
+        r("return_skew", 5).alias("return_skew"), r("avg_correlation").alias("avg_correlation"), r("heat_score", 10).alias("heat_score"),
     )
 
 

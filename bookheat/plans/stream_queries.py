@@ -175,8 +175,8 @@ def stream_book_updates(spark, sf):
 
 @query(
     "stream_heat_refresh",
-    with_ctes("heat", "SELECT book_id, CAST(date AS VARCHAR) AS date, round(score, 6) + 0.0 AS score, level FROM heat"),
+    with_ctes("heat", "SELECT book_id, CAST(date AS VARCHAR) AS date, round(score, 10) + 0.0 AS score, level FROM heat"),
 )
 def stream_heat_refresh(spark, sf):
     path = J.heat_refresh(J.stream_of(T.closes(spark, sf), "new-closes"), T.reference_book(spark), T.factor_dim(spark))
-    return spark.read.parquet(f"{path}/batch=*").select("book_id", text("date"), r("score").alias("score"), "level")
+    return spark.read.parquet(f"{path}/batch=*").select("book_id", text("date"), r("score", 10).alias("score"), "level")
