@@ -1,4 +1,4 @@
 """Imports the query modules of this subpackage and exposes their jobs and checks."""
 
-from bookheat.llm import bpe_queries, classify_queries, mixing_queries, secrets_queries  # noqa: F401
+from bookheat.llm import bpe_queries, classify_queries, mixing_queries, secrets_queries, vector_queries  # noqa: F401
 from bookheat.llm.registry import CHECKS, JOBS  # noqa: F401
