@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookheat.llm import ann
 from bookheat.llm.common import table
 from bookheat.llm.registry import query
 from bookheat.llm.vector_dups import near_duplicates
@@ -10,3 +11,11 @@ from bookheat.llm.vector_dups import near_duplicates
 @query("op7_vector_near_dups")
 def op7_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(index, index.rows.filter("id % 100 = 0").select("id", "vec"))
