@@ -6,9 +6,10 @@ it descends to one leaf and the index is written by leaf. A query walks the tree
 nearest centre first, and visits leaves until the calibrated number is reached and the leaves hold
 enough rows. Calibration takes ``PROBES`` rows of the sample, finds their exact neighbours among all
 rows in blocks, looks up at which visit the walk reaches the leaf of each, and takes the number of
-visits that reaches ``RECALL`` of them. A leaf of more than ``BLOCK`` rows is cut into blocks, and its
-queries into parts, so a hot leaf is many tasks; each gives its best k with exact distances and ties by
-the smaller id, and the best k of these remain.
+visits that reaches ``RECALL`` of them. Neighbouring leaves are packed into shards, one task each, and a
+leaf above the size of a shard is cut into several, so a hot leaf is many tasks; queries beyond ``PART``
+are parts of their own. A query goes once to each shard that holds leaves it visits; the shard gives its
+best k over these leaves with exact distances and ties by the smaller id, and the best k of all remain.
 
 Cases: vectors that are null, zero, with null or non-finite components, or of another length than most
 take no part, nor do rows without id. A repeated id counts once per query (its nearest vector), and an id
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookheat.llm.common import fan_out
 from bookheat.llm.vectors import common_width, matrix, usable
 from bookheat.session import stage
 
@@ -38,8 +40,8 @@ BRANCHES = 8
 LLOYD = 8
 PROBES = 256
 RECALL = 0.97
-BLOCK = 4096
-PART = 4096
+SHARD = 32_768
+PART = 16_384
 
 
 class Tree(NamedTuple):
@@ -195,39 +197,62 @@ def calibrate(tree: Tree, rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k:
     return steps[min(len(steps) - 1, int(np.ceil(recall * len(steps))) - 1)] if steps else tree.leaves
 
 
+def shards(counts: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each leaf; neighbouring leaves share one up to its size."""
+    most = max(1, min(SHARD, int(np.ceil(counts.sum() / tasks))))
+    first, parts, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > most:
+            shard, held = shard + 1, 0
+        first[leaf], parts[leaf] = shard, max(1, -(-n // most))
+        held += n
+        if parts[leaf] > 1:
+            shard, held = shard + int(parts[leaf]), 0
+    return first, parts
+
+
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for ``queries`` (id, packed vec), rows of the index."""
     tree, counts, visits = index.tree, index.counts, index.visits
+    first, parts = shards(counts, fan_out(queries.sparkSession))
+    queries = queries.dropDuplicates(["id"])
+    batches_of_queries = max(1, -(-queries.count() // PART))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = b.column("vec").to_pylist()
-            for i, v in zip(b.column("id").to_pylist(), packed):
-                leaves, held = [], 0
+            for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist()):
+                by_shard, held, seen = {}, 0, 0
                 for leaf in walk(tree, np.frombuffer(v, np.float64)):
-                    if len(leaves) >= visits and held > k:
+                    if seen >= visits and held > k:
                         break
-                    leaves.append(leaf)
-                    held += counts[leaf]
-                n = len(leaves)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([v] * n, pa.binary()), pa.array(leaves, pa.int32())], ["id", "vec", "leaf"])
+                    seen, held = seen + 1, held + counts[leaf]
+                    for shard in range(first[leaf], first[leaf] + parts[leaf]):
+                        by_shard.setdefault(shard, []).append(leaf)
+                n = len(by_shard)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * n, pa.int64()), pa.array([v] * n, pa.binary()), pa.array(list(by_shard), pa.int32()), pa.array(list(by_shard.values()), pa.list_(pa.int32()))],
+                    ["id", "vec", "shard", "leaves"],
+                )
 
     def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if asked.num_rows and held.num_rows:
-            out = _best(asked.column("id").to_numpy(), _doubles(asked.column("vec")), held.column("id").to_numpy(), _doubles(held.column("vec")), k)
-        return pa.table([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    asked = queries.dropDuplicates(["id"]).mapInArrow(ask, "id long, vec binary, leaf int")
-    # one row per leaf: how many blocks of rows and parts of queries it is cut into
-    cuts = index.rows.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    parts = asked.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    cuts = F.broadcast(cuts.join(parts, "leaf"))
-    left = asked.join(cuts, "leaf").select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = index.rows.join(cuts, "leaf").select("id", "vec", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "blocks").alias("block"))
-    key = ["leaf", "part", "block"]
-    left, right = (x.withColumn("part", F.col("part").cast("int")).withColumn("block", F.col("block").cast("int")) for x in (left, right))
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+            held = held.sort_by("leaf")
+            ids, x, leaf = held.column("id").to_numpy(), _doubles(held.column("vec")), held.column("leaf").to_numpy()
+            for i, v, leaves in zip(asked.column("id").to_pylist(), asked.column("vec").to_pylist(), asked.column("leaves").to_pylist()):
+                lo, hi = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+                if len(at):
+                    for o, got in zip(out, _best(np.array([i]), np.frombuffer(v, np.float64)[None, :], ids[at], x[at], k)):
+                        o.append(got)
+        return pa.table([pa.array(np.concatenate(o), t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    asked = queries.mapInArrow(ask, "id long, vec binary, shard int, leaves array<int>")
+    left = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(batches_of_queries)).cast("int"))
+    # leaf to shard as two short lists in the plan; every part of the queries meets every row of its shard
+    own = F.element_at(F.lit(first.tolist()), F.col("leaf") + 1) + F.pmod(F.xxhash64("id"), F.element_at(F.lit(parts.tolist()), F.col("leaf") + 1))
+    right = index.rows.withColumn("shard", own.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(batches_of_queries - 1))))
+    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

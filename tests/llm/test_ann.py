@@ -46,3 +46,15 @@ def test_cases(spark):
     few = ann.build(df.filter("vec_id < 5"))
     assert ann.search(few, few.rows.select("id", "vec")).count() == 4 * 3
     assert ann.build(df.limit(0)) is None
+
+
+def test_shards_hold_all_leaves_and_cut_large_ones():
+    counts = np.array([5, 5, 900, 0, 3, 40, 40, 40])
+    first, parts = ann.shards(counts, 10)
+    most = -(-counts.sum() // 10)
+    assert parts[2] == -(-900 // most) and (np.diff(first) >= 0).all()
+    load = {}
+    for leaf, n in enumerate(counts):
+        for s in range(first[leaf], first[leaf] + parts[leaf]):
+            load[s] = load.get(s, 0) + n / parts[leaf]
+    assert max(load.values()) <= most
