@@ -76,13 +76,11 @@ CAUSAL_EDGES = (
     ("credit", "quality"),
 )
 CONFOUNDERS = ("rates", "credit", "market")
-COLLIDERS = ("vix",)
 
 # -- alerts ----------------------------------------------------------------
 COOLDOWN_MINUTES = {
     "daily_summary": 1440,
     "level_change": 30,
-    "threshold_cross": 60,
     "regime_shift": 15,
     "emergency": 360,
 }
@@ -110,6 +108,7 @@ EMERGENCY_FALLBACK_ACTIONS = (
     "Add tail hedges (VIX calls, SPY puts)",
     "Halt all new entries",
 )
+REBALANCE_REASON = "Rebalance toward HRP optimal weight ("
 HOLD_NO_CHANGE = "HOLD: hold all positions (no changes recommended)"
 HOLD_NO_SIGNAL = "HOLD: hold all positions (no recommendation signal)"
 

@@ -42,26 +42,27 @@ def fit_garch(y: np.ndarray, rounds: int = 6) -> tuple[float, float, float, np.n
     return best  # type: ignore[return-value]
 
 
-def dcc_pass(z: np.ndarray, a: float, b: float) -> tuple[float, np.ndarray]:
-    """Pseudo log-likelihood and final correlation of a dynamic-correlation filter; rows are days.
+def dcc_scores(z: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pseudo log-likelihoods and final correlations of dynamic-correlation filters; rows of ``z`` are days.
 
-    Each day's shock enters the state before that day is scored.
+    All parameter pairs run side by side. A day's shock enters the state before that day is scored.
     """
-    qbar = np.corrcoef(z, rowvar=False)
-    q, ll = qbar.copy(), 0.0
-    r = qbar
+    mean = np.corrcoef(z, rowvar=False)
+    pull, a, b = ((1 - a - b)[:, None, None] * mean), a[:, None, None], b[:, None, None]
+    state, ll = np.broadcast_to(mean, (len(a), *mean.shape)).copy(), np.zeros(len(a))
+    corr = state
     for e in z:
-        q = (1 - a - b) * qbar + a * np.outer(e, e) + b * q
-        d = np.sqrt(np.diag(q))
-        d[d == 0] = 1e-10
-        r = q / np.outer(d, d)
-        sign, logdet = np.linalg.slogdet(r)
-        if sign <= 0:
-            return -math.inf, r
-        ll -= 0.5 * (logdet + e @ np.linalg.solve(r, e) - e @ e)
-    r = np.clip(r, -1, 1)
-    np.fill_diagonal(r, 1.0)
-    return float(ll), r
+        state = pull + a * np.outer(e, e) + b * state
+        scale = np.sqrt(np.einsum("gii->gi", state))
+        scale[scale == 0] = 1e-10
+        corr = state / (scale[:, :, None] * scale[:, None, :])
+        sign, logdet = np.linalg.slogdet(corr)
+        ok = sign > 0
+        solved = np.linalg.solve(np.where(ok[:, None, None], corr, np.eye(len(e))), np.broadcast_to(e[:, None], (len(a), len(e), 1)))
+        ll = np.where(ok, ll - 0.5 * (logdet + solved[:, :, 0] @ e - e @ e), -np.inf)
+    corr = np.clip(corr, -1, 1)
+    np.einsum("gii->gi", corr)[:] = 1.0
+    return ll, corr
 
 
 def _gauss_log(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def hmm_state(x: np.ndarray, model) -> tuple[int, np.ndarray]:
     return int(np.argmax(score)), post[-1]
 
 
-def change_points(y: np.ndarray, penalty: float = 10.0, min_size: int = 20, jump: int = 5) -> list[int]:
+def change_points(y: np.ndarray, penalty: float = 10.0, min_size: int = 20, jump: int = 1) -> list[int]:
     """Optimal segmentation under a Gaussian-kernel cost with pruning (one bounded series)."""
     n = len(y)
     if n < 2 * min_size:

@@ -35,6 +35,8 @@ def _slice(values, lo: int, hi: int):
     if isinstance(values, pa.Array):
         part = values.slice(lo, hi - lo)
         flat = part.flatten().to_numpy(zero_copy_only=False)
+        if len(np.unique(np.diff(part.offsets.to_numpy()))) > 1:
+            raise ValueError("the series of a group differ in length")
         return flat.reshape(hi - lo, -1) if hi > lo else flat.reshape(0, 0)
     return values[lo:hi]
 

@@ -77,7 +77,7 @@ def recommendations(attributed: DataFrame, targets: DataFrame) -> DataFrame:
             (F.col("target") - w).alias("delta"),
             (F.abs(F.col("target") - w) * heat * 5000).alias("impact"),
             F.concat(
-                F.lit("Rebalance toward optimal weight ("), percent1(F.col("target")), F.lit(" vs current "), percent1(w), F.lit(")")
+                F.lit(C.REBALANCE_REASON), percent1(F.col("target")), F.lit(" vs current "), percent1(w), F.lit(")")
             ).alias("why"),
             F.lit("this_week").alias("urgency"),
         ),
@@ -115,9 +115,10 @@ def recommendation_summary(recs: DataFrame, heat: DataFrame) -> DataFrame:
 
 
 def component_history(parts: DataFrame, rows: int = C.HISTORY_ROWS) -> DataFrame:
-    """One row holding the last ``rows`` values of every component (bounded arrays)."""
-    last = parts.orderBy(F.col("t").desc()).limit(rows)
-    return last.agg(
+    """One row per book holding its last ``rows`` values of every component (bounded arrays)."""
+    newest = Window.partitionBy("book_id").orderBy(F.col("t").desc())
+    last = parts.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= rows)
+    return last.groupBy("book_id").agg(
         F.collect_list("absorption_ratio").alias("h_ar"),
         F.collect_list("turbulence").alias("h_turb"),
         F.collect_list(M.inverse_dr(F.col("div_ratio"))).alias("h_dr"),
@@ -273,7 +274,10 @@ def pretrade_impact(
         made = made.withColumn("heat_before", F.lit(1.0)).withColumn("heat_after", F.lit(1.0))
     else:
         cols = ["h_ar", "h_turb", "h_dr", "h_hhi", "h_corr"]
-        made = made.withColumn("_h", history.select(F.struct(*cols).alias("h")).scalar())
+        # a book without history is ranked in an empty one
+        own = history.select("book_id", F.struct(*cols).alias("_h"))
+        none = F.array().cast("array<double>")
+        made = made.join(own, "book_id", "left").withColumn("_h", F.coalesce("_h", F.struct(*[none.alias(c) for c in cols])))
 
         def score(vec: str):
             rank = [

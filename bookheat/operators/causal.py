@@ -24,7 +24,7 @@ VARIABLES = [*C.FACTORS, C.PORTFOLIO_NODE]
 def daily_table(returns: DataFrame, factors: DataFrame, books: DataFrame, value: str = "ret") -> DataFrame:
     """(book_id, t, one column per variable): factor returns and the equal-weight book return."""
     wide = (
-        returns.join(F.broadcast(factors), "symbol").groupBy("t").pivot("factor", list(C.FACTORS)).agg(F.first(value))
+        returns.join(factors, "symbol").groupBy("t").pivot("factor", list(C.FACTORS)).agg(F.first(value))
     )
     port = (
         books.select("book_id", "symbol").join(returns, "symbol").groupBy("book_id", "t").agg(F.avg(value).alias(C.PORTFOLIO_NODE))

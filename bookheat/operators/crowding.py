@@ -42,7 +42,7 @@ def dispersion(books: DataFrame, returns: DataFrame, value: str, window: int) ->
 
 def comovement(windowed: DataFrame, factors: DataFrame) -> DataFrame:
     """Mean sample correlation between factors per day, mapped to [0, 1]."""
-    z = MM.sample_vectors(windowed.join(F.broadcast(factors), "symbol", "left_semi")).select("t", "symbol", "z")
+    z = MM.sample_vectors(windowed.join(factors, "symbol", "left_semi")).select("t", "symbol", "z")
     return MM.avg_pairwise(z, ["t"]).select(
         "t",
         F.when(F.col("n") < 2, 0.0).otherwise(R.range_normalise(F.col("avg_corr"))).alias("factor_comovement"),

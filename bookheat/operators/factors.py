@@ -40,13 +40,13 @@ def factor_exposures(windowed: DataFrame, factors: DataFrame, min_rows: int = 20
     Result: (t, symbol, factor, beta, t_stat, r_squared).
     """
     block = (
-        windowed.join(F.broadcast(factors), "symbol")
+        windowed.join(factors, "symbol")
         .groupBy("t")
         .agg(F.array_sort(F.collect_list(F.struct("factor", "x"))).alias("f"))
         .select("t", F.transform("f", lambda e: e["factor"]).alias("names"), F.flatten(F.transform("f", lambda e: e["x"])).alias("fx"))
     )
     fitted = (
-        windowed.join(F.broadcast(factors.select("symbol")), "symbol", "left_anti")
+        windowed.join(factors.select("symbol"), "symbol", "left_anti")
         .filter(F.size("x") >= min_rows)
         .join(block, "t")
         .select("t", "symbol", "names", _fit("x", "fx").alias("m"))

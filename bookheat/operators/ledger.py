@@ -223,8 +223,8 @@ def streak_report(ledger: DataFrame, feedback: DataFrame, today: Column, now_loc
 
 
 def cooldown_status(ledger: DataFrame, as_of: Column, tiers: dict[str, int] | None = None) -> DataFrame:
-    """Minutes left on each tier's cooldown per channel at ``as_of``."""
-    minutes = R.lookup(F.col("tier"), {k: float(v) for k, v in (tiers or C.COOLDOWN_MINUTES).items()}, 60.0)
+    """Minutes left on each tier's cooldown per channel at ``as_of``; ledgers prefix alert tiers."""
+    minutes = R.lookup(F.regexp_replace("tier", "^alert_", ""), {k: float(v) for k, v in (tiers or C.COOLDOWN_MINUTES).items()}, 60.0)
     last = ledger.groupBy("channel", "tier").agg(F.max("utc").alias("last_sent"))
     elapsed = (F.unix_timestamp(as_of) - F.unix_timestamp("last_sent")) / 60.0
     left = F.greatest(minutes - elapsed, F.lit(0.0))

@@ -46,76 +46,42 @@ def garch(returns: DataFrame, value: str = "ret", min_obs: int = 100) -> DataFra
     )
 
 
+MIN_DCC_ROWS = 30
+
+
 def dcc(books: DataFrame, residuals: DataFrame) -> DataFrame:
     """Dynamic conditional correlation per book: (book_id, a_param, b_param, a, b, correlation).
 
-    The likelihood grid is rows: every (book, a, b) is scored by its own task, the best point is
-    refined the same way, and a final pass emits the last correlation matrix.
+    A book's series meet on the days that all of them have. Each book is one row; its task scores the
+    coarse likelihood grid and the one around its best point. Books with fewer than ``MIN_DCC_ROWS``
+    common days get the EWMA correlation of these days and no parameters.
     """
-    held = books.select("book_id", "symbol").join(
-        residuals.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("t", "z"))).alias("s")), "symbol"
-    )
-    packed = held.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "s"))).alias("m")).filter(
-        F.size("m") >= 2
-    )
-
-    def matrix(names_col: str = "m"):
-        return F.transform(names_col, lambda e: F.struct(e["symbol"].alias("symbol"), F.transform(e["s"], lambda v: v["z"]).alias("z")))
-
-    base = packed.select("book_id", matrix().alias("m"))
-    coarse = [
-        (a / 100, b / 100) for a in range(1, 15, 2) for b in range(80, 99, 2) if a + b < 100
-    ]
-    grid = F.array(*[F.struct(F.lit(a).alias("pa"), F.lit(b).alias("pb")) for a, b in coarse])
-
-    def score(rec: dict) -> list[tuple]:
-        ll, _ = fits.dcc_pass(rec["z"].T, float(rec["pa"][0]), float(rec["pb"][0]))
-        return [(float(rec["pa"][0]), float(rec["pb"][0]), ll)]
-
-    def best(points: DataFrame) -> DataFrame:
-        items = F.transform(
-            "m", lambda e: F.struct(e["symbol"].alias("symbol"), e["z"].alias("z"), F.col("p.pa").alias("pa"), F.col("p.pb").alias("pb"))
-        )
-        rows = spread(points.select("book_id", F.col("p.pa").alias("pa"), F.col("p.pb").alias("pb"), items.alias("items")), "book_id", "pa", "pb")
-        scored = L.map_packed(rows.select("book_id", "items"), ["book_id"], score, "pa double, pb double, ll double")
-        return scored.groupBy("book_id").agg(
-            F.max_by(F.struct("pa", "pb"), F.struct("ll", -F.col("pa"), -F.col("pb"))).alias("p")
-        )
-
-    first = best(base.select("book_id", "m", F.explode(grid).alias("p")))
-    steps = F.array(*[F.lit(round(-0.02 + 0.005 * i, 3)) for i in range(8)])
-    around = (
-        base.join(first.withColumnRenamed("p", "p0"), "book_id")
-        .withColumn("da", F.explode(F.concat(steps, F.array(F.lit(0.0)))))
-        .withColumn("db", F.explode(F.concat(steps, F.array(F.lit(0.0)))))
-        .withColumn(
-            "p",
-            F.struct(
-                F.greatest(F.col("p0.pa") + F.col("da"), F.lit(0.001)).alias("pa"),
-                F.greatest(F.col("p0.pb") + F.col("db"), F.lit(0.5)).alias("pb"),
-            ),
-        )
-        .filter(F.col("p.pa") + F.col("p.pb") < 1)
-        .select("book_id", "m", "p")
-        .dropDuplicates(["book_id", "p"])
-    )
-    final = best(around)
+    held = books.select("book_id", "symbol").join(residuals.select("symbol", "t", "z"), "symbol")
+    names = held.groupBy("book_id").agg(F.count_distinct("symbol").alias("n")).filter("n >= 2")
+    whole = held.groupBy("book_id", "t").agg(F.count("*").alias("m"))
+    common = whole.join(names, "book_id").filter("m = n").select("book_id", "t")
+    aligned = held.join(common, ["book_id", "t"])
+    first = [(x / 100, y / 100) for x in range(1, 15, 2) for y in range(80, 99, 2) if x + y < 100]
+    steps = [*(round(-0.02 + 0.005 * k, 3) for k in range(8)), 0.0]
+
+    def best(z: np.ndarray, points: list[tuple[float, float]]) -> tuple[float, float, np.ndarray]:
+        a, b = np.array(sorted(set(points))).T
+        ll, corr = fits.dcc_scores(z, a, b)
+        k = int(np.argmax(ll))
+        return float(a[k]), float(b[k]), corr[k]
 
-    def last(rec: dict) -> list[tuple]:
-        a, b = float(rec["pa"][0]), float(rec["pb"][0])
-        _, r = fits.dcc_pass(rec["z"].T, a, b)
-        names = rec["symbol"]
-        return [
-            (a, b, names[i], names[j], float(r[i, j])) for i in range(len(names)) for j in range(i + 1, len(names))
-        ]
+    def one(rec: dict) -> list[tuple]:
+        symbols = sorted(set(rec["symbol"]))
+        z = np.asarray(rec["z"], float).reshape(len(symbols), -1)
+        if z.shape[1] < MIN_DCC_ROWS:
+            a, b, corr = None, None, L.ewma_correlation(z, C.EWMA_SPAN)
+        else:
+            a, b, _ = best(z.T, first)
+            near = [(max(a + x, 0.001), max(b + y, 0.5)) for x in steps for y in steps]
+            a, b, corr = best(z.T, [(x, y) for x, y in near if x + y < 1])
+        return [(a, b, symbols[i], symbols[j], float(corr[i, j])) for i in range(len(symbols)) for j in range(i + 1, len(symbols))]
 
-    items = F.transform(
-        "m", lambda e: F.struct(e["symbol"].alias("symbol"), e["z"].alias("z"), F.col("p.pa").alias("pa"), F.col("p.pb").alias("pb"))
-    )
-    chosen = base.join(final, "book_id").select("book_id", items.alias("items"))
-    return L.map_packed(
-        chosen, ["book_id"], last, "a_param double, b_param double, a string, b string, correlation double"
-    )
+    return L.map_groups(aligned, ["book_id"], ["symbol", "t", "z"], one, "a_param double, b_param double, a string, b string, correlation double")
 
 
 FEATURES = ["rolling_return", "realized_vol", "return_skew", "avg_correlation", "heat_score"]

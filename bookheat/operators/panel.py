@@ -135,7 +135,7 @@ def resolve_source(
     coverage = (
         quotes.groupBy(*keys, "source")
         .agg(F.countDistinct("symbol").alias("covered"))
-        .join(F.broadcast(priority), "source")
+        .join(priority, "source")
         .withColumn("ok", F.col("covered") >= n_symbols * share)
     )
     chosen = coverage.groupBy(*keys).agg(

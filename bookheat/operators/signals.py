@@ -263,7 +263,7 @@ def crisis_days(days: DataFrame, crises: DataFrame, before: int = 45, after: int
 def calm_days(days: DataFrame, crises: DataFrame) -> DataFrame:
     """Days in no crisis."""
     hit = crises.select(F.explode(F.sequence("start", "end")).alias("date")).distinct()
-    return days.join(F.broadcast(hit), "date", "left_anti")
+    return days.join(hit, "date", "left_anti")
 
 
 def crisis_summary(heat: DataFrame, crises: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -329,12 +329,9 @@ def crisis_backtest(heat: DataFrame, returns: DataFrame, crises: DataFrame, warm
     )
 
 
-def false_positive_share(heat: DataFrame, crises: DataFrame, windows: int = 50, warm: float = C.THRESHOLDS["warm"]) -> DataFrame:
-    """Share of up to ``windows`` hash-chosen calm days whose trailing-window heat is warm or above."""
-    calm = calm_days(heat, crises)
-    w = Window.partitionBy("book_id").orderBy(F.xxhash64(F.lit(42), "t"))
-    chosen = calm.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= windows)
-    return chosen.groupBy("book_id").agg(
+def false_positive_share(heat: DataFrame, crises: DataFrame, warm: float = C.THRESHOLDS["warm"]) -> DataFrame:
+    """Share of the calm days whose trailing-window heat is warm or above, over all calm days."""
+    return calm_days(heat, crises).groupBy("book_id").agg(
         F.count("*").alias("windows"), F.avg((F.col("score") >= warm).cast("double")).alias("false_positive_rate")
     )
 

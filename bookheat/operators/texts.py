@@ -13,15 +13,15 @@ def _fmt(pattern: str, c: Column, digits: int) -> Column:
     return F.format_string(pattern, F.bround(c, digits))
 
 
-def _ranked_lines(df: DataFrame, order: Column, line: Column, n: int, out: str) -> DataFrame:
-    """The first ``n`` lines of each book joined by newlines; bounded before they are collected."""
+def _ranked_lines(df: DataFrame, order: Column, line: Column, n: int, out: str, number: str = "") -> DataFrame:
+    """The first ``n`` lines of each book joined by newlines, headed by their number if given a format for it."""
     w = Window.partitionBy("book_id").orderBy(order, line)
     return (
         df.withColumn("_rn", F.row_number().over(w))
         .withColumn("_l", line)
         .filter(F.col("_rn") <= n)
         .groupBy("book_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_l"))), lambda s: s["_l"]), "\n").alias(out))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_l"))), lambda s: F.format_string(f"{number}%s", s["_rn"], s["_l"]) if number else s["_l"]), "\n").alias(out))
     )
 
 
@@ -127,10 +127,10 @@ def emergency(heat: DataFrame, attributed: DataFrame, recs: DataFrame, at: Colum
     acts = _ranked_lines(
         recs.filter("action <> 'hedge'"), F.col("priority"),
         F.concat(
-            F.lit("  "), F.upper("action"), F.lit(" "), F.col("instrument"), F.lit(": "), R.percent(F.col("current_weight")), F.lit(" -> "),
+            F.upper("action"), F.lit(" "), F.col("instrument"), F.lit(": "), R.percent(F.col("current_weight")), F.lit(" -> "),
             R.percent(F.col("target_weight")), F.lit(" ("), F.col("why"), F.lit(")"),
         ),
-        5, "acts",
+        5, "acts", "  %d. ",
     )
     hedges = _ranked_lines(
         recs.filter("action = 'hedge'"), F.col("priority"),

@@ -292,7 +292,7 @@ SELECT book_id, score, heat_share, symbol, 1, 'hedge', hedge_symbol, 0, least(we
 FROM rec_base WHERE recommendation = 'hedge' AND hedge_symbol IS NOT NULL
 UNION ALL
 SELECT book_id, score, heat_share, symbol, 2, 'reduce', symbol, weight, target, target - weight, abs(target - weight) * score * 5000, 'this_week',
-       format('Rebalance toward optimal weight ({:.1f}% vs current {:.1f}%)', target * 100, weight * 100)
+       format('Rebalance toward HRP optimal weight ({:.1f}% vs current {:.1f}%)', target * 100, weight * 100)
 FROM rec_base WHERE recommendation <> 'reduce' AND score >= 0.4636 AND target - weight < -0.03)""",
     "rec_base",
 )
@@ -456,7 +456,7 @@ def pretrade_impact(spark, sf):
         pending.withColumn("weight", F.lit(0.05)),
         vectors,
         windowed,
-        ACT.component_history(HQ.heat(spark, sf)),
+        ACT.component_history(HQ.book_heat(spark, sf)),
         universe_communities(spark, sf),
     )
     return out.select(

@@ -51,6 +51,30 @@ def heat(spark, sf):
     return staged(spark, sf, "heat", build)
 
 
+def book_heat(spark, sf):
+    """Heat of every customer book at the last day of each quarter, ranked in its own history; staged."""
+
+    def build():
+        days = T.returns(spark, sf).select("t", "date").distinct()
+        marks = days.groupBy(F.trunc("date", "quarter")).agg(F.max("t").alias("t")).select("t")
+        windows = replay_windows(spark, sf).join(marks, "t", "left_semi")
+        own = T.books(spark, sf).select("book_id", "symbol", "weight")
+        raw = M.window_metrics(M.members(own, windows))
+        hhi = X.factor_hhi(X.aggregate_exposures(exposures(spark, sf).join(marks, "t", "left_semi"), own))
+        return H.blend(H.join_components(raw, hhi))
+
+    return staged(spark, sf, "book-heat", build)
+
+
+@query("heat_books")
+def heat_books(spark, sf):
+    return book_heat(spark, sf).select(
+        "book_id", text("date"), r("absorption_ratio").alias("absorption_ratio"), r("turbulence", 4).alias("turbulence"),
+        r("div_ratio").alias("div_ratio"), r("factor_hhi").alias("factor_hhi"), r("avg_corr").alias("avg_corr"),
+        r("score", 10).alias("score"), "level",
+    )
+
+
 def latest_windows(spark, sf, rows: int):
     """Newest ``rows`` log returns per symbol as one labelled window (t, date, symbol, x), staged."""
 
@@ -161,20 +185,18 @@ def sample_corr(spark, sf):
         ", sym AS (SELECT a, b, corr FROM lpairs UNION ALL SELECT b, a, corr FROM lpairs UNION ALL "
         "SELECT DISTINCT symbol, symbol, 1.0 FROM lwin) SELECT a, "
         + ", ".join(
-            f"round(max(corr) FILTER (b = '{s}'), 3) + 0.0 AS \"{s}\"" for s in T.BOOK_SYMBOLS
+            f"round(max(corr) FILTER (b = '{s}'), 3) + 0.0 AS \"{s}\"" for s in T.ALL_SYMBOLS
         )
-        + " FROM sym WHERE a IN ("
-        + ", ".join(f"'{s}'" for s in T.BOOK_SYMBOLS)
-        + ") GROUP BY a",
+        + " FROM sym GROUP BY a",
     ),
 )
 def correlation_matrix_wide(spark, sf):
-    v = MM.ewma_vectors(MM.series(T.returns(spark, sf), "ret", 252)).join(T.reference_book(spark), "symbol", "left_semi")
+    v = MM.ewma_vectors(MM.series(T.returns(spark, sf), "ret", 252))
     pairs = MM.pair_values(v, [], ["z"])
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "z")).unionByName(
         v.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), F.lit(1.0).alias("z"))
     )
-    return both.groupBy("a").pivot("b", list(T.BOOK_SYMBOLS)).agg(r(F.first("z"), 3))
+    return both.groupBy("a").pivot("b", list(T.ALL_SYMBOLS)).agg(r(F.first("z"), 3))
 
 
 @query(

@@ -134,13 +134,13 @@ def parse_heat_history(spark, sf):
 @query(
     "wide_csv_returns",
     with_ctes(
-        ["rets", "refbook"],
-        "SELECT CAST(date AS VARCHAR) AS date, symbol, round(simple, 6) + 0.0 AS ret FROM rets JOIN refbook USING (symbol)",
+        "rets",
+        "SELECT CAST(date AS VARCHAR) AS date, symbol, round(simple, 6) + 0.0 AS ret FROM rets",
     ),
 )
 def wide_csv_returns(spark, sf):
     path = scratch_path(spark, "wide")
-    names = list(T.BOOK_SYMBOLS)
+    names = list(T.ALL_SYMBOLS)
     wide = T.returns(spark, sf).groupBy("date").pivot("symbol", names).agg(F.first("simple"))
     wide.write.option("header", True).csv(path)
     return IO.wide_csv_returns(spark, path, names).select(text("date"), "symbol", r("ret").alias("ret"))
@@ -176,12 +176,8 @@ def regime(spark, sf):
 
 
 def _book_rows(spark, sf):
-    """Every customer book with the reference components in force and its own score."""
-    newest = HQ.heat(spark, sf).groupBy().agg(F.max_by(F.struct("*"), "date").alias("h")).select("h.*")
-    cols = [c for c in newest.columns if c not in ("book_id", "score", "level", "action")]
-    h = newest.select(F.struct(*cols).alias("h")).scalar()
-    own = AQ.heat_of_books(spark, sf).withColumn("level", R.classify_heat(F.col("score")))
-    return own.withColumn("h", h).select("book_id", "score", "level", "h.*")
+    """The newest heat row of every customer book: its own components and score."""
+    return HQ.book_heat(spark, sf).groupBy("book_id").agg(F.max_by(F.struct("*"), "date").alias("h")).select("h.*")
 
 
 @query("daily_summary_text")

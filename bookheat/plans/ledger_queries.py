@@ -238,7 +238,7 @@ def alert_history(spark, sf):
         "ledger",
         """SELECT channel, tier, m AS cooldown_minutes, round(greatest(m - (epoch(TIMESTAMP '2024-01-30 23:59:00') - floor(epoch(u))) / 60, 0), 1) + 0.0 AS remaining_minutes,
        greatest(m - (epoch(TIMESTAMP '2024-01-30 23:59:00') - floor(epoch(u))) / 60, 0) > 0 AS on_cooldown
-FROM (SELECT channel, tier, max(utc) AS u, CAST(CASE tier WHEN 'daily_summary' THEN 1440 ELSE 60 END AS DOUBLE) AS m FROM ledger GROUP BY 1, 2)""",
+FROM (SELECT channel, tier, max(utc) AS u, CAST(CASE tier WHEN 'daily_summary' THEN 1440 WHEN 'alert_emergency' THEN 360 WHEN 'alert_level_change' THEN 30 WHEN 'alert_regime_shift' THEN 15 ELSE 60 END AS DOUBLE) AS m FROM ledger GROUP BY 1, 2)""",
     ),
 )
 def cooldown_status(spark, sf):

@@ -135,7 +135,7 @@ def causal_regression_effects(spark, sf):
 
 @query("significant_effects")
 def significant_effects(spark, sf):
-    sig = CA.significant(CA.regression_effects(causal_table(spark, sf)), 0.2)
+    sig = CA.significant(CA.regression_effects(causal_table(spark, sf)))
     return sig.filter(F.col("target") == C.PORTFOLIO_NODE).select("book_id", F.col("source").alias("factor"), r("effect").alias("effect"))
 
 

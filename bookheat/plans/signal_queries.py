@@ -301,7 +301,14 @@ def calm_days(spark, sf):
     return S.calm_days(HQ.heat(spark, sf), T.crises(spark)).select(text("date"), "level")
 
 
-@query("false_positive_rate")
+@query(
+    "false_positive_rate",
+    with_ctes(
+        ["heat", "crises"],
+        """SELECT count(*) AS windows, round(avg(CASE WHEN score >= 0.4636 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS false_positive_rate FROM heat
+WHERE NOT EXISTS (SELECT 1 FROM crises WHERE date BETWEEN "start" AND "end")""",
+    ),
+)
 def false_positive_rate(spark, sf):
     return S.false_positive_share(HQ.heat(spark, sf), T.crises(spark)).select(
         "windows", r("false_positive_rate", 4).alias("false_positive_rate")

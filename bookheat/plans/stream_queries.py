@@ -27,12 +27,14 @@ def tick_stream(spark, sf):
     "stream_bars",
     with_ctes(
         "bars",
-        """SELECT symbol, strftime(bar_start, '%Y-%m-%d') AS bar_start, open, high, low, close, CAST(volume AS DOUBLE) AS volume, round(vwap, 6) + 0.0 AS vwap FROM bars""",
+        """SELECT symbol, strftime(bar_start, '%Y-%m-%d') AS bar_start, open, high, low, close, CAST(volume AS DOUBLE) AS volume, round(vwap, 6) + 0.0 AS vwap FROM bars
+WHERE bar_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     ),
 )
 def stream_bars(spark, sf):
-    path = J.run_available(J.bars(tick_stream(spark, sf), "1 day", "1 hour"), "complete", "bars")
-    return J.newest_batch(spark, path).select(
+    """Closed bars only: a window is written once, when the watermark has passed its end."""
+    path = J.run_available(J.bars(tick_stream(spark, sf), "1 day", "1 hour"), "append", "bars")
+    return spark.read.parquet(f"{path}/batch=*").select(
         "symbol", F.date_format("bar_start", "yyyy-MM-dd").alias("bar_start"), "open", "high", "low", "close", "volume",
         r("vwap").alias("vwap"),
     )
@@ -82,12 +84,15 @@ def stream_one_summary(spark, sf):
 @query(
     "stream_tier_counts",
     with_ctes(
-        "ledger", "SELECT channel, tier, CAST(CAST(utc AS DATE) AS VARCHAR) AS day, count(*) AS sent FROM ledger GROUP BY ALL"
+        "ledger",
+        """SELECT channel, tier, CAST(CAST(utc AS DATE) AS VARCHAR) AS day, count(*) AS sent FROM ledger
+WHERE CAST(utc AS DATE) + INTERVAL 1 DAY <= (SELECT max(utc) - INTERVAL 1 DAY FROM ledger) GROUP BY ALL""",
     ),
 )
 def stream_tier_counts(spark, sf):
-    path = J.run_available(J.tier_counts(ledger_stream(spark, sf), "1 day"), "complete", "counts")
-    return J.newest_batch(spark, path).select("channel", "tier", F.to_date("day").cast("string").alias("day"), "sent")
+    """Counts of the days that the watermark has closed."""
+    path = J.run_available(J.tier_counts(ledger_stream(spark, sf), "1 day"), "append", "counts")
+    return spark.read.parquet(f"{path}/batch=*").select("channel", "tier", F.to_date("day").cast("string").alias("day"), "sent")
 
 
 # -- alerts -------------------------------------------------------------------

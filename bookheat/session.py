@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def get_session(app: str = "bookheat", cpus: str | int = "*") -> SparkSession:
@@ -83,12 +83,36 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path of a folder, whatever its scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def source_version(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files below ``source``."""
+    fs, path = _hadoop(spark, source)
+    files, found = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def staged(spark: SparkSession, source: str, tag: str, build) -> DataFrame:
-    """``build()`` staged once per application and source folder."""
-    key = (spark.sparkContext.applicationId, source, tag)
-    if key not in _staged:
-        _staged[key] = stage(build(), tag)
-    return _staged[key]
+    """``build()`` staged once per application, source folder and version of its files."""
+    key, version = (spark.sparkContext.applicationId, source, tag), source_version(spark, source)
+    if key not in _staged or _staged[key][0] != version:
+        _staged[key] = (version, stage(build(), tag))
+    return _staged[key][1]
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Forget all staged tables of this application and delete their files."""
+    for key in [k for k in _staged if k[0] == spark.sparkContext.applicationId]:
+        for file in _staged.pop(key)[1].inputFiles()[:1]:
+            fs, path = _hadoop(spark, file.rpartition("/")[0])
+            fs.delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

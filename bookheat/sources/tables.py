@@ -16,6 +16,7 @@ from bookheat.session import staged
 
 BOOK_SYMBOLS = tuple(f"Brand#{i}" for i in range(1, 10))
 FACTOR_SYMBOLS = tuple(f"Brand#{i}" for i in range(10, 19))
+ALL_SYMBOLS = tuple(f"Brand#{i}" for i in range(1, 26))
 MARKET_SYMBOL = "Brand#16"
 CRISES = (
     ("first_half_1996", "1996-01-01", "1996-04-15", "1996-06-30"),

@@ -238,8 +238,8 @@ def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.0
 def heat_refresh(closes: DataFrame, books: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS) -> str:
     """Score the days that new closes complete and append them to the heat table.
 
-    Each batch stores its closes, scores only days later than the last scored one and ranks them in
-    the stored history. Returns the path of the heat batches.
+    Each batch stores its closes, scores the days that have no score yet and ranks them in the stored
+    history. A repeated batch replaces its rows. Returns the path of the heat batches.
     """
 
     def score(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -251,7 +251,8 @@ def heat_refresh(closes: DataFrame, books: DataFrame, factors: DataFrame, window
         history = _earlier(spark, path, batch_id)
         windowed = P.windows(returns, "simple", window, include_current=False)
         if history is not None:
-            windowed = windowed.filter(F.col("date") > history.agg(F.max("date")).scalar())
+            # any day not scored yet, so a first batch that is too short and late days are made up for
+            windowed = windowed.join(history.select("date").distinct(), "date", "left_anti")
         scored = blend(H.components(books, windowed, factors), history)
         scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

@@ -42,6 +42,31 @@ def test_dcc_finds_constant_correlation(spark):
     assert all(r.a_param > 0 and r.a_param + r.b_param < 1 for r in got.values())
 
 
+def test_dcc_meets_on_common_days(spark):
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(2, 200))
+    z = np.vstack([e[0], 0.8 * e[0] + 0.6 * e[1]])
+    df = panel(spark, z).select("t", "symbol", F.col("ret").alias("z"))
+    books = spark.createDataFrame([("b", f"S{i:03d}") for i in range(2)], "book_id string, symbol string")
+    full = MO.dcc(books, df).collect()[0].correlation
+    holes = df.filter("not (symbol = 'S000' and t in (0, 1, 77))")
+    got = MO.dcc(books, holes).collect()[0]
+    assert got.correlation == pytest.approx(full, abs=0.03)
+    again = MO.dcc(books, holes.repartition(7, "t")).collect()[0]
+    assert again == got
+    few = MO.dcc(books, df.filter("t < 20")).collect()[0]
+    assert few.a_param is None and -1 <= few.correlation <= 1
+
+
+def test_ragged_series_are_refused():
+    import pyarrow as pa
+
+    from bookheat.functions import linalg as L
+
+    with pytest.raises(ValueError):
+        L._slice(pa.array([[1.0, 2.0], [3.0]]), 0, 2)
+
+
 def test_hmm_orders_states_by_variance(spark):
     rng = np.random.default_rng(42)
     vol = np.repeat([0.005, 0.01, 0.03], 100)
