@@ -277,8 +277,8 @@ _NL = "\n"
 define(
     "messages",
     f"""SELECT conv_id AS session_id, turn AS idx, role, conv_id % 10 AS topic, DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER) AS day,
-  CASE length(text) % 6 WHEN 0 THEN '[' || role || '] Yes.' WHEN 1 THEN '[' || role || '] no ' || text
-       WHEN 2 THEN '[' || role || '] [Replying to: "' || text || ' [x]"]{_NL}{_NL}👍🏽' WHEN 3 THEN '[other] NO!'
+  CASE length(text) % 6 WHEN 0 THEN '[' || role || '] [Replying to: "' || text || '"]{_NL}{_NL}Yes.' WHEN 1 THEN '[' || role || '] no ' || text
+       WHEN 2 THEN '[' || role || '] [Replying to: "' || text || ' [x]"]{_NL}{_NL}👍🏽' WHEN 3 THEN '[other] [Replying to: "' || text || '"] NO!'
        WHEN 4 THEN '[' || role || '] [Replying to: "' || text || '"] yes ' || text ELSE text END AS content
 FROM conversations""",
 )
@@ -314,13 +314,16 @@ def classify_replies(spark, sf):
 
 @query(
     "normalise_vote",
-    """SELECT DISTINCT v AS raw, CASE lower(trim(v)) WHEN 'yes' THEN 'yes' WHEN 'no' THEN 'no' WHEN '👍' THEN 'yes' WHEN '👍🏽' THEN 'yes' WHEN '👎' THEN 'no' END AS vote
-FROM (SELECT CASE event_type WHEN 'click' THEN ' YES ' WHEN 'view' THEN 'No' WHEN 'error' THEN '👍🏽' WHEN 'signup' THEN '👎' ELSE 'maybe' END AS v FROM events)""",
+    with_ctes(
+        "messages",
+        """SELECT DISTINCT v AS raw, CASE lower(v) WHEN 'yes' THEN 'yes' WHEN 'no' THEN 'no' WHEN '👍' THEN 'yes' WHEN '👍🏽' THEN 'yes' WHEN '👎' THEN 'no' END AS vote
+FROM (SELECT regexp_extract(content, '(\S+?)[.!]*\s*$', 1) AS v FROM messages)""",
+    ),
 )
 def normalise_vote(spark, sf):
-    words = {"click": " YES ", "view": "No", "error": "👍🏽", "signup": "👎"}
-    ev = T.table(spark, sf, "events").select(R.lookup(F.col("event_type"), words, "maybe").alias("raw")).distinct()
-    return ev.select("raw", R.normalise_vote(F.col("raw")).alias("vote"))
+    """The last word of every message, read as a vote."""
+    last = E.messages(spark, sf).select(F.regexp_extract("content", r"(\S+?)[.!]*\s*$", 1).alias("raw")).distinct()
+    return last.select("raw", R.normalise_vote(F.col("raw")).alias("vote"))
 
 
 # topic activity: days with purchase events of ten user groups

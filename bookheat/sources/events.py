@@ -67,10 +67,10 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Chat messages in reply form around the whole conversation text: (session_id, idx, role, content, ts, topic, day)."""
     n, who, body = F.length("text") % 6, F.concat(F.lit("["), F.col("role"), F.lit("] ")), F.col("text")
     content = (
-        F.when(n == 0, F.concat(who, F.lit("Yes.")))
+        F.when(n == 0, F.concat(who, F.lit('[Replying to: "'), body, F.lit('"]\n\nYes.')))
         .when(n == 1, F.concat(who, F.lit("no "), body))
         .when(n == 2, F.concat(who, F.lit('[Replying to: "'), body, F.lit(' [x]"]\n\n👍🏽')))
-        .when(n == 3, F.lit("[other] NO!"))
+        .when(n == 3, F.concat(F.lit('[other] [Replying to: "'), body, F.lit('"] NO!')))
         .when(n == 4, F.concat(who, F.lit('[Replying to: "'), body, F.lit('"] yes '), body))
         .otherwise(body)
     )
