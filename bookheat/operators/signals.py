@@ -329,6 +329,17 @@ def crisis_backtest(heat: DataFrame, returns: DataFrame, crises: DataFrame, warm
     )
 
 
+def backtest_overall(results: DataFrame, false_positives: DataFrame) -> DataFrame:
+    """Per book: crises tested and detected, their share, mean early warning of the warned ones, false alarms."""
+    overall = results.groupBy("book_id").agg(
+        F.count("*").alias("n_crises_tested"),
+        F.count_if("success").alias("n_crises_detected"),
+        F.avg(F.col("success").cast("double")).alias("overall_accuracy"),
+        F.coalesce(F.avg(F.when(F.col("warned_early"), F.col("days_early_warning"))), F.lit(0.0)).alias("avg_early_warning_days"),
+    )
+    return overall.join(false_positives, "book_id", "left").withColumn("false_positive_rate", F.coalesce("false_positive_rate", F.lit(0.0)))
+
+
 def false_positive_share(heat: DataFrame, crises: DataFrame, warm: float = C.THRESHOLDS["warm"]) -> DataFrame:
     """Share of the calm days whose trailing-window heat is warm or above, over all calm days."""
     return calm_days(heat, crises).groupBy("book_id").agg(

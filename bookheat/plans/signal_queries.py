@@ -315,6 +315,26 @@ def false_positive_rate(spark, sf):
     )
 
 
+@query(
+    "backtest_overall",
+    with_ctes(
+        ["crisis_agg", "heat", "crises"],
+        """, res AS (SELECT early_warning_days, during_heat_avg > coalesce(pre_heat_avg, 0) AND during_heat_max >= 0.4636 AS success FROM crisis_agg)
+SELECT count(*) AS n_crises_tested, count(*) FILTER (success) AS n_crises_detected, round(avg(CAST(success AS DOUBLE)), 4) + 0.0 AS overall_accuracy,
+       round(coalesce(avg(early_warning_days) FILTER (early_warning_days > 0), 0), 1) + 0.0 AS avg_early_warning_days,
+       (SELECT round(avg(CASE WHEN score >= 0.4636 THEN 1.0 ELSE 0.0 END), 4) + 0.0 FROM heat WHERE NOT EXISTS (SELECT 1 FROM crises WHERE date BETWEEN "start" AND "end")) AS false_positive_rate
+FROM res""",
+    ),
+)
+def backtest_overall(spark, sf):
+    heat, crises = HQ.heat(spark, sf), T.crises(spark)
+    o = S.backtest_overall(S.crisis_backtest(heat, portfolio(spark, sf), crises), S.false_positive_share(heat, crises))
+    return o.select(
+        "n_crises_tested", "n_crises_detected", r("overall_accuracy", 4).alias("overall_accuracy"),
+        r("avg_early_warning_days", 1).alias("avg_early_warning_days"), r("false_positive_rate", 4).alias("false_positive_rate"),
+    )
+
+
 @query(
     "history_checks",
     with_ctes(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookheat.functions import rules as R
@@ -173,8 +174,10 @@ UNION ALL SELECT book_id, symbol, round(weight, 6) + 0.0 FROM books_f WHERE book
 def stream_book_updates(spark, sf):
     cand = T.books_by_status(spark, sf, "O").filter("symbol <> 'Brand#7'").select("book_id", "symbol", "weight")
     start = T.books_by_status(spark, sf, "F").select("book_id", "symbol", "weight")
-    # one file per micro-batch would split books, so a book's rows are written to one file
-    path = J.book_updates(J.stream_of(cand.coalesce(1), "candidates"), start)
+    size = F.count("*").over(Window.partitionBy("book_id"))
+    cand = cand.withColumn("version", F.lit(1)).withColumn("positions", size)
+    # dealt by symbol, so that the rows of a book arrive in several files and micro-batches
+    path = J.book_updates(J.stream_of(cand.repartition(4, "symbol"), "candidates", 1), start)
     return J.newest_batch(spark, path).select("book_id", "symbol", r("weight").alias("weight"))
 
 

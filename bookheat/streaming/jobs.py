@@ -37,11 +37,14 @@ def read_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(pattern).schema).parquet(pattern)
 
 
-def stream_of(df: DataFrame, tag: str) -> DataFrame:
+def stream_of(df: DataFrame, tag: str, files_per_batch: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and opened as a file stream."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def run_available(stream: DataFrame, mode: str, tag: str, handle: Callable[[DataFrame, int, str], None] | None = None) -> str:
@@ -219,18 +222,28 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.05) -> str:
     """Apply streamed candidate books; every batch writes the whole new version of the book table.
 
-    A candidate that fails the checks leaves its book as it was. Returns the path of the versions.
+    Candidates carry ``version`` and ``positions``, the number of rows of that version. Rows of a version
+    wait in a table of their own until all have arrived, in whatever batches; then the newest complete
+    version of a book replaces it. One that fails the checks leaves its book as it was. Returns the path
+    of the book table's versions.
     """
 
     def apply(batch: DataFrame, batch_id: int, path: str) -> None:
         spark = batch.sparkSession
+        waiting = f"{path}-waiting"
+        current, seen = start, batch
         old = _earlier(spark, path, batch_id)
-        current = start
         if old is not None:
-            newest = old.agg(F.max("batch")).scalar()
-            current = old.filter(F.col("batch") == newest).drop("batch")
-        fresh = B.apply_book_updates(current, batch, tolerance)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            newest = F.col("batch") == batch_id - 1
+            current = old.filter(newest).drop("batch")
+            seen = batch.unionByName(_earlier(spark, waiting, batch_id).filter(newest).drop("batch"))
+        whole = seen.groupBy("book_id", "version").agg((F.count("*") >= F.max("positions")).alias("whole"))
+        last = whole.filter("whole").groupBy("book_id").agg(F.max("version").alias("last"))
+        known = seen.join(last, "book_id", "left")
+        ready = known.filter("version = last").drop("version", "positions", "last")
+        later = known.filter("last is null or version > last").drop("last")
+        B.apply_book_updates(current, ready, tolerance).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        later.write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
 
     return run_available(candidates, "append", "book-updates", apply)
 

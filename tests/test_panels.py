@@ -133,3 +133,18 @@ def test_what_if_equals_scoring_the_grown_book(x):
         others = [i for i in range(12) if i != k]
         cs = {f"S{i:03d}": np.corrcoef(x[i], x[k])[0, 1] for i in others}
         assert near == max(cs, key=lambda s: abs(cs[s])) and corr == pytest.approx(cs[near])
+
+
+def test_customer_books_are_ranked_in_their_own_history(spark):
+    from bookheat import constants as C
+    from bookheat.plans import heat_queries as HQ
+
+    got = HQ.book_heat(spark, "/root/testdata/sf0.01").toPandas().sort_values(["book_id", "date"])
+    got["inv_dr"] = 1 / got["div_ratio"].clip(lower=0.01)
+    parts = {"ar": "absorption_ratio", "turb": "turbulence", "dr": "inv_dr", "hhi": "factor_hhi", "corr": "avg_corr"}
+    assert got["book_id"].nunique() > 50
+    for _, own in got.groupby("book_id"):
+        for k in range(len(own)):
+            rank = {n: (own[c].values[: k + 1] <= own[c].values[k]).mean() for n, c in parts.items()}
+            want = sum(C.HEAT_WEIGHTS[n] * rank[n] for n in parts)
+            assert abs(own["score"].values[k] - min(max(want, 0), 1)) < 1e-9

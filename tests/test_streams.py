@@ -51,15 +51,22 @@ def test_first_write_wins_across_batches(spark):
     assert sorted((r.date.day, r.score) for r in rows) == [(2, 1.0), (3, 1.0)]
 
 
-def test_invalid_book_update_is_refused_whole(spark):
+def test_books_are_replaced_whole_and_valid_only(spark):
     cols = "book_id int, symbol string, weight double"
-    start = spark.createDataFrame([(1, "A", 1.0), (2, "A", 1.0)], cols)
+    asked = cols + ", version int, positions long"
+    start = spark.createDataFrame([(1, "A", 1.0), (2, "A", 1.0), (3, "A", 1.0), (4, "A", 1.0)], cols)
     path = scratch_path(spark, "cand")
-    spark.createDataFrame([(1, "B", 0.5), (1, "C", 0.5), (2, "B", 0.4)], cols).coalesce(1).write.parquet(path)
-    spark.createDataFrame([(1, "D", 9.0)], cols).coalesce(1).write.mode("append").parquet(path)
-    s = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(path)
+    batches = [
+        [(1, "B", 0.5, 1, 2), (2, "B", 0.4, 1, 1), (3, "B", 0.5, 1, 2)],
+        [(1, "C", 0.5, 1, 2), (4, "B", 1.0, 1, 1)],
+        [(1, "D", 9.0, 2, 1), (4, "C", 1.0, 3, 1), (4, "D", 1.0, 2, 1)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, asked).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(asked).option("maxFilesPerTrigger", 1).parquet(path)
     out = J.newest_batch(spark, J.book_updates(s, start)).collect()
-    assert {(r.book_id, r.symbol) for r in out} == {(1, "B"), (1, "C"), (2, "A")}
+    # 1 arrives in two parts, 2 is invalid, 3 stays incomplete, 4 takes its newest version
+    assert {(r.book_id, r.symbol) for r in out} == {(1, "B"), (1, "C"), (2, "A"), (3, "A"), (4, "C")}
 
 
 def test_calibration_formats(spark, tmp_path):
