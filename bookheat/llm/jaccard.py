@@ -1,8 +1,10 @@
 """Join of documents by the Jaccard similarity of their word n-grams, with signature trees.
 
 A document's set holds the hashes of its distinct n-grams. Equal sets are one node. Two sets can only be
-similar if they share one of their first tokens (the ``n - ceil(t * n) + 1`` smallest hashes), so such
-tokens route sets to cells, and cells to tasks. A first verification compares each set with one leader of
+similar if they share one of their first ``n - ceil(t * n) + 1`` tokens in an order common to all, so such
+tokens route sets to cells, and cells to tasks. The order puts tokens with few frequent words first (the
+top bits of a token say how many it has), because n-grams of frequent words meet by chance; which words
+count as frequent changes the work and never the result. A first verification compares each set with one leader of
 each cell, which settles large groups of copies in linear work. Cells that still hold several components
 are cut by size band, and further by hash into blocks, every two of which meet; a task builds a signature
 tree (``signature_trees``) over its sets and descends it against itself. Of the pairs that the bounds
@@ -34,15 +36,45 @@ from bookheat.llm.hashing import WordHashes, grams, member, membership, mix
 from bookheat.llm.signature_trees import Tree, common, demanded, signature
 from bookheat.session import stage
 
+FREQUENT_WORDS = 4096
+LEAST_IN_CHUNK = 16
+CLASS_BITS = 3
 BLOCK = 1024
 GROUP_ROWS = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def token_set(text: str, n: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct n-gram hashes of a text, ascending."""
-    h = hashes.of(text.encode().translate(_LOWER).split())
-    return np.unique(grams(h, min(n, len(h)))) if len(h) else np.zeros(0, np.uint64)
+def _words(text: str, hashes: WordHashes) -> np.ndarray:
+    return hashes.of(text.encode().translate(_LOWER).split())
+
+
+def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
+    """Hashes of the most frequent words, ascending; at most ``FREQUENT_WORDS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in chunks(batches, "text"):
+            word, times = np.unique(np.concatenate([_words(t or "", hashes) for t in b.column("text").to_pylist()]), return_counts=True)
+            keep = times >= LEAST_IN_CHUNK
+            yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(times[keep])], ["word", "times"])
+
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    top = counts.orderBy(F.desc("times"), "word").limit(FREQUENT_WORDS).select("word").toArrow()
+    return np.sort(top.column("word").to_numpy().view(np.uint64))
+
+
+def token_set(text: str, n: int, hashes: WordHashes, frequent: np.ndarray) -> np.ndarray:
+    """Distinct n-grams of a text as hashes under the number of their frequent words, ascending."""
+    h = _words(text, hashes)
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    width = min(n, len(h))
+    known = np.zeros(len(h) + 1, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        known[1:] = np.cumsum(frequent[at] == h)
+    level = np.minimum(known[width:] - known[:-width], (1 << CLASS_BITS) - 1).astype(np.uint64)
+    return np.unique((grams(h, width) >> np.uint64(CLASS_BITS)) | (level << np.uint64(64 - CLASS_BITS)))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -50,7 +82,7 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n`` (size), ``s`` (key of the set), ``first`` (routing tokens), ``sig`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +90,7 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id"
         for b in chunks(batches, "text"):
             sizes, keys, first, sigs = [], [], [], []
             for t in b.column("text").to_pylist():
-                tokens = token_set(t or "", n, hashes)
+                tokens = token_set(t or "", n, hashes, frequent)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 first.append(tokens[: len(tokens) + (-num * len(tokens)) // den + 1 if len(tokens) else 0].view(np.int64))
@@ -71,10 +103,11 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id"
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """``tok``, ``s``, ``n``, ``leader`` of the sets that share a routing token with another set."""
+    """``tok``, ``s``, ``n``, ``leader``, ``leader_n`` of the sets that share a routing token with another."""
     known = rows.filter("id is not null and n > 0")
-    each = known.select("s", F.explode("first").alias("tok")).groupBy("tok")
-    shared = stage(each.agg(F.min("s").alias("leader"), F.max("s").alias("high")).filter("leader <> high").select("tok", "leader"), "shared-tokens")
+    each = known.select("s", "n", F.explode("first").alias("tok")).groupBy("tok")
+    ends = each.agg(F.min(F.struct("s", "n")).alias("low"), F.max("s").alias("high")).filter("low.s <> high")
+    shared = stage(ends.select("tok", F.col("low.s").alias("leader"), F.col("low.n").alias("leader_n")), "shared-tokens")
     words = rows.sparkSession.sparkContext.broadcast(membership(shared, "tok"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,14 +160,14 @@ def _beside(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
 class Verifier:
     """Exact check of pairs of set keys; reads the sets of the pairs it is given from the texts."""
 
-    def __init__(self, docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, doc_id: str, text: str):
+    def __init__(self, docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, doc_id: str, text: str):
         self.docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
         self.owners = rows.filter("id is not null and n > 0").groupBy("s").agg(F.min("id").alias("id"))
-        self.n, self.num, self.den = n, num, den
+        self.n, self.num, self.den, self.frequent = n, num, den, frequent
 
     def sets(self, keys: DataFrame) -> DataFrame:
         """``s`` and ``x`` (packed tokens) of the keys asked for."""
-        n, spark = self.n, keys.sparkSession
+        n, frequent, spark = self.n, self.frequent, keys.sparkSession
         owners = self.owners.join(keys, "s", "left_semi").select(F.xxhash64("id").alias("h"))
         words = spark.sparkContext.broadcast(membership(owners, "h"))
 
@@ -142,7 +175,7 @@ class Verifier:
             hashes = WordHashes()
             for b in chunks(batches, "text"):
                 b = b.filter(pa.array(member(words.value, b.column("h").to_numpy().view(np.uint64))))
-                found = [t for t in (token_set(x or "", n, hashes) for x in b.column("text").to_pylist()) if len(t)]
+                found = [t for t in (token_set(x or "", n, hashes, frequent) for x in b.column("text").to_pylist()) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["s", "x"])
 
         got = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "s long, x binary")
@@ -168,8 +201,9 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
     # sets whose sizes allow a link lie in one band or in neighbouring ones, and meet in the upper band's group
     band = F.floor(F.log("n") / step).cast("int")
     rows = named.join(mixed, "tok").withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    size = rows.groupBy("tok", "band").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    size = size.filter("lo <> hi").select("tok", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    size = rows.groupBy("tok", "band").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("own").alias("top"))
+    # pairs of the lower band alone meet in that band's own group
+    size = size.filter("lo <> hi and top = band").select("tok", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(size, ["tok", "band"]).withColumn("k", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("tok", "band", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "s", "n", "c")
@@ -207,15 +241,16 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
 
 def join_components(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` of every row of ``docs`` for a similarity of num / den."""
-    rows = profiles(docs, n, num, den, doc_id, text)
+    frequent = frequent_words(docs, text)
+    rows = profiles(docs, n, num, den, frequent, doc_id, text)
     cell = cells(rows)
     routed = cell.select("s").distinct()
     sets = rows.filter("n > 0").join(routed, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = stage(sets, "signatures")
-    check = Verifier(docs, rows, n, num, den, doc_id, text)
-    stars = cell.filter("s <> leader").select(F.col("s").alias("a"), F.col("leader").alias("b")).distinct()
-    sized = sets.withColumnRenamed("sig", "x")
-    near = _beside(stars, sized, "n", "x").filter(f"{den} * na >= {num} * nb and {den} * nb >= {num} * na")
+    check = Verifier(docs, rows, n, num, den, frequent, doc_id, text)
+    fit = cell.filter(f"s <> leader and {den} * n >= {num} * leader_n and {den} * leader_n >= {num} * n")
+    stars = fit.select(F.col("s").alias("a"), F.col("leader").alias("b")).distinct()
+    near = _beside(stars, sets.withColumnRenamed("sig", "x"), "n", "x")
     near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_overlap_possible(num, den), "a long, b long")
     links = check.links(near)
     reach = components(links, "a", "b")
