@@ -316,7 +316,7 @@ def classify_replies(spark, sf):
     "normalise_vote",
     with_ctes(
         "messages",
-        """SELECT DISTINCT v AS raw, CASE lower(v) WHEN 'yes' THEN 'yes' WHEN 'no' THEN 'no' WHEN '👍' THEN 'yes' WHEN '👍🏽' THEN 'yes' WHEN '👎' THEN 'no' END AS vote
+        r"""SELECT DISTINCT v AS raw, CASE lower(v) WHEN 'yes' THEN 'yes' WHEN 'no' THEN 'no' WHEN '👍' THEN 'yes' WHEN '👍🏽' THEN 'yes' WHEN '👎' THEN 'no' END AS vote
 FROM (SELECT regexp_extract(content, '(\S+?)[.!]*\s*$', 1) AS v FROM messages)""",
     ),
 )
