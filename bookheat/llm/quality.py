@@ -44,32 +44,48 @@ class Model(NamedTuple):
     logit: np.ndarray  # difference of the logits, by feature
 
 
-class Words(dict):
-    """Word to its number; holds hash and features (as given by ``of``) of each word by number."""
-
-    def __init__(self, of=None):
-        self.of, self.hash, self.sum, self.count = of, [], [], []
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word; word (by place) and feature of all their words and character n-grams."""
+    h = np.fromiter((xxhash.xxh32_intdigest(w.encode()) for w in words), np.int64, len(words))
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    of = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the word's end
+    owner, feature = [np.arange(len(words))], [h & _TOP]
+    for n in GRAMS:
+        if len(codes) < n:
+            continue
+        g = np.zeros(len(codes) - n + 1, np.uint64)
+        for j in range(n):
+            g = g * np.uint64(0xD6E8FEB86659FD93) + codes[j : j + len(g)] + np.uint64(n)
+        g = (g ^ (g >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        at = np.flatnonzero(left[: len(g)] >= n)
+        owner.append(of[at])
+        feature.append((g[at] >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    return h, np.concatenate(owner), np.concatenate(feature)
 
-    def __missing__(self, word: str) -> int:
-        h, feats = word_features(word)
-        self[word] = n = len(self.hash)
-        self.hash.append(h)
-        self.sum.append(float(self.of[feats].sum()) if self.of is not None else feats)
-        self.count.append(len(feats))
-        return n
 
-    def numbers(self, text: str) -> np.ndarray:
-        if len(self.hash) >= MEMORY_WORDS:
-            self.clear()
-            self.hash, self.sum, self.count = [], [], []
-        return np.fromiter(map(self.__getitem__, text.split()), np.int64)
+class Words(dict):
+    """Word to its number; by number the word's hash and the sum and count of its features' logits."""
 
+    def __init__(self, logit: np.ndarray):
+        self.logit = logit
+        self.hash, self.sum, self.count = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
 
-def word_features(word: str) -> tuple[int, np.ndarray]:
-    h = xxhash.xxh32_intdigest(word.encode())
-    edged = f"<{word}>"
-    grams = [xxhash.xxh32_intdigest(edged[i : i + n].encode(), 1) & _TOP for n in GRAMS for i in range(len(edged) - n + 1)]
-    return h, np.array([h & _TOP, *grams], np.int64)
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each text."""
+        split = [t.split() for t in texts]
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+            self.hash, self.sum, self.count = self.hash[:0], self.sum[:0], self.count[:0]
+        new = list(set().union(*split).difference(self))
+        if new:
+            h, owner, feature = word_features(new)
+            self.update(zip(new, range(len(self.hash), len(self.hash) + len(new))))
+            self.hash = np.concatenate([self.hash, h])
+            self.sum = np.concatenate([self.sum, np.bincount(owner, self.logit[feature], len(new))])
+            self.count = np.concatenate([self.count, np.bincount(owner, minlength=len(new))])
+        return [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in split]
 
 
 def pair_features(h: np.ndarray) -> np.ndarray:
@@ -80,18 +96,19 @@ def pair_features(h: np.ndarray) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
     for b in chunks(batches, "text"):
         feats, shares = [], []
         for t in b.column("text").to_pylist():
-            n = words.numbers(t)
-            own, times = np.unique(n, return_counts=True)
-            parts = [words.sum[k] for k in own]
-            f = np.concatenate([*parts, pair_features(np.array(words.hash, np.int64)[n])]) if len(n) else np.zeros(0, np.int64)
-            c = np.concatenate([*(np.full(len(p), k) for p, k in zip(parts, times)), np.ones(max(0, len(n) - 1))]) if len(n) else np.zeros(0)
+            words = t.split()
+            own = sorted(set(words))
+            place = {w: k for k, w in enumerate(own)}
+            n = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            h, owner, feature = word_features(own)
+            f = np.concatenate([feature, pair_features(h[n])])
+            c = np.concatenate([np.bincount(n, minlength=len(own))[owner], np.ones(max(0, len(n) - 1), np.int64)])
             f, back = np.unique(f, return_inverse=True)
             feats.append(f.astype(np.int32))
-            shares.append((np.bincount(back, c, len(f)) / max(1.0, c.sum())).astype(np.float32))
+            shares.append((np.bincount(back, c, len(f)) / max(1, c.sum())).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("y"), pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
             ["doc_id", "y", "features", "shares"],
@@ -153,16 +170,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         words = Words(model.logit)
         for b in chunks(batches, text):
             raws = []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                n = words.numbers(t or "")
-                if not len(n):
-                    raws.append(model.bias)
-                    continue
-                own, place, times = np.unique(n, return_inverse=True, return_counts=True)
-                sums, counts = np.array([words.sum[k] for k in own]), np.array([words.count[k] for k in own])
-                pairs = pair_features(np.array([words.hash[k] for k in own], np.int64)[place])
-                total = (sums * times).sum() + model.logit[pairs].sum()
-                raws.append(model.bias + total / ((counts * times).sum() + len(pairs)))
+            for n in words.numbers([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]):
+                pairs = pair_features(words.hash[n])
+                total = words.sum[n].sum() + model.logit[pairs].sum()
+                raws.append(model.bias + total / max(1.0, words.count[n].sum() + len(pairs)))
             p = 1 / (1 + np.exp(-np.clip(np.array(raws), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*keep, into])
 
