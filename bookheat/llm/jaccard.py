@@ -8,10 +8,11 @@ count as frequent changes the work and never the result. A first verification co
 each cell, which settles large groups of copies in linear work. Cells that still hold several components
 are cut by size band, and further by hash into blocks, every two of which meet; a task builds a signature
 tree (``signature_trees``) over its sets and descends it against itself. Of the pairs that the bounds
-leave, each set's best is verified first, then all that still join different components. So every pair
+leave, all are verified; where a tree leaves very many, each set's best first and then all that still join
+different components. So every pair
 of different sets that could be similar is verified, pruned by a bound, or already connected by links.
 
-Sizes: shuffled are the first tokens (a tenth of all at 0.9), counted on the map side, bitmaps of half a
+Sizes: shuffled are the first tokens (a tenth of all at 0.9), counted on the map side, bitmaps of a quarter
 byte per token for sets in open cells, and whole sets only for pairs that pass the bounds; a filter of
 fixed size picks them at the second reading of the texts. Sets and tokens are told apart by 64-bit hashes.
 
@@ -23,7 +24,9 @@ rows share a component; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,14 @@ from bookheat.session import stage
 FREQUENT_WORDS = 4096
 LEAST_IN_CHUNK = 16
 CLASS_BITS = 3
+FEW = 4
 BLOCK = 1024
 GROUP_ROWS = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _words(text: str, hashes: WordHashes) -> np.ndarray:
-    return hashes.of(text.encode().translate(_LOWER).split())
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
 
 
 def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
@@ -54,27 +58,36 @@ def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in chunks(batches, "text"):
-            word, times = np.unique(np.concatenate([_words(t or "", hashes) for t in b.column("text").to_pylist()]), return_counts=True)
-            keep = times >= LEAST_IN_CHUNK
-            yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(times[keep])], ["word", "times"])
+            times = Counter(chain.from_iterable(_split(t) for t in b.column("text").to_pylist()))
+            often = [w for w, k in times.items() if k >= LEAST_IN_CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.of(often).view(np.int64)), pa.array([times[w] for w in often], pa.int64())], ["word", "times"])
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
     top = counts.orderBy(F.desc("times"), "word").limit(FREQUENT_WORDS).select("word").toArrow()
     return np.sort(top.column("word").to_numpy().view(np.uint64))
 
 
-def token_set(text: str, n: int, hashes: WordHashes, frequent: np.ndarray) -> np.ndarray:
-    """Distinct n-grams of a text as hashes under the number of their frequent words, ascending."""
-    h = _words(text, hashes)
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    width = min(n, len(h))
+def token_sets(texts: list[str | None], n: int, hashes: WordHashes, frequent: np.ndarray) -> list[np.ndarray]:
+    """Distinct n-grams of each text as hashes under the number of their frequent words, ascending."""
+    parts = [hashes.of(_split(t)) for t in texts]
+    ends = np.cumsum([len(p) for p in parts])
+    h = np.concatenate(parts)
     known = np.zeros(len(h) + 1, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         known[1:] = np.cumsum(frequent[at] == h)
-    level = np.minimum(known[width:] - known[:-width], (1 << CLASS_BITS) - 1).astype(np.uint64)
-    return np.unique((grams(h, width) >> np.uint64(CLASS_BITS)) | (level << np.uint64(64 - CLASS_BITS)))
+
+    def tokens(lo: int, hi: int, width: int) -> np.ndarray:
+        level = np.minimum(known[lo + width : hi + 1] - known[lo : hi + 1 - width], (1 << CLASS_BITS) - 1).astype(np.uint64)
+        return (grams(h[lo:hi], width) >> np.uint64(CLASS_BITS)) | (level << np.uint64(64 - CLASS_BITS))
+
+    # laid end to end; the grams that reach over an end belong to no text
+    every = tokens(0, len(h), n) if len(h) >= n else h[:0]
+    out = []
+    for end, p in zip(ends.tolist(), parts):
+        lo = end - len(p)
+        out.append(np.unique(every[lo : end - n + 1] if len(p) >= n else tokens(lo, end, len(p)) if len(p) else h[:0]))
+    return out
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -88,14 +101,14 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in chunks(batches, "text"):
-            sizes, keys, first, sigs = [], [], [], []
-            for t in b.column("text").to_pylist():
-                tokens = token_set(t or "", n, hashes, frequent)
-                sizes.append(len(tokens))
-                keys.append(set_key(tokens) if len(tokens) else None)
-                first.append(tokens[: len(tokens) + (-num * len(tokens)) // den + 1 if len(tokens) else 0].view(np.int64))
-                sigs.append(signature(tokens) if len(tokens) else None)
-            cols = [b.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            sets = token_sets(b.column("text").to_pylist(), n, hashes, frequent)
+            sizes = np.array([len(x) for x in sets])
+            first = [x[: len(x) + (-num * len(x)) // den + 1 if len(x) else 0] for x in sets]
+            ends = np.cumsum([0, *map(len, first)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+            keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
+            sigs = pa.array([signature(x) if len(x) else None for x in sets], pa.binary())
+            cols = [b.column("id"), pa.array(sizes, pa.int64()), keys, lists, sigs]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s", "first", "sig"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -103,7 +116,10 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """``tok``, ``s``, ``n``, ``leader``, ``leader_n`` of the sets that share a routing token with another."""
+    """``tok``, ``s``, ``n``, ``leader``, ``leader_n`` of the sets that share a routing token with another.
+
+    Of the tokens that the very same sets have, such as those of one passage, the smallest stands for all.
+    """
     known = rows.filter("id is not null and n > 0")
     each = known.select("s", "n", F.explode("first").alias("tok")).groupBy("tok")
     ends = each.agg(F.min(F.struct("s", "n")).alias("low"), F.max("s").alias("high")).filter("low.s <> high")
@@ -120,7 +136,10 @@ def cells(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), b.column("s").take(at), b.column("n").take(at)], ["tok", "s", "n"])
 
     sent = known.select("first", "s", "n").mapInArrow(pick, "tok long, s long, n long")
-    return stage(sent.groupBy("tok", "s").agg(F.first("n").alias("n")).join(shared, "tok"), "cells")
+    rows = stage(sent.groupBy("tok", "s").agg(F.first("n").alias("n")).join(shared, "tok"), "cells")
+    same = rows.groupBy("tok").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "s")).alias("y"))
+    one = same.groupBy("m", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
+    return stage(rows.join(one, "tok", "left_semi"), "cells")
 
 
 def _overlap_possible(num: int, den: int):
@@ -175,7 +194,9 @@ class Verifier:
             hashes = WordHashes()
             for b in chunks(batches, "text"):
                 b = b.filter(pa.array(member(words.value, b.column("h").to_numpy().view(np.uint64))))
-                found = [t for t in (token_set(x or "", n, hashes, frequent) for x in b.column("text").to_pylist()) if len(t)]
+                if not b.num_rows:
+                    continue
+                found = [t for t in token_sets(b.column("text").to_pylist(), n, hashes, frequent) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["s", "x"])
 
         got = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "s long, x binary")
@@ -189,12 +210,12 @@ class Verifier:
         return stage(both.mapInArrow(_similar(self.num, self.den), "a long, b long"), "set-links")
 
 
-def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Pairs of sets of one cell, in different components, that signature trees leave.
+def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den: int, few: bool) -> DataFrame:
+    """Pairs (a, b) of sets of one cell, in different components, that signature trees leave.
 
-    ``best`` keeps for each set and tree the pair with the largest bound.
+    With ``few`` a tree that leaves more than ``FEW`` pairs per set gives only each set's pair with the
+    largest bound, and a row without ``b`` that names its ``tok``, to be asked again.
     """
-    # a little wider than the ratio, so that rounding puts no such pair two bands apart
     step = math.log(den / num) * (1 + 1e-9)
     named = cell.join(reach, F.col("s") == F.col("node"), "left").select("tok", "s", "n", F.coalesce("component", "s").alias("c"))
     mixed = named.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
@@ -216,7 +237,7 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
         order = np.lexsort((s, n, c, j, i, band, tok))
         keys = np.stack([tok, band, i, j])[:, order]
         cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0), [True]]))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        out_a, out_b, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for lo, hi in zip(cuts, cuts[1:]):
             at = order[lo:hi]
             if hi - lo < 2 or c[at[0]] == c[at[-1]]:
@@ -225,18 +246,21 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
             if not found:
                 continue
             a, b, slack = (np.concatenate(x) for x in zip(*found))
-            if best:
+            if few and len(a) > FEW * len(at):
+                again.append(tok[at[0]])
                 ends, others, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([slack, slack])
                 rank = np.lexsort((others, -value, ends))
                 head = rank[np.flatnonzero(np.diff(ends[rank], prepend=-1))]
                 a, b = ends[head], others[head]
             out_a.append(s[at[a]])
             out_b.append(s[at[b]])
-        return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+        a, b = pa.array([*np.concatenate(out_a), *again], pa.int64()), pa.array([*np.concatenate(out_b), *[None] * len(again)], pa.int64())
+        return pa.table([a, b], ["a", "b"])
 
     placed = rows.join(sets.select("s", "sig"), "s").withColumn("g", F.pmod(F.xxhash64("tok", "band", "i", "j"), F.lit(groups)))
     found = placed.groupBy("g").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ordered = [F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("b").isNotNull(), F.greatest("a", "b"))]
+    return stage(found.select(ordered[0].alias("a"), ordered[1].alias("b")).distinct(), "open-pairs")
 
 
 def join_components(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,9 +278,11 @@ def join_components(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "
     near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_overlap_possible(num, den), "a long, b long")
     links = check.links(near)
     reach = components(links, "a", "b")
-    for best in (True, False):
-        links = links.unionAll(check.links(open_pairs(cell, sets, reach, num, den, best)))
+    for few in (True, False):
+        pairs = open_pairs(cell, sets, reach, num, den, few)
+        links = links.unionAll(check.links(pairs.filter("b is not null")))
         reach = components(links, "a", "b")
+        cell = cell.join(pairs.filter("b is null").select(F.col("a").alias("tok")), "tok", "left_semi")
     owners = rows.filter("id is not null and n > 0").groupBy("s").agg(F.min("id").alias("own"))
     owners = owners.join(reach, F.col("s") == F.col("node"), "left").select("s", "own", F.coalesce("component", "s").alias("c"))
     least = owners.groupBy("c").agg(F.min("own").alias("component_id"))

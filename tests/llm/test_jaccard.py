@@ -88,3 +88,14 @@ def test_tree_loses_no_pair():
             if 100 * both >= 90 * (n[a] + n[b] - both):
                 assert (a, b) in found
     assert len(found) < len(sets) ** 2 / 4
+
+
+def test_trees_that_leave_many_pairs_are_asked_again(spark, monkeypatch):
+    from bookheat.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(200)]
+    docs = [(k, " ".join(w if rng.random() > 0.012 else f"x{rng.randint(0, 99)}" for w in base)) for k in range(50)]
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in join_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == brute(docs, 3, 90, 100)
