@@ -14,11 +14,11 @@ import numpy as np
 LEAF = 8
 FRONT_WORDS = 4_000_000
 MIN_BITS = 64
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 2
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap of a set of hashed tokens; its length is a power of two of about four bits per token."""
+    """Bitmap of a set of hashed tokens; its length is a power of two of about two bits per token."""
     bits = max(MIN_BITS, 1 << int(np.ceil(np.log2(max(1, BITS_PER_TOKEN * len(tokens))))))
     flags = np.zeros(bits, np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
