@@ -18,6 +18,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from bookheat.session import spread
 
 
+#: Rows that a task gathers before it hands them on.
+ROWS_AT_ONCE = 50_000
+
+
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)  # type: ignore[return-value]
 
@@ -66,12 +70,15 @@ def map_packed(
                 made = fn({n: _slice(v, lo, hi) for n, v in fields.items()})
                 rows.extend(made)
                 owner.extend([g] * len(made))
-            take = pa.array(owner, pa.int64())
-            cols = [batch.column(batch.schema.get_field_index(k)).take(take) for k in keys]
-            values = list(zip(*rows)) if rows else [()] * n_out
-            cols += [pa.array(v, arrow_schema.field(len(keys) + i).type) for i, v in enumerate(values)]
-            cols = [c.cast(arrow_schema.field(i).type) for i, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
+                if len(rows) < ROWS_AT_ONCE and g + 1 < len(batch):
+                    continue
+                take = pa.array(owner, pa.int64())
+                cols = [batch.column(batch.schema.get_field_index(k)).take(take) for k in keys]
+                values = list(zip(*rows)) if rows else [()] * n_out
+                cols += [pa.array(v, arrow_schema.field(len(keys) + i).type) for i, v in enumerate(values)]
+                cols = [c.cast(arrow_schema.field(i).type) for i, c in enumerate(cols)]
+                owner, rows = [], []
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
     return packed.select(*keys, items).mapInArrow(run, out_schema)
 
@@ -99,6 +106,17 @@ def ewma_correlation(x: np.ndarray, span: int) -> np.ndarray:
     return c
 
 
+def pct_rank_incl(v: np.ndarray, rows: int) -> np.ndarray:
+    """Share of the last ``rows`` values up to each one, itself included, that are <= it."""
+    size, out = min(rows, len(v)), []
+    padded = np.concatenate([np.full(size - 1, np.inf), v])
+    for lo in range(0, len(v), 4096):
+        own = v[lo : lo + 4096]
+        seen = np.lib.stride_tricks.sliding_window_view(padded[lo : lo + len(own) + size - 1], size)
+        out.append((seen <= own[:, None]).sum(axis=1) / np.minimum(np.arange(lo, lo + len(own)) + 1, size))
+    return np.concatenate(out)
+
+
 def absorption_ratio(x: np.ndarray, components: int | None = None) -> float:
     """Share of variance in the top eigenvalues; rows are assets. Neutral .5 when too small."""
     n, t = x.shape

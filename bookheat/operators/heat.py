@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
+from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import factors as X
 from bookheat.operators import metrics as M
 from bookheat.operators import panel as P
+from bookheat.session import broadcast_if_bounded
+
+#: Numbers of one window matrix that a book's days are computed over at once.
+CHUNK_NUMBERS = 1_000_000
+MAX_BROADCAST_DAYS = 50_000
+RANKS = {
+    "ar_pct": "absorption_ratio",
+    "turbulence_pct": "turbulence",
+    "div_ratio_pct": "inv_dr",
+    "factor_hhi_pct": "factor_hhi",
+    "avg_corr_pct": "avg_corr",
+}
 
 
 def components(books: DataFrame, windowed: DataFrame, factors: DataFrame) -> DataFrame:
@@ -51,15 +65,13 @@ def blend(parts: DataFrame, history: DataFrame | None = None, rows: int = C.HIST
     if history is not None:
         df = df.unionByName(history.select(*parts.columns).withColumn("_keep", F.lit(False)))
     df = df.withColumn("inv_dr", M.inverse_dr(F.col("div_ratio")))
-    ranks = {
-        "ar_pct": "absorption_ratio",
-        "turbulence_pct": "turbulence",
-        "div_ratio_pct": "inv_dr",
-        "factor_hhi_pct": "factor_hhi",
-        "avg_corr_pct": "avg_corr",
-    }
-    for out, col in ranks.items():
+    for out, col in RANKS.items():
         df = df.withColumn(out, M.pct_rank_incl(col, ["book_id"], "date", rows))
+    return _scored(df.filter("_keep")).drop("_keep", "inv_dr")
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    """Adds score, level and action to rows with the five ranks."""
     w = C.HEAT_WEIGHTS
     score = (
         w["ar"] * F.col("ar_pct")
@@ -69,11 +81,9 @@ def blend(parts: DataFrame, history: DataFrame | None = None, rows: int = C.HIST
         + w["corr"] * F.col("avg_corr_pct")
     )
     return (
-        df.filter("_keep")
-        .withColumn("score", R.clip(score, 0.0, 1.0))
+        df.withColumn("score", R.clip(score, 0.0, 1.0))
         .withColumn("level", R.classify_heat(F.col("score")))
         .withColumn("action", R.heat_action(F.col("level")))
-        .drop("_keep", "inv_dr")
     )
 
 
@@ -82,6 +92,68 @@ def rolling_heat(books: DataFrame, returns: DataFrame, factors: DataFrame, windo
     return blend(components(books, P.windows(returns, "simple", window, include_current=False), factors))
 
 
+def _slopes(series: np.ndarray, window: int) -> np.ndarray:
+    """Matrices that take the ``window`` values before each day to their slopes on the factor ``series``."""
+    days = np.lib.stride_tricks.sliding_window_view(series[:, :-1], window, axis=1).transpose(1, 2, 0)
+    design = np.concatenate([np.ones((*days.shape[:2], 1)), days], axis=2)
+    across = design.transpose(0, 2, 1)
+    return (np.linalg.pinv(across @ design) @ across)[:, 1:]
+
+
+def own_history(
+    books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS
+) -> DataFrame:
+    """``rolling_heat`` for many books: every day of a book from one packed row, ranks included.
+
+    A symbol comes to its books once, as its whole return series. A book's exposures are the slopes of its
+    weighted returns, so the factor regression of a day is solved once for all books and symbols.
+    """
+    vectors = (
+        returns.groupBy("symbol")
+        .agg(F.array_sort(F.collect_list(F.struct("t", "simple"))).alias("s"))
+        .select("symbol", F.transform("s", lambda e: e["simple"]).alias("x"))
+        .join(F.broadcast(factors), "symbol", "left")
+    )
+    block = sorted((f.factor, f.x) for f in vectors.filter("factor is not null").collect())
+    names = [f for f, _ in block]
+    slopes = _slopes(np.array([x for _, x in block]), window) if block and len(block[0][1]) > window else None
+
+    def one(rec: dict) -> list[tuple]:
+        x, w, symbols = rec["x"], rec["weight"], np.array(rec["symbol"], dtype=object)
+        plain = np.array([f is None for f in rec["factor"]])
+        days = x.shape[1] - window
+        if days < 1:
+            return []
+        seen = np.lib.stride_tricks.sliding_window_view(x[:, :-1], window, axis=1).transpose(1, 0, 2)
+        step = max(1, CHUNK_NUMBERS // (len(w) * max(len(w), window)))
+        cut = [M.components_by_day(seen[lo : lo + step], w) for lo in range(0, days, step)]
+        ar, turb, dr, corr, a, b, top = (np.concatenate(c) for c in zip(*cut))
+        hhi, dominant = np.zeros(days), ["none"] * days
+        if plain.any() and slopes is not None:
+            held = np.lib.stride_tricks.sliding_window_view((w[plain] @ x[plain])[:-1], window)
+            size = np.abs((slopes @ held[:, :, None])[:, :, 0])
+            total = size.sum(axis=1)
+            hhi = np.divide((size**2).sum(axis=1), total**2, out=hhi, where=total > 0)
+            dominant = [names[len(names) - 1 - k] for k in size[:, ::-1].argmax(axis=1)]
+        inv = 1.0 / np.maximum(dr, 0.01)
+        ranks = [L.pct_rank_incl(v, rows) for v in (ar, turb, inv, hhi, corr)]
+        pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(a, b)]
+        numbers = [v.tolist() for v in (ar, turb, dr, hhi, corr)]
+        return list(zip(range(window, window + days), *numbers, dominant, pair, top.tolist(), *[v.tolist() for v in ranks]))
+
+    made = L.map_groups(
+        M.members(books, vectors, rolling=False),
+        ["book_id"],
+        ["symbol", "weight", "x", "factor"],
+        one,
+        "t int, absorption_ratio double, turbulence double, div_ratio double, factor_hhi double, avg_corr double, "
+        f"dominant_factor string, top_pair string, top_corr double, {', '.join(f'{c} double' for c in RANKS)}",
+        placed=True,
+    )
+    dates = broadcast_if_bounded(returns.select("t", "date").distinct(), MAX_BROADCAST_DAYS)
+    return _scored(made.join(dates, "t"))
+
+
 def latest_components(books: DataFrame, returns: DataFrame, factors: DataFrame, window: int) -> DataFrame:
     """Components of every book at the newest date, window including that date."""
     newest = returns.agg(F.max("t")).scalar()

@@ -69,6 +69,56 @@ def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     )
 
 
+def components_by_day(x: np.ndarray, w: np.ndarray, span: int = C.EWMA_SPAN) -> tuple[np.ndarray, ...]:
+    """``window_metrics`` of one book on many days: ``x`` is (days, positions, window).
+
+    Gives absorption ratio, turbulence, diversification ratio, mean correlation, places of the top pair
+    and its correlation, an array of days each.
+    """
+    days, n, t = x.shape
+    corr, top = np.zeros(days), np.zeros(days)
+    a = b = np.zeros(days, np.int64)
+    d = x - x.mean(axis=2, keepdims=True)
+    gram = d @ d.transpose(0, 2, 1)
+    size = np.diagonal(gram, axis1=1, axis2=2)
+    if n >= 2:
+        k = (1 - 2.0 / (span + 1)) ** np.arange(t - 1, -1, -1)
+        e = x - (x @ k / k.sum())[:, :, None]
+        c = (e * k) @ e.transpose(0, 2, 1) / k.sum()
+        s = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
+        s = np.where(s == 0, 1e-10, s)
+        c = c / (s[:, :, None] * s[:, None, :])
+        diag = np.arange(n)
+        c[:, diag, diag] = 1.0
+        corr = (c.sum(axis=(1, 2)) - n) / (n * (n - 1))
+        off = np.abs(c)
+        off[:, diag, diag] = 0.0
+        a, b = np.unravel_index(np.round(off, 12).reshape(days, -1).argmax(axis=1), (n, n))
+        top = c[np.arange(days), a, b]
+    ar = np.full(days, 0.5)
+    if t >= 10 and n >= 3:
+        total = size.sum(axis=1) / t
+        small = gram if n <= t else d.transpose(0, 2, 1) @ d
+        most = np.linalg.eigvalsh(small / (t - 1))[:, -max(1, n // 5) :].sum(axis=1)
+        ar = np.clip(np.divide(most, total, out=ar, where=total > 0), 0.0, 1.0)
+    turb = np.zeros(days)
+    if t - 1 >= 30 and n >= 2:
+        # around the mean of the days before the last, from the sums around the mean of all
+        last = d[:, :, -1]
+        gap = last * (t / (t - 1))
+        cov = (gram - last[:, :, None] * gap[:, None, :]) / (t - 2) + 1e-8 * np.eye(n)
+        try:
+            turb = np.maximum((gap * np.linalg.solve(cov, gap[:, :, None])[:, :, 0]).sum(axis=1), 0.0)
+        except np.linalg.LinAlgError:
+            turb = np.array([L.turbulence(one) for one in x])
+    dr, gross = np.ones(days), np.abs(w).sum()
+    if n >= 2 and t >= 20 and gross > 0:
+        share = w / gross
+        vol = np.sqrt(np.maximum(np.var(share @ x, axis=1, ddof=1), 1e-12))
+        dr = np.maximum(np.sqrt(size / (t - 1)) @ np.abs(share) / vol, 1.0)
+    return ar, turb, dr, corr, a, b, top
+
+
 def diversification_ratio(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> DataFrame:
     """Σ|w|σ over portfolio volatility, from the portfolio return series (no pairs)."""
     keys = ["book_id", "t"]

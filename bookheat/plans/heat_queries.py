@@ -52,16 +52,11 @@ def heat(spark, sf):
 
 
 def book_heat(spark, sf):
-    """Heat of every customer book at the last day of each quarter, ranked in its own history; staged."""
+    """Heat of every customer book on every row day, ranked in its own history; staged."""
 
     def build():
-        days = T.returns(spark, sf).select("t", "date").distinct()
-        marks = days.groupBy(F.trunc("date", "quarter")).agg(F.max("t").alias("t")).select("t")
-        windows = replay_windows(spark, sf).join(marks, "t", "left_semi")
         own = T.books(spark, sf).select("book_id", "symbol", "weight")
-        raw = M.window_metrics(M.members(own, windows))
-        hhi = X.factor_hhi(X.aggregate_exposures(exposures(spark, sf).join(marks, "t", "left_semi"), own))
-        return H.blend(H.join_components(raw, hhi))
+        return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark))
 
     return staged(spark, sf, "book-heat", build)
 

@@ -148,3 +148,42 @@ def test_customer_books_are_ranked_in_their_own_history(spark):
             rank = {n: (own[c].values[: k + 1] <= own[c].values[k]).mean() for n, c in parts.items()}
             want = sum(C.HEAT_WEIGHTS[n] * rank[n] for n in parts)
             assert abs(own["score"].values[k] - min(max(want, 0), 1)) < 1e-9
+
+
+def test_every_day_of_a_book_is_scored_and_equals_the_rolling_replay(spark, x):
+    from bookheat import constants as C
+
+    returns = panel(spark, x)
+    rng = np.random.default_rng(4)
+    rows = [(k, f"S{i:03d}", float(v)) for k, n in enumerate((1, 2, 3, 23)) for i, v in zip(rng.permutation(23)[:n], rng.dirichlet(np.ones(n)))]
+    rows += [(9, "S000", 0.4), (9, "S001", 0.6)]
+    books = spark.createDataFrame(rows, "book_id int, symbol string, weight double")
+    factors = spark.createDataFrame([("S000", C.FACTORS[0]), ("S001", C.FACTORS[1])], "symbol string, factor string")
+    want = {(r.book_id, r.t): r for r in H.rolling_heat(books, returns, factors).collect()}
+    got = {(r.book_id, r.t): r for r in H.own_history(books, returns, factors).collect()}
+    assert set(got) == set(want) == {(k, t) for k in (0, 1, 2, 3, 9) for t in range(60, 80)}
+    for k, r in got.items():
+        own = want[k].asDict()
+        assert set(own) == set(r.asDict())
+        for c, v in r.asDict().items():
+            assert v == (pytest.approx(own[c], abs=1e-8) if isinstance(v, float) else own[c]), (k, c)
+
+
+def test_ranks_reach_back_504_rows():
+    from bookheat.functions import linalg as L
+
+    v = np.random.default_rng(5).integers(0, 50, 5000).astype(float)
+    got = L.pct_rank_incl(v, 504)
+    for k in (0, 1, 502, 503, 504, 600, 4095, 4096, 4999):
+        own = v[max(0, k - 503) : k + 1]
+        assert got[k] == (own <= v[k]).mean()
+
+
+def test_customer_books_are_scored_on_every_row_day(spark):
+    from bookheat.plans import heat_queries as HQ
+    from bookheat.sources import tables as T
+
+    sf = "/root/testdata/sf0.01"
+    days = T.returns(spark, sf).filter("t >= 60").select("t").distinct().count()
+    per = HQ.book_heat(spark, sf).groupBy("book_id").count().select("count").distinct().collect()
+    assert [r[0] for r in per] == [days] and T.books(spark, sf).select("book_id").distinct().count() > 50
