@@ -12,6 +12,7 @@ from bookheat.operators import attribution as ATT
 from bookheat.operators import crowding as CR
 from bookheat.operators import factors as X
 from bookheat.operators import graph as G
+from bookheat.operators import panel as P
 from bookheat.plans import heat_queries as HQ
 from bookheat.plans.oracle import define, with_ctes
 from bookheat.plans.registry import query
@@ -214,28 +215,50 @@ LEFT JOIN (SELECT symbol, arg_max(factor, abs(beta)) AS factor, arg_max(beta, ab
 )
 
 
+def last_changes(spark, sf):
+    """(book_id, date): the week each book last changed."""
+    return T.books(spark, sf).groupBy("book_id").agg(F.to_date(F.date_trunc("week", F.max("updated_at"))).alias("date"))
+
+
 def heat_of_books(spark, sf):
-    """(book_id, score): reference heat in force in the week each book last changed."""
-    scored = HQ.heat(spark, sf).select("date", "score")
-    w = Window.orderBy("date")
-    until = F.coalesce(F.date_sub(F.lead("date").over(w), 7), F.date_add("date", 3650))
-    weeks = scored.withColumn("until", until).select(
-        "score", F.explode(F.sequence("date", "until", F.expr("interval 7 days"))).alias("week")
-    )
-    last = T.books(spark, sf).groupBy("book_id").agg(
-        F.to_date(F.date_trunc("week", F.max("updated_at"))).alias("week")
+    """(book_id, score): reference heat in force in the week each book last changed, as in the SQL ``bookheat``."""
+    last = last_changes(spark, sf)
+    weeks = P.as_of_fill(last.select("date").distinct(), HQ.heat(spark, sf), "score", [])
+    return last.join(weeks, "date", "left").select("book_id", F.coalesce("score", F.lit(0.5)).alias("score"))
+
+
+def own_heat_of_books(spark, sf):
+    """(book_id, score): each book's own heat in force in the week it last changed, null before its first score; staged."""
+    return staged(
+        spark,
+        sf,
+        "own-heat",
+        lambda: P.as_of_fill(last_changes(spark, sf), HQ.book_heat(spark, sf), "score", ["book_id"]).select("book_id", "score"),
     )
-    return last.join(weeks, "week", "left").select("book_id", F.coalesce("score", F.lit(0.5)).alias("score"))
+
+
+def where_scored(df, *cols):
+    """``df`` with ``cols`` null where the score is."""
+    return df.withColumns({c: F.when(F.col("score").isNotNull(), F.col(c)) for c in cols})
+
+
+def _attribution(spark, sf, scores):
+    vectors = ATT.symbol_vectors(HQ.latest_windows(spark, sf, 60), HQ.latest_exposures(spark, sf))
+    return ATT.attribution(T.books(spark, sf), vectors, scores)
 
 
 def attributed(spark, sf):
-    """Attribution of all customer books, staged."""
+    """Attribution of all customer books at the reference heat, staged."""
+    return staged(spark, sf, "attribution", lambda: _attribution(spark, sf, heat_of_books(spark, sf)))
+
+
+def attributed_own(spark, sf):
+    """Attribution of all customer books at their own heat, staged; no advice without a score."""
 
     def build():
-        vectors = ATT.symbol_vectors(HQ.latest_windows(spark, sf, 60), HQ.latest_exposures(spark, sf))
-        return ATT.attribution(T.books(spark, sf), vectors, heat_of_books(spark, sf))
+        return where_scored(_attribution(spark, sf, own_heat_of_books(spark, sf)), "recommendation", "reason")
 
-    return staged(spark, sf, "attribution", build)
+    return staged(spark, sf, "attribution-own", build)
 
 
 @query(
@@ -249,10 +272,17 @@ def attributed(spark, sf):
     ),
 )
 def attribution_books(spark, sf):
+    return _attribution_columns(attributed(spark, sf))
+
+
+@query("attribution_own_heat")
+def attribution_own_heat(spark, sf):
+    return _attribution_columns(attributed_own(spark, sf))
+
+
+def _attribution_columns(df):
     nums = "corr_contribution factor_contribution risk_contribution heat_share marginal_heat".split()
-    return attributed(spark, sf).select(
-        "book_id", "symbol", *[r(c).alias(c) for c in nums], "dominant_factor", "recommendation", "reason"
-    )
+    return df.select("book_id", "symbol", *[r(c).alias(c) for c in nums], "dominant_factor", "recommendation", "reason")
 
 
 @query(
@@ -307,6 +337,10 @@ def recs(spark, sf):
     return ACT.recommendations(attributed(spark, sf), equal_targets(T.books(spark, sf)))
 
 
+def recs_own(spark, sf):
+    return ACT.recommendations(attributed_own(spark, sf), equal_targets(T.books(spark, sf)))
+
+
 @query(
     "recommendations_books",
     with_ctes(
@@ -316,7 +350,16 @@ def recs(spark, sf):
     ),
 )
 def recommendations_books(spark, sf):
-    return recs(spark, sf).select(
+    return _recommendation_columns(recs(spark, sf))
+
+
+@query("recommendations_own_heat")
+def recommendations_own_heat(spark, sf):
+    return _recommendation_columns(recs_own(spark, sf))
+
+
+def _recommendation_columns(df):
+    return df.select(
         "book_id", "priority", "action", "instrument", r("current_weight", 4).alias("current_weight"),
         r("target_weight", 4).alias("target_weight"), r("delta", 4).alias("delta"), r("impact", 1).alias("impact"),
         "urgency", "why",
@@ -333,7 +376,16 @@ FROM bookheat h LEFT JOIN (SELECT book_id, count(*) AS n, sum(impact) AS x FROM
     ),
 )
 def recommendation_summary(spark, sf):
-    return ACT.recommendation_summary(recs(spark, sf), heat_of_books(spark, sf)).select(
+    return _summary_columns(ACT.recommendation_summary(recs(spark, sf), heat_of_books(spark, sf)))
+
+
+@query("recommendation_summary_own_heat")
+def recommendation_summary_own_heat(spark, sf):
+    return _summary_columns(ACT.recommendation_summary(recs_own(spark, sf), own_heat_of_books(spark, sf)))
+
+
+def _summary_columns(df):
+    return df.select(
         "book_id", r("current_heat", 10).alias("current_heat"), "n_actions", r("total_impact", 1).alias("total_impact"),
         r("heat_after", 4).alias("heat_after"),
     )
@@ -342,7 +394,7 @@ def recommendation_summary(spark, sf):
 @query("recommendations_hrp")
 def recommendations_hrp(spark, sf):
     targets = G.hrp_weights(T.books(spark, sf), HQ.latest_windows(spark, sf, 60))
-    return ACT.recommendations(attributed(spark, sf), targets).select(
+    return ACT.recommendations(attributed_own(spark, sf), targets).select(
         "book_id", "priority", "action", "instrument", r("target_weight", 4).alias("target_weight"),
         r("impact", 1).alias("impact"), "urgency", "why",
     )
@@ -381,6 +433,16 @@ SELECT book_id, round(raw, 5) + 0.0 AS kelly_raw, round(raw * mult, 5) + 0.0 AS
     ),
 )
 def kelly_books(spark, sf):
+    return _kelly(spark, sf, heat_of_books(spark, sf)).drop("score")
+
+
+@query("kelly_own_heat")
+def kelly_own_heat(spark, sf):
+    sized = _kelly(spark, sf, own_heat_of_books(spark, sf))
+    return where_scored(sized, "kelly_adjusted", "multiplier", "action").drop("score")
+
+
+def _kelly(spark, sf, scores):
     from bookheat.functions import arrays as A
     from bookheat.operators import metrics as M
 
@@ -389,11 +451,11 @@ def kelly_books(spark, sf):
     p = A.vector_sum(m, ["book_id"], F.transform("x", lambda v: v * F.col("weight")), "p")
     mom = p.groupBy("book_id").agg(F.avg("p").alias("mu"), F.var_samp("p").alias("v"))
     seg = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("book_id"), _regime("c_mktsegment").alias("regime"))
-    df = heat_of_books(spark, sf).join(seg, "book_id").join(mom, "book_id")
+    df = scores.join(seg, "book_id").join(mom, "book_id")
     k = R.kelly(F.col("mu"), F.col("v"), F.col("score"), F.col("regime"))
     return df.select(
         "book_id", r(k["kelly_raw"], 5).alias("kelly_raw"), r(k["kelly_adjusted"], 5).alias("kelly_adjusted"),
-        r(k["multiplier"]).alias("multiplier"), "regime", k["action"].alias("action"),
+        r(k["multiplier"]).alias("multiplier"), "regime", k["action"].alias("action"), "score",
     )
 
 
@@ -409,14 +471,24 @@ SELECT book_id, round(gross * (CASE WHEN score >= 0.7 THEN 0.5 WHEN score >= 0.4
     ),
 )
 def exposure_limits(spark, sf):
+    return _limits(spark, sf, heat_of_books(spark, sf)).drop("score")
+
+
+@query("exposure_limits_own_heat")
+def exposure_limits_own_heat(spark, sf):
+    limits = _limits(spark, sf, own_heat_of_books(spark, sf))
+    return where_scored(limits, "max_exposure", "target_reduction", "new_position_allowed").drop("score")
+
+
+def _limits(spark, sf, scores):
     from bookheat.operators.books import gross_exposure
 
     seg = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("book_id"), _regime("c_mktsegment").alias("regime"))
-    df = heat_of_books(spark, sf).join(seg, "book_id").join(gross_exposure(T.books(spark, sf)), "book_id")
+    df = scores.join(seg, "book_id").join(gross_exposure(T.books(spark, sf)), "book_id")
     lim = R.exposure_limits(F.col("score"), F.col("gross"), F.col("regime"))
     return df.select(
         "book_id", r(lim["max_exposure"]).alias("max_exposure"), lim["target_reduction"].alias("target_reduction"),
-        lim["new_position_allowed"].alias("new_position_allowed"),
+        lim["new_position_allowed"].alias("new_position_allowed"), "score",
     )
 
 

@@ -184,8 +184,8 @@ def _book_rows(spark, sf):
 def daily_summary_text(spark, sf):
     from bookheat.operators import actions as ACT
 
-    recs = AQ.recs(spark, sf)
-    summary = ACT.recommendation_summary(recs, AQ.heat_of_books(spark, sf))
+    recs = AQ.recs_own(spark, sf)
+    summary = ACT.recommendation_summary(recs, AQ.own_heat_of_books(spark, sf))
     fb = LG.last_per_key(E.feedback(spark, sf), ["channel"], ["tapped_at", "vote"]).select(
         F.col("channel").alias("book_id"), "vote", R.market_day(F.col("tapped_at")).alias("vote_day")
     )
@@ -193,7 +193,7 @@ def daily_summary_text(spark, sf):
     rows = _book_rows(spark, sf)
     regimes = rows.select("book_id").withColumn("g", reg).select("book_id", "g.*")
     return TX.daily_summary(
-        rows, regimes, AQ.attributed(spark, sf), recs, summary, fb, F.concat(F.col("date").cast("string"), F.lit(" 16:30 ET")),
+        rows, regimes, AQ.attributed_own(spark, sf), recs, summary, fb, F.concat(F.col("date").cast("string"), F.lit(" 16:30 ET")),
         F.lit("primary"), F.lit(30.0),
     )
 
@@ -231,7 +231,7 @@ def emergency_text(spark, sf):
     ev = T.table(spark, sf, "events")
     scored = readings(ev).withColumn("score", F.lit(1.0)).filter("level = 'emergency'")
     heat = LG.last_per_key(scored, ["book_id"], ["ts", "seq"])
-    return TX.emergency(heat, AQ.attributed(spark, sf), AQ.recs(spark, sf), F.lit("16:30:00 UTC"))
+    return TX.emergency(heat, AQ.attributed_own(spark, sf), AQ.recs_own(spark, sf), F.lit("16:30:00 UTC"))
 
 
 @query(
