@@ -95,8 +95,12 @@ def set_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n`` (size), ``s`` (key of the set), ``first`` (routing tokens), ``sig`` of every document."""
+def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray, doc_id: str = "doc_id", text: str = "text", hashed: bool = False) -> DataFrame:
+    """``id``, ``n`` (size), ``s`` (key of the set), ``first`` (routing tokens), ``sig`` of every document.
+
+    With ``hashed`` also ``h``, the hash of the text.
+    """
+    more = ["h"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -108,11 +112,11 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
             keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
             sigs = pa.array([signature(x) if len(x) else None for x in sets], pa.binary())
-            cols = [b.column("id"), pa.array(sizes, pa.int64()), keys, lists, sigs]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s", "first", "sig"])
+            cols = [b.column("id"), pa.array(sizes, pa.int64()), keys, lists, sigs, *[b.column(c) for c in more]]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s", "first", "sig", *more])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return stage(rows.mapInArrow(run, "id long, n long, s long, first array<long>, sig binary"), "profiles")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.xxhash64(text).alias(c) for c in more])
+    return stage(rows.mapInArrow(run, "id long, n long, s long, first array<long>, sig binary" + ", h long" * hashed), "profiles")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -265,8 +269,30 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
 
 def join_components(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` of every row of ``docs`` for a similarity of num / den."""
+    rows, owners = _joined(docs, n, num, den, doc_id, text, False)
+    least = owners.groupBy("c").agg(F.min("own").alias("component_id"))
+    named = owners.join(least, "c").select("s", "component_id")
+    out = rows.select("id", "n", "s").join(named, "s", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def kept_texts(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``h`` (xxhash64 of the text) of one document of each component of sets: the smallest id, then hash.
+
+    An id may stand with several texts; each text belongs to the component of its own set. Documents
+    without words are all kept, rows without id are not.
+    """
+    rows, owners = _joined(docs, n, num, den, doc_id, text, True)
+    found = rows.filter("id is not null").select("id", "h", "s").join(owners.select("s", "c"), "s", "left")
+    best = found.filter("c is not null").groupBy("c").agg(F.min(F.struct("id", "h")).alias("k")).select("k.*")
+    return best.unionAll(found.filter("c is null").select("id", "h")).distinct()
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, hashed: bool) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the rows, and ``s``, ``own`` (its smallest id), ``c`` (component of sets) of every set."""
     frequent = frequent_words(docs, text)
-    rows = profiles(docs, n, num, den, frequent, doc_id, text)
+    rows = profiles(docs, n, num, den, frequent, doc_id, text, hashed)
     cell = cells(rows)
     routed = cell.select("s").distinct()
     sets = rows.filter("n > 0").join(routed, "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -284,9 +310,4 @@ def join_components(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "
         reach = components(links, "a", "b")
         cell = cell.join(pairs.filter("b is null").select(F.col("a").alias("tok")), "tok", "left_semi")
     owners = rows.filter("id is not null and n > 0").groupBy("s").agg(F.min("id").alias("own"))
-    owners = owners.join(reach, F.col("s") == F.col("node"), "left").select("s", "own", F.coalesce("component", "s").alias("c"))
-    least = owners.groupBy("c").agg(F.min("own").alias("component_id"))
-    named = owners.join(least, "c").select("s", "component_id")
-    out = rows.select("id", "n", "s").join(named, "s", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows, owners.join(reach, F.col("s") == F.col("node"), "left").select("s", "own", F.coalesce("component", "s").alias("c"))

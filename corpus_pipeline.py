@@ -31,15 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows that repeat an id are one document.
+    """The document with the smallest id (then text hash) of each group; rows that repeat id and text are one.
 
-    Documents without id stay.
+    An id that stands with different texts is as many documents. Documents without id stay.
     """
     ship_package(spark)
-    joined = jaccard.join_components(docs, WORDS, NUM, DEN)
-    kept = joined.filter("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    kept = jaccard.kept_texts(docs, WORDS, NUM, DEN).select(F.col("id").alias("_kept"), F.col("h").alias("_text"))
+    named = docs.withColumn("_h", F.xxhash64("text"))
+    known = named.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_h") == F.col("_text")), "left_semi")
+    return known.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.filter("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

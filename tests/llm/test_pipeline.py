@@ -134,3 +134,12 @@ def test_odd_rows(spark):
 
 def test_run(spark, steps):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_one_id_with_different_texts_is_several_documents(spark):
+    words = [f"w{i}" for i in range(200)]
+    b, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = [(1, "an own text of one two three four words", "en", "a", 1, "x"), (1, b, "en", "a", 2, "x"), (7, near, "en", "a", 3, "x"), (7, near, "en", "a", 3, "x"), (8, None, "en", "a", 0, "x"), (8, "", "en", "a", 0, "x")]
+    for order in (docs, docs[::-1]):
+        got = P.drop_near_duplicates(spark, spark.createDataFrame(order, SCHEMA).repartition(3), SF).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, docs[0][1]), (1, b), (8, None), (8, "")])
