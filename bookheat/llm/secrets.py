@@ -26,7 +26,7 @@ from bookheat.session import scratch_path
 #: Kinds in their listed order; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "private_key", "code_host_token", "web_token")
 BASE = KINDS[:3]
-RULES_VERSION = "2"
+RULES_VERSION = "3"
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 _LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
@@ -38,11 +38,23 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _MORE = {
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,20000}-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
     "code_host_token": re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     "web_token": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 }
-_HINTS = {"private_key": "-----BEGIN ", "code_host_token": "gh", "web_token": "eyJ"}
+_HINTS = {"code_host_token": "gh", "web_token": "eyJ"}
+_KEY_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY-----")
+
+
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """From each opening mark to the first closing mark behind it, whatever lies between, in one pass."""
+    begin = None
+    for m in _KEY_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = begin or m
+        elif begin:
+            if m.start() > begin.end():
+                yield begin.start(), m.end()
+            begin = None
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -53,6 +65,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    if "-----BEGIN " in text:
+        out += [(a, KINDS.index("private_key"), b) for a, b in _key_blocks(text)]
     for kind, hint in _HINTS.items():
         if hint in text:
             out += [(m.start(), KINDS.index(kind), m.end()) for m in _MORE[kind].finditer(text)]

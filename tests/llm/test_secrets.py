@@ -68,3 +68,13 @@ def test_cases(spark):
     assert [r.text for r in secrets.redact(docs).collect() if r.doc_id == 3] == ["[PRIVATE_KEY]"]
     assert secrets.redact(docs).columns == docs.columns
     assert secrets.findings(docs.limit(0)).count() == 0
+
+
+def test_long_and_encrypted_key_blocks():
+    long = "-----BEGIN PRIVATE KEY-----\n" + "MIIE+/=\n" * 9000 + "-----END PRIVATE KEY-----"
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\nMIIEabc\n-----END RSA PRIVATE KEY-----"
+    keys = lambda t: [t[a:b] for a, k, b in secrets.find(t) if secrets.KINDS[k] == "private_key"]
+    assert keys(f"a {long} b {locked} c") == [long, locked]
+    empty = "-----BEGIN PRIVATE KEY----------END PRIVATE KEY-----"
+    assert keys(empty + " then " + locked) == [locked] and keys("-----END PRIVATE KEY----- -----BEGIN PRIVATE KEY----- x") == []
+    assert keys("-----BEGIN PRIVATE KEY-----" * 50000) == []
