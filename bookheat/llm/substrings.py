@@ -1,17 +1,16 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring deduplication by content-defined blocks and window hashes; no Lempel-Ziv parse is made.
 
 The reference is the corpus itself, cut into blocks: a block is a run of windows (of ``window`` words)
 that have their first smallest ``SEED``-word hash at the same place, so equal passages are cut alike wherever they stand. The
 index has one row per smallest hash: how often it occurs and whether all its blocks are the same.
 
-A document is then parsed from left to right into factors, the blocks that occur elsewhere. A block whose
-hash has one content in the whole corpus is a factor as a whole. Where contents differ, which is at the
-ends of repeated passages, the block is at a factor boundary and its windows are looked up one by one. The
-windows found, joined, are the duplicate spans. A window's smallest hash follows from its words, so equal
+Each block of a document is then looked up once. A block whose hash occurs elsewhere and has one content in
+the whole corpus is duplicate as a whole. Where contents differ, which is at the ends of repeated passages,
+the windows of the block are counted by hash. No match is extended past its block. The windows found, joined, are the duplicate spans. A window's smallest hash follows from its words, so equal
 windows always meet under one key: the result is that of comparing all windows with all.
 
 Shuffled are two hashes per block (about one per 14 words), counted on the map side first, so a passage
-that a third of all documents share costs each task one row; windows only at factor boundaries. Two
+that a third of all documents share costs each task one row; windows only of blocks with differing contents. Two
 filters of fixed size tell the second reading of the texts which blocks are worth sending. Contents are
 compared by 128 bits of hashes.
 
