@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Largest amount of text, in characters, that a task turns into results at a time.
 CHUNK_CHARS = 4_000_000
+#: Most bytes of an Arrow batch that Spark hands to a task.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches on their way to and from Python, where the session leaves Spark's default."""
+    for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+        key = f"spark.sql.execution.arrow.{way}"
+        if key not in spark.sparkContext.getConf().toDebugString():
+            spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

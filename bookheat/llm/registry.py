@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookheat.llm.common import bound_batches
 from bookheat.session import ship_package
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Job], Job]:
         @wraps(job)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             ship_package(spark)
+            bound_batches(spark)
             return job(spark, sf)
 
         JOBS[name] = run
