@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks, fan_out
+from bookheat.llm.common import chunks, fan_out, other_columns, row_of, unpacked, with_row
 from bookheat.session import stage
 
 #: Longest part, in characters, that is encoded without a join.
@@ -141,10 +141,8 @@ def _replace(batch: pa.RecordBatch, drop: str, name: str, values: pa.Array) -> p
 
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """The other columns of ``docs`` and ``into``, the packed ids of each whole text."""
-    others = [c for c in docs.columns if c not in (text, into)]
-    row = F.struct(*[F.col(c) for c in others]) if others else F.struct(F.lit(1).alias("one"))
-    rows = docs.select(row.alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
+    others = other_columns(docs, text, into)
+    rows = docs.select(row_of(others).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -172,7 +170,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", le
         ids = c.join_all([unpack(x) for x in group.column("_ids").to_pylist()], [t.encode() for t in group.column("_part").to_pylist()])
         return pa.table({"_no": group.column("_no").slice(0, 1), "_ids": pa.array([pack(ids)], pa.binary())})
 
-    short = rows.filter(F.length("_text") <= leaf_chars).mapInArrow(whole, f"_row {kind}, _ids binary")
+    short = rows.filter(F.length("_text") <= leaf_chars).mapInArrow(whole, with_row(docs, others, "_ids binary", "_row"))
     # numbered once and written, so that a row's number is the same for its leaves and its columns
     long = stage(rows.filter(F.length("_text") > leaf_chars).withColumn("_no", F.monotonically_increasing_id()), "long-texts")
     spread = fan_out(docs.sparkSession)
@@ -180,19 +178,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", le
     coded = leaves.mapInArrow(leaf, "_no long, _leaf int, _part string, _ids binary")
     met = coded.groupBy("_no").applyInArrow(meet, "_no long, _ids binary")
     out = short.unionByName(long.select("_row", "_no").join(met, "_no").select("_row", "_ids"))
-    return out.select(*[F.col(f"_row.{c}").alias(c) for c in others], F.col("_ids").alias(into))
+    return out.select(*unpacked(others, "_row"), F.col("_ids").alias(into))
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``coded`` with ``into``, the text of its packed ids."""
-    others = [c for c in coded.columns if c != into]
-    rows = coded.select(F.struct(*[F.col(c) for c in others]).alias("_row"), F.coalesce(F.col(ids), F.lit(b"")).alias("_ids"))
-    kind = rows.schema["_row"].dataType.simpleString()
+    others = other_columns(coded, into)
+    rows = coded.select(row_of(others).alias("_row"), F.coalesce(F.col(ids), F.lit(b"")).alias("_ids"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in chunks(batches, "_ids"):
             yield _replace(b, "_ids", "_out", pa.array([c.decode(unpack(x)) for x in b.column("_ids").to_pylist()], pa.string()))
 
-    out = rows.mapInArrow(back, f"_row {kind}, _out string")
-    return out.select(*[F.col(f"_row.{c}").alias(c) for c in others], F.col("_out").alias(into))
+    out = rows.mapInArrow(back, with_row(coded, others, "_out string", "_row"))
+    return out.select(*unpacked(others, "_row"), F.col("_out").alias(into))

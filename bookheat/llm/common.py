@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the word contracts: space and the five control characters 9 to 13.
 SPACE = r"\x20\x09-\x0D"
@@ -45,6 +46,27 @@ def word_count(text: Column) -> Column:
     return (shrunk - lead).cast("long")
 
 
+def other_columns(docs: DataFrame, *replaced: str) -> list[str]:
+    """Columns of ``docs`` but those named like ``replaced``, in whatever case of letters, as Spark compares names."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in docs.columns if c.lower() not in gone]
+
+
+def row_of(names: list[str]) -> Column:
+    """Columns packed into one struct, so that their names meet no others on the way."""
+    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(1).alias("one"))
+
+
+def with_row(docs: DataFrame, names: list[str], others: str, row: str = "row") -> StructType:
+    """Schema of a packed row and other columns, given as DDL."""
+    kind = docs.select(row_of(names).alias("row")).schema["row"].dataType
+    return StructType([StructField(row, kind), *StructType.fromDDL(others).fields])
+
+
+def unpacked(names: list[str], row: str = "row") -> list[Column]:
+    return [F.col(f"{row}.`{c}`").alias(c) for c in names]
+
+
 def fan_out(spark: SparkSession) -> int:
     """Number of partitions for work that is heavy per row and small in bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -7,19 +7,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMORY_WORDS = 400_000
+#: Most words that a task remembers, and most bytes of one: some 40 MB.
+MEMORY_WORDS, MEMORY_BYTES = 200_000, 64
 FILTER_BITS = 25
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
 class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash; forgets all when it grows too large."""
+    """Word (bytes) to its 64-bit hash; forgets all when it grows too large, keeps no long words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMORY_BYTES:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -15,7 +15,7 @@ their cap per unit of weight.
 Cases: a null text counts as empty, a null id as one more id; empty documents have size 0 and take 0
 words. Rows that are equal in every respect are taken in any order, which gives the same rows. A source
 of empty documents only has target 0. No rows give no rows. Columns of the input that are named like
-new ones are replaced.
+new ones, in either case of letters, are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import word_count
+from bookheat.llm.common import other_columns, row_of, unpacked, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -82,10 +82,10 @@ def mix(
 
     ``copies`` counts the passes that take the document, the one cut inside it included.
     """
-    keep = [c for c in docs.columns if c.lower() not in NEW]
+    keep = other_columns(docs, *NEW)
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(
-        *[F.col(c) for c in keep],
+        row_of(keep).alias("_row"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source), F.lit("")).alias("_source"),
         word_count(body).alias("_n"),
@@ -108,7 +108,7 @@ def mix(
     left = F.greatest(F.lit(0), F.least(F.col("_n"), rest - F.col("_before"))).cast("long")
     started = F.when(size == 0, F.lit(1)).otherwise((F.col("_before") < rest).cast("int"))
     return placed.select(
-        *[F.col(c) for c in keep],
+        *unpacked(keep, "_row"),
         F.col("_n").alias("size"),
         size.cast("long").alias("source_size"),
         F.col("_target").alias("target"),

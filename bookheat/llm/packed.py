@@ -10,29 +10,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, other_columns, row_of
 from bookheat.session import stage
 
 #: Text in a chunk, in bytes, unless a single text is longer.
 CHUNK_BYTES = 2_000_000
 
 
-def _row(names: list[str]) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(1).alias("one"))
-
-
-def row_type(docs: DataFrame, names: list[str]) -> DataType:
-    """Type of the rows packed with these columns."""
-    return docs.select(_row(names).alias("row")).schema["row"].dataType
-
-
 def pack(docs: DataFrame, text: str, most: int = CHUNK_BYTES) -> DataFrame:
     """Staged ``chunk``, ``blob`` of ``docs``; see ``unpack``."""
-    row = _row([c for c in docs.columns if c.lower() != text.lower()])
+    row = row_of(other_columns(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")

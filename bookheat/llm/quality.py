@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from bookheat.llm.common import chunks
-from bookheat.llm.labelled import training
+from bookheat.llm.labelled import scored, training
 
 HASH_BITS = 17
 WIDTH = 12
@@ -34,7 +34,7 @@ GRAMS = (3, 4)
 #: Most labelled documents that the model is fitted on.
 FIT_ROWS = 4000
 THRESHOLD = 0.3
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 _TOP = (1 << HASH_BITS) - 1
 _SAME = xxhash.xxh32_intdigest(b"\0same") & _TOP
 
@@ -163,18 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with ``into``, the probability of label 1 of each whole text."""
-    keep = [c for c in docs.columns if c != into]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model.logit)
-        for b in chunks(batches, text):
+        for b in chunks(batches, "text"):
             raws = []
-            for n in words.numbers([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]):
+            for n in words.numbers([t or "" for t in b.column("text").to_pylist()]):
                 pairs = pair_features(words.hash[n])
                 total = words.sum[n].sum() + model.logit[pairs].sum()
                 raws.append(model.bias + total / max(1.0, words.count[n].sum() + len(pairs)))
             p = 1 / (1 + np.exp(-np.clip(np.array(raws), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*keep, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], ["row", "text", "p"])
 
-    return docs.select(*keep).mapInArrow(run, f"{kind}, `{into}` double")
+    return scored(docs, run, text, into)

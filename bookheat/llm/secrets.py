@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, other_columns, row_of, unpacked, with_row
 from bookheat.session import scratch_path
 
 #: Kinds in their listed order; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "private_key", "code_host_token", "web_token")
 BASE = KINDS[:3]
-RULES_VERSION = "3"
+RULES_VERSION = "4"
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 _LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
@@ -42,19 +42,22 @@ _MORE = {
     "web_token": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 }
 _HINTS = {"code_host_token": "gh", "web_token": "eyJ"}
-_KEY_MARK = re.compile(r"-----(BEGIN|END) (?:[A-Z]+ )*PRIVATE KEY-----")
+_KEY_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z]+ )*PRIVATE KEY)-----")
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/=]*|[A-Za-z][A-Za-z-]*: [\x20-\x7E]*")
 
 
 def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
-    """From each opening mark to the first closing mark behind it, whatever lies between, in one pass."""
+    """From an opening mark to the next mark, if that closes the same label and only key lines lie between, in one pass.
+
+    Key lines are blank, ``Name: value`` headers or base64, of any number.
+    """
     begin = None
     for m in _KEY_MARK.finditer(text):
-        if m[1] == "BEGIN":
-            begin = begin or m
-        elif begin:
-            if m.start() > begin.end():
+        if m[1] == "END" and begin and begin[2] == m[2]:
+            lines = [x.strip() for x in text[begin.end() : m.start()].replace("\\n", "\n").split("\n")]
+            if any(lines) and all(_KEY_LINE.fullmatch(x) for x in lines):
                 yield begin.start(), m.end()
-            begin = None
+        begin = m if m[1] == "BEGIN" else None
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -142,9 +145,8 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact(versions: DataFrame, ledger: str | None = None, text: str = "text") -> DataFrame:
     """``versions`` with every span of ``text`` replaced by its kind in square brackets."""
-    found = findings(versions, ledger, text=text)
-    keep = [f for f in versions.schema.fields if f.name != text]
-    packed = found.select(F.struct(*[F.col(f.name) for f in keep]).alias("_row") if keep else F.lit(1).alias("_row"), F.col(text).alias("_text"), "spans")
-    kind = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(_redact, f"_row {kind}, _text string")
-    return out.select(*[F.col("_text").alias(text) if c == text else F.col(f"_row.{c}").alias(c) for c in versions.columns])
+    others = other_columns(versions, text)
+    found = findings(versions.select(row_of(others).alias("_row"), F.col(f"`{text}`").alias("_text")), ledger, text="_text")
+    out = found.select("_row", "_text", "spans").mapInArrow(_redact, with_row(versions, others, "_text string", "_row"))
+    columns = dict(zip(others, unpacked(others, "_row")))
+    return out.select(*[columns.get(c, F.col("_text").alias(c)) for c in versions.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, other_columns, row_of, unpacked, with_row
 from bookheat.llm.hashing import Ranges, WordHashes, grams, member, membership, text_key
 from bookheat.session import stage
 
@@ -134,12 +134,10 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept``, the words left joined by a space."""
     new = ("n_words", "n_removed", "kept")
-    others = [c for c in docs.columns if c not in new]
-    row = F.struct(*[F.col(c) for c in others if c != text]) if len(others) > 1 else F.struct(F.lit(1).alias("one"))
+    others = other_columns(docs, *new, text)
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(row.alias("_row"), F.col(text).isNull().alias("_null"), body.alias("_text"), *text_key(body))
+    keyed = docs.select(row_of(others).alias("_row"), F.col(text).isNull().alias("_null"), body.alias("_text"), *text_key(body))
     found = spans(keyed.select("_text", "k1", "k2"), window)
-    kind = keyed.schema["_row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
@@ -163,6 +161,7 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Da
             )
 
     out = keyed.join(found, ["k1", "k2"], "left").select("_row", "_null", "_text", "spans")
-    out = out.mapInArrow(run, f"_row {kind}, _null boolean, _text string, n_words long, n_removed long, kept string")
+    out = out.mapInArrow(run, with_row(docs, others, "_null boolean, _text string, n_words long, n_removed long, kept string", "_row"))
     back = F.when(~F.col("_null"), F.col("_text"))
-    return out.select(*[back.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in others], *new)
+    columns = dict(zip(others, unpacked(others, "_row")))
+    return out.select(*[columns.get(c, back.alias(c)) for c in other_columns(docs, *new)], *new)

@@ -32,12 +32,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from bookheat.llm.common import fan_out
+from bookheat.llm.common import fan_out, other_columns, unpacked, with_row
 from bookheat.llm.hashing import mix
 from bookheat.llm.interleave import byte_grams, repeated, transforms
-from bookheat.llm.packed import pack, row_type, text_bytes, unpack
+from bookheat.llm.packed import pack, text_bytes, unpack
 from bookheat.session import stage
 
 WINDOW = 200
@@ -282,9 +281,9 @@ def spans(packed: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """The other columns of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes left."""
     new = ("n_bytes", "n_removed", "n_spans", "kept")
-    others = [c for c in docs.columns if c.lower() not in (*new, text.lower())]
+    others = other_columns(docs, *new, text)
     packed = pack(docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`")), text)
-    kind = StructType([StructField("row", row_type(docs, others)), *[StructField(c, LongType()) for c in new[:3]], StructField("kept", BinaryType())])
+    kind = with_row(docs, others, "n_bytes long, n_removed long, n_spans long, kept binary")
     lists = spans(packed, window, hot).groupBy("chunk").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     out = packed.join(lists, "chunk", "left").select("blob", "spans").mapInArrow(_kept(window), kind)
-    return out.select(*[F.col(f"row.`{c}`") for c in others], *new)
+    return out.select(*unpacked(others), *new)

@@ -9,9 +9,9 @@ the terms of the sample with the highest chi-square; the model is at most ``TERM
 is shuffled.
 
 Cases: null and empty texts get the score of a text without terms; repeated rows and null ids are
-scored like others; without labels of both kinds the score is the share of label 1 (one half without
+scored like others; ties do not matter; without labels of both kinds the score is the share of label 1 (one half without
 any label); an empty table gives no rows; other columns of the input pass through, one named like a new
-column is replaced.
+column, in either case of letters, is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from bookheat.llm.common import chunks
-from bookheat.llm.labelled import FIT_ROWS, training
+from bookheat.llm.labelled import FIT_ROWS, scored, training
 
 HASH_BITS = 22
 TERMS = 1024
@@ -37,7 +37,8 @@ BATCH = 32
 RATE = 0.2
 DECAY = 1e-4
 THRESHOLD = 0.5
-MEMORY_WORDS = 400_000
+#: Most words that a task remembers, and most characters of one: some 30 MB.
+MEMORY_WORDS, MEMORY_CHARS = 200_000, 40
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
 
 
 class _Memory(dict):
-    """Word to the places of its terms in the model; forgets all when it grows too large."""
+    """Word to the places of its terms in the model; forgets all when it grows too large, keeps no long words."""
 
     def __init__(self, model: Model):
         self.place = dict(zip(model.terms.tolist(), range(len(model.terms))))
@@ -145,23 +146,21 @@ class _Memory(dict):
         if len(self) >= MEMORY_WORDS:
             self.clear()
         got = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-        self[word] = got
+        if len(word) <= MEMORY_CHARS:
+            self[word] = got
         return got
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with ``into``, the probability of label 1 of each whole text."""
-    keep = [c for c in docs.columns if c != into]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(model)
-        for b in chunks(batches, text):
+        for b in chunks(batches, "text"):
             raws = []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+            for t in b.column("text").to_pylist():
                 at = {p for w in set(_WORD.findall((t or "").lower())) for p in memory[w]}
                 raws.append(_raw(model, np.array(sorted(at), int)))
             p = 1 / (1 + np.exp(-np.clip(np.array(raws), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*keep, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], ["row", "text", "p"])
 
-    return docs.select(*keep).mapInArrow(run, f"{kind}, `{into}` double")
+    return scored(docs, run, text, into)
