@@ -15,19 +15,31 @@ from pyspark.sql import functions as F
 from bookheat.llm import jaccard, mixing, secrets, toxicity
 from bookheat.llm.bpe import decode, encode
 from bookheat.llm.bpe_queries import vocabulary
-from bookheat.llm.common import table
+from bookheat.llm.common import bound_batches, other_columns, row_of, table, unpacked
 from bookheat.session import ship_package, stage
 
 #: Near-duplicates: word n-grams of five, similarity of 80 / 100 and more.
 WORDS, NUM, DEN = 5, 80, 100
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
+
+
+def _back(rows: DataFrame, docs: DataFrame, others: list[str]) -> DataFrame:
+    """The columns of ``docs`` from ``text`` and ``others``, all its other columns packed."""
+    columns = dict(zip(others, unpacked(others, "others")))
+    return rows.select(*[columns.get(c, F.col("text").alias(c)) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold; the model learns from ``labels`` of ``sf_dir``."""
-    ship_package(spark)
+    _ready(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct("*").alias("row"), F.col("text")), model)
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
+    others = other_columns(docs, "text")
+    scored = toxicity.score(docs.select(row_of(others).alias("others"), "text"), model)
+    return _back(scored.filter(F.col("score") < toxicity.THRESHOLD), docs, others)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,31 +47,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     An id that stands with different texts is as many documents. Documents without id stay.
     """
-    ship_package(spark)
-    kept = jaccard.kept_texts(docs, WORDS, NUM, DEN).select(F.col("id").alias("_kept"), F.col("h").alias("_text"))
-    named = docs.withColumn("_h", F.xxhash64("text"))
-    known = named.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_h") == F.col("_text")), "left_semi")
-    return known.dropDuplicates(["doc_id", "_h"]).drop("_h").unionByName(docs.filter("doc_id is null"))
+    _ready(spark)
+    others = other_columns(docs, "text")
+    rows = docs.select(row_of(others).alias("others"), "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    kept = jaccard.kept_texts(docs.select("doc_id", "text"), WORDS, NUM, DEN)
+    known = rows.join(kept, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    return _back(known.unionByName(rows.filter("id is null")), docs, others)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind in brackets; ``n_chars`` follows a changed text."""
-    ship_package(spark)
-    done = secrets.redact(docs.withColumn("_before", F.length("text")))
-    changed = F.col("_before") != F.length("text")
-    return done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    _ready(spark)
+    others = other_columns(docs, "text")
+    done = secrets.redact(docs.select(row_of(others).alias("others"), "text", F.length("text").alias("before")))
+    size = F.when(F.col("before") != F.length("text"), F.length("text")).otherwise(F.col("others.n_chars")).cast("long")
+    return _back(done.withColumn("others", F.col("others").withField("n_chars", size)), docs, others)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document once for every pass that takes it, whole even where the budget ends in it."""
-    ship_package(spark)
+    _ready(spark)
     mixed = mixing.mix(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"))
     return mixed.withColumn("pass", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids with their number, and the digests of ids and of the decoded text."""
-    ship_package(spark)
+    _ready(spark)
     path = vocabulary()
     coded = decode(encode(docs.select("doc_id", "source", "text"), path), path)
     return coded.select(
