@@ -12,14 +12,15 @@ def close_prices(bars: DataFrame) -> DataFrame:
     return bars.join(live, "date", "left_semi").select("date", "symbol", "close")
 
 
-def date_grid(closes: DataFrame) -> DataFrame:
+def date_grid(closes: DataFrame, symbols: int | None = None) -> DataFrame:
     """One row per date: grid ordinal ``g``, return ordinal ``t`` and completeness.
 
-    A date is complete when every symbol has a price on it and on the grid date before.
+    A date is complete when every symbol (``symbols`` of them, by default those of ``closes``) has a price on it
+    and on the grid date before.
     Windows run over one row per date only.
     """
     quoted = closes.filter(F.col("close").isNotNull())
-    n = quoted.agg(F.countDistinct("symbol").alias("n")).scalar()
+    n = F.lit(symbols) if symbols is not None else quoted.agg(F.countDistinct("symbol").alias("n")).scalar()
     w = Window.orderBy("date")
     per_date = closes.groupBy("date").agg(F.count("close").alias("cnt")).withColumn("n", n)
     full = F.col("cnt") == F.col("n")
@@ -46,14 +47,14 @@ def forward_fill_closes(closes: DataFrame) -> DataFrame:
     return spans.join(grid.select("g", "date"), "g").select("date", "symbol", "close")
 
 
-def log_returns(closes: DataFrame, period: int | None = None, fill: str | None = None) -> DataFrame:
+def log_returns(closes: DataFrame, period: int | None = None, fill: str | None = None, symbols: int | None = None) -> DataFrame:
     """Daily log and simple returns on complete dates, newest ``period`` dates if given.
 
     Result: (t, date, symbol, close, ret, simple); ``t`` numbers the kept dates.
     """
     if fill == "ffill":
         closes = forward_fill_closes(closes)
-    grid = date_grid(closes)
+    grid = date_grid(closes, symbols)
     w = Window.partitionBy("symbol").orderBy("g")
     out = (
         closes.join(grid, "date")

@@ -15,6 +15,7 @@ from bookheat.session import rounded as r
 from bookheat.sources import events as E
 from bookheat.sources import tables as T
 from bookheat.streaming import jobs as J
+from bookheat.streaming.refresh import heat_refresh
 
 
 def tick_stream(spark, sf):
@@ -186,5 +187,5 @@ def stream_book_updates(spark, sf):
     with_ctes("heat", "SELECT book_id, CAST(date AS VARCHAR) AS date, round(score, 10) + 0.0 AS score, level FROM heat"),
 )
 def stream_heat_refresh(spark, sf):
-    path = J.heat_refresh(J.stream_of(T.closes(spark, sf), "new-closes"), T.reference_book(spark), T.factor_dim(spark))
+    path = heat_refresh(J.stream_of(T.closes(spark, sf), "new-closes"), T.reference_book(spark), T.factor_dim(spark))
     return spark.read.parquet(f"{path}/batch=*").select("book_id", text("date"), r("score", 10).alias("score"), "level")

@@ -89,6 +89,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder; none if it is not there."""
+    fs, p = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def source_version(spark: SparkSession, source: str) -> tuple:
     """Names, sizes and times of the files below ``source``."""
     fs, path = _hadoop(spark, source)

@@ -19,9 +19,7 @@ from bookheat import constants as C
 from bookheat.functions import rules as R
 from bookheat.functions.windows import bucketed_count_if, bucketed_lag
 from bookheat.operators import books as B
-from bookheat.operators import heat as H
 from bookheat.operators import panel as P
-from bookheat.operators.heat import blend
 from bookheat.session import scratch_path, spread, stage
 
 # the runner that prepares a stateful processor does not see files shipped to the workers, so the
@@ -247,26 +245,3 @@ def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.0
 
     return run_available(candidates, "append", "book-updates", apply)
 
-
-def heat_refresh(closes: DataFrame, books: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS) -> str:
-    """Score the days that new closes complete and append them to the heat table.
-
-    Each batch stores its closes, scores the days that have no score yet and ranks them in the stored
-    history. A repeated batch replaces its rows. Returns the path of the heat batches.
-    """
-
-    def score(batch: DataFrame, batch_id: int, path: str) -> None:
-        spark = batch.sparkSession
-        store = f"{path}-closes"
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        known = spark.read.option("basePath", store).parquet(f"{store}/batch=*").filter(F.col("batch") <= batch_id)
-        returns = P.log_returns(known.drop("batch"))
-        history = _earlier(spark, path, batch_id)
-        windowed = P.windows(returns, "simple", window, include_current=False)
-        if history is not None:
-            # any day not scored yet, so a first batch that is too short and late days are made up for
-            windowed = windowed.join(history.select("date").distinct(), "date", "left_anti")
-        scored = blend(H.components(books, windowed, factors), history)
-        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return run_available(closes, "append", "heat-refresh", score)

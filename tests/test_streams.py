@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from bookheat.session import scratch_path
 from bookheat.sources import io as IO
 from bookheat.streaming import jobs as J
+from bookheat.streaming import refresh
+from bookheat.streaming.refresh import heat_refresh
 
 READ = "book_id long, ts timestamp, seq long, level string, regime string"
 
@@ -95,7 +97,7 @@ def heat_inputs(spark, weeks):
     return closes, books, factors
 
 
-def refreshed(spark, parts, books, factors):
+def refreshed(spark, parts, books, factors, **sizes):
     """The heat table after the given micro-batches, one file each."""
     from bookheat.session import scratch_path
 
@@ -103,7 +105,7 @@ def refreshed(spark, parts, books, factors):
     for k, part in enumerate(parts):
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = J.heat_refresh(stream, books, factors)
+    out = heat_refresh(stream, books, factors, **sizes)
     return {(r.date, round(r.score, 10)) for r in spark.read.parquet(f"{out}/batch=*").collect()}
 
 
@@ -125,3 +127,41 @@ def test_heat_refresh_scores_late_days(spark):
     hole = dt.date(2020, 1, 6) + dt.timedelta(weeks=70)
     got = refreshed(spark, [closes.filter(closes.date != hole), closes.filter(closes.date == hole)], books, factors)
     assert hole in {d for d, _ in got} and len(got) == 19
+
+
+def test_heat_refresh_reads_no_more_as_history_grows(spark, monkeypatch):
+    """Twenty weekly batches after a long start: each reads as many rows as the first of them, and the scores are the batch scores."""
+    from bookheat.operators import heat as H
+    from bookheat.operators import panel as P
+
+    closes, books, factors = heat_inputs(spark, 160)
+    read = {}
+    real = refresh.Months.since
+
+    def counted(self, month, batch_id, included, only=False):
+        out = real(self, month, batch_id, included, only)
+        read[batch_id] = read.get(batch_id, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(refresh.Months, "since", counted)
+    start = dt.date(2020, 1, 6)
+    cuts = [start, *[start + dt.timedelta(weeks=140 + k) for k in range(21)]]
+    parts = [closes.filter((F.col("date") >= a) & (F.col("date") < b)) for a, b in zip(cuts, cuts[1:])]
+    got = refreshed(spark, parts, books, factors, window=20, history=30)
+    returns = P.log_returns(closes)
+    whole = H.blend(H.components(books, P.windows(returns, "simple", 20, include_current=False), factors), rows=30)
+    assert got == {(r.date, round(r.score, 10)) for r in whole.collect()}
+    later = [read[k] for k in range(1, 21)]
+    # whole months are read, so the number moves by a few weeks of rows
+    assert max(later) < 1.6 * min(later) and max(later) < 1500
+
+
+def test_months_replace_the_rows_of_a_batch_that_runs_again(spark):
+    store = refresh.Months(spark, scratch_path(spark, "months"), "date date, v int")
+    put = lambda rows, b: store.put(spark.createDataFrame(rows, "date date, v int"), b)
+    put([(dt.date(2024, 1, 2), 1), (dt.date(2024, 2, 2), 2)], 0)
+    put([(dt.date(2024, 2, 3), 3)], 1)
+    put([(dt.date(2024, 2, 3), 4)], 1)
+    rows = lambda *a, **k: sorted(r.v for r in store.since(*a, **k).collect())
+    assert rows("2024-01", 1, True) == [1, 2, 4] and rows("2024-02", 1, False) == [2] and rows("2024-02", 1, True, only=True) == [4]
+    assert rows("2024-03", 1, True) == [] and store.months() == ["2024-01", "2024-02"]
