@@ -24,11 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches on their way to and from Python, where the session leaves Spark's default."""
-    for way in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
-        key = f"spark.sql.execution.arrow.{way}"
-        if key not in spark.sparkContext.getConf().toDebugString():
-            spark.conf.set(key, str(BATCH_BYTES))
+    """Bound the bytes of the Arrow batches that tasks get, where the session leaves Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:
