@@ -14,6 +14,7 @@ from bookheat.plans.registry import query
 from bookheat.session import rounded as r
 from bookheat.sources import events as E
 from bookheat.sources import tables as T
+from bookheat.streaming import book_log as L
 from bookheat.streaming import jobs as J
 from bookheat.streaming.refresh import heat_refresh
 
@@ -178,8 +179,8 @@ def stream_book_updates(spark, sf):
     size = F.count("*").over(Window.partitionBy("book_id"))
     cand = cand.withColumn("version", F.lit(1)).withColumn("positions", size)
     # dealt by symbol, so that the rows of a book arrive in several files and micro-batches
-    path = J.book_updates(J.stream_of(cand.repartition(4, "symbol"), "candidates", 1), start)
-    return J.newest_batch(spark, path).select("book_id", "symbol", r("weight").alias("weight"))
+    path = L.book_updates(J.stream_of(cand.repartition(4, "symbol"), "candidates", 1), start)
+    return L.current_books(spark, path, start).select("book_id", "symbol", r("weight").alias("weight"))
 
 
 @query(

@@ -18,7 +18,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from bookheat import constants as C
 from bookheat.functions import rules as R
 from bookheat.functions.windows import bucketed_count_if, bucketed_lag
-from bookheat.operators import books as B
 from bookheat.operators import panel as P
 from bookheat.session import scratch_path, spread, stage
 
@@ -45,10 +44,21 @@ def stream_of(df: DataFrame, tag: str, files_per_batch: int | None = None) -> Da
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, mode: str, tag: str, handle: Callable[[DataFrame, int, str], None] | None = None) -> str:
-    """Run the stream over all available input into ``<path>/batch=<id>`` folders and return the path."""
+def run_available(
+    stream: DataFrame,
+    mode: str,
+    tag: str,
+    handle: Callable[[DataFrame, int, str], None] | None = None,
+    before: Callable[[str], None] | None = None,
+) -> str:
+    """Run the stream over all available input into ``<path>/batch=<id>`` folders and return the path.
+
+    ``handle`` takes a micro-batch instead of writing it there; ``before`` prepares the path.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, tag)
+    if before is not None:
+        before(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if handle is None:
@@ -206,42 +216,3 @@ def should_alert(readings: DataFrame) -> DataFrame:
     df = bucketed_lag(readings, ["book_id"], ["ts", "seq"], F.to_date("ts"), {"prev": "level"})
     changed = F.when(F.col("prev").isNull(), F.col("level") != "cool").otherwise(F.col("level") != F.col("prev"))
     return df.withColumn("alert", changed)
-
-
-# -- stateful tables ------------------------------------------------------------
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before this one (they are complete: batches run one after the other)."""
-    if batch_id == 0:
-        return None
-    df = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return df.filter(F.col("batch") < batch_id)
-
-
-def book_updates(candidates: DataFrame, start: DataFrame, tolerance: float = 0.05) -> str:
-    """Apply streamed candidate books; every batch writes the whole new version of the book table.
-
-    Candidates carry ``version`` and ``positions``, the number of rows of that version. Rows of a version
-    wait in a table of their own until all have arrived, in whatever batches; then the newest complete
-    version of a book replaces it. One that fails the checks leaves its book as it was. Returns the path
-    of the book table's versions.
-    """
-
-    def apply(batch: DataFrame, batch_id: int, path: str) -> None:
-        spark = batch.sparkSession
-        waiting = f"{path}-waiting"
-        current, seen = start, batch
-        old = _earlier(spark, path, batch_id)
-        if old is not None:
-            newest = F.col("batch") == batch_id - 1
-            current = old.filter(newest).drop("batch")
-            seen = batch.unionByName(_earlier(spark, waiting, batch_id).filter(newest).drop("batch"))
-        whole = seen.groupBy("book_id", "version").agg((F.count("*") >= F.max("positions")).alias("whole"))
-        last = whole.filter("whole").groupBy("book_id").agg(F.max("version").alias("last"))
-        known = seen.join(last, "book_id", "left")
-        ready = known.filter("version = last").drop("version", "positions", "last")
-        later = known.filter("last is null or version > last").drop("last")
-        B.apply_book_updates(current, ready, tolerance).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        later.write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
-
-    return run_available(candidates, "append", "book-updates", apply)
-

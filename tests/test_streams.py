@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bookheat.session import scratch_path
 from bookheat.sources import io as IO
+from bookheat.streaming import book_log as L
 from bookheat.streaming import jobs as J
 from bookheat.streaming import refresh
 from bookheat.streaming.refresh import heat_refresh
@@ -66,7 +67,7 @@ def test_books_are_replaced_whole_and_valid_only(spark):
     for rows in batches:
         spark.createDataFrame(rows, asked).coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(asked).option("maxFilesPerTrigger", 1).parquet(path)
-    out = J.newest_batch(spark, J.book_updates(s, start)).collect()
+    out = L.current_books(spark, L.book_updates(s, start), start).collect()
     # 1 arrives in two parts, 2 is invalid, 3 stays incomplete, 4 takes its newest version
     assert {(r.book_id, r.symbol) for r in out} == {(1, "B"), (1, "C"), (2, "A"), (3, "A"), (4, "C")}
 
@@ -165,3 +166,77 @@ def test_months_replace_the_rows_of_a_batch_that_runs_again(spark):
     rows = lambda *a, **k: sorted(r.v for r in store.since(*a, **k).collect())
     assert rows("2024-01", 1, True) == [1, 2, 4] and rows("2024-02", 1, False) == [2] and rows("2024-02", 1, True, only=True) == [4]
     assert rows("2024-03", 1, True) == [] and store.months() == ["2024-01", "2024-02"]
+
+
+BOOK = "book_id int, symbol string, weight double"
+
+
+def updated(spark, batches, start, **options):
+    """Path of the book table after the given micro-batches of (book, symbol, weight, version, positions)."""
+    path = scratch_path(spark, "asked")
+    asked = BOOK + ", version int, positions long"
+    for rows in batches:
+        spark.createDataFrame(rows, asked).coalesce(1).write.mode("append").parquet(path)
+    return L.book_updates(spark.readStream.schema(asked).option("maxFilesPerTrigger", 1).parquet(path), start, **options)
+
+
+def test_deleted_books_come_back_only_with_a_new_version(spark):
+    start = spark.createDataFrame([(1, "A", 1.0), (2, "A", 1.0), (3, "A", 1.0)], BOOK)
+    batches = [[(1, None, None, 1, 0), (2, None, None, 1, 0)], [(2, "B", 1.0, 2, 1), (1, "X", 1.0, 1, 1)]]
+    out = L.current_books(spark, updated(spark, batches, start, buckets=2), start, 2).collect()
+    # the row for 1 belongs to the version that deleted it
+    assert {(r.book_id, r.symbol) for r in out} == {(2, "B"), (3, "A")}
+
+
+def test_a_batch_writes_its_books_only_and_segments_merge(spark, monkeypatch):
+    monkeypatch.setattr(L, "SMALL", 4)
+    wrote, read = [], []
+    real_write, real_read = L.Log._write, L.Log.read
+
+    def write(self, rows, name):
+        n = real_write(self, rows, name)
+        if self.path.endswith("-table"):
+            wrote.append((name, n))
+        return n
+
+    def seen(self, segments, books=None):
+        if books is not None:
+            read.append(real_read(self, segments, books).count())
+        return real_read(self, segments, books)
+
+    monkeypatch.setattr(L.Log, "_write", write)
+    monkeypatch.setattr(L.Log, "read", seen)
+    start = spark.createDataFrame([(b, s, 0.5) for b in range(200) for s in "AB"], BOOK)
+    batches = [[(k, "C", 0.5, 1, 2), (k, "D", 0.5, 1, 2)] for k in range(20)]
+    path = updated(spark, batches, start, buckets=2)
+    got = {(r.book_id, r.symbol) for r in L.current_books(spark, path, start, 2).collect()}
+    assert got == {(b, s) for b in range(200) for s in ("CD" if b < 20 else "AB")}
+    assert [n for name, n in wrote if name.startswith("segment=b")] == [400] + [2] * 20
+    # merging touches small segments, never the table they update
+    merged = sum(n for name, n in wrote if name.startswith("segment=m"))
+    assert 0 < merged <= 2 * 20 * 3
+    assert max(read) <= 2
+    log = L._log(spark, path, start, 2)
+    assert len(log.manifest()) <= 2 * L.FAN + 1
+    log.vacuum()
+    assert {(r.book_id, r.symbol) for r in L.current_books(spark, path, start, 2).collect()} == got
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    log = L.Log(spark, scratch_path(spark, "log"), "book_id int, symbol string, seq long", buckets=2)
+    rows = lambda *r: spark.createDataFrame(r, "book_id int, symbol string, seq long")
+    log.commit(rows((1, "A", 0), (2, "A", 0)), -1)
+    for _ in range(2):
+        log.commit(rows((1, "B", 1)), 0)
+    log._write(rows((2, "torn", 2)), "segment=b1")  # written, but the batch never came to its manifest
+    assert {(r.book_id, r.symbol) for r in log.newest(log.read(log.manifest())).collect()} == {(1, "B"), (2, "A")}
+    log.commit(rows(), 1)
+    assert len(log.manifest()) == 2
+
+
+def test_history_of_a_changed_book_starts_again(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    history = spark.createDataFrame([(b, day(k), "A") for b in (1, 2) for k in range(1, 6)], "book_id int, date date, symbol string")
+    changes = spark.createDataFrame([(1, day(2)), (1, day(4)), (3, day(1))], "book_id int, changed_on date")
+    got = sorted((r.book_id, r.date.day) for r in L.live_history(history, changes).collect())
+    assert got == [(1, 4), (1, 5)] + [(2, k) for k in range(1, 6)]
