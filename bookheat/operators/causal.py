@@ -7,9 +7,11 @@ so a moment matrix per (book, replicate) is summed by Spark and each edge is sol
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -65,18 +67,78 @@ def _slope(m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([_coefficient(np.asarray(a).reshape(k, k), list(b), int(c)) for a, b, c in zip(m, x, y)])
 
 
-@F.pandas_udf(DoubleType())
-def _placebo_slope(m: pd.Series, p: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    k = len(VARIABLES) + 1
-    out = []
-    for a, b, xs, c in zip(m, p, x, y):
-        full, cross = np.asarray(a).reshape(k, k).copy(), np.asarray(b).reshape(k, k)
-        i = int(xs[0]) + 1
-        own = full[i, i]
-        full[i, :], full[:, i] = cross[i, :], cross[i, :]
-        full[i, i] = own
-        out.append(_coefficient(full, list(xs), int(c)))
-    return pd.Series(out)
+def shuffled_rows(row: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Where each row number below ``n`` goes under the permutation that ``key`` names.
+
+    A Feistel network on numbers written with two digits, of base about the root of ``n``: each round adds a hash of one digit to the other,
+    which is a bijection. The few numbers from ``n`` on are walked through until they fall below it.
+    """
+    n, out = n.astype(np.int64), row.astype(np.int64).copy()
+    low = np.maximum(np.ceil(np.sqrt(n)).astype(np.int64), 1)
+    high = -(-n // low)
+
+    def hashed(digit: np.ndarray, at: np.ndarray, turn: int) -> np.ndarray:
+        x = key[at].astype(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + digit.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+    todo = np.arange(len(out))
+    while len(todo):
+        a, b = out[todo] // low[todo], out[todo] % low[todo]
+        for turn in range(rounds):
+            if turn % 2:
+                b = (b + hashed(a, todo, turn)) % low[todo]
+            else:
+                a = (a + hashed(b, todo, turn)) % high[todo]
+        out[todo] = a * low[todo] + b
+        todo = todo[out[todo] >= n[todo]]
+    return out
+
+
+def permuted(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(book_id, rep, row, place): every row of every book with its place in each replicate, no row sorted or gathered."""
+    kind = dict(numbered.dtypes)["book_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, n, own = (b.column(c).to_numpy() for c in ("row", "rows", "own"))
+            for rep in range(1, replicates + 1):
+                key = own.astype(np.uint64) ^ np.uint64(rep * 0xD6E8FEB86659FD93 % (1 << 64))
+                cols = [b.column("book_id"), pa.array(np.full(len(row), rep, np.int32)), pa.array(row, pa.int32()), pa.array(shuffled_rows(row, n, key), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["book_id", "rep", "row", "place"])
+
+    keyed = numbered.select("book_id", F.col("row").cast("int").alias("row"), F.col("rows").cast("long").alias("rows"), F.xxhash64(F.lit(seed), F.col("book_id").cast("string")).alias("own"))
+    return keyed.mapInArrow(run, f"book_id {kind}, rep int, row int, place int")
+
+
+def permutation_p(numbered: DataFrame, point: DataFrame, edges=C.CAUSAL_EDGES, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """(book_id, source, target, p_value): how often the correlation of the shuffled treatment with the outcome is at least the effect.
+
+    ``numbered`` is the daily table with ``row`` (from 0) and ``rows`` per book, ``point`` the effects. The share is at
+    least one over the replicates and one. A book's treatments are shuffled alike in a replicate.
+    """
+    treated = sorted({s for s, _ in edges})
+    left = permuted(numbered, replicates, seed).join(numbered.select("book_id", "row", *[F.col(c).alias(f"p_{c}") for c in treated]), ["book_id", "row"])
+    right = numbered.select("book_id", F.col("row").alias("place"), *sorted({t for _, t in edges}))
+    sums = left.join(right, ["book_id", "place"]).groupBy("book_id", "rep").agg(F.array(*[F.sum(F.col(f"p_{s}") * F.col(t)) for s, t in edges]).alias("xy"))
+    named = sorted({v for e in edges for v in e})
+    base = numbered.groupBy("book_id").agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m_{v}") for v in named], *[F.stddev_pop(v).alias(f"s_{v}") for v in named])
+    spread_of = lambda s, t: F.col(f"s_{s}") * F.col(f"s_{t}")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("source"),
+                F.lit(t).alias("target"),
+                F.when(spread_of(s, t) > 0, (F.col("xy")[k] / F.col("n") - F.col(f"m_{s}") * F.col(f"m_{t}")) / spread_of(s, t)).alias("corr"),
+            )
+            for k, (s, t) in enumerate(edges)
+        ]
+    )
+    keys = ["book_id", "source", "target"]
+    seen = sums.join(base, "book_id").select("book_id", F.explode(rows).alias("e")).select("book_id", "e.*").join(point.select(*keys, "effect"), keys)
+    share = F.avg(F.coalesce(F.abs("corr") >= F.abs("effect"), F.lit(False)).cast("double"))
+    return seen.groupBy(*keys).agg(F.greatest(share, F.lit(1.0 / (replicates + 1))).alias("p_value"))
 
 
 def effects(table: DataFrame, edges=C.CAUSAL_EDGES, min_rows: int = 60) -> DataFrame:
@@ -88,9 +150,9 @@ def effects(table: DataFrame, edges=C.CAUSAL_EDGES, min_rows: int = 60) -> DataF
 
 
 def intervals(
-    table: DataFrame, edges=C.CAUSAL_EDGES, bootstraps: int = 100, placebos: int = 50, min_rows: int = 60, seed: int = 42
+    table: DataFrame, edges=C.CAUSAL_EDGES, bootstraps: int = 100, replicates: int = 200, min_rows: int = 60, seed: int = 42
 ) -> DataFrame:
-    """Effects with percentile intervals from resampled rows and p values from permuted treatments.
+    """Effects with percentile intervals from resampled rows and p values from permuted treatments (``permutation_p``).
 
     Draws are hashes of (seed, replicate, row), so reruns and other partitionings give equal output.
     """
@@ -117,29 +179,8 @@ def intervals(
         F.percentile("b", 0.025).alias("ci_lower"), F.percentile("b", 0.975).alias("ci_upper")
     )
 
-    order = Window.partitionBy("book_id", "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "row"), "row")
-    shuffled = numbered.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(placebos)))).withColumn(
-        "place", F.row_number().over(order) - 1
-    )
-    left = shuffled.select("book_id", "rep", F.col("place").alias("row"), *[F.col(c).alias(f"p_{c}") for c in cols])
-    cross = _moments(left.join(numbered, ["book_id", "row"]), ["book_id", "rep"], [f"p_{c}" for c in cols], cols)
-    base = _moments(numbered, ["book_id"], cols, cols).select("book_id", "m")
-    placebo = (
-        cross.withColumnRenamed("m", "p")
-        .join(base, "book_id")
-        .withColumn("e", F.explode(edge_rows(edges)))
-        .select("book_id", "e.source", "e.target", _placebo_slope("m", "p", "e.x", "e.y").alias("b"))
-    )
     keys = ["book_id", "source", "target"]
-    p = (
-        placebo.join(point, keys)
-        .groupBy(*keys)
-        .agg(
-            F.greatest(
-                F.avg((F.abs("b") >= F.abs("effect")).cast("double")), F.lit(1.0 / (placebos + 1))
-            ).alias("p_value")
-        )
-    )
+    p = permutation_p(numbered, point, edges, replicates, seed)
     return point.join(ci, keys).join(p, keys)
 
 

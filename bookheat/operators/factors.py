@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,85 @@ def factor_exposures(windowed: DataFrame, factors: DataFrame, min_rows: int = 20
     )
 
 
+#: Days of a block of rolling regressions, and symbols that a task takes of it.
+BLOCK_DAYS = 256
+SHARD_SYMBOLS = 2048
+
+
+def _window_sums(products: np.ndarray, window: int) -> np.ndarray:
+    """Sums of each ``window`` rows along axis 0, as differences of prefix sums carried in extended precision."""
+    run = np.cumsum(products, axis=0, dtype=np.longdouble)
+    run = np.concatenate([np.zeros((1, *run.shape[1:]), np.longdouble), run])
+    return (run[window:] - run[:-window]).astype(np.float64)
+
+
+def rolling_fits(x: np.ndarray, y: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """OLS of every row of ``y`` on the rows of ``x`` over each ``window`` columns: slopes, t statistics, R².
+
+    Shapes are (windows, factors, symbols) twice and (windows, symbols). The moment matrix of a window is inverted once for all symbols.
+    """
+    k = len(x)
+    design = np.concatenate([np.ones((1, x.shape[1])), x - x.mean(axis=1, keepdims=True)]).T
+    own = (y - y.mean(axis=1, keepdims=True)).T
+    inverse = np.linalg.pinv(_window_sums(design[:, :, None] * design[:, None, :], window), hermitian=True)
+    cross = np.stack([_window_sums(design[:, [j]] * own, window) for j in range(k + 1)], axis=1)
+    total, square = cross[:, 0], _window_sums(own * own, window)
+    beta = inverse @ cross
+    sse = np.maximum(square - (beta * cross).sum(axis=1), 0)
+    sst = square - total**2 / window
+    se = np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2)[:, :, None] * (sse / max(window - k - 1, 1))[:, None, :], 0))
+    ts = np.divide(beta, se, out=np.zeros_like(beta), where=se > 0)
+    r2 = np.where(sst > 0, 1 - np.divide(sse, sst, out=np.zeros_like(sse), where=sst > 0), 0.0)
+    return beta[:, 1:], ts[:, 1:], r2
+
+
+def rolling_exposures(returns: DataFrame, factors: DataFrame, value: str, window: int, block: int = BLOCK_DAYS) -> DataFrame:
+    """``factor_exposures`` of the ``window`` days before every day, without a copy of the window per day.
+
+    ``returns`` is (t, symbol, value) with ``t`` counting days. Days are dealt in blocks; a row goes to its own block and, at the
+    end of one, to the next as well, so it is copied ``1 + window / block`` times instead of ``window`` times. A
+    symbol (or factor) that misses one of the days gets no row on the days whose window has it.
+    """
+    block = max(block, window)
+    shards = max(1, -(-returns.select("symbol").distinct().count() // SHARD_SYMBOLS))
+    own = F.floor(F.col("t") / block)
+    late = F.col("t") % block >= block - window
+    # the factors of a block go to each of its shards, another symbol to one
+    shard = F.when(F.col("factor").isNull(), F.array(F.pmod(F.xxhash64("symbol"), F.lit(shards)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    rows = (
+        returns.select("t", "symbol", F.col(value).cast("double").alias("v"))
+        .join(factors.select("symbol", "factor"), "symbol", "left")
+        .withColumn("block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+        .withColumn("shard", F.explode(shard))
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        first = group.column("block")[0].as_py() * block - window
+        coded = group.column("symbol").combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        series = np.full((len(names), window + block), np.nan)
+        series[coded.indices.to_numpy(), group.column("t").to_numpy() - first] = group.column("v").to_numpy()
+        role = dict(zip(group.column("symbol").to_pylist(), group.column("factor").to_pylist()))
+        lead = sorted((f, i) for i, f in ((i, role[s]) for i, s in enumerate(names)) if f is not None)
+        rest = [i for i, s in enumerate(names) if role[s] is None]
+        x, y = series[[i for _, i in lead]], series[rest]
+        gaps = np.concatenate([np.zeros((len(rest) + 1, 1), np.int64), np.cumsum(np.concatenate([np.isnan(x).any(axis=0)[None, :], np.isnan(y)]), axis=1)], axis=1)
+        gaps = gaps[:, window:-1] - gaps[:, : -window - 1]
+        whole = (gaps[:1] == 0) & (gaps[1:] == 0) & ~np.isnan(y[:, window:])
+        day, who = np.nonzero(whole.T)
+        out = [np.zeros(0)] * 3
+        if len(day) and lead:
+            b, s, r = rolling_fits(np.nan_to_num(x), np.nan_to_num(y), window)
+            out = [b[day, :, who].ravel(), s[day, :, who].ravel(), np.repeat(r[day, who], len(lead))]
+        n = len(lead) if len(day) else 0
+        symbol = pa.array([names[i] for i in rest], pa.string()).take(pa.array(np.repeat(who, n)))
+        factor = pa.array([f for f, _ in lead] * (len(day) if n else 0), pa.string())
+        t = pa.array(np.repeat(first + window + day, n), pa.int32())
+        return pa.table([t, symbol, factor, *[pa.array(o, pa.float64()) for o in out]], ["t", "symbol", "factor", "beta", "t_stat", "r_squared"])
+
+    return rows.groupBy("block", "shard").applyInArrow(run, "t int, symbol string, factor string, beta double, t_stat double, r_squared double")
+
+
 def aggregate_exposures(exposures: DataFrame, books: DataFrame) -> DataFrame:
     """Σ weight·beta per (book, day, factor) and its share of total absolute exposure."""
     tot = (

@@ -226,20 +226,37 @@ def migration_risk(snapshots: DataFrame, moved: DataFrame) -> DataFrame:
 
 
 def _single_linkage_order(d: np.ndarray) -> list[int]:
-    """Leaf order of single-linkage clusters (merging nearest first, smaller index left)."""
+    """Leaf order of single-linkage clusters (merging nearest first, the cluster with the smaller index left).
+
+    Single linkage is the spanning tree replayed by length: the tree takes n² steps, the replay a chain of lists per merge.
+    """
     n = len(d)
-    clusters: dict[int, list[int]] = {i: [i] for i in range(n)}
-    near = d.copy()
-    np.fill_diagonal(near, np.inf)
-    while len(clusters) > 1:
-        i, j = np.unravel_index(int(np.argmin(near)), near.shape)
-        i, j = min(i, j), max(i, j)
-        clusters[i] = clusters[i] + clusters.pop(j)
-        near[i] = np.minimum(near[i], near[j])
-        near[:, i] = near[i]
-        near[i, i] = np.inf
-        near[j, :] = near[:, j] = np.inf
-    return next(iter(clusters.values()))
+    best, link, left = d[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    left[0], edges = False, []
+    for _ in range(n - 1):
+        j = int(np.argmin(np.where(left, best, np.inf)))
+        edges.append((float(best[j]), min(int(link[j]), j), max(int(link[j]), j)))
+        left[j] = False
+        closer = left & (d[j] < best)
+        best[closer], link[closer] = d[j][closer], j
+    parent = list(range(n))
+    after, last = [-1] * n, list(range(n))  # a cluster is a chain from its root
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for _, i, j in sorted(edges):
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+        after[last[a]], last[a] = b, last[b]
+    out, at = [], root(0)
+    while at >= 0:
+        out.append(at)
+        at = after[at]
+    return out
 
 
 def risk_parity(cov: np.ndarray) -> np.ndarray:
@@ -270,17 +287,61 @@ def risk_parity(cov: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def hrp_weights(books: DataFrame, windowed: DataFrame) -> DataFrame:
-    """(book_id, symbol, weight) by hierarchical risk parity; books of fewer than two symbols drop out."""
+def parity_or_equal(cov: np.ndarray) -> np.ndarray:
+    """Risk parity weights; equal ones where the covariances do not allow any (not finite, or no variance at all)."""
+    n = len(cov)
+    if n == 1:
+        return np.ones(1)
+    if not np.isfinite(cov).all() or not (np.diag(cov) > 0).any():
+        return np.full(n, 1.0 / n)
+    w = risk_parity(cov)
+    return w if np.isfinite(w).all() and w.sum() > 0 else np.full(n, 1.0 / n)
+
+
+def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame | None = None) -> DataFrame:
+    """(book_id, symbol, weight) by hierarchical risk parity.
+
+    ``covariances`` (book_id, a, b, cov; both ways round or one, variances included) takes the place of the sample covariances of
+    ``windowed`` for the books it names; a pair it lacks counts as zero. A book of one symbol holds it whole; where the
+    covariances allow no weights they are equal.
+    """
     from bookheat.operators.metrics import members
 
     vectors = A.with_centered(windowed, "x", "c").select("symbol", "c")
 
     def one(rec: dict) -> list[tuple]:
-        if len(rec["symbol"]) < 2:
-            return []
-        return list(zip(rec["symbol"], risk_parity(rec["c"] @ rec["c"].T).tolist()))
+        return list(zip(rec["symbol"], parity_or_equal(rec["c"] @ rec["c"].T).tolist()))
+
+    given = None
+    if covariances is not None:
+        named = covariances.select("book_id").distinct()
+        own = books.select("book_id", "symbol").join(named, "book_id", "left_semi")
+        given = _given_parity(own, covariances)
+        books = books.join(named, "book_id", "left_anti")
+    sampled = _sampled_parity(books, vectors, one, members)
+    return sampled if given is None else sampled.unionByName(given)
+
+
+def _given_parity(books: DataFrame, covariances: DataFrame) -> DataFrame:
+    """Weights from given covariances, one packed row per book."""
+    pairs = covariances.select("book_id", F.col("a").alias("symbol"), F.col("b").alias("other"), "cov")
+    known = pairs.join(books, ["book_id", "symbol"], "left_semi").unionByName(
+        books.select("book_id", "symbol", F.lit(None).cast("string").alias("other"), F.lit(0.0).alias("cov"))
+    )
+
+    def one(rec: dict) -> list[tuple]:
+        names = sorted(set(rec["symbol"]))
+        at = {s: k for k, s in enumerate(names)}
+        cov = np.zeros((len(names), len(names)))
+        for a, b, v in zip(rec["symbol"], rec["other"], rec["cov"]):
+            if b in at:
+                cov[at[a], at[b]] = cov[at[b], at[a]] = v
+        return list(zip(names, parity_or_equal(cov).tolist()))
+
+    return L.map_groups(known, ["book_id"], ["symbol", "other", "cov"], one, "symbol string, weight double")
+
 
+def _sampled_parity(books: DataFrame, vectors: DataFrame, one, members) -> DataFrame:
     return L.map_groups(
         members(books, vectors, rolling=False),
         ["book_id"],

@@ -36,7 +36,7 @@ def replay_windows(spark, sf):
 def exposures(spark, sf):
     """Rolling factor betas of every non-factor symbol, staged."""
     return staged(
-        spark, sf, "exposures", lambda: X.factor_exposures(replay_windows(spark, sf), T.factor_dim(spark))
+        spark, sf, "exposures", lambda: X.rolling_exposures(T.returns(spark, sf), T.factor_dim(spark), "simple", C.WINDOW_ROWS)
     )
 
 

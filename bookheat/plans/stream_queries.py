@@ -179,8 +179,8 @@ def stream_book_updates(spark, sf):
     size = F.count("*").over(Window.partitionBy("book_id"))
     cand = cand.withColumn("version", F.lit(1)).withColumn("positions", size)
     # dealt by symbol, so that the rows of a book arrive in several files and micro-batches
-    path = L.book_updates(J.stream_of(cand.repartition(4, "symbol"), "candidates", 1), start)
-    return L.current_books(spark, path, start).select("book_id", "symbol", r("weight").alias("weight"))
+    path = L.book_updates(J.stream_of(cand.repartition(4, "symbol"), "candidates", 1), start, buckets=4)
+    return L.current_books(spark, path, start, 4).select("book_id", "symbol", r("weight").alias("weight"))
 
 
 @query(

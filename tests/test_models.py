@@ -119,11 +119,11 @@ def table(spark):
 
 
 def test_effects_intervals_and_shock(spark, table):
-    got = {(r.source, r.target): r for r in CA.intervals(table, bootstraps=60, placebos=30).collect()}
+    got = {(r.source, r.target): r for r in CA.intervals(table, bootstraps=60, replicates=30).collect()}
     m = got[("market", C.PORTFOLIO_NODE)]
     assert m.effect == pytest.approx(0.9, abs=0.1) and m.ci_lower < m.effect < m.ci_upper and m.p_value < 0.05
     assert got[("low_vol", C.PORTFOLIO_NODE)].p_value > 0.05 or abs(got[("low_vol", C.PORTFOLIO_NODE)].effect) < 0.1
-    again = {(r.source, r.target): r.ci_lower for r in CA.intervals(table.repartition(5), bootstraps=60, placebos=30).collect()}
+    again = {(r.source, r.target): r.ci_lower for r in CA.intervals(table.repartition(5), bootstraps=60, replicates=30).collect()}
     assert again[("rates", "credit")] == pytest.approx(got[("rates", "credit")].ci_lower)
     sig = {r.source for r in CA.significant(CA.regression_effects(table)).filter(F.col("target") == C.PORTFOLIO_NODE).collect()}
     assert {"market", "ai_tech"} <= sig
