@@ -401,3 +401,29 @@ def regime_features(returns: DataFrame, heat: DataFrame, window: int = 20) -> Da
         F.col("avg_corr").alias("avg_correlation"), F.col("score").alias("heat_score"),
     )
     return early.unionByName(later).dropna()
+
+
+def calm_returns(returns: DataFrame, crises: DataFrame) -> DataFrame:
+    """``returns`` of the days in no crisis, their ``t`` numbered anew without holes.
+
+    Days are counted by month first, so that no window runs over more than a month of days and one row per month.
+    """
+    days = calm_days(returns.select("date").distinct(), crises).withColumn("month", F.trunc("date", "month"))
+    before = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = days.groupBy("month").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("month").orderBy("date")) - 1
+    numbered = days.withColumn("inside", inside).join(months, "month").select("date", (F.col("before") + F.col("inside")).cast("int").alias("t"))
+    return returns.drop("t").join(numbered, "date").select(*returns.columns)
+
+
+def false_positive_windows(scored: DataFrame, calm_rows: int, books: DataFrame, window: int = C.WINDOW_ROWS, least: int = 120, warm: float = C.THRESHOLDS["warm"]) -> DataFrame:
+    """Per book: windows over the calm days and the share whose heat is warm or above.
+
+    ``scored`` is the heat of every ``window`` consecutive calm rows, ranked in the windows before it. With fewer than ``least``
+    calm rows the share is 0 of no windows.
+    """
+    share = scored.filter(F.lit(calm_rows >= least)).groupBy("book_id").agg(
+        F.count("*").alias("windows"), F.avg((F.col("score") >= warm).cast("double")).alias("false_positive_rate")
+    )
+    every = books.select("book_id").distinct().join(share, "book_id", "left")
+    return every.select("book_id", F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("false_positive_rate", F.lit(0.0)).alias("false_positive_rate"))

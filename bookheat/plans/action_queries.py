@@ -12,6 +12,7 @@ from bookheat.operators import attribution as ATT
 from bookheat.operators import crowding as CR
 from bookheat.operators import factors as X
 from bookheat.operators import graph as G
+from bookheat.operators.communities import communities_by_rounds
 from bookheat.operators import panel as P
 from bookheat.plans import heat_queries as HQ
 from bookheat.plans.oracle import define, with_ctes
@@ -513,7 +514,7 @@ def pretrade_verdict(spark, sf):
 def universe_communities(spark, sf):
     edges = HQ.correlation_edges(spark, sf).withColumn("book_id", F.lit("all"))
     nodes = T.symbols(spark, sf).withColumn("book_id", F.lit("all"))
-    return staged(spark, sf, "universe-communities", lambda: G.communities(nodes, edges))
+    return staged(spark, sf, "universe-communities", lambda: communities_by_rounds(nodes, edges))
 
 
 @query("pretrade_impact")

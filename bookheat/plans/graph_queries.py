@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bookheat.functions import rules as R
 from bookheat.operators import graph as G
 from bookheat.operators import moments as MM
+from bookheat.operators.communities import held_edges
 from bookheat.plans import heat_queries as HQ
 from bookheat.plans.action_queries import universe_communities
 from bookheat.plans.oracle import define, with_ctes
@@ -155,6 +156,58 @@ def migration_risk(spark, sf):
     return G.migration_risk(s, G.migrations(s)).select(r("migration_risk").alias("migration_risk"))
 
 
+@query("community_migrations")
+def community_migrations(spark, sf):
+    """Symbols of the reference book that changed their peers, on the communities found at every replay day."""
+    snaps = staged(spark, sf, "snapshots", lambda: _snapshots(spark, sf))
+    return G.migrations(snaps).select("book_id", "symbol", HQ.big("compared_to"), r("overlap", 3).alias("overlap"))
+
+
+@query("community_migration_risk")
+def community_migration_risk(spark, sf):
+    snaps = staged(spark, sf, "snapshots", lambda: _snapshots(spark, sf))
+    return G.migration_risk(snaps, G.migrations(snaps)).select("book_id", r("migration_risk").alias("migration_risk"))
+
+
+def _universe_edges(spark, sf):
+    """Pairs of symbols whose correlation is at least .2 either way: (a, b, z), staged."""
+
+    def build():
+        v = MM.ewma_vectors(MM.series(T.returns(spark, sf), "ret", 252))
+        return MM.pair_values(v, [], ["z"], keep="edges", threshold=0.2)
+
+    return staged(spark, sf, "universe-edges", build)
+
+
+def _customer_communities(spark, sf):
+    books = T.books(spark, sf)
+    return staged(spark, sf, "customer-communities", lambda: G.communities(books, held_edges(books, _universe_edges(spark, sf))))
+
+
+@query("customer_communities")
+def customer_communities(spark, sf):
+    """Communities of every customer book in the graph of the symbols it holds."""
+    return _customer_communities(spark, sf).select("book_id", "symbol", "cluster_id")
+
+
+@query("customer_modularity")
+def customer_modularity(spark, sf):
+    edges = held_edges(T.books(spark, sf), _universe_edges(spark, sf))
+    return G.modularity(edges, _customer_communities(spark, sf)).select("book_id", r("modularity").alias("modularity"))
+
+
+@query(
+    "held_edges",
+    with_ctes(
+        ["books", "lpairs"],
+        """SELECT x.book_id, p.a AS src, p.b AS dst, round(abs(p.corr), 5) + 0.0 AS weight
+FROM books x JOIN lpairs p ON p.a = x.symbol JOIN books y ON y.book_id = x.book_id AND y.symbol = p.b WHERE abs(p.corr) >= 0.2""",
+    ),
+)
+def held_edges_query(spark, sf):
+    return held_edges(T.books(spark, sf), _universe_edges(spark, sf)).select("book_id", "src", "dst", r("weight", 5).alias("weight"))
+
+
 def _hrp(spark, sf):
     return staged(spark, sf, "hrp", lambda: G.hrp_weights(T.books(spark, sf), HQ.latest_windows(spark, sf, 60)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
+from bookheat.operators import heat as H
 from bookheat.operators import panel as P
 from bookheat.operators import scorecard as K
 from bookheat.operators import signals as S
@@ -335,6 +336,35 @@ def backtest_overall(spark, sf):
     )
 
 
+def calm_heat(spark, sf):
+    """(calm rows, heat of every 60 consecutive calm rows) of the reference and all customer books."""
+    calm = staged(spark, sf, "calm-returns", lambda: S.calm_returns(T.returns(spark, sf), T.crises(spark)))
+    own = T.books(spark, sf).select(F.col("book_id").cast("string").alias("book_id"), "symbol", "weight")
+    books = own.unionByName(T.reference_book(spark).select("book_id", "symbol", "weight"))
+    scored = staged(spark, sf, "calm-heat", lambda: H.own_history(books, calm, T.factor_dim(spark)))
+    return calm.select("t").distinct().count(), scored, books
+
+
+@query("false_positive_windows")
+def false_positive_windows(spark, sf):
+    """False alarms of every book in windows over its calm days."""
+    rows, scored, books = calm_heat(spark, sf)
+    return S.false_positive_windows(scored, rows, books).select("book_id", "windows", r("false_positive_rate", 4).alias("false_positive_rate"))
+
+
+@query(
+    "calm_rows",
+    with_ctes(
+        ["rets", "crises"],
+        """SELECT row_number() OVER (ORDER BY date) - 1 AS t, CAST(date AS VARCHAR) AS date FROM (SELECT DISTINCT date FROM rets)
+WHERE NOT EXISTS (SELECT 1 FROM crises WHERE date BETWEEN "start" AND "end")""",
+    ),
+)
+def calm_rows(spark, sf):
+    calm = S.calm_returns(T.returns(spark, sf), T.crises(spark))
+    return calm.select(HQ.big("t"), text("date")).distinct()
+
+
 @query(
     "history_checks",
     with_ctes(
