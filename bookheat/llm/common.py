@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 #: White space of the word contracts: space and the five control characters 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 #: Largest amount of text, in characters, that a task turns into results at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Most bytes of an Arrow batch that Spark hands to a task.
 BATCH_BYTES = 4_000_000
 

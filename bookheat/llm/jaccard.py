@@ -40,7 +40,7 @@ from bookheat.llm.signature_trees import Tree, common, demanded, signature
 from bookheat.session import stage
 
 FREQUENT_WORDS = 4096
-LEAST_IN_CHUNK = 16
+LEAST_IN_CHUNK = 4
 CLASS_BITS = 3
 FEW = 4
 BLOCK = 1024

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 
 LEAF = 8
-FRONT_WORDS = 4_000_000
+#: Pairs of nodes that are looked at together, and words of their bitmaps: what they descend to is LEAF * LEAF as many.
+FRONT_PAIRS, FRONT_WORDS = 16_384, 262_144
 MIN_BITS = 64
 BITS_PER_TOKEN = 2
 
@@ -58,7 +59,7 @@ class Tree:
 
     def _descend(self, level: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         bits, lo, hi, ex, first, last = self.levels[level]
-        step = max(1, FRONT_WORDS // bits.shape[1])
+        step = max(1, min(FRONT_PAIRS, FRONT_WORDS // bits.shape[1]))
         for k in range(0, len(a), step):
             p, q = a[k : k + step], b[k : k + step]
             settled = (first[p] == last[p]) & (first[q] == last[q]) & (first[p] == first[q])
