@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
 from bookheat.functions import rules as R
 from bookheat.operators import ledger as LG
+from bookheat.operators import scorecard as K
+from bookheat.operators import signals as S
 from bookheat.operators import texts as TX
 from bookheat.plans import action_queries as AQ
 from bookheat.plans import ledger_queries  # noqa: F401  (defines the ledger CTEs)
 from bookheat.plans import heat_queries as HQ
+from bookheat.plans import signal_queries as SQ
 from bookheat.plans.model_queries import MO
 from bookheat.plans.oracle import with_ctes
 from bookheat.plans.panel_queries import text
@@ -146,16 +151,51 @@ def wide_csv_returns(spark, sf):
     return IO.wide_csv_returns(spark, path, names).select(text("date"), "symbol", r("ret").alias("ret"))
 
 
-@query("backtest_tables")
+def result_tables(spark, sf):
+    """All result tables of the replay: daily, crisis, signal and scorecard tables."""
+    heat, crises, port, sig = HQ.heat(spark, sf), T.crises(spark), SQ.portfolio(spark, sf), SQ.signals(spark, sf)
+    per_crisis = S.crisis_backtest(heat, port, crises)
+    return {
+        "heat": heat,
+        "crowding": AQ.crowding(spark, sf),
+        "crisis_summary": S.crisis_summary(heat, crises, C.THRESHOLDS),
+        "crisis_backtest": per_crisis,
+        "overall": S.backtest_overall(per_crisis, S.false_positive_share(heat, crises)),
+        "signals": sig,
+        "signal_metrics": S.signal_metrics(sig),
+        "signal_strategy": S.signal_strategy(sig),
+        "signal_stats": S.signal_stats(heat),
+        "forward_returns": S.forward_returns_by_level(heat, port),
+        "scorecard": K.scorecard(SQ._cards(spark, sf)[1], SQ.warned(spark, sf)),
+    }
+
+
+@query(
+    "backtest_tables",
+    with_ctes(
+        ["heat", "crowd", "signals", "crises"],
+        """SELECT 'heat' AS "table", count(*) AS n FROM heat UNION ALL SELECT 'crowding', count(*) FROM crowd UNION ALL SELECT 'signals', count(*) FROM signals
+UNION ALL SELECT 'signal_metrics', count(DISTINCT signal) FROM signals UNION ALL SELECT 'signal_strategy', count(DISTINCT signal) FROM signals
+UNION ALL SELECT 'crisis_summary', count(DISTINCT crisis) FROM crises JOIN heat ON date BETWEEN "start" - INTERVAL 45 DAY AND "end" + INTERVAL 30 DAY
+UNION ALL SELECT 'overall', 1""",
+    ),
+)
 def backtest_tables(spark, sf):
-    """The replay's result tables written below one folder, then counted."""
+    """The replay's result tables committed as one version, read back and counted."""
     path = scratch_path(spark, "backtest")
-    tables = {"heat": HQ.heat(spark, sf), "crowding": AQ.crowding(spark, sf)}
-    IO.write_tables(tables, path)
-    counts = [
-        spark.read.parquet(f"{path}/{n}").groupBy(F.lit(n).alias("table")).agg(F.count("*").alias("n")) for n in tables
-    ]
-    return counts[0].unionByName(counts[1])
+    IO.commit_tables(result_tables(spark, sf), path)
+    read = IO.committed_tables(spark, path)
+    counted = ("heat", "crowding", "signals", "signal_metrics", "signal_strategy", "crisis_summary", "overall")
+    counts = [read[n].groupBy(F.lit(n).alias("table")).agg(F.count("*").alias("n")) for n in counted]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("result_rows")
+def result_rows(spark, sf):
+    """Rows of every result table, as the manifest of their version has them."""
+    path = scratch_path(spark, "results")
+    version = IO.commit_tables(result_tables(spark, sf), path)
+    return spark.read.schema(IO.MANIFEST).parquet(f"{path}/manifest/version={version}").select("table", "rows")
 
 
 # -- texts -------------------------------------------------------------------

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookheat.session import _hadoop, folders
+
+MANIFEST = "table string, folder string, rows long"
+
 LEDGER_SCHEMA = (
     "channel long, tier string, et_date date, et_time string, utc timestamp, scheduled boolean, message_id long, "
     "server_ts timestamp, heat_score double, positions array<string>, "
@@ -34,10 +40,52 @@ def heat_history(
     return df.limit(limit) if limit else df
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Every result table below one folder."""
+def commit_tables(tables: dict[str, DataFrame], path: str) -> int:
+    """Write result tables as one version and return its number: readers see all of them or none.
+
+    The tables go to a folder that nothing names yet; the commit is the rename of a manifest, which a store does at once. A
+    writer that fails leaves the version before in force; of two writers one gets the number, the other tries the next.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    data = f"data/{uuid.uuid4().hex}"
+    rows = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{data}/{name}")
+        rows.append((name, f"{data}/{name}", spark.read.parquet(f"{path}/{data}/{name}").count()))
+    draft = f"{path}/drafts/{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(draft)
+    fs, source = _hadoop(spark, draft)
+    version = max(versions(spark, path), default=0) + 1
+    while True:
+        _, target = _hadoop(spark, f"{path}/manifest/version={version}")
+        fs.mkdirs(target.getParent())
+        if not fs.exists(target) and fs.rename(source, target):
+            return version
+        version += 1
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions, oldest first."""
+    return sorted(int(f.removeprefix("version=")) for f in folders(spark, f"{path}/manifest") if f.startswith("version="))
+
+
+def committed_tables(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of one version, the newest by default; none before the first commit."""
+    known = versions(spark, path)
+    if not known:
+        return {}
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/version={version or known[-1]}")
+    return {r["table"]: spark.read.parquet(f"{path}/{r['folder']}") for r in manifest.collect()}  # one row per table
+
+
+def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest versions, and data that no version names."""
+    known = versions(spark, path)
+    live = {r["folder"].split("/")[1] for v in known[-keep:] for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest/version={v}").collect()}
+    gone = [f"manifest/version={v}" for v in known[:-keep]] + [f"data/{f}" for f in folders(spark, f"{path}/data") if f not in live]
+    for name in gone:
+        fs, p = _hadoop(spark, f"{path}/{name}")
+        fs.delete(p, True)
 
 
 def append_ledger(records: DataFrame, path: str) -> None:
