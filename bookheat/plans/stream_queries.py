@@ -144,10 +144,14 @@ def alert_cooldown(spark, sf):
     return J.alert_batch(readings(T.table(spark, sf, "events"))).select("book_id", "seq", "tier")
 
 
-@query("stream_alerts", _ALERT_SQL)
+@query(
+    "stream_alerts",
+    with_ctes("alerts", "SELECT a.book_id, a.seq, a.tier FROM alerts a JOIN events e ON e.event_id = a.seq WHERE e.ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"),
+)
 def stream_alerts(spark, sf):
+    """Alerts of the readings that the watermark has passed, an hour behind the newest."""
     stream = J.alert_stream(readings(J.read_stream(spark, sf, "events")))
-    path = J.run_available(stream, "update", "alerts")
+    path = J.run_available(stream, "append", "alerts")
     return spark.read.schema(J.ALERT_OUT).parquet(f"{path}/batch=*").select("book_id", "seq", "tier")
 
 

@@ -121,35 +121,60 @@ ALERT_OUT = "book_id long, ts timestamp, seq long, tier string"
 
 
 class AlertProcessor(StatefulProcessor):
-    """Per book: previous level and regime and the time of the last send of each tier.
+    """Per book: previous level and regime and the time of the last send of each tier, and the readings not yet in order.
 
-    Previous states move even when an alert is suppressed; a cooldown starts only with a send.
+    A reading waits until the watermark has passed it; a timer then releases what is due in order of time, whatever
+    the order of arrival, so a late reading is judged in its place. Previous states move even when an alert is suppressed; a cooldown
+    starts only with a send.
     """
 
     def __init__(self, cooldowns: dict[str, int]):
         self.cooldowns = cooldowns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState(
             "alerts", "level string, regime string, emergency double, level_change double, regime_shift double"
         )
+        self.waiting = handle.getListState("waiting", "at long, seq long, level string, regime string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            at = part["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(at.tolist(), part["seq"].tolist(), part["level"].tolist(), part["regime"].tolist())))
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        due, rest = [], []
+        for row in self.waiting.get():
+            (due if row[0] < until else rest).append(tuple(row))
+        if not due:
+            return
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(row[0] for row in rest) // 1000 + 1)
+        else:
+            self.waiting.clear()
         level, regime, *last = self.state.get() if self.state.exists() else (None, None, None, None, None)
         sent = dict(zip(("emergency", "level_change", "regime_shift"), last))
         out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            now = row.ts.timestamp() / 60
+        for at, seq, new_level, new_regime in sorted(due, key=lambda row: row[:2]):
+            now = at / 6e7
             wants = {
-                "emergency": row.level == "emergency",
-                "level_change": level is not None and row.level != level,
-                "regime_shift": regime is not None and row.regime != regime and row.regime != "unknown",
+                "emergency": new_level == "emergency",
+                "level_change": level is not None and new_level != level,
+                "regime_shift": regime is not None and new_regime != regime and new_regime != "unknown",
             }
             for tier, wanted in wants.items():
                 if wanted and (sent[tier] is None or now - sent[tier] >= self.cooldowns[tier]):
                     sent[tier] = now
-                    out.append((key[0], row.ts, row.seq, tier))
-            level, regime = row.level, row.regime
+                    out.append((key[0], pd.Timestamp(at, unit="us"), seq, tier))
+            level, regime = new_level, new_regime
         self.state.update((level, regime, sent["emergency"], sent["level_change"], sent["regime_shift"]))
         if out:
             yield pd.DataFrame(out, columns=["book_id", "ts", "seq", "tier"])
@@ -158,11 +183,14 @@ class AlertProcessor(StatefulProcessor):
         pass
 
 
-def alert_stream(readings: DataFrame, cooldowns: dict[str, int] | None = None) -> DataFrame:
-    """Alerts of a stream of (book_id, ts, seq, level, regime)."""
+def alert_stream(readings: DataFrame, cooldowns: dict[str, int] | None = None, delay: str = "1 hour") -> DataFrame:
+    """Alerts of a stream of (book_id, ts, seq, level, regime); readings may arrive out of order by up to ``delay``.
+
+    Later ones are dropped, as by any watermark. A reading is judged when the watermark has passed it.
+    """
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return readings.groupBy("book_id").transformWithStateInPandas(
-        AlertProcessor(cooldowns or C.COOLDOWN_MINUTES), ALERT_OUT, "update", "none"
+    return readings.withWatermark("ts", delay).groupBy("book_id").transformWithStateInPandas(
+        AlertProcessor(cooldowns or C.COOLDOWN_MINUTES), ALERT_OUT, "append", "eventTime"
     )
 
 
