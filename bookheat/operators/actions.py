@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
+from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import metrics as M
@@ -221,6 +222,63 @@ def what_if(names, x, betas, held, wanted, span: int) -> list[tuple]:
     return rows
 
 
+def factor_impact(candidates: DataFrame, exposures: DataFrame) -> DataFrame:
+    """(book_id, symbol, factor_betas, dominant_factor): betas of each candidate on the factors, their t and weighted contribution.
+
+    ``exposures`` is (symbol, factor, beta, t_stat) of one window. The dominant factor has the largest absolute beta.
+    """
+    joined = candidates.select("book_id", "symbol", "weight").join(exposures.select("symbol", "factor", "beta", "t_stat"), "symbol")
+    one = F.struct("factor", "beta", "t_stat", (F.col("beta") * F.col("weight")).alias("contribution"))
+    return joined.groupBy("book_id", "symbol").agg(
+        F.array_sort(F.collect_list(one)).alias("factor_betas"),
+        F.max_by("factor", F.struct(F.abs("beta"), "factor")).alias("dominant_factor"),
+    )
+
+
+def nearest_positions(books: DataFrame, candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(book_id, candidate, nearest, correlation): the position that each candidate goes with most closely, by absolute correlation.
+
+    ``vectors`` is (symbol, z) with unit vectors. A candidate already held is not compared with itself; ties go to the later name.
+    """
+    asked = candidates.select("book_id", F.col("symbol").alias("candidate")).distinct()
+    held = books.select("book_id", F.col("symbol").alias("nearest")).distinct()
+    a = vectors.select(F.col("symbol").alias("candidate"), F.col("z").alias("za"))
+    b = vectors.select(F.col("symbol").alias("nearest"), F.col("z").alias("zb"))
+    # a correlation per pair of symbols that meet in some book, not per book
+    pairs = asked.join(held, "book_id").filter("candidate <> nearest")
+    known = pairs.select("candidate", "nearest").distinct().join(a, "candidate").join(b, "nearest")
+    known = known.select("candidate", "nearest", A.dot(F.col("za"), F.col("zb")).alias("correlation"))
+    best = F.max_by(F.struct("nearest", "correlation"), F.struct(F.round(F.abs("correlation"), 12), "nearest")).alias("m")
+    return pairs.join(known, ["candidate", "nearest"]).groupBy("book_id", "candidate").agg(best).select("book_id", "candidate", "m.*")
+
+
+def cluster_peers(joined: DataFrame, communities: DataFrame) -> DataFrame:
+    """``joined`` (candidate, joins_cluster, ...) with ``cluster_peers``, the other symbols of that cluster."""
+    groups = communities.groupBy(F.col("cluster_id").alias("joins_cluster")).agg(F.array_sort(F.collect_set("symbol")).alias("all"))
+    return joined.join(groups, "joins_cluster", "left").withColumn("cluster_peers", F.array_remove("all", F.col("candidate"))).drop("all")
+
+
+def unchecked(books: DataFrame, candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(book_id, candidate, verdict, reason) of candidates that cannot be checked: no returns of their own, or none of any position."""
+    asked = candidates.select("book_id", "symbol").distinct()
+    known = symbols.select("symbol").distinct()
+    covered = books.select("book_id", "symbol").join(known, "symbol", "left_semi").select("book_id").distinct()
+    skip = asked.join(known, "symbol", "left_anti").withColumns({"verdict": F.lit("SKIP"), "reason": F.concat(F.lit("No return data for "), "symbol")})
+    blind = asked.join(known, "symbol", "left_semi").join(covered, "book_id", "left_anti")
+    blind = blind.withColumns({"verdict": F.lit("PROCEED"), "reason": F.lit("No current position data available")})
+    return skip.unionByName(blind).withColumnRenamed("symbol", "candidate")
+
+
+def full_impact(
+    books: DataFrame, candidates: DataFrame, vectors: DataFrame, windowed: DataFrame, history: DataFrame | None, communities: DataFrame, exposures: DataFrame
+) -> DataFrame:
+    """``pretrade_impact`` with the factor impact and cluster peers of every candidate, and a row for those that cannot be checked."""
+    made = cluster_peers(pretrade_impact(books, candidates, vectors, windowed, history, communities), communities)
+    factors = factor_impact(candidates, exposures).withColumnRenamed("symbol", "candidate")
+    made = made.join(factors, ["book_id", "candidate"], "left").withColumn("dominant_factor", F.coalesce("dominant_factor", F.lit("none")))
+    return made.unionByName(unchecked(books, candidates, windowed), allowMissingColumns=True)
+
+
 def _at_most(values, limit):
     return F.filter(values, lambda v: v <= limit)
 

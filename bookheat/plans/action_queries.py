@@ -13,6 +13,7 @@ from bookheat.operators import crowding as CR
 from bookheat.operators import factors as X
 from bookheat.operators import graph as G
 from bookheat.operators.communities import communities_by_rounds
+from bookheat.operators import moments as MM
 from bookheat.operators import panel as P
 from bookheat.plans import heat_queries as HQ
 from bookheat.plans.oracle import define, with_ctes
@@ -517,25 +518,82 @@ def universe_communities(spark, sf):
     return staged(spark, sf, "universe-communities", lambda: communities_by_rounds(nodes, edges))
 
 
+def _pending(spark, sf):
+    """Pending orders as candidate trades of five percent."""
+    return T.holdings(spark, sf).filter("status = 'P'").select("book_id", "symbol").distinct().withColumn("weight", F.lit(0.05))
+
+
 @query("pretrade_impact")
 def pretrade_impact(spark, sf):
-    """Pending orders as candidate trades of five percent for the books without them."""
-    pending = T.holdings(spark, sf).filter("status = 'P'").select("book_id", "symbol").distinct()
-    settled = T.settled_books(spark, sf)
+    """What the pending orders would do to the books without them."""
     windowed = HQ.latest_windows(spark, sf, 60)
-    vectors = ATT.symbol_vectors(windowed, HQ.latest_exposures(spark, sf))
-    out = ACT.pretrade_impact(
-        settled,
-        pending.withColumn("weight", F.lit(0.05)),
-        vectors,
+    out = ACT.full_impact(
+        T.settled_books(spark, sf),
+        _pending(spark, sf),
+        ATT.symbol_vectors(windowed, HQ.latest_exposures(spark, sf)),
         windowed,
         ACT.component_history(HQ.book_heat(spark, sf)),
         universe_communities(spark, sf),
+        HQ.latest_exposures(spark, sf),
     )
     return out.select(
         "book_id", "candidate", r("heat_before").alias("heat_before"), r("heat_after").alias("heat_after"),
         r("heat_delta").alias("heat_delta"), "nearest", r("correlation", 4).alias("correlation"), "joins_cluster",
-        "increases_concentration", "verdict", "reason",
+        F.array_join("cluster_peers", ",").alias("cluster_peers"), "increases_concentration", "dominant_factor",
+        F.to_json("factor_betas").alias("factor_betas"), "verdict", "reason",
+    )
+
+
+define(
+    "pending",
+    "SELECT DISTINCT book_id, symbol FROM holdings WHERE status = 'P'",
+    "holdings",
+)
+define(
+    "settled",
+    "SELECT DISTINCT book_id, symbol FROM holdings WHERE status <> 'P'",
+    "holdings",
+)
+define(
+    "corr60",
+    """SELECT a.symbol AS a, b.symbol AS b, corr(a.x, b.x) AS corr FROM lwin60 a JOIN lwin60 b ON a.k = b.k AND a.symbol <> b.symbol GROUP BY 1, 2""",
+    "lwin60",
+)
+
+
+@query(
+    "pretrade_nearest",
+    with_ctes(
+        ["pending", "settled", "corr60"],
+        """SELECT book_id, candidate, nearest, round(corr, 4) + 0.0 AS correlation, corr > 0.5 AS increases_concentration
+FROM (SELECT p.book_id, p.symbol AS candidate, s.symbol AS nearest, c.corr,
+             row_number() OVER (PARTITION BY p.book_id, p.symbol ORDER BY round(abs(c.corr), 12) DESC, s.symbol DESC) AS rn
+      FROM pending p JOIN settled s ON s.book_id = p.book_id AND s.symbol <> p.symbol JOIN corr60 c ON c.a = p.symbol AND c.b = s.symbol) WHERE rn = 1""",
+    ),
+)
+def pretrade_nearest(spark, sf):
+    """The position that each pending order goes with most closely."""
+    vectors = MM.sample_vectors(HQ.latest_windows(spark, sf, 60)).select("symbol", "z")
+    near = ACT.nearest_positions(T.settled_books(spark, sf), _pending(spark, sf), vectors)
+    return near.select("book_id", "candidate", "nearest", r("correlation", 4).alias("correlation"), (F.col("correlation") > 0.5).alias("increases_concentration"))
+
+
+@query(
+    "pretrade_factors",
+    with_ctes(
+        ["pending", "lbetas"],
+        """SELECT p.book_id, p.symbol AS candidate, b.factor, round(b.beta, 4) + 0.0 AS beta, round(0.05 * b.beta, 5) + 0.0 AS contribution,
+       b.factor = first_value(b.factor) OVER (PARTITION BY p.book_id, p.symbol ORDER BY abs(b.beta) DESC) AS dominant
+FROM pending p JOIN lbetas b ON b.symbol = p.symbol""",
+    ),
+)
+def pretrade_factors(spark, sf):
+    """Factor betas of each pending order."""
+    impact = ACT.factor_impact(_pending(spark, sf), HQ.latest_exposures(spark, sf))
+    each = impact.select("book_id", F.col("symbol").alias("candidate"), "dominant_factor", F.explode("factor_betas").alias("e"))
+    return each.select(
+        "book_id", "candidate", "e.factor", r(F.col("e.beta"), 4).alias("beta"), r(F.col("e.contribution"), 5).alias("contribution"),
+        (F.col("e.factor") == F.col("dominant_factor")).alias("dominant"),
     )
 
 
