@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks, fan_out, other_columns, row_of, unpacked, with_row
+from bookheat.llm.common import chunks, fan_out, lean, lean_group, other_columns, row_of, unpacked, with_row
 from bookheat.session import stage
 
 #: Longest part, in characters, that is encoded without a join.
@@ -170,13 +170,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", le
         ids = c.join_all([unpack(x) for x in group.column("_ids").to_pylist()], [t.encode() for t in group.column("_part").to_pylist()])
         return pa.table({"_no": group.column("_no").slice(0, 1), "_ids": pa.array([pack(ids)], pa.binary())})
 
-    short = rows.filter(F.length("_text") <= leaf_chars).mapInArrow(whole, with_row(docs, others, "_ids binary", "_row"))
+    short = rows.filter(F.length("_text") <= leaf_chars).mapInArrow(lean(whole), with_row(docs, others, "_ids binary", "_row"))
     # numbered once and written, so that a row's number is the same for its leaves and its columns
     long = stage(rows.filter(F.length("_text") > leaf_chars).withColumn("_no", F.monotonically_increasing_id()), "long-texts")
     spread = fan_out(docs.sparkSession)
-    leaves = long.select("_no", "_text").mapInArrow(split, "_no long, _leaf int, _part string").repartition(spread, "_no", "_leaf")
-    coded = leaves.mapInArrow(leaf, "_no long, _leaf int, _part string, _ids binary")
-    met = coded.groupBy("_no").applyInArrow(meet, "_no long, _ids binary")
+    leaves = long.select("_no", "_text").mapInArrow(lean(split), "_no long, _leaf int, _part string").repartition(spread, "_no", "_leaf")
+    coded = leaves.mapInArrow(lean(leaf), "_no long, _leaf int, _part string, _ids binary")
+    met = coded.groupBy("_no").applyInArrow(lean_group(meet), "_no long, _ids binary")
     out = short.unionByName(long.select("_row", "_no").join(met, "_no").select("_row", "_ids"))
     return out.select(*unpacked(others, "_row"), F.col("_ids").alias(into))
 
@@ -191,5 +191,5 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
         for b in chunks(batches, "_ids"):
             yield _replace(b, "_ids", "_out", pa.array([c.decode(unpack(x)) for x in b.column("_ids").to_pylist()], pa.string()))
 
-    out = rows.mapInArrow(back, with_row(coded, others, "_out string", "_row"))
+    out = rows.mapInArrow(lean(back), with_row(coded, others, "_out string", "_row"))
     return out.select(*unpacked(others, "_row"), F.col("_out").alias(into))

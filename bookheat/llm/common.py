@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ SPACE = r"\x20\x09-\x0D"
 #: Largest amount of text, in characters, that a task turns into results at a time.
 CHUNK_CHARS = 1_000_000
 #: Most bytes of an Arrow batch that Spark hands to a task.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,36 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay for later tasks, and would hold the most they ever took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, with ``release`` once a partition is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """``run`` for ``applyInArrow``, with ``release`` once a group is done."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        out = run(group)
+        release()
+        return out
+
+    return wrapped
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of ``text`` (one row at least)."""
     for batch in batches:

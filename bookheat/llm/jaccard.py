@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, lean, lean_group
 from bookheat.llm.components import components
 from bookheat.llm.hashing import WordHashes, grams, member, membership, mix
 from bookheat.llm.signature_trees import Tree, common, demanded, signature
@@ -62,7 +62,7 @@ def frequent_words(docs: DataFrame, text: str) -> np.ndarray:
             often = [w for w, k in times.items() if k >= LEAST_IN_CHUNK]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.of(often).view(np.int64)), pa.array([times[w] for w in often], pa.int64())], ["word", "times"])
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
     top = counts.orderBy(F.desc("times"), "word").limit(FREQUENT_WORDS).select("word").toArrow()
     return np.sort(top.column("word").to_numpy().view(np.uint64))
 
@@ -116,7 +116,7 @@ def profiles(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray,
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s", "first", "sig", *more])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.xxhash64(text).alias(c) for c in more])
-    return stage(rows.mapInArrow(run, "id long, n long, s long, first array<long>, sig binary" + ", h long" * hashed), "profiles")
+    return stage(rows.mapInArrow(lean(run), "id long, n long, s long, first array<long>, sig binary" + ", h long" * hashed), "profiles")
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def cells(rows: DataFrame) -> DataFrame:
             at = pa.array(at[keep])
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), b.column("s").take(at), b.column("n").take(at)], ["tok", "s", "n"])
 
-    sent = known.select("first", "s", "n").mapInArrow(pick, "tok long, s long, n long")
+    sent = known.select("first", "s", "n").mapInArrow(lean(pick), "tok long, s long, n long")
     rows = stage(sent.groupBy("tok", "s").agg(F.first("n").alias("n")).join(shared, "tok"), "cells")
     same = rows.groupBy("tok").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "s")).alias("y"))
     one = same.groupBy("m", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
@@ -203,7 +203,7 @@ class Verifier:
                 found = [t for t in token_sets(b.column("text").to_pylist(), n, hashes, frequent) if len(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["s", "x"])
 
-        got = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "s long, x binary")
+        got = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(lean(run), "s long, x binary")
         return stage(got.join(keys, "s", "left_semi").groupBy("s").agg(F.first("x").alias("x")), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ class Verifier:
         pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         keys = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
         both = _beside(pairs, self.sets(keys), "x").select("a", "b", "xa", "xb")
-        return stage(both.mapInArrow(_similar(self.num, self.den), "a long, b long"), "set-links")
+        return stage(both.mapInArrow(lean(_similar(self.num, self.den)), "a long, b long"), "set-links")
 
 
 def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den: int, few: bool) -> DataFrame:
@@ -262,7 +262,7 @@ def open_pairs(cell: DataFrame, sets: DataFrame, reach: DataFrame, num: int, den
         return pa.table([a, b], ["a", "b"])
 
     placed = rows.join(sets.select("s", "sig"), "s").withColumn("g", F.pmod(F.xxhash64("tok", "band", "i", "j"), F.lit(groups)))
-    found = placed.groupBy("g").applyInArrow(run, "a long, b long")
+    found = placed.groupBy("g").applyInArrow(lean_group(run), "a long, b long")
     ordered = [F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("b").isNotNull(), F.greatest("a", "b"))]
     return stage(found.select(ordered[0].alias("a"), ordered[1].alias("b")).distinct(), "open-pairs")
 
@@ -301,7 +301,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     fit = cell.filter(f"s <> leader and {den} * n >= {num} * leader_n and {den} * leader_n >= {num} * n")
     stars = fit.select(F.col("s").alias("a"), F.col("leader").alias("b")).distinct()
     near = _beside(stars, sets.withColumnRenamed("sig", "x"), "n", "x")
-    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_overlap_possible(num, den), "a long, b long")
+    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(lean(_overlap_possible(num, den)), "a long, b long")
     links = check.links(near)
     reach = components(links, "a", "b")
     for few in (True, False):

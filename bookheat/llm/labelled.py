@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import other_columns, row_of, unpacked, with_row
+from bookheat.llm.common import lean, other_columns, row_of, unpacked, with_row
 
 #: Most labelled documents that a model is fitted on.
 FIT_ROWS = 6000
@@ -37,6 +37,6 @@ def scored(docs: DataFrame, run: Callable, text: str, into: str) -> DataFrame:
     """``docs`` with ``into``, where ``run`` adds ``p`` to Arrow batches of ``row`` and ``text``; a text crosses once each way."""
     others = other_columns(docs, text, into)
     kind = with_row(docs, others, "text string, p double")
-    out = docs.select(row_of(others).alias("row"), F.col(f"`{text}`").alias("text")).mapInArrow(run, kind)
+    out = docs.select(row_of(others).alias("row"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), kind)
     columns = dict(zip(others, unpacked(others)))
     return out.select(*[columns.get(c, F.col("text").alias(c)) for c in other_columns(docs, into)], F.col("p").alias(into))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, lean
 from bookheat.llm.labelled import scored, training
 
 HASH_BITS = 17
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """Model of ``label`` from a bounded sample; ``labels`` has ``doc_id`` and ``label``."""
     sample = training(docs, labels, label, rows)
     kind = dict(sample.dtypes)["doc_id"]
-    got = sample.mapInArrow(_extract, f"doc_id {kind}, y int, features array<int>, shares array<float>").toArrow()
+    got = sample.mapInArrow(lean(_extract), f"doc_id {kind}, y int, features array<int>, shares array<float>").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return fit_rows(_lists(got.column("features")), _lists(got.column("shares")), got.column("y").to_numpy().astype(float))
 

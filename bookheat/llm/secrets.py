@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks, other_columns, row_of, unpacked, with_row
+from bookheat.llm.common import chunks, lean, other_columns, row_of, unpacked, with_row
 from bookheat.session import scratch_path
 
 #: Kinds in their listed order; the first three are the base rules.
@@ -102,7 +102,7 @@ def update_ledger(versions: DataFrame, ledger: str, rule_version: str = RULES_VE
     seen = read_ledger(versions, ledger).filter(F.col("rule_version") == rule_version).select("blob")
     blobs = address(versions, text).select("blob", F.coalesce(F.col(text), F.lit("")).alias("_text"))
     unseen = blobs.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("_text").alias("_text"))
-    unseen.withColumn("rule_version", F.lit(rule_version)).mapInArrow(_scan, _LEDGER).write.mode("append").parquet(ledger)
+    unseen.withColumn("rule_version", F.lit(rule_version)).mapInArrow(lean(_scan), _LEDGER).write.mode("append").parquet(ledger)
 
 
 def findings(versions: DataFrame, ledger: str | None = None, rule_version: str = RULES_VERSION, text: str = "text") -> DataFrame:
@@ -147,6 +147,6 @@ def redact(versions: DataFrame, ledger: str | None = None, text: str = "text") -
     """``versions`` with every span of ``text`` replaced by its kind in square brackets."""
     others = other_columns(versions, text)
     found = findings(versions.select(row_of(others).alias("_row"), F.col(f"`{text}`").alias("_text")), ledger, text="_text")
-    out = found.select("_row", "_text", "spans").mapInArrow(_redact, with_row(versions, others, "_text string", "_row"))
+    out = found.select("_row", "_text", "spans").mapInArrow(lean(_redact), with_row(versions, others, "_text string", "_row"))
     columns = dict(zip(others, unpacked(others, "_row")))
     return out.select(*[columns.get(c, F.col("_text").alias(c)) for c in versions.columns])

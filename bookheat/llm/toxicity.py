@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from bookheat.llm.common import chunks
+from bookheat.llm.common import chunks, lean
 from bookheat.llm.labelled import FIT_ROWS, scored, training
 
 HASH_BITS = 22
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     """Model of ``label`` from a bounded sample; ``labels`` has ``doc_id`` and ``label``."""
     sample = training(docs, labels, label, rows)
     kind = dict(sample.dtypes)["doc_id"]
-    got = sample.mapInArrow(_extract, f"doc_id {kind}, y int, terms array<int>").toArrow()
+    got = sample.mapInArrow(lean(_extract), f"doc_id {kind}, y int, terms array<int>").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     flat = got.column("terms").combine_chunks()
     values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
