@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookheat.llm.common import chunks, fan_out, lean, lean_group, other_columns, row_of, unpacked, with_row
+from bookheat.llm.common import chunks, fan_out, lean, other_columns, row_of, unpacked, with_row
 from bookheat.session import stage
 
 #: Longest part, in characters, that is encoded without a join.
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", le
     spread = fan_out(docs.sparkSession)
     leaves = long.select("_no", "_text").mapInArrow(lean(split), "_no long, _leaf int, _part string").repartition(spread, "_no", "_leaf")
     coded = leaves.mapInArrow(lean(leaf), "_no long, _leaf int, _part string, _ids binary")
-    met = coded.groupBy("_no").applyInArrow(lean_group(meet), "_no long, _ids binary")
+    met = coded.groupBy("_no").applyInArrow(meet, "_no long, _ids binary")
     out = short.unionByName(long.select("_row", "_no").join(met, "_no").select("_row", "_ids"))
     return out.select(*unpacked(others, "_row"), F.col("_ids").alias(into))
 
