@@ -11,8 +11,8 @@ leaf above the size of a shard is cut into several, so a hot leaf is many tasks;
 are parts of their own. A query goes once to each shard that holds leaves it visits; the shard gives its
 best k over these leaves with exact distances and ties by the smaller id, and the best k of all remain.
 
-Cases: vectors that are null, zero, with null or non-finite components, or of another length than most
-take no part, nor do rows without id. A repeated id counts once per query (its nearest vector), and an id
+Cases: vectors that are null, zero, or with null or non-finite components take no part, nor do rows without id; vectors of
+different length are not compared (``neighbours`` makes a tree per length). A repeated id counts once per query (its nearest vector), and an id
 asked twice is one query. With fewer than k candidates all are returned. Other columns are ignored. An
 empty table gives no rows.
 """
@@ -25,12 +25,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookheat.llm.common import fan_out
-from bookheat.llm.vectors import common_width, matrix, usable
+from bookheat.llm.vectors import lengths, matrix, usable
 from bookheat.session import stage
 
 SAMPLE = 20_000
@@ -152,13 +152,33 @@ class Index(NamedTuple):
     visits: int
 
 
-def build(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", k: int = 10, recall: float = RECALL) -> Index | None:
-    """Fit, index and calibrate; None if no vector takes part."""
+def _usable(vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
     base = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    part = base.filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    width = common_width(part, "vec")
-    if not width:
-        return None
+    return base.filter(F.col("id").isNotNull() & usable(F.col("vec")))
+
+
+def neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vec: str = "embedding", k: int = 10) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows of ``vectors`` that ``queries``, a condition on ``id``, picks.
+
+    Vectors of each length are a space of their own, with its own tree.
+    """
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in lengths(_usable(vectors, vec_id, vec), "vec"):
+        index = build(vectors, vec_id, vec, k, width=width)
+        out = out.unionAll(search(index, index.rows.filter(queries).select("id", "vec"), k))
+    return out
+
+
+def build(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", k: int = 10, recall: float = RECALL, width: int | None = None) -> Index | None:
+    """Fit, index and calibrate over the vectors of ``width`` components (of the only length, if not given); None without any."""
+    part = _usable(vectors, vec_id, vec)
+    if width is None:
+        known = lengths(part, "vec")
+        if not known:
+            return None
+        if len(known) > 1:
+            raise ValueError(f"vectors of {len(known)} lengths: name one")
+        width = known[0]
     part = part.filter(F.size("vec") == width)
     sample = part.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     x = matrix(sample.column("vec").combine_chunks(), width)

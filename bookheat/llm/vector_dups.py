@@ -9,7 +9,9 @@ many cells and no task holds it. In a cell the exact cosine decides; a pair that
 counts in the first. A cell sends on sums of links per node and, instead of its pairs, a forest with the
 same components.
 
-Cases: vectors that are null, zero, with null or non-finite components, or of another length than most
+Vectors of one length are a space of their own, with its own hyperplanes and tables.
+
+Cases: vectors that are null, zero, or with null or non-finite components
 link with nothing, as do rows without id (their component is null, not kept). Rows with one id and
 different vectors are one node to reachability. Repeated rows link with each other. An empty table gives
 no rows.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookheat.llm.components import components, local_roots
-from bookheat.llm.vectors import common_width, matrix, usable
+from bookheat.llm.vectors import lengths, matrix, usable
 from bookheat.session import stage
 
 THRESHOLD = 0.95
@@ -34,6 +37,7 @@ RECALL = 0.995
 BUCKET = 32
 BLOCK = 1024
 GROUP_ROWS = 8192
+LINKS = "g long, n long, a long, b long"
 
 
 def plan(nodes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -114,23 +118,13 @@ def _verify(width: int, threshold: float):
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links``, ``component_id`` and ``kept``."""
     base = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    part = base.filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    width = common_width(part, "vec")
-    keyed = base.withColumn("ok", F.col("id").isNotNull() & usable(F.col("vec")) & (F.size("vec") == width))
+    keyed = base.withColumn("ok", F.col("id").isNotNull() & usable(F.col("vec")))
     # 128 bits that stand for all components; rows without part have none and join with nothing
     keyed = keyed.withColumn("h1", F.when(F.col("ok"), F.xxhash64("vec"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit("second"), F.col("vec"))))
     nodes = keyed.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec"))
     nodes = stage(nodes.withColumn("g", F.monotonically_increasing_id()), "vectors")
-    bits, tables = plan(nodes.count(), threshold, recall)
-    hashed = _hashed(nodes, max(width, 1), bits, tables)
-    sizes = hashed.groupBy("t", "sig").count().filter("count > 1")
-    blocks = sizes.select("t", "sig", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = hashed.join(blocks, ["t", "sig"]).withColumn("k", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("g", "rep", "m", "vec", "sigs", "t", "sig", "k", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
-    groups = max(1, nodes.count() * tables // GROUP_ROWS)
-    grouped = cells.withColumn("cell", F.pmod(F.xxhash64("t", "sig", "i", "j"), F.lit(groups))).groupBy("cell")
-    found = stage(grouped.applyInArrow(_verify(max(width, 1), threshold), "g long, n long, a long, b long"), "vector-links")
+    found = [_links(nodes.filter(F.size("vec") == width), width, threshold, recall) for width in lengths(nodes, "vec")]
+    found = stage(reduce(DataFrame.unionAll, found, nodes.sparkSession.createDataFrame([], LINKS)), "vector-links")
     reach = components(found, "a", "b")
     links = found.groupBy("g").agg(F.sum("n").alias("n"))
     known = nodes.select("h1", "h2", "g", "rep", "m").join(links, "g", "left").join(reach, F.col("rep") == F.col("node"), "left")
@@ -143,3 +137,18 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def _links(nodes: DataFrame, width: int, threshold: float, recall: float) -> DataFrame:
+    """Of nodes with ``width`` components: sums of links per node, and pairs with the same components as all links."""
+    count = nodes.count()
+    bits, tables = plan(count, threshold, recall)
+    hashed = _hashed(nodes, width, bits, tables)
+    sizes = hashed.groupBy("t", "sig").count().filter("count > 1")
+    blocks = sizes.select("t", "sig", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    placed = hashed.join(blocks, ["t", "sig"]).withColumn("k", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("g", "rep", "m", "vec", "sigs", "t", "sig", "k", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
+    groups = max(1, count * tables // GROUP_ROWS)
+    grouped = cells.withColumn("cell", F.pmod(F.xxhash64("t", "sig", "i", "j"), F.lit(groups))).groupBy("cell")
+    return grouped.applyInArrow(_verify(width, threshold), LINKS)

@@ -1,6 +1,7 @@
 """Queries over vectors; the tests hold brute force against them."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bookheat.llm import ann
 from bookheat.llm.common import table
@@ -15,7 +16,4 @@ def op7_vector_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_nearest_neighbours")
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = ann.build(table(spark, sf_dir, "embeddings"))
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ann.search(index, index.rows.filter("id % 100 = 0").select("id", "vec"))
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)

@@ -14,10 +14,9 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def common_width(rows: DataFrame, vec: str) -> int:
-    """The most frequent number of components (the smaller of two as frequent), 0 without rows."""
-    top = rows.groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return top[0]["d"] if top else 0
+def lengths(rows: DataFrame, vec: str) -> list[int]:
+    """The numbers of components that occur, ascending; each is a space of its own."""
+    return sorted(r["d"] for r in rows.select(F.size(vec).alias("d")).distinct().collect())  # one number per length
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookheat.llm import ann
 from bookheat.llm.common import table
@@ -40,7 +41,7 @@ def test_cases(spark):
     rows += [(100 + i, [1.0] * 6, "x") for i in range(25)] + [(100, [1.0] * 6, "x")]
     rows += [(500, None, "x"), (501, [0.0] * 6, "x"), (502, [None] * 6, "x"), (503, [float("nan")] * 6, "x"), (504, [1.0], "x"), (None, [1.0] * 6, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    index = ann.build(df)
+    index = ann.build(df, width=6)
     got = ann.search(index, index.rows.filter("id = 100").select("id", "vec")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(101, 111)) and all(r.score == 0 for r in got)
     few = ann.build(df.filter("vec_id < 5"))
@@ -58,3 +59,21 @@ def test_shards_hold_all_leaves_and_cut_large_ones():
         for s in range(first[leaf], first[leaf] + parts[leaf]):
             load[s] = load.get(s, 0) + n / parts[leaf]
     assert max(load.values()) <= most
+
+
+def test_each_length_is_a_space(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(302)] + [(2000, [1.0]), (2001, [])]
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = total = 0
+    for part in (rows[:400], rows[400:702]):
+        part = [(i, np.float32(v).tolist()) for i, v in part]
+        want = exact(part, [i for i, _ in part if i % 100 == 0])
+        for q, near in want.items():
+            assert len(got[q]) == 10
+            hits, total = hits + len(set(got[q]) & {i for i, _ in near}), total + 10
+    assert hits / total >= 0.9 and set(got) == {0, 100, 200, 300, 1000, 1100, 1200, 1300}
+    with pytest.raises(ValueError):
+        ann.build(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))

@@ -63,3 +63,12 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = spark.createDataFrame(path + star + [(5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
     assert got == {i: 1 for i in range(1, 61)} | {1000 + i: 1000 for i in range(50)}
+
+
+def test_each_length_is_a_space(spark):
+    rng = np.random.default_rng(8)
+    some = lambda first, n, d: [(first + i, np.float32(np.ones(d) + rng.normal(0, 0.12, d)).tolist()) for i in range(n)]
+    long, short = some(1, 60, 8), some(500, 40, 3) + [(600, [2.0, 0.0, 0.0]), (601, [2.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame([*long, *short, (700, [1.0])], "vec_id long, embedding array<float>")).collect()}
+    assert got == brute(long) | brute(short) | {700: (0, 700)}
+    assert got[601] == (1, 600)
