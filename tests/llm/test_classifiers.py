@@ -65,3 +65,57 @@ def test_cases(spark, kind, label):
         assert all(0 <= r.score <= 1 for r in kind.score(docs, kind.fit(docs, some)).collect())
     assert kind.score(docs.limit(0), model).count() == 0
     assert kind.score(docs, kind.fit(docs.limit(0), labels)).count() == len(rows)
+
+
+def plain_quality(model, text):
+    """Score of one text, feature by feature."""
+    import xxhash
+
+    big, top, words, total, count = 1 << 64, (1 << quality.HASH_BITS) - 1, text.split(), 0.0, 0
+    h = [xxhash.xxh32_intdigest(w.encode()) for w in words]
+    for w, own in zip(words, h):
+        found = [own & top]
+        codes = [ord(c) for c in f"<{w}>"]
+        for n in quality.GRAMS:
+            for i in range(len(codes) - n + 1):
+                g = 0
+                for c in codes[i : i + n]:
+                    g = (g * 0xD6E8FEB86659FD93 + c + n) % big
+                found.append((g ^ (g >> 32)) * 0x9E3779B97F4A7C15 % big >> (64 - quality.HASH_BITS))
+        total, count = total + sum(float(model.logit[f]) for f in found), count + len(found)
+    for a, b in zip(h, h[1:]):
+        f = quality._SAME if a == b else (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % big >> (64 - quality.HASH_BITS)
+        total, count = total + float(model.logit[f]), count + 1
+    return 1 / (1 + np.exp(-(model.bias + total / max(1, count))))
+
+
+def plain_toxicity(model, text):
+    """Score of one text: the weights of its terms and the products of every two term vectors."""
+    import re
+
+    import xxhash
+
+    terms = set()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for part in {w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)}:
+            terms.add(xxhash.xxh32_intdigest(part.encode()) & (1 << toxicity.HASH_BITS) - 1)
+    at = [k for k, t in enumerate(model.terms.tolist()) if t in terms]
+    raw = model.bias + sum(float(model.weight[k]) for k in at)
+    for n, i in enumerate(at):
+        for j in at[n + 1 :]:
+            raw += sum(float(a) * float(b) for a, b in zip(model.vectors[i], model.vectors[j]))
+    return 1 / (1 + np.exp(-raw))
+
+
+@pytest.mark.parametrize("kind, label, plain", [(quality, "quality", plain_quality), (toxicity, "toxic", plain_toxicity)])
+def test_scores_equal_the_plain_version(spark, kind, label, plain):
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = kind.fit(docs, table(spark, d, "labels"))
+    some = [r for r in docs.orderBy("doc_id").collect() if len(r.text or "") < 4000][::12]
+    odd = [(-1, None), (-2, ""), (-3, "same same same a"), (-4, "Ünïcödé 𝔘𝔫𝔦 a"), (-5, "x" * 300), (-6, "\x85   b")]
+    given = spark.createDataFrame([*map(tuple, some), *odd], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in kind.score(given, model).collect()}
+    assert len(got) == len(some) + len(odd) > 60
+    worst = max(abs(got[i] - plain(model, t or "")) for i, t in [*map(tuple, some), *odd])
+    assert worst < 1e-9
