@@ -302,3 +302,47 @@ def portfolio_snapshot(spark, sf):
         "book_id", F.col("h.date").cast("string").alias("date"), r(F.col("h.score"), 10).alias("score"), "h.level",
         "h.dominant_factor", "h.top_pair", r(F.col("c.crowding_score")).alias("crowding_score"), "c.crowding_level", "e.factors",
     )
+
+
+@query("customer_states")
+def customer_states(spark, sf):
+    """Positions, exposures, own heat, clusters, limits, attribution and advice of every customer book on one row each."""
+    from bookheat.operators import factors as X
+    from bookheat.operators.snapshot import portfolio_states
+    from bookheat.plans.graph_queries import _customer_communities
+
+    books = T.books(spark, sf)
+    states = portfolio_states(
+        HQ.book_heat(spark, sf),
+        limits=AQ._limits(spark, sf, AQ.own_heat_of_books(spark, sf)),
+        positions=books,
+        factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books),
+        attribution=AQ.attributed_own(spark, sf),
+        recommendations=AQ.recs_own(spark, sf),
+        clusters=_customer_communities(spark, sf),
+    )
+    lists = ("positions", "factor_exposures", "attribution", "recommendations", "clusters")
+    return states.select(
+        "book_id", F.col("heat.date").cast("string").alias("date"), r(F.col("heat.score"), 10).alias("score"), "heat.level",
+        r("correlation_avg").alias("correlation_avg"), F.to_json("throttle").alias("throttle"), *[F.to_json(c).alias(c) for c in lists],
+    )
+
+
+@query(
+    "customer_state_lists",
+    with_ctes(
+        ["books", "lexposures"],
+        """SELECT b.book_id, b.positions, e.exposures, b.largest, e.leading
+FROM (SELECT book_id, count(*) AS positions, round(max(weight), 6) + 0.0 AS largest FROM books GROUP BY 1) b
+LEFT JOIN (SELECT book_id, count(*) AS exposures, arg_max(factor, exposure_share) AS leading FROM lexposures GROUP BY 1) e USING (book_id)""",
+    ),
+)
+def customer_state_lists(spark, sf):
+    """Length and first entry of the position and exposure lists of every book's state."""
+    from bookheat.operators import factors as X
+    from bookheat.operators.snapshot import portfolio_states
+
+    books = T.books(spark, sf)
+    states = portfolio_states(HQ.book_heat(spark, sf), positions=books, factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("bigint")).alias("exposures" if c == "factor_exposures" else c)
+    return states.select("book_id", size("positions"), size("factor_exposures"), r(F.col("positions")[0]["weight"]).alias("largest"), F.col("factor_exposures")[0]["factor"].alias("leading"))
