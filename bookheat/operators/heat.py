@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from bookheat import constants as C
 from bookheat.functions import linalg as L
@@ -14,8 +20,6 @@ from bookheat.operators import metrics as M
 from bookheat.operators import panel as P
 from bookheat.session import broadcast_if_bounded
 
-#: Numbers of one window matrix that a book's days are computed over at once.
-CHUNK_NUMBERS = 1_000_000
 MAX_BROADCAST_DAYS = 50_000
 RANKS = {
     "ar_pct": "absorption_ratio",
@@ -100,58 +104,215 @@ def _slopes(series: np.ndarray, window: int) -> np.ndarray:
     return (np.linalg.pinv(across @ design) @ across)[:, 1:]
 
 
-def own_history(
-    books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS
-) -> DataFrame:
-    """``rolling_heat`` for many books: every day of a book from one packed row, ranks included.
-
-    A symbol comes to its books once, as its whole return series. A book's exposures are the slopes of its
-    weighted returns, so the factor regression of a day is solved once for all books and symbols.
-    """
-    vectors = (
+def _series(returns: DataFrame, factors: DataFrame) -> DataFrame:
+    """(symbol, x, factor): the whole return series of every symbol."""
+    return (
         returns.groupBy("symbol")
         .agg(F.array_sort(F.collect_list(F.struct("t", "simple"))).alias("s"))
         .select("symbol", F.transform("s", lambda e: e["simple"]).alias("x"))
         .join(F.broadcast(factors), "symbol", "left")
     )
+
+
+def _set_history(x: np.ndarray, plain: np.ndarray, window: int, rows: int, names: list[str], slopes, symbols: list[str]):
+    """Function from weights (books, positions) to the days of books that hold exactly ``symbols``; None without days.
+
+    What depends on the symbols alone is computed here once. The function gives {column: (books, days) array}; columns
+    of one row hold for every book.
+    """
+    days = x.shape[1] - window
+    if days < 1:
+        return None
+    seen = np.lib.stride_tricks.sliding_window_view(x[:, :-1], window, axis=1).transpose(1, 0, 2)
+    step = max(1, M.CHUNK_NUMBERS // (len(x) * max(len(x), window)))
+    cut = [M.shared_by_day(seen[lo : lo + step]) for lo in range(0, days, step)]
+    ar, turb, corr, a, b, top, sd = (np.concatenate(c) for c in zip(*cut))
+    pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(a, b)]
+    shared = {"absorption_ratio": ar, "turbulence": turb, "avg_corr": corr, "top_corr": top}
+    shared |= {f"{k}_pct": L.pct_rank_incl(v, rows) for k, v in (("ar", ar), ("turbulence", turb), ("avg_corr", corr))}
+    shared = {k: v[None, :] for k, v in shared.items()} | {"top_pair": np.array(pair, dtype=object)[None, :]}
+
+    def of(w: np.ndarray) -> dict[str, np.ndarray]:
+        hhi, dominant = np.zeros((len(w), days)), np.array([["none"]], dtype=object)
+        dr = M.ratios_by_day(x[:, :-1], sd, w, window)
+        if plain.any() and slopes is not None:
+            held = np.lib.stride_tricks.sliding_window_view((w[:, plain] @ x[plain])[:, :-1], window, axis=1)
+            size = np.abs(slopes @ held.transpose(1, 2, 0)).transpose(2, 0, 1)
+            total = size.sum(axis=2)
+            hhi = np.divide((size**2).sum(axis=2), total**2, out=hhi, where=total > 0)
+            dominant = np.array(names, dtype=object)[len(names) - 1 - size[:, :, ::-1].argmax(axis=2)]
+        ranked = {"div_ratio_pct": 1.0 / np.maximum(dr, 0.01), "factor_hhi_pct": hhi}
+        own = {k: np.array([L.pct_rank_incl(one, rows) for one in v]) for k, v in ranked.items()}
+        return shared | own | {"div_ratio": dr, "factor_hhi": hhi, "dominant_factor": dominant}
+
+    return of
+
+
+_HISTORY = (
+    "t int, absorption_ratio double, turbulence double, div_ratio double, factor_hhi double, avg_corr double, "
+    f"dominant_factor string, top_pair string, top_corr double, {', '.join(f'{c} double' for c in RANKS)}"
+)
+_LISTS = {"h_ar": "absorption_ratio", "h_turb": "turbulence", "h_dr": "div_ratio", "h_hhi": "factor_hhi", "h_corr": "avg_corr"}
+
+
+def _picked(made: dict[str, np.ndarray], book: np.ndarray, day: np.ndarray, window: int, schema: pa.Schema) -> list[pa.Array]:
+    """Columns of ``schema`` on the given places of (book, day)."""
+    cols = []
+    for f in schema:
+        if f.name == "t":
+            cols.append(pa.array(day + window, f.type))
+        else:
+            v = made[f.name]
+            cols.append(pa.array(v[book if len(v) > 1 else 0 * book, day if v.shape[1] > 1 else 0 * day], f.type))
+    return cols
+
+
+def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window: int, rows: int, out: str, emit) -> DataFrame:
+    """``emit(made, batch, schema)`` over the days of all books of ``packed``, books with the same symbols side by side.
+
+    Rows are ordered by their symbols, so a task computes what the symbols alone decide once for a run of books that hold
+    the same, and a set that many books hold is spread over tasks.
+    """
+    spark = packed.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sets = packed.withColumn("_set", F.transform("items", lambda e: e["symbol"])).repartitionByRange(parts, "_set", "book_id").sortWithinPartitions("_set").drop("_set")
+    out_schema = StructType([packed.schema["book_id"], *L.schema_of(out).fields])
+    schema = to_arrow_schema(out_schema)
+    symbols, plain = known["symbol"], np.array([f is None for f in known["factor"]])
+    place = {s: k for k, s in enumerate(symbols)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of = None, None
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            items = batch.column(batch.schema.get_field_index("items"))
+            offsets, structs = items.offsets.to_numpy(), items.values
+            names_of = structs.field("symbol").to_pylist()
+            weight = structs.field("weight").to_numpy(zero_copy_only=False)
+            codes = np.array([place.get(s, -1) for s in names_of], dtype=np.int64)
+            keys = [codes[lo:hi][codes[lo:hi] >= 0].tobytes() for lo, hi in zip(offsets, offsets[1:])]
+            lo = 0
+            while lo < len(keys):
+                if keys[lo] != last:
+                    last, at = keys[lo], np.frombuffer(keys[lo], np.int64)
+                    x = known["x"][at]
+                    of = _set_history(x, plain[at], window, rows, names, slopes, [symbols[k] for k in at]) if len(at) else None
+                    step = max(1, M.CHUNK_NUMBERS // (window * max(1, known["x"].shape[1])))
+                hi = lo + 1
+                while hi < len(keys) and hi - lo < step and keys[hi] == last:
+                    hi += 1
+                if of is not None:
+                    w = np.array([[weight[i] for i in range(offsets[g], offsets[g + 1]) if codes[i] >= 0] for g in range(lo, hi)])
+                    waiting.append(emit(of(w), batch.slice(lo, hi - lo), schema))
+                    held += waiting[-1].num_rows
+                lo = hi
+                if held >= L.ROWS_AT_ONCE:
+                    yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                    waiting, held = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    return sets.mapInArrow(run, out_schema)
+
+
+def _start(returns: DataFrame, factors: DataFrame, window: int):
+    """(series, series as arrays or None, slopes, factor names) of all symbols."""
+    vectors = _series(returns, factors)
     block = sorted((f.factor, f.x) for f in vectors.filter("factor is not null").collect())
-    names = [f for f, _ in block]
     slopes = _slopes(np.array([x for _, x in block]), window) if block and len(block[0][1]) > window else None
+    return vectors, M.shipped(vectors, ["x", "factor"]), slopes, [f for f, _ in block]
+
+
+def _book_ids(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("book_id"))
+
+
+def own_history(
+    books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS,
+    asked: DataFrame | None = None,
+) -> DataFrame:
+    """``rolling_heat`` for many books: every day of a book from one packed row, ranks included.
+
+    A book's exposures are the slopes of its weighted returns, so the factor regression of a day is solved once for all
+    books and symbols. With ``asked`` (book_id, date) only a book's newest day and its last days up to the dates asked for
+    are returned.
+    """
+    vectors, known, slopes, names = _start(returns, factors, window)
+    days = returns.select("t", "date").distinct()
+    if known is None:
+        made = _joined_history(books, vectors, slopes, names, window, rows)
+        scored = _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
+        return scored if asked is None else _asked_days(scored, asked)
+    packed = M.packed_books(books)
+    dates, every = [r.date for r in days.orderBy("t").collect()], asked is None
+    if not every:
+        packed = packed.join(asked.groupBy("book_id").agg(F.collect_set("date").alias("asked")), "book_id", "left")
+
+    def emit(made: dict, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        n, count = batch.num_rows, made["absorption_ratio"].shape[1]
+        if every:
+            book, day = np.repeat(np.arange(n), count), np.tile(np.arange(count), n)
+        else:
+            wanted = batch.column(batch.schema.get_field_index("asked")).to_pylist()
+            rows_of = [{bisect_right(dates, d) - 1 - window for d in w or () if d is not None} | {count - 1} for w in wanted]
+            pairs = [(g, k) for g, found in enumerate(rows_of) for k in sorted(found) if k >= 0]
+            book, day = (np.array(v, dtype=np.int64) for v in zip(*pairs))
+        cols = _picked(made, book, day, window, pa.schema(list(schema)[1:]))
+        return pa.RecordBatch.from_arrays([_book_ids(batch).take(pa.array(book)), *cols], schema=schema)
+
+    made = _histories(packed, known, slopes, names, window, rows, _HISTORY, emit)
+    return _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
+
+
+def own_component_lists(
+    books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS
+) -> DataFrame:
+    """``component_history`` of every book: one row with its last ``rows`` values of every component."""
+    from bookheat.operators.actions import component_history
+
+    vectors, known, slopes, names = _start(returns, factors, window)
+    if known is None:
+        return component_history(_joined_history(books, vectors, slopes, names, window, rows), rows)
+
+    def emit(made: dict, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        n, cols = batch.num_rows, []
+        for name in schema.names[1:]:
+            v = made[_LISTS[name]]
+            v = 1.0 / np.maximum(v, 0.01) if name == "h_dr" else v
+            v = np.broadcast_to(v, (n, v.shape[1]))[:, -rows:]
+            cols.append(pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * v.shape[1], v.ravel()).cast(schema.field(name).type))
+        return pa.RecordBatch.from_arrays([_book_ids(batch), *cols], schema=schema)
+
+    out = ", ".join(f"{c} array<double>" for c in _LISTS)
+    return _histories(M.packed_books(books), known, slopes, names, window, rows, out, emit)
+
+
+def _joined_history(books: DataFrame, vectors: DataFrame, slopes, names: list[str], window: int, rows: int) -> DataFrame:
+    """The days of every book where series are too large to go with the function: a series is joined to every position."""
+    fields = [c.split()[0] for c in _HISTORY.split(", ")]
 
     def one(rec: dict) -> list[tuple]:
-        x, w, symbols = rec["x"], rec["weight"], np.array(rec["symbol"], dtype=object)
         plain = np.array([f is None for f in rec["factor"]])
-        days = x.shape[1] - window
-        if days < 1:
+        of = _set_history(rec["x"], plain, window, rows, names, slopes, rec["symbol"])
+        if of is None:
             return []
-        seen = np.lib.stride_tricks.sliding_window_view(x[:, :-1], window, axis=1).transpose(1, 0, 2)
-        step = max(1, CHUNK_NUMBERS // (len(w) * max(len(w), window)))
-        cut = [M.components_by_day(seen[lo : lo + step], w) for lo in range(0, days, step)]
-        ar, turb, dr, corr, a, b, top = (np.concatenate(c) for c in zip(*cut))
-        hhi, dominant = np.zeros(days), ["none"] * days
-        if plain.any() and slopes is not None:
-            held = np.lib.stride_tricks.sliding_window_view((w[plain] @ x[plain])[:-1], window)
-            size = np.abs((slopes @ held[:, :, None])[:, :, 0])
-            total = size.sum(axis=1)
-            hhi = np.divide((size**2).sum(axis=1), total**2, out=hhi, where=total > 0)
-            dominant = [names[len(names) - 1 - k] for k in size[:, ::-1].argmax(axis=1)]
-        inv = 1.0 / np.maximum(dr, 0.01)
-        ranks = [L.pct_rank_incl(v, rows) for v in (ar, turb, inv, hhi, corr)]
-        pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(a, b)]
-        numbers = [v.tolist() for v in (ar, turb, dr, hhi, corr)]
-        return list(zip(range(window, window + days), *numbers, dominant, pair, top.tolist(), *[v.tolist() for v in ranks]))
-
-    made = L.map_groups(
-        M.members(books, vectors, rolling=False),
-        ["book_id"],
-        ["symbol", "weight", "x", "factor"],
-        one,
-        "t int, absorption_ratio double, turbulence double, div_ratio double, factor_hhi double, avg_corr double, "
-        f"dominant_factor string, top_pair string, top_corr double, {', '.join(f'{c} double' for c in RANKS)}",
-        placed=True,
-    )
-    dates = broadcast_if_bounded(returns.select("t", "date").distinct(), MAX_BROADCAST_DAYS)
-    return _scored(made.join(dates, "t"))
+        made = of(rec["weight"][None, :])
+        days = made["absorption_ratio"].shape[1]
+        made["t"] = np.arange(window, window + days)[None, :]
+        return list(zip(*[np.broadcast_to(made[c], (1, days))[0].tolist() for c in fields]))
+
+    cols = ["symbol", "weight", "x", "factor"]
+    return L.map_groups(M.members(books, vectors, rolling=False), ["book_id"], cols, one, _HISTORY, placed=True)
+
+
+def _asked_days(scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """The newest row of every book and its last rows up to the dates asked for."""
+    row = F.struct(*[F.col(c) for c in scored.columns if c != "book_id"])
+    newest = scored.groupBy("book_id").agg(F.max_by(row, "t").alias("r"))
+    upto = scored.join(asked.select("book_id", F.col("date").alias("_asked")).distinct(), "book_id").filter("date <= _asked")
+    found = upto.groupBy("book_id", "_asked").agg(F.max_by(row, "t").alias("r")).drop("_asked")
+    return newest.unionByName(found).select("book_id", "r.*").distinct().select(scored.columns)
 
 
 def latest_components(books: DataFrame, returns: DataFrame, factors: DataFrame, window: int) -> DataFrame:

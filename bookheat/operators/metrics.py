@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from bookheat import constants as C
 from bookheat.functions import arrays as A
@@ -13,6 +14,10 @@ from bookheat.session import broadcast_if_bounded, spread
 
 
 MAX_BROADCAST_SYMBOLS = 50_000
+#: Numbers of all vectors, one row per symbol, that go to the tasks with the function instead of with every position.
+MAX_SHIPPED_NUMBERS = 4_000_000
+#: Numbers of one window matrix that days are computed over at once.
+CHUNK_NUMBERS = 1_000_000
 
 
 def members(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> DataFrame:
@@ -28,6 +33,50 @@ def members(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> Data
     return spread(own, "book_id").join(broadcast_if_bounded(windowed, MAX_BROADCAST_SYMBOLS), "symbol")
 
 
+def shipped(vectors: DataFrame, cols: list[str]) -> dict | None:
+    """``cols`` of ``vectors``, one row per symbol, as arrays in order of symbols; None if they are large or differ in length.
+
+    They are counted before they are read.
+    """
+    lists = [f.name for f in vectors.schema if f.name in cols and isinstance(f.dataType, ArrayType)]
+    sizes = [F.size(c) for c in lists]
+    ends = [f(n) for n in sizes for f in (F.min, F.max)]
+    n, numbers, *ends = vectors.agg(F.count("*"), F.sum(sum(sizes, F.lit(len(cols)))), *ends).first()
+    if (numbers or 0) > MAX_SHIPPED_NUMBERS or any(lo != hi for lo, hi in zip(ends[::2], ends[1::2])):
+        return None
+    rows = sorted(vectors.select("symbol", *cols).collect(), key=lambda r: r.symbol.encode())
+    kinds = {c: float if c in lists or not rows or isinstance(rows[0][c], float) else object for c in cols}
+    return {"symbol": [r.symbol for r in rows], **{c: np.array([r[c] for r in rows], dtype=kinds[c]) for c in cols}}
+
+
+def packed_books(books: DataFrame) -> DataFrame:
+    """(book_id, items): the positions of a book as one ordered list of symbol and weight."""
+    own = spread(books.select("book_id", "symbol", "weight"), "book_id")
+    return own.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight"))).alias("items"))
+
+
+def map_books(books: DataFrame, vectors: DataFrame, cols: list[str], fn, out: str) -> DataFrame:
+    """``fn`` on every book, its positions in order of symbols with ``cols`` of their vectors.
+
+    Only symbols and weights are shuffled and packed. The vectors of a bounded universe reach a task once, with the
+    function; those of a larger one are joined to the positions.
+    """
+    known = shipped(vectors, cols)
+    if known is None:
+        return L.map_groups(members(books, vectors, rolling=False), ["book_id"], ["symbol", "weight", *cols], fn, out, placed=True)
+    place = {s: k for k, s in enumerate(known["symbol"])}
+
+    def one(rec: dict) -> list[tuple]:
+        own = [(place[s], k) for k, s in enumerate(rec["symbol"]) if s in place]
+        if not own:
+            return []
+        at, k = (np.array(v) for v in zip(*own))
+        names = [known["symbol"][i] for i in at]
+        return fn({"symbol": names, "weight": rec["weight"][k], **{c: known[c][at] for c in cols}})
+
+    return L.map_packed(packed_books(books), ["book_id"], one, out)
+
+
 def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     """Absorption ratio, turbulence, diversification ratio, EWMA mean correlation and top pair.
 
@@ -69,11 +118,11 @@ def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     )
 
 
-def components_by_day(x: np.ndarray, w: np.ndarray, span: int = C.EWMA_SPAN) -> tuple[np.ndarray, ...]:
-    """``window_metrics`` of one book on many days: ``x`` is (days, positions, window).
+def shared_by_day(x: np.ndarray, span: int = C.EWMA_SPAN) -> tuple[np.ndarray, ...]:
+    """What ``window_metrics`` of many days has from the symbols alone: ``x`` is (days, positions, window).
 
-    Gives absorption ratio, turbulence, diversification ratio, mean correlation, places of the top pair
-    and its correlation, an array of days each.
+    Gives absorption ratio, turbulence, mean correlation, places of the top pair and its correlation, an array of days
+    each, and the deviations of every symbol, (days, positions).
     """
     days, n, t = x.shape
     corr, top = np.zeros(days), np.zeros(days)
@@ -111,12 +160,22 @@ def components_by_day(x: np.ndarray, w: np.ndarray, span: int = C.EWMA_SPAN) ->
             turb = np.maximum((gap * np.linalg.solve(cov, gap[:, :, None])[:, :, 0]).sum(axis=1), 0.0)
         except np.linalg.LinAlgError:
             turb = np.array([L.turbulence(one) for one in x])
-    dr, gross = np.ones(days), np.abs(w).sum()
-    if n >= 2 and t >= 20 and gross > 0:
-        share = w / gross
-        vol = np.sqrt(np.maximum(np.var(share @ x, axis=1, ddof=1), 1e-12))
-        dr = np.maximum(np.sqrt(size / (t - 1)) @ np.abs(share) / vol, 1.0)
-    return ar, turb, dr, corr, a, b, top
+    return ar, turb, corr, a, b, top, np.sqrt(size / max(t - 1, 1))
+
+
+def ratios_by_day(x: np.ndarray, sd: np.ndarray, w: np.ndarray, window: int) -> np.ndarray:
+    """Diversification ratios, (books, days), of books with the same symbols on every day with ``window`` values.
+
+    ``x`` is (positions, values), ``sd`` (days, positions), ``w`` (books, positions).
+    """
+    out, gross = np.ones((len(w), len(sd))), np.abs(w).sum(axis=1)
+    some = np.nonzero(gross > 0)[0]
+    if len(x) >= 2 and window >= 20 and len(some):
+        share = w[some] / gross[some, None]
+        held = np.lib.stride_tricks.sliding_window_view(share @ x, window, axis=1)
+        vol = np.sqrt(np.maximum(np.var(held, axis=2, ddof=1), 1e-12))
+        out[some] = np.maximum(np.abs(share) @ sd.T / vol, 1.0)
+    return out
 
 
 def diversification_ratio(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> DataFrame:

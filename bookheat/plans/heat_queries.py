@@ -51,14 +51,19 @@ def heat(spark, sf):
     return staged(spark, sf, "heat", build)
 
 
-def book_heat(spark, sf):
-    """Heat of every customer book on every row day, ranked in its own history; staged."""
+def book_heat(spark, sf, asked=None):
+    """Heat of every customer book on every row day, ranked in its own history.
+
+    With ``asked`` (book_id, date) only the newest day and those in force on the dates asked for.
+    """
+    own = T.books(spark, sf).select("book_id", "symbol", "weight")
+    return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark), asked=asked)
 
-    def build():
-        own = T.books(spark, sf).select("book_id", "symbol", "weight")
-        return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark))
 
-    return staged(spark, sf, "book-heat", build)
+def book_component_lists(spark, sf):
+    """The last values of every component of every customer book, as lists on one row."""
+    own = T.books(spark, sf).select("book_id", "symbol", "weight")
+    return H.own_component_lists(own, T.returns(spark, sf), T.factor_dim(spark))
 
 
 @query("heat_books")

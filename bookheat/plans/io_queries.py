@@ -217,7 +217,7 @@ def regime(spark, sf):
 
 def _book_rows(spark, sf):
     """The newest heat row of every customer book: its own components and score."""
-    return HQ.book_heat(spark, sf).groupBy("book_id").agg(F.max_by(F.struct("*"), "date").alias("h")).select("h.*")
+    return AQ.book_days(spark, sf).groupBy("book_id").agg(F.max_by(F.struct("*"), "date").alias("h")).select("h.*")
 
 
 @query("daily_summary_text")
@@ -313,7 +313,7 @@ def customer_states(spark, sf):
 
     books = T.books(spark, sf)
     states = portfolio_states(
-        HQ.book_heat(spark, sf),
+        AQ.book_days(spark, sf),
         limits=AQ._limits(spark, sf, AQ.own_heat_of_books(spark, sf)),
         positions=books,
         factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books),
@@ -343,6 +343,6 @@ def customer_state_lists(spark, sf):
     from bookheat.operators.snapshot import portfolio_states
 
     books = T.books(spark, sf)
-    states = portfolio_states(HQ.book_heat(spark, sf), positions=books, factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books))
+    states = portfolio_states(AQ.book_days(spark, sf), positions=books, factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("bigint")).alias("exposures" if c == "factor_exposures" else c)
     return states.select("book_id", size("positions"), size("factor_exposures"), r(F.col("positions")[0]["weight"]).alias("largest"), F.col("factor_exposures")[0]["factor"].alias("leading"))

@@ -341,7 +341,7 @@ def calm_heat(spark, sf):
     calm = staged(spark, sf, "calm-returns", lambda: S.calm_returns(T.returns(spark, sf), T.crises(spark)))
     own = T.books(spark, sf).select(F.col("book_id").cast("string").alias("book_id"), "symbol", "weight")
     books = own.unionByName(T.reference_book(spark).select("book_id", "symbol", "weight"))
-    scored = staged(spark, sf, "calm-heat", lambda: H.own_history(books, calm, T.factor_dim(spark)))
+    scored = H.own_history(books, calm, T.factor_dim(spark))
     return calm.select("t").distinct().count(), scored, books
 
 
