@@ -33,7 +33,7 @@ def symbol_vectors(windowed: DataFrame, exposures: DataFrame, span: int = C.EWMA
     )
 
 
-def contributions(positions: DataFrame) -> DataFrame:
+def contributions(books: DataFrame, vectors: DataFrame) -> DataFrame:
     """Correlation, factor and Euler risk contribution of every position of a book.
 
     The book is packed into one row; absolute pair correlations exist only inside numpy.
@@ -62,20 +62,19 @@ def contributions(positions: DataFrame) -> DataFrame:
             factor = factor / factor.sum() if factor.sum() > 0 else factor
         return list(zip(rec["symbol"], w, corr, factor, risk, rec["dominant_factor"], rec["dominant_beta"]))
 
-    return L.map_groups(
-        positions,
-        ["book_id"],
-        ["symbol", "weight", "z", "c", "betas", "dominant_factor", "dominant_beta"],
+    return M.map_books(
+        books,
+        vectors,
+        ["z", "c", "betas", "dominant_factor", "dominant_beta"],
         one,
         "symbol string, weight double, corr_contribution double, factor_contribution double, "
         "risk_contribution double, dominant_factor string, dominant_beta double",
-        placed=True,
     )
 
 
 def attribution(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> DataFrame:
     """Heat share, marginal heat and advice per position; ``heat`` is (book_id, score)."""
-    parts = contributions(M.members(books, vectors, rolling=False))
+    parts = contributions(books, vectors)
     w = Window.partitionBy("book_id")
     raw = (
         0.35 * F.col("corr_contribution") + 0.30 * F.col("factor_contribution") + 0.35 * F.col("risk_contribution")

@@ -10,6 +10,7 @@ from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import moments as MM
+from bookheat.operators.metrics import map_books
 from bookheat.session import spread
 
 
@@ -305,8 +306,6 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
     ``windowed`` for the books it names; a pair it lacks counts as zero. A book of one symbol holds it whole; where the
     covariances allow no weights they are equal.
     """
-    from bookheat.operators.metrics import members
-
     vectors = A.with_centered(windowed, "x", "c").select("symbol", "c")
 
     def one(rec: dict) -> list[tuple]:
@@ -318,7 +317,7 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
         own = books.select("book_id", "symbol").join(named, "book_id", "left_semi")
         given = _given_parity(own, covariances)
         books = books.join(named, "book_id", "left_anti")
-    sampled = _sampled_parity(books, vectors, one, members)
+    sampled = map_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")), vectors, ["c"], one, "symbol string, weight double")
     return sampled if given is None else sampled.unionByName(given)
 
 
@@ -341,17 +340,6 @@ def _given_parity(books: DataFrame, covariances: DataFrame) -> DataFrame:
     return L.map_groups(known, ["book_id"], ["symbol", "other", "cov"], one, "symbol string, weight double")
 
 
-def _sampled_parity(books: DataFrame, vectors: DataFrame, one, members) -> DataFrame:
-    return L.map_groups(
-        members(books, vectors, rolling=False),
-        ["book_id"],
-        ["symbol", "c"],
-        one,
-        "symbol string, weight double",
-        placed=True,
-    )
-
-
 def weight_hhi(weights: DataFrame) -> DataFrame:
     """Concentration of absolute weights per book."""
     a = F.abs("weight")
