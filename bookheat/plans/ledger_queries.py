@@ -236,14 +236,15 @@ def alert_history(spark, sf):
     "cooldown_status",
     with_ctes(
         "ledger",
-        """SELECT channel, tier, m AS cooldown_minutes, round(greatest(m - (epoch(TIMESTAMP '2024-01-30 23:59:00') - floor(epoch(u))) / 60, 0), 1) + 0.0 AS remaining_minutes,
+        """SELECT channel, tier, m AS cooldown_minutes, floor((greatest(m * 60 - (epoch(TIMESTAMP '2024-01-30 23:59:00') - floor(epoch(u))), 0) + 3) / 6) / 10 AS remaining_minutes,
        greatest(m - (epoch(TIMESTAMP '2024-01-30 23:59:00') - floor(epoch(u))) / 60, 0) > 0 AS on_cooldown
 FROM (SELECT channel, tier, max(utc) AS u, CAST(CASE tier WHEN 'daily_summary' THEN 1440 WHEN 'alert_emergency' THEN 360 WHEN 'alert_level_change' THEN 30 WHEN 'alert_regime_shift' THEN 15 ELSE 60 END AS DOUBLE) AS m FROM ledger GROUP BY 1, 2)""",
     ),
 )
 def cooldown_status(spark, sf):
+    """Minutes left, to tenths; half a tenth goes up, on whole seconds so that no binary fraction decides."""
     return L.cooldown_status(E.ledger(spark, sf), F.to_timestamp(F.lit("2024-01-30 23:59:00"))).select(
-        "channel", "tier", "cooldown_minutes", r("remaining_minutes", 1).alias("remaining_minutes"), "on_cooldown"
+        "channel", "tier", "cooldown_minutes", (F.floor((F.round(F.col("remaining_minutes") * 60) + 3) / 6) / 10).alias("remaining_minutes"), "on_cooldown"
     )
 
 
