@@ -122,7 +122,7 @@ def load_calibration(spark, sf):
     "parse_heat_history",
     """SELECT strftime(d, '%Y-%m-%d') AS date, v AS score FROM (
 SELECT coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 3 = 1 THEN 'n/a' END AS TIMESTAMP), try_cast(CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP)) AS d,
-       coalesce(nullif(try_cast(CASE WHEN event_type = 'click' THEN '0.0' WHEN event_type = 'view' THEN 'bad' WHEN event_type = 'error' THEN CAST(value AS VARCHAR) END AS DOUBLE), 0), CASE WHEN event_type <> 'signup' THEN value END) AS v
+       coalesce(nullif(try_cast(CASE WHEN event_type = 'click' THEN '0.0' WHEN event_type = 'view' THEN 'bad' WHEN event_type = 'error' THEN CAST(value AS VARCHAR) END AS DOUBLE), 0), nullif(CASE WHEN event_type <> 'signup' THEN value END, 0)) AS v
 FROM events) WHERE d IS NOT NULL AND v IS NOT NULL""",
 )
 def parse_heat_history(spark, sf):
