@@ -142,6 +142,25 @@ def urgency(heat: Column, thresholds: dict[str, float] | None = None) -> Column:
     )
 
 
+def fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """Text of ``x`` with ``digits`` places, rounded as the binary value is: a tie is only what is one exactly, and goes to even.
+
+    Exact below 32; beyond that decimal digits decide.
+    """
+    # the value times 2^98 as a whole number, from its upper and lower bits
+    unit, ten = F.lit(str(1 << 98)).cast("decimal(30,0)"), 10**digits
+    high = F.abs(x) * float(1 << 58)
+    low = ((high - F.floor(high).cast("double")) * float(1 << 40)).cast("bigint").cast("decimal(13,0)")
+    scaled = (F.floor(high).cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + low) * F.lit(ten).cast("decimal(4,0)")
+    rest = scaled % unit
+    whole = ((scaled - rest) / unit).cast("bigint")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    n = whole + up.cast("bigint")
+    sign = F.when(x < 0, "-").otherwise("+" if plus else "")
+    text = F.concat(sign, F.floor(n / ten).cast("string"), F.lit("."), F.lpad((n % ten).cast("string"), digits, "0"))
+    return F.when(F.abs(x) < 32, text).otherwise(F.format_string(f"%{'+' if plus else ''}.{digits}f", x))
+
+
 def pretrade_verdict(after: Column, delta: Column) -> tuple[Column, Column]:
     """(verdict, reason) of a what-if trade."""
     verdict = (
@@ -150,14 +169,14 @@ def pretrade_verdict(after: Column, delta: Column) -> tuple[Column, Column]:
         .when(delta > 0.05, "PROCEED_WITH_CARE")
         .otherwise("PROCEED")
     )
-    push = lambda what: F.format_string(f"Would push heat to %.2f ({what})", after)
+    push = lambda what: F.concat(F.lit("Would push heat to "), fixed(after, 2), F.lit(f" ({what})"))
     reason = (
         F.when(after >= 0.85, push("emergency"))
         .when(after >= 0.7, push("critical"))
         .when(after >= 0.6, push("hot"))
-        .when(delta > 0.1, F.format_string("Significant heat increase: +%.3f", delta))
-        .when(delta > 0.05, F.format_string("Moderate heat increase: +%.3f", delta))
-        .otherwise(F.format_string("Minimal impact: %+.3f", delta))
+        .when(delta > 0.1, F.concat(F.lit("Significant heat increase: +"), fixed(delta, 3)))
+        .when(delta > 0.05, F.concat(F.lit("Moderate heat increase: +"), fixed(delta, 3)))
+        .otherwise(F.concat(F.lit("Minimal impact: "), fixed(delta, 3, plus=True)))
     )
     return verdict, reason
 
