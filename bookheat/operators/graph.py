@@ -13,6 +13,9 @@ from bookheat.operators import moments as MM
 from bookheat.operators.metrics import map_books
 from bookheat.session import spread
 
+#: Symbol sets whose communities a task keeps.
+KEPT_SETS = 20_000
+
 
 def _louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
     """Greedy modularity labels of a small weighted graph; nodes are visited in order."""
@@ -81,6 +84,40 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     )
 
 
+def book_communities(books: DataFrame, links: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(book_id, symbol, cluster_id, modularity): ``communities`` and ``modularity`` of the graph of the symbols a book holds.
+
+    ``links`` (symbol, w) has one row per symbol, ``w`` its weights to all symbols in order of symbols, zero where there is no
+    edge. Books with the same symbols have the same communities; a task keeps the last ones it found.
+    """
+    order = {s: k for k, s in enumerate(sorted((r.symbol for r in links.select("symbol").collect()), key=str.encode))}
+    seen: dict[tuple, list[tuple]] = {}
+
+    def one(rec: dict) -> list[tuple]:
+        key = tuple(rec["symbol"])
+        if key not in seen:
+            if len(seen) >= KEPT_SETS:
+                seen.clear()
+            names = sorted(set(key))
+            at = [key.index(s) for s in names]
+            adj = rec["w"][at][:, [order[s] for s in names]]
+            # edges in the order in which rows of (symbol, other) would come
+            src, dst = np.nonzero(np.triu(adj, 1))
+            ids, quality = list(range(len(names))), 0.0
+            if len(src):
+                number: dict[int, int] = {}
+                found = _louvain(len(names), src, dst, adj[src, dst], resolution)
+                ids = [number.setdefault(int(c), len(number)) for c in found]
+                member = (np.array(ids)[:, None] == np.unique(ids)[None, :]).astype(float)
+                total = adj[src, dst].sum()
+                inside, degree = np.einsum("ic,ij,jc->c", member, adj, member) / 2, member.T @ adj.sum(axis=1)
+                quality = float((inside / total - (degree / (2 * total)) ** 2).sum())
+            seen[key] = [(s, i, quality) for s, i in zip(names, ids)]
+        return seen[key]
+
+    return map_books(books.withColumn("weight", F.lit(1.0)), links, ["w"], one, "symbol string, cluster_id int, modularity double")
+
+
 def community_summary(parts: DataFrame) -> DataFrame:
     return parts.groupBy("book_id", "cluster_id").agg(
         F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("members"), F.count("*").alias("size")

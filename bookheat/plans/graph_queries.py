@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bookheat.functions import rules as R
 from bookheat.operators import graph as G
+from bookheat.operators import metrics as M
 from bookheat.operators import moments as MM
 from bookheat.operators.communities import held_edges
 from bookheat.plans import heat_queries as HQ
@@ -179,9 +180,29 @@ def _universe_edges(spark, sf):
     return staged(spark, sf, "universe-edges", build)
 
 
+def _symbol_links(spark, sf):
+    """(symbol, w): absolute correlations of every symbol with all symbols in their order, zero where there is no edge."""
+    e = _universe_edges(spark, sf).select("a", "b", F.abs("z").alias("w"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    near = both.groupBy(F.col("a").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
+    symbols = T.symbols(spark, sf)
+    every = symbols.agg(F.array_sort(F.collect_set("symbol")).alias("all"))
+    w = F.transform("all", lambda s: F.coalesce(F.try_element_at(F.col("m"), s), F.lit(0.0)))
+    return symbols.join(near, "symbol", "left").crossJoin(every).select("symbol", w.alias("w"))
+
+
 def _customer_communities(spark, sf):
+    """(book_id, symbol, cluster_id, modularity) of every customer book, staged."""
     books = T.books(spark, sf)
-    return staged(spark, sf, "customer-communities", lambda: G.communities(books, held_edges(books, _universe_edges(spark, sf))))
+
+    def build():
+        if T.symbols(spark, sf).count() ** 2 <= M.MAX_SHIPPED_NUMBERS:
+            return G.book_communities(books, _symbol_links(spark, sf))
+        edges = held_edges(books, _universe_edges(spark, sf))
+        parts = G.communities(books, edges)
+        return parts.join(G.modularity(edges, parts), "book_id")
+
+    return staged(spark, sf, "customer-communities", build)
 
 
 @query("customer_communities")
@@ -192,8 +213,8 @@ def customer_communities(spark, sf):
 
 @query("customer_modularity")
 def customer_modularity(spark, sf):
-    edges = held_edges(T.books(spark, sf), _universe_edges(spark, sf))
-    return G.modularity(edges, _customer_communities(spark, sf)).select("book_id", r("modularity").alias("modularity"))
+    per = _customer_communities(spark, sf).groupBy("book_id").agg(F.max("modularity").alias("modularity"))
+    return per.select("book_id", r("modularity").alias("modularity"))
 
 
 @query(
