@@ -77,6 +77,16 @@ def map_books(books: DataFrame, vectors: DataFrame, cols: list[str], fn, out: st
     return L.map_packed(packed_books(books), ["book_id"], one, out)
 
 
+def moments(books: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(book_id, mu, v): mean and sample variance of every book's weighted return series; ``v`` is null for one value."""
+
+    def one(rec: dict) -> list[tuple]:
+        p = rec["weight"] @ rec["x"]
+        return [(float(p.mean()), float(p.var(ddof=1)) if len(p) > 1 else None)]
+
+    return map_books(books, vectors, ["x"], one, "mu double, v double")
+
+
 def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     """Absorption ratio, turbulence, diversification ratio, EWMA mean correlation and top pair.
 
