@@ -63,7 +63,7 @@ FROM (SELECT *, max(island) OVER (PARTITION BY channel) AS li FROM runs) GROUP B
 )
 define(
     "corro",
-    """SELECT channel, tier, count(server_day) AS checked, count_if(server_day = et_date) AS corroborated, count_if(server_day <> et_date) AS mismatched, count_if(server_day IS NULL) AS missing
+    """SELECT channel, tier, count(server_day) AS checked, count(*) FILTER (server_day = et_date) AS corroborated, count(*) FILTER (server_day <> et_date) AS mismatched, count(*) FILTER (server_day IS NULL) AS missing
 FROM ledger GROUP BY 1, 2""",
     "ledger",
 )

@@ -46,3 +46,10 @@ def test_a_zero_of_either_field_is_dropped(spark, tmp_path):
     rows = [(k, day, 1, kind, float(v)) for k, (kind, v) in enumerate((t, v) for t in ("error", "view", "click", "purchase") for v in (0, 0, 0, 2))]
     got, want = sides(spark, tmp_path, "parse_heat_history", IQ.parse_heat_history, rows, EVENTS)
     assert got == want and got and all("2" in r for r in got)
+
+
+def test_a_channel_never_seen_by_the_server_counts_zero(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1, 12, 0)
+    rows = [(11 * k, day, 1, "purchase", 1.0) for k in range(3)] + [(k, day, 2, "signup", 1.0) for k in range(1, 14)]
+    got, want = sides(spark, tmp_path, "corroboration", LQ.corroboration, rows, EVENTS)
+    assert len(got) == 2 and got == want
