@@ -114,19 +114,38 @@ def _series(returns: DataFrame, factors: DataFrame) -> DataFrame:
     )
 
 
-def _set_history(x: np.ndarray, plain: np.ndarray, window: int, rows: int, names: list[str], slopes, symbols: list[str]):
+def _day_windows(x: np.ndarray, window: int) -> np.ndarray:
+    """The ``window`` values before each day, (days, symbols, window)."""
+    return np.lib.stride_tricks.sliding_window_view(x[:, :-1], window, axis=1).transpose(1, 0, 2)
+
+
+def _day_moments(x: np.ndarray, window: int) -> dict | None:
+    """Moments of all symbols on all days, for sets to take their own from; None if they are many numbers or without days."""
+    days, n = x.shape[1] - window, len(x)
+    if days < 1 or days * n * max(n, window) > M.CHUNK_NUMBERS:
+        return None
+    return M.moments_by_day(_day_windows(x, window))
+
+
+def _set_history(
+    x: np.ndarray, plain: np.ndarray, window: int, rows: int, names: list[str], slopes, symbols: list[str],
+    moments: dict | None = None, at: np.ndarray | None = None,
+):
     """Function from weights (books, positions) to the days of books that hold exactly ``symbols``; None without days.
 
-    What depends on the symbols alone is computed here once. The function gives {column: (books, days) array}; columns
-    of one row hold for every book.
+    What depends on the symbols alone is computed here once, from the ``moments`` of all symbols where they are given, with
+    the set's places ``at``. The function gives {column: (books, days) array}; columns of one row hold for every book.
     """
     days = x.shape[1] - window
     if days < 1:
         return None
-    seen = np.lib.stride_tricks.sliding_window_view(x[:, :-1], window, axis=1).transpose(1, 0, 2)
-    step = max(1, M.CHUNK_NUMBERS // (len(x) * max(len(x), window)))
-    cut = [M.shared_by_day(seen[lo : lo + step]) for lo in range(0, days, step)]
-    ar, turb, corr, a, b, top, sd = (np.concatenate(c) for c in zip(*cut))
+    if moments is not None:
+        ar, turb, corr, a, b, top, sd = M.shared_by_day(moments, at)
+    else:
+        seen, every = _day_windows(x, window), np.arange(len(x))
+        step = max(1, M.CHUNK_NUMBERS // (len(x) * max(len(x), window)))
+        cut = [M.shared_by_day(M.moments_by_day(seen[lo : lo + step]), every) for lo in range(0, days, step)]
+        ar, turb, corr, a, b, top, sd = (np.concatenate(c) for c in zip(*cut))
     pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(a, b)]
     shared = {"absorption_ratio": ar, "turbulence": turb, "avg_corr": corr, "top_corr": top}
     shared |= {f"{k}_pct": L.pct_rank_incl(v, rows) for k, v in (("ar", ar), ("turbulence", turb), ("avg_corr", corr))}
@@ -183,6 +202,7 @@ def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of = None, None
+        moments = _day_moments(known["x"], window) if len(symbols) else None
         waiting: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -197,7 +217,7 @@ def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window:
                 if keys[lo] != last:
                     last, at = keys[lo], np.frombuffer(keys[lo], np.int64)
                     x = known["x"][at]
-                    of = _set_history(x, plain[at], window, rows, names, slopes, [symbols[k] for k in at]) if len(at) else None
+                    of = _set_history(x, plain[at], window, rows, names, slopes, [symbols[k] for k in at], moments, at) if len(at) else None
                     step = max(1, M.CHUNK_NUMBERS // (window * max(1, known["x"].shape[1])))
                 hi = lo + 1
                 while hi < len(keys) and hi - lo < step and keys[hi] == last:

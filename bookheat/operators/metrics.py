@@ -128,48 +128,67 @@ def window_metrics(positions: DataFrame, span: int = C.EWMA_SPAN) -> DataFrame:
     )
 
 
-def shared_by_day(x: np.ndarray, span: int = C.EWMA_SPAN) -> tuple[np.ndarray, ...]:
-    """What ``window_metrics`` of many days has from the symbols alone: ``x`` is (days, positions, window).
+def moments_by_day(x: np.ndarray, span: int = C.EWMA_SPAN) -> dict:
+    """What ``shared_by_day`` takes from every day: ``x`` is (days, symbols, window). Matrices are (days, symbols, symbols)."""
+    t, diag = x.shape[2], np.arange(x.shape[1])
+    d = x - x.mean(axis=2, keepdims=True)
+    gram = d @ d.transpose(0, 2, 1)
+    k = (1 - 2.0 / (span + 1)) ** np.arange(t - 1, -1, -1)
+    e = x - (x @ k / k.sum())[:, :, None]
+    c = (e * k) @ e.transpose(0, 2, 1) / k.sum()
+    s = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
+    s = np.where(s == 0, 1e-10, s)
+    c = c / (s[:, :, None] * s[:, None, :])
+    c[:, diag, diag] = 1.0
+    off = np.round(np.abs(c), 12)
+    off[:, diag, diag] = 0.0
+    # around the mean of the days before the last, from the sums around the mean of all
+    last = d[:, :, -1]
+    gap = last * (t / max(t - 1, 1))
+    hist = (gram - last[:, :, None] * gap[:, None, :]) / max(t - 2, 1) + 1e-8 * np.eye(len(diag))
+    size = np.diagonal(gram, axis1=1, axis2=2).copy()
+    return {"x": x, "d": d, "gram": gram / max(t - 1, 1), "corr": c, "off": off, "hist": hist, "gap": gap, "size": size}
+
+
+def _of_symbols(m: dict, at: np.ndarray) -> dict:
+    """The moments of the symbols on the places ``at`` alone; all of them in order are the moments themselves."""
+    days, n = m["size"].shape
+    if len(at) == n and (at == np.arange(n)).all():
+        return m
+    cell = (at[:, None] * n + at).ravel()
+    square = {k: m[k].reshape(days, -1).take(cell, axis=1).reshape(days, len(at), len(at)) for k in ("gram", "corr", "off", "hist")}
+    return {**m, **square, **{k: m[k].take(at, axis=1) for k in ("gap", "size")}}
+
+
+def shared_by_day(m: dict, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``window_metrics`` of many days has from the symbols alone, for those on the places ``at`` of ``moments_by_day``.
 
     Gives absorption ratio, turbulence, mean correlation, places of the top pair and its correlation, an array of days
     each, and the deviations of every symbol, (days, positions).
     """
-    days, n, t = x.shape
+    days, n, t = len(m["x"]), len(at), m["x"].shape[2]
+    own = _of_symbols(m, at)
+    gram, size, gap = own["gram"], own["size"], own["gap"]
     corr, top = np.zeros(days), np.zeros(days)
     a = b = np.zeros(days, np.int64)
-    d = x - x.mean(axis=2, keepdims=True)
-    gram = d @ d.transpose(0, 2, 1)
-    size = np.diagonal(gram, axis1=1, axis2=2)
     if n >= 2:
-        k = (1 - 2.0 / (span + 1)) ** np.arange(t - 1, -1, -1)
-        e = x - (x @ k / k.sum())[:, :, None]
-        c = (e * k) @ e.transpose(0, 2, 1) / k.sum()
-        s = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
-        s = np.where(s == 0, 1e-10, s)
-        c = c / (s[:, :, None] * s[:, None, :])
-        diag = np.arange(n)
-        c[:, diag, diag] = 1.0
+        c = own["corr"]
         corr = (c.sum(axis=(1, 2)) - n) / (n * (n - 1))
-        off = np.abs(c)
-        off[:, diag, diag] = 0.0
-        a, b = np.unravel_index(np.round(off, 12).reshape(days, -1).argmax(axis=1), (n, n))
+        a, b = np.unravel_index(own["off"].reshape(days, -1).argmax(axis=1), (n, n))
         top = c[np.arange(days), a, b]
     ar = np.full(days, 0.5)
     if t >= 10 and n >= 3:
         total = size.sum(axis=1) / t
-        small = gram if n <= t else d.transpose(0, 2, 1) @ d
-        most = np.linalg.eigvalsh(small / (t - 1))[:, -max(1, n // 5) :].sum(axis=1)
+        d = m["d"].take(at, axis=1) if n > t else None
+        small = gram if d is None else d.transpose(0, 2, 1) @ d / (t - 1)
+        most = np.linalg.eigvalsh(small)[:, -max(1, n // 5) :].sum(axis=1)
         ar = np.clip(np.divide(most, total, out=ar, where=total > 0), 0.0, 1.0)
     turb = np.zeros(days)
     if t - 1 >= 30 and n >= 2:
-        # around the mean of the days before the last, from the sums around the mean of all
-        last = d[:, :, -1]
-        gap = last * (t / (t - 1))
-        cov = (gram - last[:, :, None] * gap[:, None, :]) / (t - 2) + 1e-8 * np.eye(n)
         try:
-            turb = np.maximum((gap * np.linalg.solve(cov, gap[:, :, None])[:, :, 0]).sum(axis=1), 0.0)
+            turb = np.maximum((gap * np.linalg.solve(own["hist"], gap[:, :, None])[:, :, 0]).sum(axis=1), 0.0)
         except np.linalg.LinAlgError:
-            turb = np.array([L.turbulence(one) for one in x])
+            turb = np.array([L.turbulence(one) for one in m["x"].take(at, axis=1)])
     return ar, turb, corr, a, b, top, np.sqrt(size / max(t - 1, 1))
 
 

@@ -81,3 +81,22 @@ def test_only_symbols_and_weights_are_shuffled(books, returns):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "simple" not in plan
     assert made.count() == 14
+
+
+def test_sets_take_their_days_from_the_moments_of_all_symbols(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, fac, names = rng.normal(0, 0.02, (7, 90)), rng.normal(0, 0.02, (2, 90)), ["f", "g"]
+    x[6] = 0.01  # a symbol that never moves
+    sets = [np.array(s) for s in ([0], [1, 4], [0, 2, 3, 6], [1, 2, 3, 4, 5], range(7))]
+    plain, slopes = np.array([True, True, False, True, True, True, True]), H._slopes(fac, WINDOW)
+    ask = lambda at, **kw: H._set_history(x[at], plain[at], WINDOW, 20, names, slopes, [f"S{i}" for i in at], **kw)
+    w = [rng.dirichlet(np.ones(len(at)), 3) for at in sets]
+    want = [ask(at)(v) for at, v in zip(sets, w)]
+    moments = H._day_moments(x, WINDOW)
+    monkeypatch.setattr(M, "moments_by_day", None)
+    for at, v, one in zip(sets, w, want):
+        got = ask(at, moments=moments, at=at)(v)
+        assert set(got) == set(one)
+        for c, values in one.items():
+            assert (got[c] == values).all() if values.dtype == object else np.allclose(got[c], values, rtol=0, atol=1e-9), c
+    assert H._day_moments(rng.normal(0, 0.02, (300, 90)), WINDOW) is None
