@@ -46,11 +46,12 @@ def _slice(values, lo: int, hi: int):
 
 
 def map_packed(
-    packed: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple]], out: str, items: str = "items"
+    packed: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple]], out: str, items: str = "items", beside: tuple[str, ...] = ()
 ) -> DataFrame:
     """Apply ``fn`` to each row's ``items`` (array of structs) and emit its tuples with the keys.
 
-    ``fn`` gets {field: array}, array-typed fields as matrices (one row per item).
+    ``fn`` gets {field: array}, array-typed fields as matrices (one row per item), and the row's lists of numbers
+    ``beside`` as arrays, empty for null.
     """
     in_schema = packed.schema
     out_schema = StructType([in_schema[k] for k in keys] + schema_of(out).fields)
@@ -63,11 +64,14 @@ def map_packed(
             offsets = col.offsets.to_numpy()
             structs = col.values
             fields = {structs.type.field(i).name: _field(structs.field(i)) for i in range(structs.type.num_fields)}
+            lists = {n: batch.column(batch.schema.get_field_index(n)) for n in beside}
+            numbers = {n: (v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)) for n, v in lists.items()}
             owner: list[int] = []
             rows: list[tuple] = []
             for g in range(len(batch)):
                 lo, hi = int(offsets[g]), int(offsets[g + 1])
-                made = fn({n: _slice(v, lo, hi) for n, v in fields.items()})
+                own = {n: v[ends[g] : ends[g + 1]] for n, (ends, v) in numbers.items()}
+                made = fn({n: _slice(v, lo, hi) for n, v in fields.items()} | own)
                 rows.extend(made)
                 owner.extend([g] * len(made))
                 if len(rows) < ROWS_AT_ONCE and g + 1 < len(batch):
@@ -80,7 +84,7 @@ def map_packed(
                 owner, rows = [], []
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    return packed.select(*keys, items).mapInArrow(run, out_schema)
+    return packed.select(*keys, items, *beside).mapInArrow(run, out_schema)
 
 
 def map_groups(df: DataFrame, keys: list[str], cols: list[str], fn, out: str, placed: bool = False) -> DataFrame:

@@ -89,7 +89,7 @@ def test_sets_take_their_days_from_the_moments_of_all_symbols(monkeypatch):
     x[6] = 0.01  # a symbol that never moves
     sets = [np.array(s) for s in ([0], [1, 4], [0, 2, 3, 6], [1, 2, 3, 4, 5], range(7))]
     plain, slopes = np.array([True, True, False, True, True, True, True]), H._slopes(fac, WINDOW)
-    ask = lambda at, **kw: H._set_history(x[at], plain[at], WINDOW, 20, names, slopes, [f"S{i}" for i in at], **kw)
+    ask = lambda own, **kw: H._set_history(x[own], plain[own], WINDOW, 20, names, slopes, [f"S{i}" for i in own], **kw)
     w = [rng.dirichlet(np.ones(len(at)), 3) for at in sets]
     want = [ask(at)(v) for at, v in zip(sets, w)]
     moments = H._day_moments(x, WINDOW)
@@ -100,3 +100,22 @@ def test_sets_take_their_days_from_the_moments_of_all_symbols(monkeypatch):
         for c, values in one.items():
             assert (got[c] == values).all() if values.dtype == object else np.allclose(got[c], values, rtol=0, atol=1e-9), c
     assert H._day_moments(rng.normal(0, 0.02, (300, 90)), WINDOW) is None
+
+
+def test_what_if_ranks_in_the_history_of_the_book(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(0, 0.02, (5, WINDOW))
+    windowed = spark.createDataFrame([(0, f"S{i}", x[i].tolist()) for i in range(5)], "t int, symbol string, x array<double>")
+    vectors = spark.createDataFrame([(0, f"S{i}", [0.1 * i, 1.0]) for i in range(5)], "t int, symbol string, betas array<double>")
+    held = [(b, s, 0.5) for b in (1, 2, 3) for s in ("S0", "S1")] + [(1, "unknown", 0.1)]
+    own = spark.createDataFrame(held, "book_id int, symbol string, weight double")
+    asked = spark.createDataFrame([(b, s, 0.05) for b in (1, 2, 3) for s in ("S1", "S3", "unknown")], own.schema)
+    lists = ", ".join(f"{c} array<double>" for c in ("h_ar", "h_turb", "h_dr", "h_hhi", "h_corr"))
+    history = spark.createDataFrame([(1, *[[-9.0] * 3] * 5), (2, *[[1e9] * 3] * 5)], f"book_id int, {lists}")
+    clusters = spark.createDataFrame([("S0", 0), ("S1", 0)], "symbol string, cluster_id int")
+    made = [rows(ACT.pretrade_impact(own, asked, vectors, windowed, history, clusters), "book_id", "candidate")]
+    monkeypatch.setattr(M, "MAX_SHIPPED_NUMBERS", 0)
+    made.append(rows(ACT.pretrade_impact(own, asked, vectors, windowed, history, clusters), "book_id", "candidate"))
+    same(made[0], made[1])
+    assert {k: (r["heat_before"], r["heat_after"]) for k, r in made[0].items()} == {
+        (b, s): (pytest.approx(v), pytest.approx(v)) for b, v in ((1, 1.0), (2, 0.25), (3, 1.0)) for s in ("S1", "S3")
+    }
