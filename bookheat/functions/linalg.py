@@ -121,6 +121,39 @@ def pct_rank_incl(v: np.ndarray, rows: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def pct_ranks_incl(v: np.ndarray, rows: int) -> np.ndarray:
+    """``pct_rank_incl`` of every row of ``v``; many rows at once are compared lag by lag."""
+    m, n = v.shape
+    if m < 8:
+        return np.array([pct_rank_incl(one, rows) for one in v]).reshape(m, n)
+    out, size = np.empty((m, n)), np.minimum(np.arange(n) + 1, rows)
+    for lo in range(0, m, 128):
+        t = np.ascontiguousarray(v[lo : lo + 128].T)
+        below, seen, count = np.empty(t.shape, bool), np.zeros(t.shape, np.uint8), np.zeros(t.shape, np.int64)
+        for k in range(min(rows, n)):
+            np.less_equal(t[: n - k], t[k:], out=below[k:])
+            seen[k:] += below[k:].view(np.uint8)
+            if k % 255 == 254:
+                count += seen
+                seen[:] = 0
+        out[lo : lo + 128] = ((count + seen) / size[:, None]).T
+    return out
+
+
+def pct_ranks_at(v: np.ndarray, row: np.ndarray, day: np.ndarray, rows: int) -> np.ndarray:
+    """``pct_ranks_incl`` of ``v`` on the places (row, day) alone; where they are few, the others are not ranked."""
+    n = v.shape[1]
+    if 8 * len(day) > v.size:
+        return pct_ranks_incl(v, rows)[row, day]
+    out, k = np.empty(len(day)), np.arange(n)
+    step = max(1, 1_000_000 // n)
+    for lo in range(0, len(day), step):
+        r, d = row[lo : lo + step], day[lo : lo + step, None]
+        seen = (k <= d) & (k > d - rows)
+        out[lo : lo + step] = ((v[r] <= v[r, d[:, 0]][:, None]) & seen).sum(axis=1) / seen.sum(axis=1)
+    return out
+
+
 def absorption_ratio(x: np.ndarray, components: int | None = None) -> float:
     """Share of variance in the top eigenvalues; rows are assets. Neutral .5 when too small."""
     n, t = x.shape

@@ -127,14 +127,22 @@ def _day_moments(x: np.ndarray, window: int) -> dict | None:
     return M.moments_by_day(_day_windows(x, window))
 
 
-def _set_history(
-    x: np.ndarray, plain: np.ndarray, window: int, rows: int, names: list[str], slopes, symbols: list[str],
-    moments: dict | None = None, at: np.ndarray | None = None,
+def _betas(x: np.ndarray, slopes: np.ndarray | None, window: int) -> np.ndarray | None:
+    """Slopes of every symbol on every factor and day, (symbols, factors * days); None if they are many numbers or without days."""
+    if slopes is None or x.shape[1] <= window or len(x) * slopes.shape[0] * slopes.shape[1] > M.CHUNK_NUMBERS:
+        return None
+    return (_day_windows(x, window) @ slopes.transpose(0, 2, 1)).transpose(1, 2, 0).reshape(len(x), -1)
+
+
+def _set_days(
+    x: np.ndarray, plain: np.ndarray, window: int, slopes, moments: dict | None = None, at: np.ndarray | None = None,
+    betas: np.ndarray | None = None,
 ):
-    """Function from weights (books, positions) to the days of books that hold exactly ``symbols``; None without days.
+    """What books that hold exactly the symbols of ``x`` have on every day; None without days.
 
-    What depends on the symbols alone is computed here once, from the ``moments`` of all symbols where they are given, with
-    the set's places ``at``. The function gives {column: (books, days) array}; columns of one row hold for every book.
+    Gives {column: array of days} of what the symbols alone decide, with the places ``a``, ``b`` of the top pair, and a
+    function from weights (books, positions) to the columns that depend on them, (books, days) each; ``dominant`` is the place
+    of a factor, -1 for none. ``moments`` and ``betas`` are those of all symbols, of which the set is on the places ``at``.
     """
     days = x.shape[1] - window
     if days < 1:
@@ -146,51 +154,112 @@ def _set_history(
         step = max(1, M.CHUNK_NUMBERS // (len(x) * max(len(x), window)))
         cut = [M.shared_by_day(M.moments_by_day(seen[lo : lo + step]), every) for lo in range(0, days, step)]
         ar, turb, corr, a, b, top, sd = (np.concatenate(c) for c in zip(*cut))
-    pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(a, b)]
-    shared = {"absorption_ratio": ar, "turbulence": turb, "avg_corr": corr, "top_corr": top}
-    shared |= {f"{k}_pct": L.pct_rank_incl(v, rows) for k, v in (("ar", ar), ("turbulence", turb), ("avg_corr", corr))}
-    shared = {k: v[None, :] for k, v in shared.items()} | {"top_pair": np.array(pair, dtype=object)[None, :]}
+    shared = {"absorption_ratio": ar, "turbulence": turb, "avg_corr": corr, "top_corr": top, "a": a, "b": b}
+    own_betas = betas[at[plain]] if betas is not None else None
 
     def of(w: np.ndarray) -> dict[str, np.ndarray]:
-        hhi, dominant = np.zeros((len(w), days)), np.array([["none"]], dtype=object)
-        dr = M.ratios_by_day(x[:, :-1], sd, w, window)
+        hhi, dominant = np.zeros((len(w), days)), np.full((len(w), days), -1)
         if plain.any() and slopes is not None:
-            held = np.lib.stride_tricks.sliding_window_view((w[:, plain] @ x[plain])[:, :-1], window, axis=1)
-            size = np.abs(slopes @ held.transpose(1, 2, 0)).transpose(2, 0, 1)
-            total = size.sum(axis=2)
-            hhi = np.divide((size**2).sum(axis=2), total**2, out=hhi, where=total > 0)
-            dominant = np.array(names, dtype=object)[len(names) - 1 - size[:, :, ::-1].argmax(axis=2)]
-        ranked = {"div_ratio_pct": 1.0 / np.maximum(dr, 0.01), "factor_hhi_pct": hhi}
-        own = {k: np.array([L.pct_rank_incl(one, rows) for one in v]) for k, v in ranked.items()}
-        return shared | own | {"div_ratio": dr, "factor_hhi": hhi, "dominant_factor": dominant}
+            if own_betas is not None:
+                size = np.abs(w[:, plain] @ own_betas).reshape(len(w), -1, days)
+            else:
+                held = np.lib.stride_tricks.sliding_window_view((w[:, plain] @ x[plain])[:, :-1], window, axis=1)
+                size = np.abs(slopes @ held.transpose(1, 2, 0)).transpose(2, 1, 0)
+            total = size.sum(axis=1)
+            hhi = np.divide((size**2).sum(axis=1), total**2, out=hhi, where=total > 0)
+            most, dominant = size[:, 0], np.zeros((len(w), days), np.int64)
+            for k in range(1, size.shape[1]):
+                dominant[size[:, k] >= most] = k
+                most = np.maximum(most, size[:, k])
+        return {"div_ratio": M.ratios_by_day(x[:, :-1], sd, w, window), "factor_hhi": hhi, "dominant": dominant}
+
+    return shared, of
 
-    return of
+
+def _set_history(
+    x: np.ndarray, plain: np.ndarray, window: int, rows: int, names: list[str], slopes, symbols: list[str],
+    moments: dict | None = None, at: np.ndarray | None = None,
+):
+    """Function from weights (books, positions) to the days of books that hold exactly ``symbols``; None without days.
+
+    The function gives {column: (books, days) array} with ranks and names; columns of one row hold for every book.
+    """
+    made = _set_days(x, plain, window, slopes, moments, at)
+    if made is None:
+        return None
+    shared, of = made
+    pair = [f"{symbols[i]}-{symbols[j]}" if i != j else "" for i, j in zip(shared["a"], shared["b"])]
+    fixed = {k: shared[k][None, :] for k in ("absorption_ratio", "turbulence", "avg_corr", "top_corr")}
+    fixed |= {k: L.pct_ranks_incl(fixed[v], rows) for k, v in RANKS.items() if v in fixed} | {"top_pair": np.array(pair, dtype=object)[None, :]}
+
+    def whole(w: np.ndarray) -> dict[str, np.ndarray]:
+        own = of(w)
+        dominant = np.array([*names, "none"], dtype=object)[own.pop("dominant")]
+        own |= {"div_ratio_pct": L.pct_ranks_incl(_inverse(own["div_ratio"]), rows), "factor_hhi_pct": L.pct_ranks_incl(own["factor_hhi"], rows)}
+        return fixed | own | {"dominant_factor": dominant}
+
+    return whole
+
+
+def _inverse(dr: np.ndarray) -> np.ndarray:
+    return 1.0 / np.maximum(dr, 0.01)
+
+
+class _Days:
+    """Every day of some books: columns that the symbols decide, one row per set, and columns of the books themselves."""
+
+    def __init__(self, pieces: list[tuple[dict, dict, np.ndarray]], symbols: list[str], names: list[str], window: int, rows: int):
+        self.symbols, self.names, self.window, self.rows = symbols, names, window, rows
+        sets = {id(p[0]): p for p in pieces}
+        number = {k: i for i, k in enumerate(sets)}
+        self.of_set = {k: np.stack([p[0][k] for p in sets.values()]) for k in pieces[0][0]}
+        # places of the top pair among all symbols
+        self.of_set |= {k: np.stack([p[2][p[0][k]] for p in sets.values()]) for k in ("a", "b")}
+        self.of_book = {k: np.concatenate([p[1][k] for p in pieces]) for k in pieces[0][1]}
+        self.set_of = np.repeat([number[id(p[0])] for p in pieces], [len(p[1]["div_ratio"]) for p in pieces])
+        self.books, self.days = self.of_book["div_ratio"].shape
+
+    def lists(self, name: str) -> np.ndarray:
+        """(books, days) of one component."""
+        return self.of_set[name][self.set_of] if name in self.of_set else self.of_book[name]
+
+    def at(self, book: np.ndarray, day: np.ndarray, schema: pa.Schema) -> list[pa.Array]:
+        """Columns of ``schema`` on the given places of (book, day)."""
+        one, cols = self.set_of[book], []
+        for f in schema:
+            ranked = RANKS.get(f.name, "")
+            name = ranked or f.name
+            value, row = (self.of_set, one) if name in self.of_set else (self.of_book, book)
+            if f.name == "t":
+                v = day + self.window
+            elif f.name == "top_pair":
+                n, a, b = len(self.symbols), self.of_set["a"][one, day], self.of_set["b"][one, day]
+                code, v = np.unique(a * n + b, return_inverse=True)
+                v = pa.array([f"{self.symbols[c // n]}-{self.symbols[c % n]}" if c // n != c % n else "" for c in code.tolist()]).take(pa.array(v))
+            elif f.name == "dominant_factor":
+                v = self.of_book["dominant"][book, day]
+                v = pa.array([*self.names, "none"]).take(pa.array(np.where(v < 0, len(self.names), v)))
+            elif ranked:
+                v = L.pct_ranks_at(_inverse(self.of_book["div_ratio"]) if ranked == "inv_dr" else value[name], book if ranked == "inv_dr" else row, day, self.rows)
+            else:
+                v = value[name][row, day]
+            cols.append(v if isinstance(v, pa.Array) else pa.array(v, f.type))
+        return cols
 
 
 _HISTORY = (
     "t int, absorption_ratio double, turbulence double, div_ratio double, factor_hhi double, avg_corr double, "
     f"dominant_factor string, top_pair string, top_corr double, {', '.join(f'{c} double' for c in RANKS)}"
 )
+_NAMED = ("dominant_factor", "top_pair", "top_corr")
 _LISTS = {"h_ar": "absorption_ratio", "h_turb": "turbulence", "h_dr": "div_ratio", "h_hhi": "factor_hhi", "h_corr": "avg_corr"}
 
 
-def _picked(made: dict[str, np.ndarray], book: np.ndarray, day: np.ndarray, window: int, schema: pa.Schema) -> list[pa.Array]:
-    """Columns of ``schema`` on the given places of (book, day)."""
-    cols = []
-    for f in schema:
-        if f.name == "t":
-            cols.append(pa.array(day + window, f.type))
-        else:
-            v = made[f.name]
-            cols.append(pa.array(v[book if len(v) > 1 else 0 * book, day if v.shape[1] > 1 else 0 * day], f.type))
-    return cols
-
-
 def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window: int, rows: int, out: str, emit) -> DataFrame:
-    """``emit(made, batch, schema)`` over the days of all books of ``packed``, books with the same symbols side by side.
+    """``emit(days, batch, schema)`` over the days of all books of ``packed``, books with the same symbols side by side.
 
     Rows are ordered by their symbols, so a task computes what the symbols alone decide once for a run of books that hold
-    the same, and a set that many books hold is spread over tasks.
+    the same, and a set that many books hold is spread over tasks. Books are handed on, and ranked, many at a time.
     """
     spark = packed.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
@@ -203,8 +272,8 @@ def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of = None, None
         moments = _day_moments(known["x"], window) if len(symbols) else None
-        waiting: list[pa.RecordBatch] = []
-        held = 0
+        betas = _betas(known["x"], slopes, window) if len(symbols) else None
+        step = max(1, M.CHUNK_NUMBERS // (max(window, len(names)) * max(1, known["x"].shape[1]))) if len(symbols) else 1
         for batch in batches:
             items = batch.column(batch.schema.get_field_index("items"))
             offsets, structs = items.offsets.to_numpy(), items.values
@@ -212,26 +281,23 @@ def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window:
             weight = structs.field("weight").to_numpy(zero_copy_only=False)
             codes = np.array([place.get(s, -1) for s in names_of], dtype=np.int64)
             keys = [codes[lo:hi][codes[lo:hi] >= 0].tobytes() for lo, hi in zip(offsets, offsets[1:])]
-            lo = 0
+            pieces, taken, held, lo = [], [], 0, 0
             while lo < len(keys):
                 if keys[lo] != last:
                     last, at = keys[lo], np.frombuffer(keys[lo], np.int64)
-                    x = known["x"][at]
-                    of = _set_history(x, plain[at], window, rows, names, slopes, [symbols[k] for k in at], moments, at) if len(at) else None
-                    step = max(1, M.CHUNK_NUMBERS // (window * max(1, known["x"].shape[1])))
+                    of = _set_days(known["x"][at], plain[at], window, slopes, moments, at, betas) if len(at) else None
                 hi = lo + 1
                 while hi < len(keys) and hi - lo < step and keys[hi] == last:
                     hi += 1
                 if of is not None:
-                    w = np.array([[weight[i] for i in range(offsets[g], offsets[g + 1]) if codes[i] >= 0] for g in range(lo, hi)])
-                    waiting.append(emit(of(w), batch.slice(lo, hi - lo), schema))
-                    held += waiting[-1].num_rows
+                    flat = weight[offsets[lo] : offsets[hi]][codes[offsets[lo] : offsets[hi]] >= 0]
+                    pieces.append((of[0], of[1](flat.reshape(hi - lo, -1)), at))
+                    taken.extend(range(lo, hi))
+                    held += (hi - lo) * (known["x"].shape[1] - window)
                 lo = hi
-                if held >= L.ROWS_AT_ONCE:
-                    yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                    waiting, held = [], 0
-        if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                if pieces and (held >= L.ROWS_AT_ONCE or lo == len(keys)):
+                    yield emit(_Days(pieces, symbols, names, window, rows), batch.take(pa.array(taken)), schema)
+                    pieces, taken, held = [], [], 0
 
     return sets.mapInArrow(run, out_schema)
 
@@ -250,18 +316,18 @@ def _book_ids(batch: pa.RecordBatch) -> pa.Array:
 
 def own_history(
     books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS,
-    asked: DataFrame | None = None,
+    asked: DataFrame | None = None, named: bool = True,
 ) -> DataFrame:
     """``rolling_heat`` for many books: every day of a book from one packed row, ranks included.
 
     A book's exposures are the slopes of its weighted returns, so the factor regression of a day is solved once for all
     books and symbols. With ``asked`` (book_id, date) only a book's newest day and its last days up to the dates asked for
-    are returned.
+    are returned; without ``named`` no dominant factor and top pair.
     """
     vectors, known, slopes, names = _start(returns, factors, window)
     days = returns.select("t", "date").distinct()
     if known is None:
-        made = _joined_history(books, vectors, slopes, names, window, rows)
+        made = _joined_history(books, vectors, slopes, names, window, rows).drop(*[] if named else _NAMED)
         scored = _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
         return scored if asked is None else _asked_days(scored, asked)
     packed = M.packed_books(books)
@@ -269,8 +335,8 @@ def own_history(
     if not every:
         packed = packed.join(asked.groupBy("book_id").agg(F.collect_set("date").alias("asked")), "book_id", "left")
 
-    def emit(made: dict, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        n, count = batch.num_rows, made["absorption_ratio"].shape[1]
+    def emit(made: _Days, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        n, count = made.books, made.days
         if every:
             book, day = np.repeat(np.arange(n), count), np.tile(np.arange(count), n)
         else:
@@ -278,10 +344,11 @@ def own_history(
             rows_of = [{bisect_right(dates, d) - 1 - window for d in w or () if d is not None} | {count - 1} for w in wanted]
             pairs = [(g, k) for g, found in enumerate(rows_of) for k in sorted(found) if k >= 0]
             book, day = (np.array(v, dtype=np.int64) for v in zip(*pairs))
-        cols = _picked(made, book, day, window, pa.schema(list(schema)[1:]))
+        cols = made.at(book, day, pa.schema(list(schema)[1:]))
         return pa.RecordBatch.from_arrays([_book_ids(batch).take(pa.array(book)), *cols], schema=schema)
 
-    made = _histories(packed, known, slopes, names, window, rows, _HISTORY, emit)
+    out = ", ".join(c for c in _HISTORY.split(", ") if named or c.split()[0] not in _NAMED)
+    made = _histories(packed, known, slopes, names, window, rows, out, emit)
     return _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
 
 
@@ -295,12 +362,11 @@ def own_component_lists(
     if known is None:
         return component_history(_joined_history(books, vectors, slopes, names, window, rows), rows)
 
-    def emit(made: dict, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-        n, cols = batch.num_rows, []
+    def emit(made: _Days, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        n, cols = made.books, []
         for name in schema.names[1:]:
-            v = made[_LISTS[name]]
-            v = 1.0 / np.maximum(v, 0.01) if name == "h_dr" else v
-            v = np.broadcast_to(v, (n, v.shape[1]))[:, -rows:]
+            v = made.lists(_LISTS[name])[:, -rows:]
+            v = _inverse(v) if name == "h_dr" else v
             cols.append(pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * v.shape[1], v.ravel()).cast(schema.field(name).type))
         return pa.RecordBatch.from_arrays([_book_ids(batch), *cols], schema=schema)
 

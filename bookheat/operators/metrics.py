@@ -192,6 +192,31 @@ def shared_by_day(m: dict, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return ar, turb, corr, a, b, top, np.sqrt(size / max(t - 1, 1))
 
 
+def window_sums(v: np.ndarray, window: int) -> np.ndarray:
+    """Sums of every ``window`` neighbouring values of each row, from sums of 1, 2, 4, ... of them; nothing outside a window enters its sum."""
+    count, out, at = v.shape[1] - window + 1, None, 0
+    for bit in range(window.bit_length()):
+        if window >> bit & 1:
+            part = v[:, at : at + count]
+            out, at = part.copy() if out is None else out + part, at + (1 << bit)
+        if window >> bit > 1:
+            v = v[:, : -(1 << bit)] + v[:, 1 << bit :]
+    return out
+
+
+def window_variances(v: np.ndarray, window: int) -> np.ndarray:
+    """Sample variance of every ``window`` neighbouring values of each row; where sums of squares would lose digits, from the values themselves."""
+    s, q = window_sums(v, window), window_sums(v * v, window)
+    spread_of = q - s * s / window
+    row, k = np.nonzero(~(spread_of >= 1e-4 * q))
+    out = spread_of / (window - 1)
+    step = max(1, CHUNK_NUMBERS // window)
+    for lo in range(0, len(row), step):
+        r, c = row[lo : lo + step], k[lo : lo + step]
+        out[r, c] = np.var(v[r[:, None], c[:, None] + np.arange(window)], axis=1, ddof=1)
+    return out
+
+
 def ratios_by_day(x: np.ndarray, sd: np.ndarray, w: np.ndarray, window: int) -> np.ndarray:
     """Diversification ratios, (books, days), of books with the same symbols on every day with ``window`` values.
 
@@ -201,8 +226,7 @@ def ratios_by_day(x: np.ndarray, sd: np.ndarray, w: np.ndarray, window: int) ->
     some = np.nonzero(gross > 0)[0]
     if len(x) >= 2 and window >= 20 and len(some):
         share = w[some] / gross[some, None]
-        held = np.lib.stride_tricks.sliding_window_view(share @ x, window, axis=1)
-        vol = np.sqrt(np.maximum(np.var(held, axis=2, ddof=1), 1e-12))
+        vol = np.sqrt(np.maximum(window_variances(share @ x, window), 1e-12))
         out[some] = np.maximum(np.abs(share) @ sd.T / vol, 1.0)
     return out
 

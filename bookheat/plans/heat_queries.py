@@ -51,13 +51,13 @@ def heat(spark, sf):
     return staged(spark, sf, "heat", build)
 
 
-def book_heat(spark, sf, asked=None):
+def book_heat(spark, sf, asked=None, named=True):
     """Heat of every customer book on every row day, ranked in its own history.
 
-    With ``asked`` (book_id, date) only the newest day and those in force on the dates asked for.
+    With ``asked`` (book_id, date) only the newest day and those in force on the dates asked for. Without ``named`` no dominant factor and top pair.
     """
     own = T.books(spark, sf).select("book_id", "symbol", "weight")
-    return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark), asked=asked)
+    return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark), asked=asked, named=named)
 
 
 def book_component_lists(spark, sf):
@@ -68,7 +68,7 @@ def book_component_lists(spark, sf):
 
 @query("heat_books")
 def heat_books(spark, sf):
-    return book_heat(spark, sf).select(
+    return book_heat(spark, sf, named=False).select(
         "book_id", text("date"), r("absorption_ratio").alias("absorption_ratio"), r("turbulence", 4).alias("turbulence"),
         r("div_ratio").alias("div_ratio"), r("factor_hhi").alias("factor_hhi"), r("avg_corr").alias("avg_corr"),
         r("score", 10).alias("score"), "level",

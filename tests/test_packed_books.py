@@ -130,3 +130,29 @@ def test_betas_of_candidates_are_not_shuffled_one_by_one(spark):
     assert [tuple(e) for e in got[1, "a"]["factor_betas"]] == [("f", -2.0, 1.0, -1.0), ("f", -2.0, 1.0, -0.2), ("g", 2.0, 3.0, 0.2), ("g", 2.0, 3.0, 1.0)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [book_id" in line and "factor" in line]
+
+
+def test_many_books_are_ranked_at_once_like_one_by_one():
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 40, (140, 600)).astype(float)
+    v[3, 50] = v[139, 0] = np.nan
+    want = np.array([H.L.pct_rank_incl(one, 504) for one in v])
+    assert (H.L.pct_ranks_incl(v, 504) == want).all() and (H.L.pct_ranks_incl(v[:2], 30)[1] == H.L.pct_rank_incl(v[1], 30)).all()
+    row, day = np.array([3, 3, 139, 139, 7]), np.array([50, 599, 0, 520, 503])
+    assert (H.L.pct_ranks_at(v, row, day, 504) == want[row, day]).all()
+
+
+def test_window_variances_keep_their_digits():
+    v = np.random.default_rng(8).normal(0, 0.02, (4, 200))
+    v[1] += 1e3  # squares alone would lose the variance
+    v[2] = 0.5
+    v[3, 70] = np.nan
+    for window in (2, 20, 60):
+        want = np.var(np.lib.stride_tricks.sliding_window_view(v, window, axis=1), axis=2, ddof=1)
+        np.testing.assert_allclose(M.window_variances(v, window), want, rtol=1e-9, atol=1e-20)
+
+
+def test_days_without_names_are_the_same_days(books, returns, factors):
+    whole = rows(H.own_history(books, returns, factors), "book_id", "t")
+    bare = rows(H.own_history(books, returns, factors, named=False), "book_id", "t")
+    same(bare, {k: {c: v for c, v in r.items() if c not in ("dominant_factor", "top_pair", "top_corr")} for k, r in whole.items()})
