@@ -10,7 +10,7 @@ from bookheat.functions import arrays as A
 from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import moments as MM
-from bookheat.operators.metrics import map_books
+from bookheat.operators.metrics import map_books, packed_books
 from bookheat.session import spread
 
 #: Symbol sets whose communities a task keeps.
@@ -346,7 +346,7 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
     vectors = A.with_centered(windowed, "x", "c").select("symbol", "c")
 
     def one(rec: dict) -> list[tuple]:
-        return list(zip(rec["symbol"], parity_or_equal(rec["c"] @ rec["c"].T).tolist()))
+        return [(list(rec["symbol"]), parity_or_equal(rec["c"] @ rec["c"].T).tolist())]
 
     given = None
     if covariances is not None:
@@ -354,7 +354,13 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
         own = books.select("book_id", "symbol").join(named, "book_id", "left_semi")
         given = _given_parity(own, covariances)
         books = books.join(named, "book_id", "left_anti")
-    sampled = map_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")), vectors, ["c"], one, "symbol string, weight double")
+    # the weights of a book follow from its symbols alone: of the books that hold the same, one is solved
+    packed = packed_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")))
+    sets = packed.groupBy("items").agg(F.min("book_id").alias("first"))
+    solved = sets.select(F.col("first").alias("book_id"), F.inline("items"))
+    made = map_books(solved, vectors, ["c"], one, "symbol array<string>, weight array<double>").withColumnRenamed("book_id", "solved")
+    of_books = packed.join(sets, "items").select("book_id", "first").join(made, F.col("first").eqNullSafe(F.col("solved")))
+    sampled = of_books.select("book_id", F.inline(F.arrays_zip("symbol", "weight")))
     return sampled if given is None else sampled.unionByName(given)
 
 

@@ -156,3 +156,18 @@ def test_days_without_names_are_the_same_days(books, returns, factors):
     whole = rows(H.own_history(books, returns, factors), "book_id", "t")
     bare = rows(H.own_history(books, returns, factors, named=False), "book_id", "t")
     same(bare, {k: {c: v for c, v in r.items() if c not in ("dominant_factor", "top_pair", "top_corr")} for k, r in whole.items()})
+
+
+def test_books_with_the_same_symbols_are_solved_once(books, returns, spark, monkeypatch):
+    vectors = returns.groupBy("symbol").agg(H.F.collect_list("simple").alias("x"))
+    want = rows(G.hrp_weights(books, vectors), "book_id", "symbol")
+    calls, solve = spark.sparkContext.accumulator(0), G.parity_or_equal
+
+    def counted(cov):
+        calls.add(1)
+        return solve(cov)
+
+    monkeypatch.setattr(G, "parity_or_equal", counted)
+    same(rows(G.hrp_weights(books, vectors), "book_id", "symbol"), want)
+    # four symbols, the same with an unknown one, and two more sets
+    assert calls.value == 4 and {k for k, _ in want} == {*range(12), 20, 21}
