@@ -67,17 +67,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pick(docs: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
     """Terms of enough documents with the highest chi-square against the label."""
-    size = 1 << HASH_BITS
-    total, pos = np.zeros(size), np.zeros(size)
-    for d, label in zip(docs, y):
-        total[d] += 1
-        pos[d] += label
+    # counts only of terms that occur in enough documents: arrays over all hashes would take hundreds of megabytes of the driver
+    none = [np.zeros(0, np.int32)]
+    seen, total = np.unique(np.concatenate([*docs, *none]), return_counts=True)
+    seen, total = (v[total >= LEAST_DOCS] for v in (seen, total.astype(float)))
+    ones, count = np.unique(np.concatenate([*(d for d, label in zip(docs, y) if label), *none]), return_counts=True)
+    _, at, of = np.intersect1d(seen, ones, assume_unique=True, return_indices=True)
+    pos = np.zeros(len(seen))
+    pos[at] = count[of]
     n, p = len(y), y.sum()
     gap = pos * n - total * p
     spread = total * (n - total) * p * (n - p)
-    chi = np.where((total >= LEAST_DOCS) & (spread > 0), n * gap**2 / np.maximum(spread, 1), 0.0)
-    order = np.lexsort((np.arange(size), -chi))[:most]
-    return np.sort(order[chi[order] > 0]).astype(np.int32)
+    chi = np.where(spread > 0, n * gap**2 / np.maximum(spread, 1), 0.0)
+    order = np.lexsort((seen, -chi))[:most]
+    return np.sort(seen[order[chi[order] > 0]]).astype(np.int32)
 
 
 def _raw(model: Model, at: np.ndarray) -> float:

@@ -119,3 +119,25 @@ def test_scores_equal_the_plain_version(spark, kind, label, plain):
     assert len(got) == len(some) + len(odd) > 60
     worst = max(abs(got[i] - plain(model, t or "")) for i, t in [*map(tuple, some), *odd])
     assert worst < 1e-9
+
+
+def test_terms_are_picked_with_memory_for_those_that_occur():
+    """The chi-square of every term, without arrays over all hashes in the driver."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 1 << toxicity.HASH_BITS, 40) % 300 * 9973).astype(np.int32) for _ in range(200)]
+    y = (rng.random(200) < 0.3).astype(float)
+    n, p, want = len(y), y.sum(), {}
+    for t in set(np.concatenate(docs).tolist()):
+        has = np.array([t in d for d in docs])
+        total, pos = has.sum(), y[has].sum()
+        if total >= toxicity.LEAST_DOCS and total < n:
+            want[t] = n * (pos * n - total * p) ** 2 / (total * (n - total) * p * (n - p))
+    tracemalloc.start()
+    got = toxicity._pick(docs, y, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = sorted((t for t in want if want[t] > 0), key=lambda t: (-want[t], t))[:50]
+    assert got.tolist() == sorted(best) and peak < 8e6
+    assert toxicity._pick([np.zeros(0, np.int32)] * 3, np.array([0.0, 1.0, 0.0]), 50).tolist() == []
