@@ -13,9 +13,6 @@ from bookheat.operators import moments as MM
 from bookheat.operators.metrics import map_books, packed_books
 from bookheat.session import spread
 
-#: Symbol sets whose communities a task keeps.
-KEPT_SETS = 20_000
-
 
 def _louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
     """Greedy modularity labels of a small weighted graph; nodes are visited in order."""
@@ -84,38 +81,45 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     )
 
 
+def _once_per_set(books: DataFrame, vectors: DataFrame, cols: list[str], one, out: str) -> DataFrame:
+    """(book_id, *out): ``one`` follows from the symbols of a book alone, so of the books that hold the same one is solved."""
+    packed = packed_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")))
+    sets = packed.groupBy("items").agg(F.min("book_id").alias("first"))
+    solved = sets.select(F.col("first").alias("book_id"), F.inline("items"))
+    made = map_books(solved, vectors, cols, one, out).withColumnRenamed("book_id", "solved")
+    of_books = packed.join(sets, "items").select("book_id", "first")
+    return of_books.join(made, F.col("first").eqNullSafe(F.col("solved"))).drop("first", "solved")
+
+
 def book_communities(books: DataFrame, links: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(book_id, symbol, cluster_id, modularity): ``communities`` and ``modularity`` of the graph of the symbols a book holds.
 
     ``links`` (symbol, w) has one row per symbol, ``w`` its weights to all symbols in order of symbols, zero where there is no
-    edge. Books with the same symbols have the same communities; a task keeps the last ones it found.
+    edge. Books with the same symbols have the same communities, which are found once.
     """
     order = {s: k for k, s in enumerate(sorted((r.symbol for r in links.select("symbol").collect()), key=str.encode))}
-    seen: dict[tuple, list[tuple]] = {}
 
     def one(rec: dict) -> list[tuple]:
-        key = tuple(rec["symbol"])
-        if key not in seen:
-            if len(seen) >= KEPT_SETS:
-                seen.clear()
-            names = sorted(set(key))
-            at = [key.index(s) for s in names]
-            adj = rec["w"][at][:, [order[s] for s in names]]
-            # edges in the order in which rows of (symbol, other) would come
-            src, dst = np.nonzero(np.triu(adj, 1))
-            ids, quality = list(range(len(names))), 0.0
-            if len(src):
-                number: dict[int, int] = {}
-                found = _louvain(len(names), src, dst, adj[src, dst], resolution)
-                ids = [number.setdefault(int(c), len(number)) for c in found]
-                member = (np.array(ids)[:, None] == np.unique(ids)[None, :]).astype(float)
-                total = adj[src, dst].sum()
-                inside, degree = np.einsum("ic,ij,jc->c", member, adj, member) / 2, member.T @ adj.sum(axis=1)
-                quality = float((inside / total - (degree / (2 * total)) ** 2).sum())
-            seen[key] = [(s, i, quality) for s, i in zip(names, ids)]
-        return seen[key]
-
-    return map_books(books.withColumn("weight", F.lit(1.0)), links, ["w"], one, "symbol string, cluster_id int, modularity double")
+        key = rec["symbol"]
+        names = sorted(set(key))
+        at = [key.index(s) for s in names]
+        adj = rec["w"][at][:, [order[s] for s in names]]
+        # edges in the order in which rows of (symbol, other) would come
+        src, dst = np.nonzero(np.triu(adj, 1))
+        ids, quality = list(range(len(names))), 0.0
+        if len(src):
+            number: dict[int, int] = {}
+            found = _louvain(len(names), src, dst, adj[src, dst], resolution)
+            ids = [number.setdefault(int(c), len(number)) for c in found]
+            member = (np.array(ids)[:, None] == np.unique(ids)[None, :]).astype(float)
+            total = adj[src, dst].sum()
+            inside, degree = np.einsum("ic,ij,jc->c", member, adj, member) / 2, member.T @ adj.sum(axis=1)
+            quality = float((inside / total - (degree / (2 * total)) ** 2).sum())
+        return [(names, ids, quality)]
+
+    made = _once_per_set(books, links, ["w"], one, "symbol array<string>, cluster_id array<int>, modularity double")
+    each = made.select("book_id", "modularity", F.inline(F.arrays_zip("symbol", "cluster_id")))
+    return each.select("book_id", "symbol", "cluster_id", "modularity")
 
 
 def community_summary(parts: DataFrame) -> DataFrame:
@@ -354,13 +358,8 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
         own = books.select("book_id", "symbol").join(named, "book_id", "left_semi")
         given = _given_parity(own, covariances)
         books = books.join(named, "book_id", "left_anti")
-    # the weights of a book follow from its symbols alone: of the books that hold the same, one is solved
-    packed = packed_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")))
-    sets = packed.groupBy("items").agg(F.min("book_id").alias("first"))
-    solved = sets.select(F.col("first").alias("book_id"), F.inline("items"))
-    made = map_books(solved, vectors, ["c"], one, "symbol array<string>, weight array<double>").withColumnRenamed("book_id", "solved")
-    of_books = packed.join(sets, "items").select("book_id", "first").join(made, F.col("first").eqNullSafe(F.col("solved")))
-    sampled = of_books.select("book_id", F.inline(F.arrays_zip("symbol", "weight")))
+    made = _once_per_set(books, vectors, ["c"], one, "symbol array<string>, weight array<double>")
+    sampled = made.select("book_id", F.inline(F.arrays_zip("symbol", "weight")))
     return sampled if given is None else sampled.unionByName(given)
 
 
