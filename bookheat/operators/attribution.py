@@ -85,7 +85,7 @@ def _parts(owner: np.ndarray, at: np.ndarray, w: np.ndarray, books: int, pairs:
 
 
 def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> DataFrame:
-    """Score, correlation, factor and Euler risk contribution and heat share of every position of the books in ``heat`` (book_id, score).
+    """Score, ``positions`` of the book, correlation, factor and Euler risk contribution and heat share of every position of the books in ``heat`` (book_id, score).
 
     Books are packed, one row each, and meet their score before their positions are rows again, so positions are shuffled once.
     The pairs of a universe of bounded size go to the tasks with the function, which computes many books at once.
@@ -104,10 +104,11 @@ def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> Data
             made = _parts(np.zeros(n, np.int64), np.arange(n), w, 1, *fixed(rec))
             return list(zip(rec["symbol"], w, *made[:3], rec["dominant_factor"], rec["dominant_beta"], made[3]))
 
-        return M.map_books(books, vectors, cols, one, _PARTS).join(scores, "book_id")
+        sizes = books.groupBy("book_id").agg(F.count("*").cast("int").alias("positions"))
+        return M.map_books(books, vectors, cols, one, _PARTS).join(scores, "book_id").join(sizes, "book_id")
 
-    packed = M.packed_books(books).join(scores, "book_id").select("book_id", "score", "items")
-    out_schema = StructType([packed.schema["book_id"], packed.schema["score"], *L.schema_of(_PARTS).fields])
+    packed = M.packed_books(books).join(scores, "book_id").select("book_id", "score", F.size("items").alias("positions"), "items")
+    out_schema = StructType([packed.schema[c] for c in ("book_id", "score", "positions")] + L.schema_of(_PARTS).fields)
     schema = to_arrow_schema(out_schema)
     matrices = fixed(known)
     names, dominant = pa.array(known["symbol"]), pa.array(known["dominant_factor"], pa.string())
@@ -117,7 +118,7 @@ def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> Data
         for whole in batches:
             for lo in range(0, len(whole), step):
                 batch = whole.slice(lo, step)
-                items = batch.column(2)
+                items = batch.column(3)
                 structs = items.flatten()
                 at = pc.index_in(structs.field("symbol"), value_set=names)
                 owner = np.repeat(np.arange(len(batch)), pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -127,8 +128,8 @@ def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> Data
                 corr, factor, risk, share = _parts(owner, place, w, len(batch), *matrices)
                 of_book, of_symbol = pa.array(owner), pa.array(place)
                 values = [
-                    batch.column(0).take(of_book), batch.column(1).take(of_book), names.take(of_symbol), pa.array(w), pa.array(corr), pa.array(factor),
-                    pa.array(risk), dominant.take(of_symbol), pa.array(known["dominant_beta"][place]), pa.array(share),
+                    *[batch.column(k).take(of_book) for k in range(3)], names.take(of_symbol), pa.array(w), pa.array(corr), pa.array(factor), pa.array(risk),
+                    dominant.take(of_symbol), pa.array(known["dominant_beta"][place]), pa.array(share),
                 ]
                 yield pa.RecordBatch.from_arrays([v.cast(f.type) for v, f in zip(values, schema)], schema=schema)
 

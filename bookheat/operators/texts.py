@@ -13,13 +13,21 @@ def _fmt(pattern: str, c: Column, digits: int) -> Column:
     return F.format_string(pattern, F.bround(c, digits))
 
 
-def _ranked_lines(df: DataFrame, order: Column, line: Column, n: int, out: str, number: str = "") -> DataFrame:
-    """The first ``n`` lines of each book joined by newlines, headed by their number if given a format for it."""
-    w = Window.partitionBy("book_id").orderBy(order, line)
+def _by_share() -> list[Column]:
+    """Largest heat share first; among equal ones in the order of their lines, which begin with the symbol and a colon."""
+    return [F.col("heat_share").desc(), F.concat(F.col("symbol"), F.lit(": "))]
+
+
+def _ranked_lines(df: DataFrame, order: list[Column], line: Column, n: int, out: str, number: str = "") -> DataFrame:
+    """The first ``n`` lines of each book joined by newlines, headed by their number if given a format for it.
+
+    ``order`` decides without the line itself, so only the lines that are shown are made.
+    """
+    w = Window.partitionBy("book_id").orderBy(*order)
     return (
         df.withColumn("_rn", F.row_number().over(w))
-        .withColumn("_l", line)
         .filter(F.col("_rn") <= n)
+        .withColumn("_l", line)
         .groupBy("book_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_l"))), lambda s: F.format_string(f"{number}%s", s["_rn"], s["_l"]) if number else s["_l"]), "\n").alias(out))
     )
@@ -44,12 +52,12 @@ def daily_summary(
 ) -> DataFrame:
     """End-of-day report per book from its newest rows of every table."""
     top = _ranked_lines(
-        attributed, F.col("heat_share").desc(),
+        attributed, _by_share(),
         F.concat(F.lit("  "), F.col("symbol"), F.lit(": "), R.percent(F.col("heat_share")), F.lit(" heat share ("), F.col("recommendation"), F.lit(")")),
         3, "top",
     )
     acts = _ranked_lines(
-        recs.filter("action <> 'hedge'"), F.col("priority"),
+        recs.filter("action <> 'hedge'"), [F.col("priority")],
         F.concat(F.lit("  "), F.upper("urgency"), F.lit(": "), F.col("action"), F.lit(" "), F.col("instrument"), F.lit(" ("), F.col("why"), F.lit(")")),
         3, "acts",
     )
@@ -125,7 +133,7 @@ def regime_shift(old: Column, new: Column, confidence: Column) -> Column:
 def emergency(heat: DataFrame, attributed: DataFrame, recs: DataFrame, at: Column) -> DataFrame:
     """Emergency text per book: up to five actions (or the fixed ones), top three shares, three hedges."""
     acts = _ranked_lines(
-        recs.filter("action <> 'hedge'"), F.col("priority"),
+        recs.filter("action <> 'hedge'"), [F.col("priority")],
         F.concat(
             F.upper("action"), F.lit(" "), F.col("instrument"), F.lit(": "), R.percent(F.col("current_weight")), F.lit(" -> "),
             R.percent(F.col("target_weight")), F.lit(" ("), F.col("why"), F.lit(")"),
@@ -133,11 +141,11 @@ def emergency(heat: DataFrame, attributed: DataFrame, recs: DataFrame, at: Colum
         5, "acts", "  %d. ",
     )
     hedges = _ranked_lines(
-        recs.filter("action = 'hedge'"), F.col("priority"),
+        recs.filter("action = 'hedge'"), [F.col("priority")],
         F.concat(F.lit("  BUY "), F.col("instrument"), F.lit(" @ "), R.percent(F.col("target_weight"))), 3, "hedges",
     )
     top = _ranked_lines(
-        attributed, F.col("heat_share").desc(),
+        attributed, _by_share(),
         F.concat(F.lit("  "), F.col("symbol"), F.lit(": "), R.percent(F.col("heat_share")), F.lit(" of total heat")), 3, "top",
     )
     fixed = "\n".join(f"  {i}. {a}" for i, a in enumerate(C.EMERGENCY_FALLBACK_ACTIONS, 1))

@@ -7,7 +7,7 @@ share (panel, holdings) are staged once per application.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
@@ -128,13 +128,12 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(h: DataFrame) -> DataFrame:
-    per = h.groupBy("book_id", "symbol").agg(
+    """Weights of the books of ``h``, whose rows are shuffled once: sums by symbol and by book both keep to the placement by book."""
+    per = h.repartition("book_id").groupBy("book_id", "symbol").agg(
         F.sum("spend").alias("spend"), F.sum("shares").alias("shares"), F.max("updated_at").alias("updated_at")
     )
-    tot = per.groupBy("book_id").agg(F.sum("spend").alias("total"))
-    return per.join(tot, "book_id").select(
-        "book_id", "symbol", (F.col("spend") / F.col("total")).alias("weight"), "shares", "updated_at"
-    )
+    total = F.sum("spend").over(Window.partitionBy("book_id"))
+    return per.select("book_id", "symbol", (F.col("spend") / total).alias("weight"), "shares", "updated_at")
 
 
 def books(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,3 +78,36 @@ def test_communities_are_found_once_per_set(spark):
     assert calls.value == 3 and len(made) == 100 and all(r.symbol == [s for s in sets[r.book_id % 3] if s != "unknown"] for r in made)
     got = G.book_communities(books, links).groupBy("book_id").agg(F.count("*").alias("n"), F.max("cluster_id").alias("c")).collect()
     assert {(r.book_id, r.n) for r in got} == {(k, (3, 2, 1)[k % 3]) for k in range(100)}
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_weights_shuffle_their_rows_once(spark):
+    from bookheat.sources.tables import _weights
+
+    rows = [(k, f"S{i}", s, float(k + i + 1), 2.0) for k in range(5) for i in range(3) for s in "FO"]
+    h = spark.createDataFrame(rows, "book_id int, symbol string, status string, spend double, shares double")
+    got = _weights(h.withColumn("updated_at", F.current_timestamp()))
+    assert _exchanges(got) == 1
+    assert {(r.book_id, r.symbol): (r.weight, r.shares) for r in got.collect()} == {
+        (k, f"S{i}"): (pytest.approx((k + i + 1) / (3 * k + 6)), 4.0) for k in range(5) for i in range(3)
+    }
+
+
+def test_equal_targets_need_no_join(spark):
+    """Without targets weights should be equal; positions that give no action do not change the others."""
+    from bookheat.operators import actions as ACT
+
+    part = "symbol string, weight double, heat_share double, score double, recommendation string, reason string, dominant_factor string"
+    rows = [
+        (1, 4, "a", 0.4, 0.5, 0.9, "reduce", "why", ""), (1, 4, "b", 0.3, 0.2, 0.9, "monitor", "", ""), (1, 4, "c", 0.2, 0.2, 0.9, "monitor", "", ""),
+        (1, 4, "d", 0.1, 0.1, 0.9, "monitor", "", ""), (2, 2, "a", 0.9, 0.9, 0.1, "hold", "", ""), (2, 2, "b", 0.1, 0.1, 0.1, "hold", "", ""),
+        (3, 2, "a", 0.9, 0.9, None, None, None, ""), (3, 2, "b", 0.1, 0.1, None, None, None, ""),
+    ]
+    df = spark.createDataFrame(rows, f"book_id int, positions int, {part}")
+    targets = df.select("book_id", "symbol", (1.0 / F.col("positions")).alias("weight"))
+    want, got = ACT.recommendations(df, targets), ACT.recommendations(df)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.count() == 2
+    assert _exchanges(got) == 1
