@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bookheat import constants as C
 from bookheat.operators import panel
-from bookheat.session import staged
+from bookheat.session import spread, staged
 
 BOOK_SYMBOLS = tuple(f"Brand#{i}" for i in range(1, 10))
 FACTOR_SYMBOLS = tuple(f"Brand#{i}" for i in range(10, 19))
@@ -128,8 +128,11 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(h: DataFrame) -> DataFrame:
-    """Weights of the books of ``h``, whose rows are shuffled once: sums by symbol and by book both keep to the placement by book."""
-    per = h.repartition("book_id").groupBy("book_id", "symbol").agg(
+    """Weights of the books of ``h``, whose rows are shuffled once: sums by symbol and by book both keep to the placement by book.
+
+    The number of partitions is fixed: a row takes many times its shuffled bytes in the maps and sorts of one task.
+    """
+    per = spread(h, "book_id").groupBy("book_id", "symbol").agg(
         F.sum("spend").alias("spend"), F.sum("shares").alias("shares"), F.max("updated_at").alias("updated_at")
     )
     total = F.sum("spend").over(Window.partitionBy("book_id"))

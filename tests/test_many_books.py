@@ -111,3 +111,11 @@ def test_equal_targets_need_no_join(spark):
     want, got = ACT.recommendations(df, targets), ACT.recommendations(df)
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.count() == 2
     assert _exchanges(got) == 1
+
+
+def test_weights_are_not_folded_into_one_task(spark):
+    """Whatever few bytes are shuffled, books lie in as many partitions as there are."""
+    from bookheat.sources.tables import _weights
+
+    h = spark.range(400).selectExpr("id AS book_id", "'a' AS symbol", "1.0D AS spend", "1.0D AS shares", "current_timestamp() AS updated_at")
+    assert _weights(h).select(F.spark_partition_id()).distinct().count() == 8
