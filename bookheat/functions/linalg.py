@@ -7,6 +7,7 @@ works on that row and nothing larger than a group ever meets in one place.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from bookheat.session import spread
 
 #: Rows that a task gathers before it hands them on.
 ROWS_AT_ONCE = 50_000
+_EXACT = Context(prec=400)
 
 
 def schema_of(ddl: str) -> StructType:
@@ -154,6 +156,25 @@ def pct_ranks_at(v: np.ndarray, row: np.ndarray, day: np.ndarray, rows: int) ->
     return out
 
 
+def rounded(v: np.ndarray, digits: int) -> np.ndarray:
+    """``round`` of Spark: half up on the shortest decimal form of a number; a negative zero becomes zero."""
+    v = np.asarray(v, dtype=float)
+    scale = 10.0**digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = np.abs(v) * scale
+        whole = np.floor(size)
+        rest = size - whole
+        out = np.copysign((whole + (rest >= 0.5)) / scale, v)
+        # the product may have crossed a half, or has no digits left behind the point: those are few
+        doubt = ~((np.abs(rest - 0.5) > 4e-16 * size) & (size < 2.0**50))
+    for i in np.argwhere(doubt):
+        x = v[tuple(i)]
+        if np.isfinite(x):
+            x = float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, _EXACT))
+        out[tuple(i)] = x
+    return out + 0.0
+
+
 def absorption_ratio(x: np.ndarray, components: int | None = None) -> float:
     """Share of variance in the top eigenvalues; rows are assets. Neutral .5 when too small."""
     n, t = x.shape

@@ -18,7 +18,7 @@ from bookheat.functions import rules as R
 from bookheat.operators import factors as X
 from bookheat.operators import metrics as M
 from bookheat.operators import panel as P
-from bookheat.session import broadcast_if_bounded
+from bookheat.session import broadcast_if_bounded, rounded
 
 MAX_BROADCAST_DAYS = 50_000
 RANKS = {
@@ -219,6 +219,17 @@ class _Days:
         self.set_of = np.repeat([number[id(p[0])] for p in pieces], [len(p[1]["div_ratio"]) for p in pieces])
         self.books, self.days = self.of_book["div_ratio"].shape
 
+    def reported(self, name: str, digits: int) -> np.ndarray:
+        """``lists`` rounded; what a set decides is rounded once for its books."""
+        return L.rounded(self.of_set[name], digits)[self.set_of] if name in self.of_set else L.rounded(self.of_book[name], digits)
+
+    def scores(self) -> np.ndarray:
+        """(books, days) of the score, summed in the order of ``_scored``."""
+        w, rank = C.HEAT_WEIGHTS, lambda v: L.pct_ranks_incl(v, self.rows)
+        score = (w["ar"] * rank(self.of_set["absorption_ratio"]) + w["turb"] * rank(self.of_set["turbulence"]))[self.set_of]
+        score = score + w["dr"] * rank(_inverse(self.of_book["div_ratio"])) + w["hhi"] * rank(self.of_book["factor_hhi"])
+        return np.clip(score + (w["corr"] * rank(self.of_set["avg_corr"]))[self.set_of], 0.0, 1.0)
+
     def lists(self, name: str) -> np.ndarray:
         """(books, days) of one component."""
         return self.of_set[name][self.set_of] if name in self.of_set else self.of_book[name]
@@ -263,7 +274,9 @@ def _histories(packed: DataFrame, known: dict, slopes, names: list[str], window:
     """
     spark = packed.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    sets = packed.withColumn("_set", F.transform("items", lambda e: e["symbol"])).repartitionByRange(parts, "_set", "book_id").sortWithinPartitions("_set").drop("_set")
+    # equal sets have equal hashes; two sets that share one only cost a second computation
+    sets = packed.withColumn("_set", F.xxhash64(F.transform("items", lambda e: e["symbol"])))
+    sets = sets.repartitionByRange(parts, "_set", "book_id").sortWithinPartitions("_set").drop("_set")
     out_schema = StructType([packed.schema["book_id"], *L.schema_of(out).fields])
     schema = to_arrow_schema(out_schema)
     symbols, plain = known["symbol"], np.array([f is None for f in known["factor"]])
@@ -352,6 +365,38 @@ def own_history(
     return _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
 
 
+def reported_history(
+    books: DataFrame, returns: DataFrame, factors: DataFrame, digits: dict[str, int], window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS
+) -> DataFrame:
+    """(book_id, date, *digits, level): ``own_history`` for reporting, dates as text and numbers rounded to ``digits``.
+
+    Rows leave the function that makes them as they are reported: ranks are not handed on, and what the symbols decide is ranked and
+    rounded once for all books of a batch that hold them.
+    """
+    _, known, slopes, names = _start(returns, factors, window)
+    if known is None:
+        made = own_history(books, returns, factors, window, rows, named=False)
+        return made.select("book_id", F.col("date").cast("string").alias("date"), *[rounded(c, d).alias(c) for c, d in digits.items()], "level")
+    dates = pa.array([str(r.date) for r in returns.select("t", "date").distinct().orderBy("t").collect()], pa.string())
+    ladder = sorted(C.THRESHOLDS.items(), key=lambda e: e[1])
+    levels, ends = pa.array(["cool", *[k for k, _ in ladder]]), np.array([v for _, v in ladder])
+
+    def emit(made: _Days, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        n, count, score = made.books, made.days, made.scores()
+        of = {"score": L.rounded(score, digits["score"])} if "score" in digits else {}
+        of |= {c: made.reported(c, d) for c, d in digits.items() if c != "score"}
+        cols = [
+            _book_ids(batch).take(pa.array(np.repeat(np.arange(n), count))),
+            dates.take(pa.array(np.tile(np.arange(window, window + count), n))),
+            *[pa.array(of[c].ravel()) for c in digits],
+            levels.take(pa.array(np.searchsorted(ends, score.ravel(), side="right"))),
+        ]
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    out = f"date string, {', '.join(f'{c} double' for c in digits)}, level string"
+    return _histories(M.packed_books(books), known, slopes, names, window, rows, out, emit)
+
+
 def own_component_lists(
     books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS
 ) -> DataFrame:

@@ -27,6 +27,8 @@ def members(books: DataFrame, windowed: DataFrame, rolling: bool = True) -> Data
     For one day, books are placed first and the vectors, one row per symbol, come to them:
     broadcast when counted small, joined by key otherwise. Later grouping by book is shuffle-free.
     """
+    if "items" in books.columns:
+        books = books.select("book_id", F.inline("items"))
     own = books.select("book_id", "symbol", "weight")
     if rolling:
         return spread(own.join(windowed, "symbol"), "book_id", "t")
@@ -50,7 +52,9 @@ def shipped(vectors: DataFrame, cols: list[str]) -> dict | None:
 
 
 def packed_books(books: DataFrame) -> DataFrame:
-    """(book_id, items): the positions of a book as one ordered list of symbol and weight."""
+    """(book_id, items): the positions of a book as one ordered list of symbol and weight; ``books`` may be packed already."""
+    if "items" in books.columns:
+        return books.select("book_id", F.transform("items", lambda e: F.struct(e["symbol"].alias("symbol"), e["weight"].alias("weight"))).alias("items"))
     own = spread(books.select("book_id", "symbol", "weight"), "book_id")
     return own.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight"))).alias("items"))
 

@@ -56,23 +56,18 @@ def book_heat(spark, sf, asked=None, named=True):
 
     With ``asked`` (book_id, date) only the newest day and those in force on the dates asked for. Without ``named`` no dominant factor and top pair.
     """
-    own = T.books(spark, sf).select("book_id", "symbol", "weight")
-    return H.own_history(own, T.returns(spark, sf), T.factor_dim(spark), asked=asked, named=named)
+    return H.own_history(T.packed_books(spark, sf), T.returns(spark, sf), T.factor_dim(spark), asked=asked, named=named)
 
 
 def book_component_lists(spark, sf):
     """The last values of every component of every customer book, as lists on one row."""
-    own = T.books(spark, sf).select("book_id", "symbol", "weight")
-    return H.own_component_lists(own, T.returns(spark, sf), T.factor_dim(spark))
+    return H.own_component_lists(T.packed_books(spark, sf), T.returns(spark, sf), T.factor_dim(spark))
 
 
 @query("heat_books")
 def heat_books(spark, sf):
-    return book_heat(spark, sf, named=False).select(
-        "book_id", text("date"), r("absorption_ratio").alias("absorption_ratio"), r("turbulence", 4).alias("turbulence"),
-        r("div_ratio").alias("div_ratio"), r("factor_hhi").alias("factor_hhi"), r("avg_corr").alias("avg_corr"),
-        r("score", 10).alias("score"), "level",
-    )
+    digits = {"absorption_ratio": 6, "turbulence": 4, "div_ratio": 6, "factor_hhi": 6, "avg_corr": 6, "score": 10}
+    return H.reported_history(T.packed_books(spark, sf), T.returns(spark, sf), T.factor_dim(spark), digits)
 
 
 def latest_windows(spark, sf, rows: int):

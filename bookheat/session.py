@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of source files whose rows make one partition of a shuffle.
+PARTITION_BYTES = 16_000_000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 _staged: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
@@ -76,10 +80,16 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage durably (a lost executor re-reads files, it does not recompute)
     and gives the optimizer true sizes, so later joins broadcast by measured bytes.
+    Shuffle files of the write are deleted with its end.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -121,15 +131,23 @@ def clear_staged(spark: SparkSession) -> None:
             fs.delete(path, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by key over all shuffle partitions.
+def least_parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def parts_of(spark: SparkSession, *sources: str) -> int:
+    """Partitions for the rows of source files: their number grows with the files, a task's share does not."""
+    size = sum(length for s in sources for _, length, _ in source_version(spark, s))
+    return max(least_parts(spark), -(-size // PARTITION_BYTES))
+
+
+def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """Hash rows by key over all shuffle partitions, or over ``parts``.
 
     The fixed count keeps adaptive execution from folding compute-heavy groups, which are small
     in bytes, into one task.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(parts or least_parts(df.sparkSession), *keys)
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:

@@ -7,12 +7,12 @@ share (panel, holdings) are staged once per application.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookheat import constants as C
 from bookheat.operators import panel
-from bookheat.session import spread, staged
+from bookheat.session import least_parts, parts_of, spread, staged
 
 BOOK_SYMBOLS = tuple(f"Brand#{i}" for i in range(1, 10))
 FACTOR_SYMBOLS = tuple(f"Brand#{i}" for i in range(10, 19))
@@ -24,6 +24,8 @@ CRISES = (
     ("first_half_2000", "2000-01-01", "2000-03-13", "2000-06-30"),
 )
 SOURCES = (("N", 1), ("A", 2), ("R", 3))
+#: Parts up to which their brands go to every task.
+MAX_BROADCAST_PARTS = 1_500_000
 MACRO_SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
@@ -45,18 +47,32 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_brand").alias("symbol")).distinct()
 
 
+def _line_parts(spark: SparkSession, sf: str) -> int:
+    return parts_of(spark, f"{sf}/lineitem.parquet", f"{sf}/orders.parquet")
+
+
+def _joined(spark: SparkSession, sf: str, lines: DataFrame, other: DataFrame, line_key: str, key: str) -> DataFrame:
+    """Line items with their row of ``other``; large tables meet in as many partitions as their size asks for."""
+    n = _line_parts(spark, sf)
+    if n > least_parts(spark):
+        lines, other = spread(lines, line_key, parts=n), spread(other, key, parts=n)
+    return lines.join(other, F.col(line_key) == F.col(key))
+
+
+def _branded(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
+    """Line items with the ``symbol`` of their part, which goes to every task only after a count."""
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    if part.count() <= MAX_BROADCAST_PARTS:
+        return lines.join(F.broadcast(part), F.col("l_partkey") == F.col("p_partkey"))
+    return _joined(spark, sf, lines, part, "l_partkey", "p_partkey")
+
+
 def closes(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly volume-weighted price per brand: (date, symbol, close)."""
 
     def build() -> DataFrame:
-        part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
-        return (
-            table(spark, sf, "lineitem")
-            .select("l_partkey", week("l_shipdate").alias("date"), "l_extendedprice", "l_quantity")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("date", "symbol")
-            .agg(vwap().alias("close"))
-        )
+        lines = table(spark, sf, "lineitem").select("l_partkey", week("l_shipdate").alias("date"), "l_extendedprice", "l_quantity")
+        return _branded(spark, sf, lines).groupBy("date", "symbol").agg(vwap().alias("close"))
 
     return staged(spark, sf, "closes", build)
 
@@ -101,27 +117,29 @@ def reference_book(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "book_id string, symbol string, weight double")
 
 
+def _bought(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items by customer: (book_id, symbol, status, spend, shares, ordered)."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("spend"),
+        F.col("l_quantity").alias("shares"),
+    )
+    lines = _branded(spark, sf, lines).select("l_orderkey", "symbol", "spend", "shares")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return _joined(spark, sf, lines, orders, "l_orderkey", "o_orderkey").select(
+        F.col("o_custkey").alias("book_id"), "symbol", F.col("o_orderstatus").alias("status"), "spend", "shares", F.col("o_orderdate").alias("ordered")
+    )
+
+
 def holdings(spark: SparkSession, sf: str) -> DataFrame:
     """Customer spend per brand and order status: (book_id, symbol, status, spend, shares, updated_at)."""
 
     def build() -> DataFrame:
-        part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
-        orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-        lines = table(spark, sf, "lineitem").select(
-            "l_orderkey",
-            "l_partkey",
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("spend"),
-            F.col("l_quantity").alias("shares"),
-        )
         return (
-            lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_custkey").alias("book_id"), "symbol", F.col("o_orderstatus").alias("status"))
-            .agg(
-                F.sum("spend").alias("spend"),
-                F.sum("shares").alias("shares"),
-                F.max("o_orderdate").cast("timestamp").alias("updated_at"),
-            )
+            _bought(spark, sf)
+            .groupBy("book_id", "symbol", "status")
+            .agg(F.sum("spend").alias("spend"), F.sum("shares").alias("shares"), F.max("ordered").cast("timestamp").alias("updated_at"))
         )
 
     return staged(spark, sf, "holdings", build)
@@ -139,9 +157,30 @@ def _weights(h: DataFrame) -> DataFrame:
     return per.select("book_id", "symbol", (F.col("spend") / total).alias("weight"), "shares", "updated_at")
 
 
+def packed_books(spark: SparkSession, sf: str) -> DataFrame:
+    """All customer books, one row each: (book_id, items), the positions in order of symbols; staged.
+
+    What a customer bought is shuffled once, by customer: sums by symbol, the list of the positions and their weights follow in the same task.
+    """
+
+    def build() -> DataFrame:
+        per = spread(_bought(spark, sf), "book_id", parts=_line_parts(spark, sf)).groupBy("book_id", "symbol").agg(
+            F.sum("spend").alias("spend"), F.sum("shares").alias("shares"), F.max("ordered").cast("timestamp").alias("updated_at")
+        )
+        items = F.array_sort(F.collect_list(F.struct("symbol", "spend", "shares", "updated_at")))
+        whole = per.groupBy("book_id").agg(items.alias("items"), F.sum("spend").alias("total"))
+
+        def position(e: Column) -> Column:
+            return F.struct(e["symbol"].alias("symbol"), (e["spend"] / F.col("total")).alias("weight"), e["shares"].alias("shares"), e["updated_at"].alias("updated_at"))
+
+        return whole.select("book_id", F.transform("items", position).alias("items"))
+
+    return staged(spark, sf, "books", build)
+
+
 def books(spark: SparkSession, sf: str) -> DataFrame:
     """All customer books: (book_id, symbol, weight, shares, updated_at)."""
-    return staged(spark, sf, "books", lambda: _weights(holdings(spark, sf)))
+    return packed_books(spark, sf).select("book_id", F.inline("items"))
 
 
 def books_by_status(spark: SparkSession, sf: str, status: str) -> DataFrame:
