@@ -87,7 +87,7 @@ def _parts(owner: np.ndarray, at: np.ndarray, w: np.ndarray, books: int, pairs:
 def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> DataFrame:
     """Score, ``positions`` of the book, correlation, factor and Euler risk contribution and heat share of every position of the books in ``heat`` (book_id, score).
 
-    Books are packed, one row each, and meet their score before their positions are rows again, so positions are shuffled once.
+    Books are packed, one row each (``books`` may be packed already), and meet their score before their positions are rows again, so positions are shuffled once.
     The pairs of a universe of bounded size go to the tasks with the function, which computes many books at once.
     """
     cols = ["z", "c", "betas", "dominant_factor", "dominant_beta"]
@@ -104,7 +104,7 @@ def contributions(books: DataFrame, vectors: DataFrame, heat: DataFrame) -> Data
             made = _parts(np.zeros(n, np.int64), np.arange(n), w, 1, *fixed(rec))
             return list(zip(rec["symbol"], w, *made[:3], rec["dominant_factor"], rec["dominant_beta"], made[3]))
 
-        sizes = books.groupBy("book_id").agg(F.count("*").cast("int").alias("positions"))
+        sizes = M.packed_books(books).select("book_id", F.size("items").alias("positions"))
         return M.map_books(books, vectors, cols, one, _PARTS).join(scores, "book_id").join(sizes, "book_id")
 
     packed = M.packed_books(books).join(scores, "book_id").select("book_id", "score", F.size("items").alias("positions"), "items")

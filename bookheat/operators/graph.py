@@ -11,7 +11,7 @@ from bookheat.functions import linalg as L
 from bookheat.functions import rules as R
 from bookheat.operators import moments as MM
 from bookheat.operators.metrics import map_books, packed_books
-from bookheat.session import spread
+from bookheat.session import spread, stage
 
 
 def _louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
@@ -82,17 +82,29 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
 
 
 def _once_per_set(books: DataFrame, vectors: DataFrame, cols: list[str], one, out: str) -> DataFrame:
-    """(book_id, *out): ``one`` follows from the symbols of a book alone, so of the books that hold the same one is solved."""
-    packed = packed_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")))
-    sets = packed.groupBy("items").agg(F.min("book_id").alias("first"))
-    solved = sets.select(F.col("first").alias("book_id"), F.inline("items"))
-    made = map_books(solved, vectors, cols, one, out).withColumnRenamed("book_id", "solved")
-    of_books = packed.join(sets, "items").select("book_id", "first")
-    return of_books.join(made, F.col("first").eqNullSafe(F.col("solved"))).drop("first", "solved")
+    """(book_id, *out): ``one`` follows from the symbols of a book alone, so every set of symbols is solved once.
+
+    Solved sets are staged, so that books meet them by broadcast where they are few. ``books`` may be packed.
+    """
+    if "items" not in books.columns:
+        books = packed_books(books.select("book_id", "symbol", F.lit(1.0).alias("weight")))
+    held = books.select("book_id", F.transform("items", lambda e: e["symbol"]).alias("_set"))
+    one_each = F.transform("_set", lambda s: F.struct(s.alias("symbol"), F.lit(1.0).alias("weight")))
+    # few bytes, much to solve: hashed once more, or adaptive execution would fold the partitions of the distinct sets
+    sets = spread(held.select("_set").distinct().withColumn("_n", F.xxhash64("_set")), "_n").select(F.col("_set").alias("book_id"), one_each.alias("items"))
+    solved = stage(map_books(sets, vectors, cols, one, out).withColumnRenamed("book_id", "_set"), "sets")
+    return held.join(solved, "_set").drop("_set")
 
 
 def book_communities(books: DataFrame, links: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(book_id, symbol, cluster_id, modularity): ``communities`` and ``modularity`` of the graph of the symbols a book holds.
+    """(book_id, symbol, cluster_id, modularity): ``community_lists`` as rows."""
+    each = community_lists(books, links, resolution)
+    return each.select("book_id", "modularity", F.inline(F.arrays_zip("symbol", "cluster_id"))).select("book_id", "symbol", "cluster_id", "modularity")
+
+
+def community_lists(books: DataFrame, links: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(book_id, symbol, cluster_id, modularity): ``communities`` and ``modularity`` of the graph of the symbols a book holds, one row per
+    book with the lists of its symbols and their clusters.
 
     ``links`` (symbol, w) has one row per symbol, ``w`` its weights to all symbols in order of symbols, zero where there is no
     edge. Books with the same symbols have the same communities, which are found once.
@@ -117,9 +129,7 @@ def book_communities(books: DataFrame, links: DataFrame, resolution: float = 1.0
             quality = float((inside / total - (degree / (2 * total)) ** 2).sum())
         return [(names, ids, quality)]
 
-    made = _once_per_set(books, links, ["w"], one, "symbol array<string>, cluster_id array<int>, modularity double")
-    each = made.select("book_id", "modularity", F.inline(F.arrays_zip("symbol", "cluster_id")))
-    return each.select("book_id", "symbol", "cluster_id", "modularity")
+    return _once_per_set(books, links, ["w"], one, "symbol array<string>, cluster_id array<int>, modularity double")
 
 
 def community_summary(parts: DataFrame) -> DataFrame:
@@ -340,6 +350,16 @@ def parity_or_equal(cov: np.ndarray) -> np.ndarray:
     return w if np.isfinite(w).all() and w.sum() > 0 else np.full(n, 1.0 / n)
 
 
+def hrp_lists(books: DataFrame, windowed: DataFrame) -> DataFrame:
+    """(book_id, symbol, weight): ``hrp_weights`` from the sample covariances, one row per book with the lists of its symbols and weights."""
+    vectors = A.with_centered(windowed, "x", "c").select("symbol", "c")
+
+    def one(rec: dict) -> list[tuple]:
+        return [(list(rec["symbol"]), parity_or_equal(rec["c"] @ rec["c"].T).tolist())]
+
+    return _once_per_set(books, vectors, ["c"], one, "symbol array<string>, weight array<double>")
+
+
 def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame | None = None) -> DataFrame:
     """(book_id, symbol, weight) by hierarchical risk parity.
 
@@ -347,19 +367,13 @@ def hrp_weights(books: DataFrame, windowed: DataFrame, covariances: DataFrame |
     ``windowed`` for the books it names; a pair it lacks counts as zero. A book of one symbol holds it whole; where the
     covariances allow no weights they are equal.
     """
-    vectors = A.with_centered(windowed, "x", "c").select("symbol", "c")
-
-    def one(rec: dict) -> list[tuple]:
-        return [(list(rec["symbol"]), parity_or_equal(rec["c"] @ rec["c"].T).tolist())]
-
     given = None
     if covariances is not None:
         named = covariances.select("book_id").distinct()
         own = books.select("book_id", "symbol").join(named, "book_id", "left_semi")
         given = _given_parity(own, covariances)
         books = books.join(named, "book_id", "left_anti")
-    made = _once_per_set(books, vectors, ["c"], one, "symbol array<string>, weight array<double>")
-    sampled = made.select("book_id", F.inline(F.arrays_zip("symbol", "weight")))
+    sampled = hrp_lists(books, windowed).select("book_id", F.inline(F.arrays_zip("symbol", "weight")))
     return sampled if given is None else sampled.unionByName(given)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -329,23 +329,29 @@ def _book_ids(batch: pa.RecordBatch) -> pa.Array:
 
 def own_history(
     books: DataFrame, returns: DataFrame, factors: DataFrame, window: int = C.WINDOW_ROWS, rows: int = C.HISTORY_ROWS,
-    asked: DataFrame | None = None, named: bool = True,
+    asked: DataFrame | Column | None = None, named: bool = True,
 ) -> DataFrame:
     """``rolling_heat`` for many books: every day of a book from one packed row, ranks included.
 
     A book's exposures are the slopes of its weighted returns, so the factor regression of a day is solved once for all
     books and symbols. With ``asked`` (book_id, date) only a book's newest day and its last days up to the dates asked for
-    are returned; without ``named`` no dominant factor and top pair.
+    are returned; where ``books`` are packed it may be the list of dates that follows from the row of a book. Without ``named`` no
+    dominant factor and top pair.
     """
     vectors, known, slopes, names = _start(returns, factors, window)
     days = returns.select("t", "date").distinct()
     if known is None:
         made = _joined_history(books, vectors, slopes, names, window, rows).drop(*[] if named else _NAMED)
         scored = _scored(made.join(broadcast_if_bounded(days, MAX_BROADCAST_DAYS), "t"))
+        if isinstance(asked, Column):
+            asked = books.select("book_id", F.explode(asked).alias("date"))
         return scored if asked is None else _asked_days(scored, asked)
-    packed = M.packed_books(books)
+    if isinstance(asked, Column):
+        packed = M.packed_books(books, asked=asked)
+    else:
+        packed = M.packed_books(books)
     dates, every = [r.date for r in days.orderBy("t").collect()], asked is None
-    if not every:
+    if isinstance(asked, DataFrame):
         packed = packed.join(asked.groupBy("book_id").agg(F.collect_set("date").alias("asked")), "book_id", "left")
 
     def emit(made: _Days, batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:

@@ -51,10 +51,14 @@ def shipped(vectors: DataFrame, cols: list[str]) -> dict | None:
     return {"symbol": [r.symbol for r in rows], **{c: np.array([r[c] for r in rows], dtype=kinds[c]) for c in cols}}
 
 
-def packed_books(books: DataFrame) -> DataFrame:
-    """(book_id, items): the positions of a book as one ordered list of symbol and weight; ``books`` may be packed already."""
+def packed_books(books: DataFrame, **beside: Column) -> DataFrame:
+    """(book_id, items): the positions of a book as one ordered list of symbol and weight.
+
+    ``books`` may be packed already; then columns ``beside`` may follow from the row of a book.
+    """
     if "items" in books.columns:
-        return books.select("book_id", F.transform("items", lambda e: F.struct(e["symbol"].alias("symbol"), e["weight"].alias("weight"))).alias("items"))
+        items = F.transform("items", lambda e: F.struct(e["symbol"].alias("symbol"), e["weight"].alias("weight")))
+        return books.select("book_id", items.alias("items"), *[c.alias(n) for n, c in beside.items()])
     own = spread(books.select("book_id", "symbol", "weight"), "book_id")
     return own.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "weight"))).alias("items"))
 

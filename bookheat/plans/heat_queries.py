@@ -54,7 +54,7 @@ def heat(spark, sf):
 def book_heat(spark, sf, asked=None, named=True):
     """Heat of every customer book on every row day, ranked in its own history.
 
-    With ``asked`` (book_id, date) only the newest day and those in force on the dates asked for. Without ``named`` no dominant factor and top pair.
+    With ``asked`` (book_id, date, or the list of dates that follows from the packed row of a book) only the newest day and those in force on the dates asked for. Without ``named`` no dominant factor and top pair.
     """
     return H.own_history(T.packed_books(spark, sf), T.returns(spark, sf), T.factor_dim(spark), asked=asked, named=named)
 

@@ -67,6 +67,11 @@ def _branded(spark: SparkSession, sf: str, lines: DataFrame) -> DataFrame:
     return _joined(spark, sf, lines, part, "l_partkey", "p_partkey")
 
 
+def by_book(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
+    """Rows hashed by book, into as many partitions as the books come from: frames placed so are grouped and joined without a shuffle."""
+    return spread(df, "book_id", parts=_line_parts(spark, sf))
+
+
 def closes(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly volume-weighted price per brand: (date, symbol, close)."""
 
@@ -164,7 +169,7 @@ def packed_books(spark: SparkSession, sf: str) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        per = spread(_bought(spark, sf), "book_id", parts=_line_parts(spark, sf)).groupBy("book_id", "symbol").agg(
+        per = by_book(spark, sf, _bought(spark, sf)).groupBy("book_id", "symbol").agg(
             F.sum("spend").alias("spend"), F.sum("shares").alias("shares"), F.max("ordered").cast("timestamp").alias("updated_at")
         )
         items = F.array_sort(F.collect_list(F.struct("symbol", "spend", "shares", "updated_at")))
