@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookheat.functions import linalg as L
+from bookheat.operators import metrics as M
 
 
 _FIT = T.StructType(
@@ -161,6 +162,33 @@ def aggregate_exposures(exposures: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
+def exposure_lists(exposures: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, factor_exposures): ``aggregate_exposures`` of one day, one row per book with the list of its factors.
+
+    A book's exposures are its weights times the betas of its symbols, so no row is made per position and factor. Where symbols have
+    betas on different factors, or some without a value, they are summed as rows.
+    """
+    fields = ("factor", "total_exposure", "exposure_share")
+    pairs = F.array_sort(F.collect_list(F.struct("factor", "beta")))
+    vectors = exposures.groupBy("symbol").agg(pairs.alias("p")).select(
+        "symbol", F.transform("p", lambda e: e["factor"]).alias("f"), F.transform("p", lambda e: e["beta"]).alias("betas"), F.exists("p", lambda e: e["beta"].isNull()).alias("gap")
+    )
+    kinds = vectors.select("f", "gap").distinct().limit(2).collect()
+    if len(kinds) != 1 or kinds[0].gap or len(set(kinds[0].f)) < len(kinds[0].f):
+        rows = books.select("book_id", F.inline("items")) if "items" in books.columns else books
+        return aggregate_exposures(exposures, rows).groupBy("book_id").agg(F.collect_list(F.struct(*fields)).alias("factor_exposures"))
+    names = kinds[0].f
+
+    def one(rec: dict) -> list[tuple]:
+        total = np.nan_to_num(rec["weight"], nan=0.0, posinf=np.inf, neginf=-np.inf) @ rec["betas"]
+        size = np.abs(total).sum()
+        return [(names, total.tolist(), (np.abs(total) / (size if size else 1.0)).tolist())]
+
+    lists = M.map_books(books, vectors.select("symbol", "betas"), ["betas"], one, "factor array<string>, total_exposure array<double>, exposure_share array<double>")
+    each = F.transform("factor", lambda f, k: F.struct(f.alias("factor"), *[F.get(c, k).alias(c) for c in fields[1:]]))
+    return lists.select("book_id", each.alias("factor_exposures"))
+
+
 def factor_hhi(exposures: DataFrame) -> DataFrame:
     """Concentration of absolute exposures and the dominant factor per (book, day)."""
     a = F.abs("total_exposure")

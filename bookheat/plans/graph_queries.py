@@ -191,20 +191,28 @@ def _symbol_links(spark, sf):
     return symbols.join(near, "symbol", "left").crossJoin(every).select("symbol", w.alias("w"))
 
 
-def _customer_communities(spark, sf):
-    """(book_id, symbol, cluster_id, modularity) of every customer book, staged."""
-    books = T.books(spark, sf)
+def community_lists(spark, sf):
+    """(book_id, modularity, clusters) of every customer book, ``clusters`` the list of its symbols and their clusters; staged."""
 
     def build():
         if T.symbols(spark, sf).count() ** 2 <= M.MAX_SHIPPED_NUMBERS:
-            return G.book_communities(books, _symbol_links(spark, sf))
+            made = G.community_lists(T.packed_books(spark, sf), _symbol_links(spark, sf))
+            pair = F.zip_with("symbol", "cluster_id", lambda s, c: F.struct(s.alias("symbol"), c.alias("cluster_id")))
+            return made.select("book_id", "modularity", pair.alias("clusters"))
+        books = T.books(spark, sf)
         edges = held_edges(books, _universe_edges(spark, sf))
         parts = G.communities(books, edges)
-        return parts.join(G.modularity(edges, parts), "book_id")
+        lists = parts.groupBy("book_id").agg(F.collect_list(F.struct("symbol", "cluster_id")).alias("clusters"))
+        return lists.join(G.modularity(edges, parts), "book_id").select("book_id", "modularity", "clusters")
 
     return staged(spark, sf, "customer-communities", build)
 
 
+def _customer_communities(spark, sf):
+    """(book_id, symbol, cluster_id, modularity) of every customer book."""
+    return community_lists(spark, sf).select("book_id", "modularity", F.inline("clusters")).select("book_id", "symbol", "cluster_id", "modularity")
+
+
 @query("customer_communities")
 def customer_communities(spark, sf):
     """Communities of every customer book in the graph of the symbols it holds."""
@@ -230,7 +238,7 @@ def held_edges_query(spark, sf):
 
 
 def _hrp(spark, sf):
-    return staged(spark, sf, "hrp", lambda: G.hrp_weights(T.books(spark, sf), HQ.latest_windows(spark, sf, 60)))
+    return staged(spark, sf, "hrp", lambda: G.hrp_weights(T.packed_books(spark, sf), HQ.latest_windows(spark, sf, 60)))
 
 
 @query("hrp_weights_books")

@@ -307,19 +307,26 @@ def portfolio_snapshot(spark, sf):
 @query("customer_states")
 def customer_states(spark, sf):
     """Positions, exposures, own heat, clusters, limits, attribution and advice of every customer book on one row each."""
+    from bookheat.operators import actions as ACT
     from bookheat.operators import factors as X
+    from bookheat.operators import metrics as M
     from bookheat.operators.snapshot import portfolio_states
-    from bookheat.plans.graph_queries import _customer_communities
+    from bookheat.plans.graph_queries import community_lists
 
-    books = T.books(spark, sf)
+    def place(df):
+        return T.by_book(spark, sf, df)
+
+    # placed by book once, every list is made and joined where its rows lie
+    packed = place(M.packed_books(T.packed_books(spark, sf)))
+    attributed = AQ.attributed_own(spark, sf)
     states = portfolio_states(
-        AQ.book_days(spark, sf),
-        limits=AQ._limits(spark, sf, AQ.own_heat_of_books(spark, sf)),
-        positions=books,
-        factor_exposures=X.aggregate_exposures(HQ.latest_exposures(spark, sf), books),
-        attribution=AQ.attributed_own(spark, sf),
-        recommendations=AQ.recs_own(spark, sf),
-        clusters=_customer_communities(spark, sf),
+        place(AQ.book_days(spark, sf)),
+        limits=place(AQ._limits(spark, sf, AQ.own_heat_of_books(spark, sf))),
+        positions=packed.withColumnRenamed("items", "positions"),
+        factor_exposures=place(X.exposure_lists(HQ.latest_exposures(spark, sf), T.packed_books(spark, sf))),
+        attribution=place(attributed.select("book_id", "heat_share", "symbol", "marginal_heat", "recommendation")),
+        recommendations=ACT.recommendations(place(attributed)),
+        clusters=place(community_lists(spark, sf)),
     )
     lists = ("positions", "factor_exposures", "attribution", "recommendations", "clusters")
     return states.select(
