@@ -7,13 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bookheat.functions import linalg as L
 from bookheat.operators import metrics as M
 
+#: Symbols up to which books are rows of one matrix over all of them.
+MAX_DENSE_SYMBOLS = 512
 
 _FIT = T.StructType(
     [
@@ -166,7 +170,7 @@ def exposure_lists(exposures: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, factor_exposures): ``aggregate_exposures`` of one day, one row per book with the list of its factors.
 
     A book's exposures are its weights times the betas of its symbols, so no row is made per position and factor. Where symbols have
-    betas on different factors, or some without a value, they are summed as rows.
+    betas on different factors, some without a value, or are many, they are summed as rows. Many books are rows of one matrix over the symbols.
     """
     fields = ("factor", "total_exposure", "exposure_share")
     pairs = F.array_sort(F.collect_list(F.struct("factor", "beta")))
@@ -174,19 +178,37 @@ def exposure_lists(exposures: DataFrame, books: DataFrame) -> DataFrame:
         "symbol", F.transform("p", lambda e: e["factor"]).alias("f"), F.transform("p", lambda e: e["beta"]).alias("betas"), F.exists("p", lambda e: e["beta"].isNull()).alias("gap")
     )
     kinds = vectors.select("f", "gap").distinct().limit(2).collect()
-    if len(kinds) != 1 or kinds[0].gap or len(set(kinds[0].f)) < len(kinds[0].f):
+    known = M.shipped(vectors.select("symbol", "betas"), ["betas"]) if len(kinds) == 1 and not kinds[0].gap and len(set(kinds[0].f)) == len(kinds[0].f) else None
+    if known is None or len(known["symbol"]) > MAX_DENSE_SYMBOLS:
         rows = books.select("book_id", F.inline("items")) if "items" in books.columns else books
         return aggregate_exposures(exposures, rows).groupBy("book_id").agg(F.collect_list(F.struct(*fields)).alias("factor_exposures"))
-    names = kinds[0].f
-
-    def one(rec: dict) -> list[tuple]:
-        total = np.nan_to_num(rec["weight"], nan=0.0, posinf=np.inf, neginf=-np.inf) @ rec["betas"]
-        size = np.abs(total).sum()
-        return [(names, total.tolist(), (np.abs(total) / (size if size else 1.0)).tolist())]
-
-    lists = M.map_books(books, vectors.select("symbol", "betas"), ["betas"], one, "factor array<string>, total_exposure array<double>, exposure_share array<double>")
-    each = F.transform("factor", lambda f, k: F.struct(f.alias("factor"), *[F.get(c, k).alias(c) for c in fields[1:]]))
-    return lists.select("book_id", each.alias("factor_exposures"))
+    packed = M.packed_books(books)
+    out_schema = T.StructType([packed.schema["book_id"], *L.schema_of("factor_exposures array<struct<factor:string,total_exposure:double,exposure_share:double>>").fields])
+    schema = to_arrow_schema(out_schema)
+    names, symbols, betas = kinds[0].f, pa.array(known["symbol"], pa.string()), known["betas"]
+    step = max(1, M.CHUNK_NUMBERS // len(betas))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                batch = whole.slice(lo, step)
+                items = batch.column(1)
+                structs = items.flatten()
+                at = pc.fill_null(pc.index_in(structs.field("symbol"), value_set=symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(len(batch)), pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64))
+                owner, place = owner[at >= 0], at[at >= 0]
+                # a position without a weight adds nothing to a sum
+                w = pc.fill_null(structs.field("weight"), 0.0).to_numpy(zero_copy_only=False)[at >= 0]
+                total = np.bincount(owner * len(betas) + place, w, len(batch) * len(betas)).reshape(len(batch), -1) @ betas
+                some = np.unique(owner)
+                total = total[some]
+                size = np.abs(total).sum(axis=1, keepdims=True)
+                share = np.abs(total) / np.where(size == 0, 1.0, size)
+                each = [pa.array(names * len(some), pa.string()), pa.array(total.ravel()), pa.array(share.ravel())]
+                lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * len(names), pa.StructArray.from_arrays(each, list(fields)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists.cast(schema.field(1).type)], schema=schema)
+
+    return packed.mapInArrow(run, out_schema)
 
 
 def factor_hhi(exposures: DataFrame) -> DataFrame:

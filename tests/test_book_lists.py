@@ -79,3 +79,10 @@ def test_states_take_lists_and_placed_frames(spark):
     packed = M.packed_books(own).withColumnRenamed("items", "positions")
     got = portfolio_states(place(heat), positions=place(packed), clusters=place(listed))
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.count() == 2
+
+
+def test_positions_without_a_weight_add_nothing(spark):
+    exposures = spark.createDataFrame([(0, "a", "f", 2.0), (0, "b", "f", 1.0)], "t int, symbol string, factor string, beta double")
+    held = [(1, "a", 0.5), (1, "b", None), (2, "a", 0.25)]
+    got = X.exposure_lists(exposures, spark.createDataFrame(held, "book_id int, symbol string, weight double")).collect()
+    assert {r.book_id: [tuple(e) for e in r.factor_exposures] for r in got} == {1: [("f", 1.0, 1.0)], 2: [("f", 0.5, 1.0)]}
